@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import linededup, packing
+from sparkloom.llm import linededup, packing, secretscan
+from sparkloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,12 @@ ORACLES["op9_line_dedup"] = r"""
       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
     FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"), scratch_dir(spark))
+    base = F.filter("found", lambda x: x["kind"].isin([r.kind for r in secretscan.BASE_RULES]))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("found", lambda x, k=rule.kind: x["kind"] == k)).cast("long").alias(f"n_{rule.kind}") for rule in secretscan.BASE_RULES]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
