@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import linededup, packing, secretscan
+from sparkloom.llm import decontaminate, linededup, packing, secretscan
 from sparkloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,25 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     counts = [F.size(F.filter("found", lambda x, k=rule.kind: x["kind"] == k)).cast("long").alias(f"n_{rule.kind}") for rule in secretscan.BASE_RULES]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLES["op4_decontamination"] = r"""
+    WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    items AS (SELECT item_id, words, least(10, len(words)) AS span FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark) WHERE len(words) > 0),
+    item_windows AS (SELECT DISTINCT item_id, span, words[i : i + span - 1] AS win FROM (SELECT *, unnest(range(1, len(words) - span + 2)) AS i FROM items)),
+    doc_windows AS (
+      SELECT doc_id, span, i, words[i : i + span - 1] AS win
+      FROM (SELECT doc_id, words, span, unnest(range(1, len(words) - span + 2)) AS i FROM docs, (SELECT DISTINCT span FROM items) WHERE len(words) >= span)
+    ),
+    found AS (SELECT doc_id, span, i, item_id FROM doc_windows JOIN item_windows USING (span, win)),
+    hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + span)) AS place FROM found) GROUP BY doc_id),
+    by_item AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN by_item USING (doc_id)
+"""
