@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, linededup, packing, secretscan
+from sparkloom.llm import decontaminate, linededup, packing, secretscan, suffixdedup
 from sparkloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,33 @@ ORACLES["op4_decontamination"] = r"""
     SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
     FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN by_item USING (doc_id)
 """
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), span=100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op10_suffix_dedup"] = r"""
+    WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hex FROM documents),
+    spans AS (SELECT doc_id, p, md5_number(substr(hex, 2 * p + 1, 200)) AS name FROM (SELECT doc_id, hex, unnest(range(length(hex) // 2 - 99)) AS p FROM docs)),
+    late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY name ORDER BY doc_id, p) AS nth FROM spans) WHERE nth > 1),
+    runs AS (
+      SELECT doc_id, min(p) AS a, max(p) + 100 AS b
+      FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run
+            FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM late))
+      GROUP BY doc_id, run
+    ),
+    pieces AS (
+      SELECT doc_id, a, substr(hex, 2 * coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0))) AS before
+      FROM runs JOIN docs USING (doc_id)
+    ),
+    kept AS (
+      SELECT doc_id, string_agg(before, '' ORDER BY a) AS before FROM pieces GROUP BY doc_id
+    ),
+    totals AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM runs GROUP BY doc_id)
+    SELECT doc_id, length(hex) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(coalesce(before, '') || substr(hex, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)
+"""
