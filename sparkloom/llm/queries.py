@@ -60,7 +60,8 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan(table(spark, sf_dir, "documents"), scratch_dir(spark))
     base = F.filter("found", lambda x: x["kind"].isin([r.kind for r in secretscan.BASE_RULES]))
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("found", lambda x, k=rule.kind: x["kind"] == k)).cast("long").alias(f"n_{rule.kind}") for rule in secretscan.BASE_RULES]
+    of = lambda kind: F.filter("found", lambda x: x["kind"] == kind)
+    counts = [F.size(of(rule.kind)).cast("long").alias(f"n_{rule.kind}") for rule in secretscan.BASE_RULES]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
