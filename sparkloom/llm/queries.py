@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, linededup, packing, secretscan, suffixdedup
+from sparkloom.llm import decontaminate, labelled, linededup, neardup, packing, quality, secretscan, suffixdedup, toxicity
 from sparkloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,24 @@ ORACLES["op10_suffix_dedup"] = r"""
       sha256(unhex(coalesce(before, '') || substr(hex, 2 * coalesce(last, 0) + 1))) AS kept_sha256
     FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)
 """
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), folds=4, held_out=2)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (labelled.fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = quality.fit(docs, table(spark, sf_dir, "labels"), folds=3, held_out=1)
+    scored = quality.score(docs.select("doc_id", "text"), trees)
+    return scored.select("doc_id", (labelled.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
