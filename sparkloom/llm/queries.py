@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, labelled, linededup, neardup, packing, quality, secretscan, suffixdedup, toxicity
+from sparkloom.llm import decontaminate, labelled, linededup, media, neardup, packing, quality, secretscan, suffixdedup, tokencount, toxicity
 from sparkloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = quality.fit(docs, table(spark, sf_dir, "labels"), folds=3, held_out=1)
     scored = quality.score(docs.select("doc_id", "text"), trees)
     return scored.select("doc_id", (labelled.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
