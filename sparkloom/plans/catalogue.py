@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import geo, packets, text
+from sparkloom.functions.times import at_micros, micros
+from sparkloom.operators import lookups, profiling, sequences
+from sparkloom.sources import capture
+from sparkloom.streaming import jobs
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,13 +31,531 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, ...]:
+    return tuple(table(spark, sf_dir, n) for n in names)
+
+
+# Profiles
+
+
 @query("""
     SELECT user_id, event_type AS dominant, n AS n_events FROM (
       SELECT user_id, event_type, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS place
       FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
     ) WHERE place = 1
 """)
-def dominant_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    place = Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")
-    return counts.withColumn("place", F.row_number().over(place)).where("place = 1").select("user_id", F.col("event_type").alias("dominant"), F.col("n").alias("n_events"))
+def dominant_event_type(spark, sf_dir):
+    top = profiling.top_labels(table(spark, sf_dir, "events"), ["user_id"], "event_type")
+    return top.select("user_id", F.col("event_type").alias("dominant"), F.col("n").alias("n_events"))
+
+
+@query("""
+    SELECT user_id, string_agg(event_type, ',' ORDER BY place) AS labels FROM (
+      SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS place
+      FROM events GROUP BY user_id, event_type
+    ) WHERE place <= 2 GROUP BY user_id
+""")
+def top_two_event_types(spark, sf_dir):
+    top = profiling.top_labels(table(spark, sf_dir, "events"), ["user_id"], "event_type", 2)
+    return top.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "event_type"))), lambda x: x["event_type"]), ",").alias("labels"))
+
+
+@query("""
+    SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS histogram
+    FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY user_id
+""")
+def event_histogram(spark, sf_dir):
+    counts = profiling.histogram(table(spark, sf_dir, "events"), ["user_id"], "event_type")
+    entries = F.transform(F.sort_array(F.map_entries("histogram")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))
+    return counts.select("user_id", F.array_join(entries, ",").alias("histogram"))
+
+
+@query("""
+    SELECT user_id, event_type, grouping_id(user_id, event_type)::INT AS level, count(*) AS n, round(sum(value), 2) AS total, count(DISTINCT user_id) AS users
+    FROM events GROUP BY GROUPING SETS ((user_id, event_type), (event_type), ())
+""")
+def two_level_grouping(spark, sf_dir):
+    return profiling.grouping_sets(table(spark, sf_dir, "events"), [["user_id", "event_type"], ["event_type"], []], n=F.count("*"), total=F.round(F.sum("value"), 2), users=F.count_distinct("user_id"))
+
+
+@query("""
+    SELECT lang, field, CASE field WHEN 'quality' THEN q WHEN 'toxic' THEN t ELSE s END AS present FROM (
+      SELECT lang, count(quality) * 100 // count(*) AS q, count(toxic) * 100 // count(*) AS t, count(source) * 100 // count(*) AS s
+      FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang
+    ), (VALUES ('quality'), ('toxic'), ('source')) f(field)
+""")
+def label_presence(spark, sf_dir):
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    return profiling.presence(docs.select("doc_id", "lang", "source").join(labels, "doc_id", "left"), ["quality", "toxic", "source"], ["lang"])
+
+
+@query("""
+    SELECT event_type, count(*) AS n, min(value) AS low, list_sort(list(value))[count(*) // 2 + 1] AS median, max(value) AS high
+    FROM events WHERE value IS NOT NULL GROUP BY event_type
+""")
+def value_range(spark, sf_dir):
+    return profiling.upper_median(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", "n", "low", "median", "high")
+
+
+@query("""
+    SELECT user_id, arg_min(event_type, (ts, event_id)) AS first, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id
+""")
+def first_and_last_event(spark, sf_dir):
+    return profiling.first_last(table(spark, sf_dir, "events"), ["user_id"], "event_type", ["ts", "event_id"])
+
+
+@query("""
+    SELECT event_type, string_agg(hour::VARCHAR, ',' ORDER BY hour) AS hours FROM (SELECT DISTINCT event_type, hour(ts) AS hour FROM events) GROUP BY event_type
+""")
+def active_hours(spark, sf_dir):
+    hours = profiling.distinct_set(table(spark, sf_dir, "events"), ["event_type"], F.hour("ts"), "hours")
+    return hours.select("event_type", F.array_join("hours", ",").alias("hours"))
+
+
+@query("""
+    SELECT user_id, count(*) FILTER (event_type = 'click') AS hits, count(*) AS n FROM events GROUP BY user_id
+    HAVING count(*) FILTER (event_type = 'click') >= 5 AND count(*) FILTER (event_type = 'click') >= 0.22 * count(*)
+""")
+def clicking_users(spark, sf_dir):
+    return profiling.majority(table(spark, sf_dir, "events"), ["user_id"], F.col("event_type") == "click", 5, 0.22)
+
+
+@query("""
+    SELECT event_type, min(ts) FILTER (value >= 1) AS begin, max(ts) FILTER (value >= 1) AS "end" FROM events GROUP BY event_type
+""")
+def stated_span(spark, sf_dir):
+    return profiling.span(table(spark, sf_dir, "events"), ["event_type"], "ts", F.col("value") >= 1)
+
+
+@query("SELECT unnest(json_keys(props)) AS field, count(*) AS rows FROM events GROUP BY 1")
+def property_inventory(spark, sf_dir):
+    return profiling.field_inventory(table(spark, sf_dir, "events"), F.from_json("props", "map<string,string>"))
+
+
+@query("""
+    WITH t AS (SELECT l_shipmode_key::VARCHAR AS brand, q FROM (SELECT p_brand AS l_shipmode_key, sum(l_quantity)::BIGINT AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)),
+    top AS (SELECT * FROM t ORDER BY q DESC, brand LIMIT 5)
+    SELECT brand, q AS quantity FROM top UNION ALL SELECT NULL, (SELECT sum(q) FROM t)::BIGINT - (SELECT sum(q) FROM top)::BIGINT
+""")
+def top_brands_and_rest(spark, sf_dir):
+    items, parts = tables(spark, sf_dir, "lineitem", "part")
+    sums = items.join(parts, items.l_partkey == parts.p_partkey).groupBy(F.col("p_brand").alias("brand")).agg(F.sum("l_quantity").cast("long").alias("quantity"))
+    return profiling.with_remainder(sums, [F.desc("quantity"), "brand"], 5, "brand", "quantity")
+
+
+# Sequences
+
+
+DAYS = "SELECT user_id, (epoch_us(ts) // 86400000000) AS day FROM events"
+
+
+def _days(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id", F.floor(micros("ts") / 86_400_000_000).alias("day"))
+
+
+@query(f"""
+    SELECT user_id, min(day) AS begin, max(day) AS "end", count(*) AS length FROM (
+      SELECT user_id, day, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS island FROM (SELECT DISTINCT * FROM ({DAYS}))
+    ) GROUP BY user_id, island
+""")
+def active_day_runs(spark, sf_dir):
+    return sequences.runs(_days(spark, sf_dir), ["user_id"], "day")
+
+
+@query(f"""
+    SELECT user_id, day AS after, before, before - day - 1 AS missing FROM (
+      SELECT user_id, day, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS before FROM (SELECT DISTINCT * FROM ({DAYS}))
+    ) WHERE before - day > 1
+""")
+def idle_day_gaps(spark, sf_dir):
+    return sequences.gaps(_days(spark, sf_dir), ["user_id"], "day")
+
+
+@query(f"""
+    SELECT *, CASE WHEN missing > 0 THEN 'gaps' WHEN duplicates > 0 THEN 'duplicates' ELSE 'complete' END AS verdict FROM (
+      SELECT user_id, count(*) AS seen, count(DISTINCT day) AS "distinct", min(day) AS first, max(day) AS last,
+        max(day) - min(day) + 1 - count(DISTINCT day) AS missing, count(*) - count(DISTINCT day) AS duplicates FROM ({DAYS}) GROUP BY user_id)
+""")
+def day_sequence_audit(spark, sf_dir):
+    return sequences.audit(_days(spark, sf_dir), ["user_id"], "day")
+
+
+@query("""
+    SELECT l_suppkey, count(*) AS n, count(*) FILTER ((before + 1) % 16 <> counter) AS faults FROM (
+      SELECT l_suppkey, counter, lag(counter) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS before
+      FROM (SELECT *, (l_orderkey + l_linenumber) % 16 AS counter FROM lineitem)
+    ) GROUP BY l_suppkey
+""")
+def counter_continuity(spark, sf_dir):
+    return sequences.continuity_faults(table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], (F.col("l_orderkey") + F.col("l_linenumber")) % 16)
+
+
+@query("""
+    SELECT user_id, count(*) FILTER (hits >= 3) AS alarms, max(hits) AS worst FROM (
+      SELECT user_id, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)::BIGINT AS hits FROM events
+    ) GROUP BY user_id
+""")
+def three_of_five_errors(spark, sf_dir):
+    hits = sequences.hits_in_window(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", 5)
+    return hits.groupBy("user_id").agg(F.count_if(F.col("hits") >= 3).alias("alarms"), F.max("hits").alias("worst"))
+
+
+@query("""
+    SELECT event_id, user_id FROM (
+      SELECT event_id, user_id, max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS more FROM events
+    ) WHERE more = 1
+""")
+def upto_last_purchase(spark, sf_dir):
+    return sequences.upto_last(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase").select("event_id", "user_id")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events) WHERE (nth - 1) % 10 = 0")
+def every_tenth_event(spark, sf_dir):
+    return sequences.every_kth(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 10).select("event_id")
+
+
+@query("""
+    SELECT user_id, session, min(ts) AS begin, max(ts) AS "end", count(*) AS n FROM (
+      SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (
+        SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM events)
+    ) GROUP BY user_id, session
+""")
+def sessions(spark, sf_dir):
+    return sequences.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", 6 * 3600, ["event_id"])
+
+
+@query("""
+    WITH s AS (SELECT user_id, ts, event_id, sum(CASE WHEN event_type IN ('error', 'view') THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM events),
+    f AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS evidence FROM s)
+    SELECT event_id, evidence::BIGINT AS evidence, max(evidence) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) >= 3 AS latched FROM f
+""")
+def evidence_latch(spark, sf_dir):
+    return sequences.latched(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type").isin("error", "view")).select("event_id", "evidence", "latched")
+
+
+@query("SELECT event_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 / 2.0 AS offset_s FROM events")
+def scheduled_offsets(spark, sf_dir):
+    return sequences.since_first(table(spark, sf_dir, "events"), ["user_id"], "ts", 2.0).select("event_id", "offset_s")
+
+
+@query("""
+    SELECT event_id, strftime(ts - min(ts) OVER (PARTITION BY user_id) + TIMESTAMP '2030-01-01', '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at FROM events
+""")
+def shifted_times(spark, sf_dir):
+    moved = sequences.shifted(table(spark, sf_dir, "events"), ["user_id"], "ts", at_micros(F.lit(1893456000000000)))
+    return moved.select("event_id", text.iso_millis(F.col("ts")).alias("at"))
+
+
+@query("""
+    WITH c AS (SELECT event_type, epoch_us(ts) // 3600000000 AS bucket, count(*) AS n FROM events GROUP BY 1, 2),
+    e AS (SELECT event_type, min(bucket) AS a, max(bucket) AS b FROM c GROUP BY 1 HAVING max(bucket) - min(bucket) >= 2),
+    f AS (SELECT event_type, unnest(range(a + 1, b)) AS bucket FROM e)
+    SELECT event_type, count(*) AS buckets, min(coalesce(n, 0)) AS low, round(avg(coalesce(n, 0)), 6) AS mean, max(coalesce(n, 0)) AS high FROM f LEFT JOIN c USING (event_type, bucket) GROUP BY 1
+""")
+def hourly_rates(spark, sf_dir):
+    return sequences.trimmed_buckets(table(spark, sf_dir, "events"), ["event_type"], "ts", 3600).withColumn("mean", F.round("mean", 6))
+
+
+@query("""
+    SELECT user_id, sent, received, round(100.0 * (sent - received) / sent, 4) AS loss,
+      CASE WHEN sent = received THEN 'ok' WHEN 100.0 * (sent - received) / sent > 45 THEN 'failed' ELSE 'limited' END AS verdict
+    FROM (SELECT user_id, count(*) AS sent, count(*) FILTER (event_type <> 'error' AND value > 5) AS received FROM events GROUP BY 1)
+""")
+def loss_verdict(spark, sf_dir):
+    counts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("sent"), F.count_if((F.col("event_type") != "error") & (F.col("value") > 5)).alias("received"))
+    loss = 100.0 * (F.col("sent") - F.col("received")) / F.col("sent")
+    return counts.withColumns({"loss": F.round(loss, 4), "verdict": F.when(F.col("sent") == F.col("received"), "ok").when(loss > 45, "failed").otherwise("limited")})
+
+
+@query("""
+    SELECT event_type, count(*) AS alive FROM events, (SELECT max(ts) AS now FROM events)
+    WHERE ts + to_seconds((value * 3600)::BIGINT) > now GROUP BY event_type
+""")
+def not_yet_stale(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts").alias("now"))  # one row
+    stale = at_micros(micros("ts") + F.round(F.col("value") * 3600).cast("long") * 1_000_000)
+    return events.crossJoin(F.broadcast(now)).where(stale > F.col("now")).groupBy("event_type").agg(F.count("*").alias("alive"))
+
+
+# Lookups and joins
+
+
+@query("""
+    WITH entries AS (SELECT substr(p_name, 1, instr(p_name || ' ', ' ') - 1) AS entry, count(*) AS parts FROM part WHERE p_size < 5 GROUP BY 1
+      UNION ALL SELECT p_name, count(*) FROM part WHERE p_size = 1 GROUP BY 1),
+    one AS (SELECT entry, min(parts) AS parts FROM entries GROUP BY entry)
+    SELECT p_partkey, entry, parts FROM (
+      SELECT p_partkey, entry, parts, row_number() OVER (PARTITION BY p_partkey ORDER BY length(entry) DESC) AS nth
+      FROM part LEFT JOIN one ON p_name = entry OR starts_with(p_name, entry || ' ')) WHERE nth = 1
+""")
+def part_name_prefixes(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    heads = parts.where("p_size < 5").groupBy(F.substring_index("p_name", " ", 1).alias("entry")).agg(F.count("*").alias("parts"))
+    names = parts.where("p_size = 1").groupBy(F.col("p_name").alias("entry")).agg(F.count("*").alias("parts"))
+    entries = heads.unionByName(names).groupBy("entry").agg(F.min("parts").alias("parts"))
+    return lookups.longest_prefix(parts.select("p_partkey", "p_name"), "p_name", entries, "entry", " ").select("p_partkey", "entry", "parts")
+
+
+# Rules of the example: kind, weekday, where to.
+ROUTES = [("click", "*", "web"), ("*", "1", "sunday"), ("purchase", "*", "shop"), ("purchase", "7", "weekend"), ("error", "2", "monday")]
+
+
+@query(f"""
+    WITH rules(kind, day, target) AS (VALUES {", ".join(map(str, ROUTES))}),
+    e AS (SELECT event_type, (dayofweek(ts) + 1)::VARCHAR AS day FROM events)
+    SELECT event_type, coalesce(target, 'default') AS target, count(*) AS n
+    FROM e LEFT JOIN rules ON (kind = '*' OR kind = event_type) AND (rules.day = '*' OR rules.day = e.day) GROUP BY 1, 2
+""")
+def wildcard_routes(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_type", F.dayofweek("ts").cast("string").alias("day"))
+    rules = spark.createDataFrame(ROUTES, "event_type string, day string, target string")
+    return lookups.routed(events, ["event_type", "day"], rules, "target", "default").groupBy("event_type", "target").agg(F.count("*").alias("n"))
+
+
+@query("SELECT regexp_replace(p_brand || '-' || p_type || '-' || p_size, '^([^-]*)-[^-]*', '\\1-.') AS key, count(*) AS n FROM part GROUP BY 1")
+def wildcard_keys(spark, sf_dir):
+    key = text.wildcard_key(F.concat_ws("-", "p_brand", "p_type", F.col("p_size").cast("string")))
+    return table(spark, sf_dir, "part").groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT s_suppkey, count(*) AS n, round(min(d), 6) AS nearest FROM (
+      SELECT s_suppkey, sqrt((s_acctbal / 1000 - c_acctbal / 1000) ** 2 + (s_nationkey - c_nationkey) ** 2) AS d FROM supplier, customer
+    ) WHERE d <= 1.5 GROUP BY s_suppkey
+""")
+def customers_near_suppliers(spark, sf_dir):
+    suppliers, customers = tables(spark, sf_dir, "supplier", "customer")
+    a = suppliers.select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    b = customers.select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    return lookups.within_distance(a, b, 1.5).groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.min("distance"), 6).alias("nearest"))
+
+
+@query("""
+    SELECT side, count(*) AS n FROM (
+      SELECT CASE WHEN a.doc_id IS NULL THEN 'right' WHEN b.doc_id IS NULL THEN 'left' ELSE 'both' END AS side
+      FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 0) b ON a.doc_id = b.doc_id) GROUP BY side
+""")
+def label_key_audit(spark, sf_dir):
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    return lookups.key_audit(docs, labels.where("toxic = 0"), "doc_id").groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT layer, count(*) AS n, count(balance) AS balances, count(name) AS names FROM (
+      SELECT 'customers' AS layer, c_custkey AS key, c_acctbal AS balance, c_name AS name FROM customer
+      UNION ALL SELECT 'suppliers', s_suppkey, s_acctbal, s_name FROM supplier UNION ALL SELECT 'parts', p_partkey, NULL, p_name FROM part) GROUP BY layer
+""")
+def layer_union(spark, sf_dir):
+    c, s, p = tables(spark, sf_dir, "customer", "supplier", "part")
+    rows = lookups.layers(
+        customers=c.select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name")),
+        suppliers=s.select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name")),
+        parts=p.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name")),
+    )
+    return rows.groupBy("layer").agg(F.count("*").alias("n"), F.count("balance").alias("balances"), F.count("name").alias("names"))
+
+
+@query("SELECT lang, source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY length(text), doc_id) AS nth FROM documents) WHERE nth = 1")
+def shortest_documents(spark, sf_dir):
+    return lookups.shortest_of_each(table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars", F.length("text").alias("size")), ["lang", "source"], F.col("size"), ["doc_id"]).select("lang", "source", "doc_id", "n_chars")
+
+
+@query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || event_id)) AS nth FROM events) WHERE nth <= 20")
+def stratified_events(spark, sf_dir):
+    return lookups.stratified(table(spark, sf_dir, "events"), ["event_type"], "event_id", 20, 7).select("event_type", "event_id")
+
+
+@query("SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+def rich_nations(spark, sf_dir):
+    c, s = tables(spark, sf_dir, "customer", "supplier")
+    return c.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation")).intersect(s.where("s_acctbal > 5000").select("s_nationkey"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+def customers_without_large_orders(spark, sf_dir):
+    c, o = tables(spark, sf_dir, "customer", "orders")
+    return c.join(o.where("o_totalprice > 200000"), c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+
+
+@query("""
+    SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_orderkey) AS orders
+    FROM region, nation, customer, orders, lineitem
+    WHERE r_regionkey = n_regionkey AND c_nationkey = n_nationkey AND o_custkey = c_custkey AND l_orderkey = o_orderkey AND o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1, 2
+""")
+def revenue_by_nation(spark, sf_dir):
+    r, n, c, o, items = tables(spark, sf_dir, "region", "nation", "customer", "orders", "lineitem")
+    joined = items.join(o.where("o_orderdate >= TIMESTAMP '1996-01-01'"), items.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return joined.groupBy("r_name", "n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count_distinct("o_orderkey").alias("orders"))
+
+
+@query("""
+    SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge, round(avg(l_discount), 6) AS discount, count(*) AS n
+    FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2
+""")
+def pricing_summary(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").where("l_shipdate <= TIMESTAMP '1998-09-02'")
+    charge = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    return items.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.round(F.sum(charge), 2).alias("charge"), F.round(F.avg("l_discount"), 6).alias("discount"), F.count("*").alias("n"))
+
+
+@query("SELECT c_mktsegment, c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)")
+def segment_cube(spark, sf_dir):
+    return table(spark, sf_dir, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+# Text, markup and encodings
+
+
+@query("SELECT event_type, round(avg((props->>'$.k')::DOUBLE), 6) AS k, count(DISTINCT (props->>'$.k')::INT) AS kinds FROM events GROUP BY 1")
+def property_values(spark, sf_dir):
+    k = F.from_json("props", "k int")["k"]
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg(k), 6).alias("k"), F.count_distinct(k).alias("kinds"))
+
+
+@query(r"""
+    SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, len(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS links, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages
+""")
+def page_outline(spark, sf_dir):
+    found = lambda pattern, g: F.size(F.regexp_extract_all("html", F.lit(pattern), F.lit(g))).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"), found(r'<a\s[^>]*href="([^"]*)"', 1).alias("links"), found("<p>", 0).alias("paragraphs"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '[\x00-\x1F\x7F]+', ' ', 'g')) AS clean, strlen(text) - length(text) AS wide FROM documents")
+def printable_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.printable(F.col("text"))).alias("clean"), (F.octet_length("text") - F.length("text")).cast("long").alias("wide"))
+
+
+@query(r"SELECT conv_id, turn, md5(coalesce(role, '') || '|' || replace(regexp_replace(text, '[\x00-\x1F\x7F]+', ' ', 'g'), '|', ' ')) AS line FROM conversations")
+def conversation_lines(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.one_line(F.col("role"), F.col("text"))).alias("line"))
+
+
+@query("""
+    SELECT conv_id, count(*) AS turns, md5(string_agg(text, '' ORDER BY turn)) AS stream, len(string_split(string_agg(text, '' ORDER BY turn), '.')) - 1 AS sentences FROM conversations GROUP BY conv_id
+""")
+def reassembled_conversations(spark, sf_dir):
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(parts, "").alias("s"))
+    return whole.select("conv_id", "turns", F.md5("s").alias("stream"), (F.size(F.split("s", "\\.", -1)) - 1).cast("long").alias("sentences"))
+
+
+@query("SELECT event_id, event_type AS kind, round(value, 2) AS value, user_id FROM events WHERE event_type <> 'view'")
+def xml_events(spark, sf_dir):
+    """Events written as XML with a prolog and read back by path."""
+    events = table(spark, sf_dir, "events").where("event_type <> 'view'")
+    xml = F.format_string('<?xml version="1.0"?>\n<event id="%d"><kind>%s</kind><detail><v>%.2f</v><user n="%d"/></detail></event>', "event_id", "event_type", "value", "user_id")
+    body = events.select(text.without_prolog(xml).alias("xml"))
+    return body.select(F.xpath_long("xml", F.lit("/event/@id")).alias("event_id"), F.xpath_string("xml", F.lit("/event/kind/text()")).alias("kind"), F.xpath_double("xml", F.lit("/event/detail/v")).alias("value"), F.xpath_long("xml", F.lit("/event/detail/user/@n")).alias("user_id"))
+
+
+@query("SELECT o_orderpriority AS label, count(*) * (substr(o_orderpriority, 1, 1)::INT) AS n FROM orders GROUP BY o_orderpriority")
+def weighted_mix(spark, sf_dir):
+    mix = F.concat("o_orderpriority", F.lit("="), F.substring("o_orderpriority", 1, 1))
+    return table(spark, sf_dir, "orders").select(F.explode(text.weighted_labels(mix)).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT o_custkey, round(avg(o_orderkey % 89), 6) AS x, round(avg(o_orderkey % 97), 6) AS y, count(*) AS n FROM orders GROUP BY o_custkey
+""")
+def order_centroids(spark, sf_dir):
+    points = F.collect_list(F.struct((F.col("o_orderkey") % 89).cast("double").alias("x"), (F.col("o_orderkey") % 97).cast("double").alias("y")))
+    by = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(points.alias("p"))
+    return by.select("o_custkey", F.round(text.centroid(F.col("p"))["x"], 6).alias("x"), F.round(text.centroid(F.col("p"))["y"], 6).alias("y"), F.size("p").cast("long").alias("n"))
+
+
+@query("SELECT label, i AS place, round(avg(v), 5) AS mean FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY 1, 2")
+def mean_embeddings(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("place", "v")).groupBy("label", F.col("place").cast("long").alias("place")).agg(F.round(F.avg("v"), 5).alias("mean"))
+
+
+# Geodesy: positions derived from keys
+
+
+def _positions(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") * 7919) % 160000 / 1000.0 - 80).alias("lat"), ((F.col("c_custkey") * 104729) % 359000 / 1000.0 - 179.5).alias("lon"))
+
+
+@query("""
+    WITH p AS (SELECT c_custkey, (c_custkey * 7919) % 160000 / 1000.0 - 80 AS lat, (c_custkey * 104729) % 359000 / 1000.0 - 179.5 AS lon FROM customer)
+    SELECT c_custkey, round((lon - 2.0) * 111320.0 * cos(radians(48.0)), 3) AS x, round((lat - 48.0) * 111320.0, 3) AS y FROM p
+""")
+def local_plane(spark, sf_dir):
+    at = geo.to_plane(F.col("lat"), F.col("lon"), 48.0, 2.0)
+    return _positions(spark, sf_dir).select("c_custkey", F.round(at["x"], 3).alias("x"), F.round(at["y"], 3).alias("y"))
+
+
+@query()
+def grid_references(spark, sf_dir):
+    return _positions(spark, sf_dir).select("c_custkey", geo.grid_reference(F.col("lat"), F.col("lon")).alias("reference"))
+
+
+@query()
+def geodesic_ends(spark, sf_dir):
+    end = geo.direct(F.col("lat"), F.col("lon"), (F.col("c_custkey") % 360).cast("double"), (F.col("c_custkey") % 1000 * 100).cast("double"))
+    return _positions(spark, sf_dir).withColumn("end", end).select("c_custkey", F.round("end.lat", 7).alias("lat"), F.round("end.lon", 7).alias("lon"))
+
+
+# Packets: frames that Spark makes of events
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    payload = F.encode(F.when(F.col("event_type") == "error", F.concat(F.lit("<e>"), "event_type", F.lit("</e>"))).when(F.col("event_type") == "view", F.col("props")).otherwise(F.col("event_type")), "UTF-8")
+    frame = packets.udp_frame(F.lit(0x0A000000) + F.col("user_id"), F.lit(40000), F.lit(0x0A010001) + F.col("event_id") % 3, F.lit(5000) + F.col("event_id") % 7, payload)
+    return events.select(F.lit("events").alias("path"), F.col("event_id").alias("seq"), (micros("ts") / 1e6).alias("ts"), F.lit(1).alias("linktype"), frame.alias("frame"))
+
+
+@query("""
+    WITH e AS (SELECT epoch_us(ts) / 1e6 AS t, '10.1.0.' || (1 + event_id % 3) AS dst, (5000 + event_id % 7)::INT AS dport,
+        CASE event_type WHEN 'error' THEN 'xml' WHEN 'view' THEN 'json' ELSE 'text' END AS kind,
+        strlen(CASE event_type WHEN 'error' THEN '<e>error</e>' WHEN 'view' THEN props ELSE event_type END) AS size FROM events),
+    k AS (SELECT dport, kind, row_number() OVER (PARTITION BY dport ORDER BY count(*) DESC, kind) AS place FROM e GROUP BY 1, 2)
+    SELECT 'udp' AS proto, dport, count(*) AS packets, sum(size)::BIGINT AS bytes, min(t) AS begin, max(t) AS "end", string_agg(DISTINCT dst, ',' ORDER BY dst) AS destinations, any_value(k.kind) AS kind
+    FROM e JOIN (SELECT dport, kind FROM k WHERE place = 1) k USING (dport) GROUP BY dport
+""")
+def port_inventory(spark, sf_dir):
+    found = capture.inventory(capture.datagrams(_frames(spark, sf_dir)))
+    return found.withColumn("destinations", F.array_join("destinations", ","))
+
+
+@query("""
+    SELECT '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS src, '10.1.0.' || (1 + event_id % 3) AS dst, (5000 + event_id % 7)::INT AS dport,
+      md5(string_agg(CASE event_type WHEN 'error' THEN '<e>error</e>' WHEN 'view' THEN props ELSE event_type END, '' ORDER BY event_id)) AS stream
+    FROM events GROUP BY 1, 2, 3
+""")
+def flow_streams(spark, sf_dir):
+    flows = capture.flow_streams(capture.datagrams(_frames(spark, sf_dir)))
+    return flows.select("src", "dst", "dport", F.md5("stream").alias("stream"))
+
+
+@query("SELECT event_id, user_id AS key, round(-90 + 180.0 / 65535 * (event_id % 65536), 6) AS angle FROM events")
+def tagged_records(spark, sf_dir):
+    """Events as tagged records with BER lengths, taken apart again."""
+    packed = lambda v, width: F.unhex(F.lpad(F.hex(v.cast("bigint")), 2 * width, "0"))
+    hexed = lambda h: F.unhex(F.lit(h))
+    record = F.concat(hexed("0108"), packed(F.col("event_id"), 8), hexed("028104"), packed(F.col("user_id"), 4), hexed("0D02"), packed(F.col("event_id") % 65536, 2), hexed("05"))
+    items = table(spark, sf_dir, "events").select(packets.tlv(record).alias("items"))
+    value = lambda tag: F.get(F.filter("items", lambda x: x["tag"] == tag), F.lit(0))["value"]
+    return items.select(packets.number(value(1), 1, 8).alias("event_id"), packets.number(value(2), 1, 4).alias("key"), F.round(packets.scaled(value(13), 2, -90.0, 90.0), 6).alias("angle"))
+
+
+# Streams
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def streamed_hours(spark, sf_dir):
+    """Hourly counts of the events table read as a stream to its end."""
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _streamed(spark, jobs.windowed(stream, "ts", ["event_type"], "1 hour", "1 day"), "complete").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def _streamed(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    jobs.run_once(stream, f"{path}/rows", mode, f"{path}/state")
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
