@@ -19,8 +19,9 @@ def write_semicolon_csv(df: DataFrame, path: str, decimals: int = 7) -> None:
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The good lines of a log."""
     bad = "_corrupt_record"
-    rows = spark.read.schema(f"{schema}, {bad} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
-    return rows.where(F.col(bad).isNull()).drop(bad)
+    parsed = F.from_json("value", f"{schema}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("row"))
+    return rows.where(F.col(f"row.{bad}").isNull()).select("row.*").drop(bad)
 
 
 def dictionary(spark: SparkSession, path: str, element: str, key: str, value: str) -> DataFrame:
