@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,15 @@ NULL_ID = -(2**63)
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the one the cluster shares (spark.checkpoint.dir); only without that setting a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or own_dir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@cache
+def own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: lineage ends here and a lost executor costs nothing."""
     path = scratch_dir(df.sparkSession)
