@@ -90,3 +90,10 @@ def grid_reference(lat: Column, lon: Column, digits: int = 5) -> Column:
     scale = 10 ** (5 - digits)
     part = lambda v: F.lpad(F.floor(v % 100_000 / scale).cast("string"), digits, "0")
     return F.when(lat.between(-80, 84), F.concat(zone.cast("string"), band, column, row, part(east), part(north)))
+
+
+def nice_step(extent: Column, lines: int = 6) -> Column:
+    """The least of 1, 2 and 5 times a power of ten that cuts an extent into at most so many parts; null unless it is positive."""
+    raw = F.when(extent > 0, extent / lines)
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    return F.when(raw <= power, power).when(raw <= 2 * power, 2 * power).when(raw <= 5 * power, 5 * power).otherwise(10 * power)

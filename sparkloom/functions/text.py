@@ -72,3 +72,9 @@ def big_endian(data: Column, start: int, width: int, signed: bool = False) -> Co
 def fixed_angle(data: Column, start: int, width: int = 4, full: float = 360.0, signed: bool = False) -> Column:
     """A fixed-point angle: an unsigned fraction of full, or a signed one of half of it."""
     return big_endian(data, start, width, signed) * F.lit(full / 2 ** (8 * width))
+
+
+def encoding_of(data: Column) -> Column:
+    """'ascii', 'utf-8' or, of bytes that are neither, 'other'; null of null."""
+    read = data.cast("string")
+    return F.when(~F.is_valid_utf8(read), "other").when(F.octet_length(read) == F.length(read), "ascii").when(data.isNotNull(), "utf-8")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import geo, packets, text
 from sparkloom.functions.times import at_micros, micros
-from sparkloom.operators import lookups, profiling, sequences
+from sparkloom.operators import checks, lookups, profiling, sequences
 from sparkloom.sources import capture
 from sparkloom.streaming import jobs
 
@@ -469,6 +469,29 @@ def mean_embeddings(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("place", "v")).groupBy("label", F.col("place").cast("long").alias("place")).agg(F.round(F.avg("v"), 5).alias("mean"))
 
 
+@query("""
+    SELECT CASE WHEN doc_id % 5 = 0 THEN 'other' WHEN strlen(text) = length(text) THEN 'ascii' ELSE 'utf-8' END AS encoding, count(*) AS n FROM documents GROUP BY 1
+""")
+def document_encodings(spark, sf_dir):
+    """Documents' bytes, of which each fifth got a byte that no UTF-8 text has."""
+    data = F.encode("text", "UTF-8")
+    docs = table(spark, sf_dir, "documents").withColumn("data", F.when(F.col("doc_id") % 5 == 0, F.concat(data, F.unhex(F.lit("FF")))).otherwise(data))
+    return docs.groupBy(text.encoding_of(F.col("data")).alias("encoding")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT reason, count(*) AS n FROM (
+      SELECT 'small' AS reason FROM events WHERE NOT value >= 1 UNION ALL SELECT 'large' FROM events WHERE NOT value <= 200 UNION ALL SELECT 'kind' FROM events WHERE event_type NOT IN ('click', 'view')
+    ) GROUP BY reason UNION ALL
+    SELECT 'accepted', count(*) FROM events WHERE value >= 1 AND value <= 200 AND event_type IN ('click', 'view')
+""")
+def rejected_events(spark, sf_dir):
+    rules = {"small": F.col("value") >= 1, "large": F.col("value") <= 200, "kind": F.col("event_type").isin("click", "view")}
+    checked = checks.with_reasons(table(spark, sf_dir, "events"), rules)
+    kept = checks.accepted(checked).agg(F.lit("accepted").alias("reason"), F.count("*").alias("n"))
+    return checks.rejected(checked).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).unionByName(kept)
+
+
 # Geodesy: positions derived from keys
 
 
@@ -485,6 +508,23 @@ def local_plane(spark, sf_dir):
     return _positions(spark, sf_dir).select("c_custkey", F.round(at["x"], 3).alias("x"), F.round(at["y"], 3).alias("y"))
 
 
+@query("""
+    SELECT c_custkey, CASE WHEN r <= p THEN p WHEN r <= 2 * p THEN 2 * p WHEN r <= 5 * p THEN 5 * p ELSE 10 * p END AS step
+    FROM (SELECT c_custkey, r, 10.0::DOUBLE ** floor(log10(r)) AS p FROM (SELECT c_custkey, c_acctbal / 6 AS r FROM customer WHERE c_acctbal > 0))
+""")
+def grid_steps(spark, sf_dir):
+    return table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", geo.nice_step(F.col("c_acctbal")).alias("step"))
+
+
+@query("""
+    SELECT count(*) FILTER (valid) AS valid, count(*) AS n FROM (
+      SELECT (c_custkey * 7919) % 220000 / 1000.0 - 110 AS lat, (c_custkey * 104729) % 400000 / 1000.0 - 200 AS lon, lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0) AS valid FROM customer)
+""")
+def valid_positions(spark, sf_dir):
+    lat, lon = (F.col("c_custkey") * 7919) % 220000 / 1000.0 - 110, (F.col("c_custkey") * 104729) % 400000 / 1000.0 - 200
+    return table(spark, sf_dir, "customer").agg(F.count_if(checks.valid_position(lat, lon)).alias("valid"), F.count("*").alias("n"))
+
+
 @query()
 def grid_references(spark, sf_dir):
     return _positions(spark, sf_dir).select("c_custkey", geo.grid_reference(F.col("lat"), F.col("lon")).alias("reference"))
