@@ -89,7 +89,7 @@ ORACLES["op4_decontamination"] = r"""
 
 @query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), span=100)
+    kept = suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), span=100)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -11,8 +11,11 @@ one is p's anchor; equal spans have equal anchors at equal places. Consecutive p
 one anchor are a segment, and the first sort is by the anchor's rank and then by the name of
 all that the segment's spans cover. Segments that are alone with their anchor are unique and
 drop out. Of segments that cover equal bytes all but the first repeat it whole. Where one
-anchor has several kinds of segment, the first of each kind goes on: the second sort takes its
-positions one by one, by the pair of ranks (64 bytes at p, the rest of the span at p + 64).
+anchor has several kinds of segment, the first of each kind goes on: the second sort compares
+positions by the pair of ranks (64 bytes at p, the rest of the span at p + 64). The kinds of
+one anchor come to it together with the bytes that they cover, and their positions are ranked
+there; where an anchor has more than ``KINDS_TOGETHER`` kinds, Spark sorts their positions one
+by one.
 
 Each task first settles what repeats within itself, so that a passage in a third of all
 documents gives a sort one row for each task.
@@ -34,6 +37,7 @@ GRAM = 32
 BLOCK = 2**18
 #: Rows that a task holds to settle repeats within itself.
 ROWS_HELD = 500_000
+KINDS_TOGETHER = 1_000
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _BYTE_NAMES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -128,11 +132,11 @@ def merged(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, length: np.ndar
     return _rows(doc[first], twin[first], start[first], ends[last] - start[first], False)
 
 
-ROWS = "doc long, twin int, start long, length long, open boolean"
+ROWS = "doc long, twin int, start long, length long, open boolean, key long"
 
 
-def _rows(doc, twin, start, length, is_open: bool) -> pd.DataFrame:
-    return pd.DataFrame({"doc": doc, "twin": twin, "start": start, "length": length, "open": is_open})
+def _rows(doc, twin, start, length, is_open: bool, key=0) -> pd.DataFrame:
+    return pd.DataFrame({"doc": doc, "twin": twin, "start": start, "length": length, "open": is_open, "key": key})
 
 
 #: What the sorts deal out. size 0: an interval (start, name) that is known to go, not to be sorted.
@@ -219,54 +223,105 @@ def sorted_out(keyed: DataFrame, span: int, goes_on: bool) -> DataFrame:
                     done = kinds < kinds[-1]
                     waiting = firsts[~done]
                     out = firsts[done & several]
-                    yield _rows(out["doc"].to_numpy(), out["twin"].to_numpy(), out["start"].to_numpy(), out["length"].to_numpy(), True)
+                    yield _rows(*(out[c].to_numpy() for c in ("doc", "twin", "start", "length")), True, out["key"].to_numpy())
             key0, name0, doc0, start0 = key[-1], name[-1], docs_of[kind[-1]], starts_of[kind[-1]]
         if waiting is not None and waiting["several"].any():
             out = waiting[waiting["several"]]
-            yield _rows(out["doc"].to_numpy(), out["twin"].to_numpy(), out["start"].to_numpy(), out["length"].to_numpy(), True)
+            yield _rows(*(out[c].to_numpy() for c in ("doc", "twin", "start", "length")), True, out["key"].to_numpy())
 
     dealt = keyed.repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key", "name", "doc", "start")
     return dealt.mapInPandas(settle, ROWS)
 
 
+def pair_ranks(data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the longest power of two of bytes at each position, and of the rest of its span."""
+    names, rest = ranks(data, span)
+    place = max(names)
+    n, name = len(data) - span + 1, None
+    first = names[place][:n]
+    for k, length in enumerate(rest):
+        piece = names[length][place : place + n]
+        name = piece if name is None else pair(name, piece, k)
+        place += length
+    return first.view(np.int64), (np.zeros(n, np.uint64) if name is None else name).view(np.int64)
+
+
+#: KEYED, and the bytes that a segment covers; none for single positions.
+COVERED = KEYED + ", bytes binary"
+
+
 def last_ranks(docs: DataFrame, span: int) -> DataFrame:
-    """KEYED rows, size 1, of the positions in each text's open segments (starts, lengths): key names 64 bytes, name the rest of the span."""
+    """COVERED rows of each text's open segments (opened: start, length, key, crowded): whole, or if crowded position by position."""
+
+    def single(held: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
+        for rows in settled_here(held, lambda n: n - 1 + span):
+            yield rows.assign(bytes=b"")
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, count = [], 0
         for batch in batches:
+            whole = []
             for doc, twin, text, opened in zip(batch["doc"].array, batch["twin"].array, batch["text"].array, batch["opened"].array):
                 data = text.encode()
-                runs = sorted((x["start"], x["length"]) for x in opened)
-                at = 0
-                while at < len(runs):  # near runs are named together
-                    begin, stop, upto = runs[at][0], runs[at][0], at
-                    while upto < len(runs) and runs[upto][0] - stop < 256 and stop - begin < BLOCK:
-                        stop = max(stop, runs[upto][0] + runs[upto][1])
-                        upto += 1
-                    names, rest = ranks(np.frombuffer(data, np.uint8, count=stop - begin - 1 + span, offset=begin), span)
-                    longest = max(names)
-                    n = stop - begin
-                    name, place = None, longest
-                    for k, length in enumerate(rest):
-                        piece = names[length][place : place + n]
-                        name = piece if name is None else pair(name, piece, k)
-                        place += length
-                    name = np.zeros(n, np.uint64) if name is None else name
-                    inside = np.zeros(n, dtype=bool)
-                    for a, m in runs[at:upto]:
-                        inside[a - begin : a - begin + m] = True
-                    where = np.flatnonzero(inside)
-                    held.append((names[longest][:n][where].view(np.int64), name[where].view(np.int64), np.full(len(where), doc, np.int64), np.full(len(where), twin, np.int32), where + begin, np.ones(len(where), np.int32)))
-                    count += len(where)
-                    at = upto
+                for x in opened:
+                    start, n = x["start"], x["length"]
+                    covers = data[start : start + n - 1 + span]
+                    if x["crowded"]:
+                        key, name = pair_ranks(np.frombuffer(covers, np.uint8), span)
+                        held.append((key, name, np.full(n, doc, np.int64), np.full(n, twin, np.int32), start + np.arange(n), np.ones(n, np.int32)))
+                        count += n
+                    else:
+                        whole.append((x["key"], 0, doc, twin, start, n, covers))
                 if count >= ROWS_HELD:
-                    yield from settled_here(held, lambda n: n - 1 + span)
+                    yield from single(held)
                     held, count = [], 0
+                if len(whole) >= 10_000:
+                    yield pd.DataFrame(whole, columns=names)
+                    whole = []
+            yield pd.DataFrame(whole, columns=names)
         if held:
-            yield from settled_here(held, lambda n: n - 1 + span)
+            yield from single(held)
+
+    names = [x.split()[0] for x in COVERED.split(", ")]
+    return docs.mapInPandas(ranked, COVERED)
+
+
+def repeats_among(rows: pd.DataFrame, span: int) -> pd.DataFrame:
+    """ROWS of positions of COVERED rows whose span an earlier position of the same key has."""
+    pieces = rows["bytes"].tolist()
+    first, second = pair_ranks(np.frombuffer(b"".join(pieces), np.uint8), span)
+    sizes = rows["size"].to_numpy(np.int64)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    begins = np.cumsum(sizes + span - 1) - (sizes + span - 1)
+    at = begins[row] + within
+    key, doc, start = rows["key"].to_numpy()[row], rows["doc"].to_numpy()[row], rows["start"].to_numpy()[row] + within
+    a, b = first[at], second[at]
+    order = np.lexsort((start, doc, b, a, key))
+    key, a, b, doc, start, row = (x[order] for x in (key, a, b, doc, start, row))
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    of = np.flatnonzero(new)[np.cumsum(new) - 1]
+    gone = (doc != doc[of]) | (start != start[of])
+    return merged(doc[gone], rows["twin"].to_numpy()[row[gone]], start[gone], np.full(gone.sum(), span, np.int64))
+
+
+def together(covered: DataFrame, span: int) -> DataFrame:
+    """ROWS of what repeats among the segments of each key, which are KINDS_TOGETHER at most."""
 
-    return docs.select("doc", "twin", "text", "opened").mapInPandas(ranked, KEYED)
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = None  # the last key's rows
+        for batch in batches:
+            rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+            last = rows["key"].to_numpy() == rows["key"].iloc[-1] if len(rows) else np.zeros(0, bool)
+            waiting, rows = rows[last], rows[~last]
+            if len(rows):
+                yield repeats_among(rows, span)
+        if waiting is not None and len(waiting):
+            yield repeats_among(waiting, span)
+
+    dealt = covered.repartition(partitions(covered.sparkSession), "key").sortWithinPartitions("key", "doc", "start")
+    return dealt.mapInPandas(settle, ROWS)
 
 
 def cut(text: str, gone: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -294,21 +349,25 @@ def remove_repeats(docs: DataFrame, span: int = 100, doc_id: str = "doc_id", tex
     """
     assert 2 * GRAM < span < 128
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keys = {"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "__twin": F.hash(whole)}
-    known = docs.select(keys["__doc"].alias("doc"), keys["__twin"].alias("twin"), whole.alias("text"))
-    first = written(sorted_out(first_ranks(known, span), span, goes_on=True))
-    opened = first.where("open").groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "length")).alias("opened"))
-    # the rows of a repeated text differ in nothing, so any one of them is looked at
-    again = known.join(opened, ["doc", "twin"])
-    second = sorted_out(last_ranks(again, span), span, goes_on=False)
-    intervals = first.where("NOT open").select("doc", "twin", "start", "length").unionByName(second.select("doc", "twin", "start", "length"))
+    base = docs.withColumns({"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "__twin": F.hash(whole)})
+    first = written(sorted_out(first_ranks(base.select(F.col("__doc").alias("doc"), F.col("__twin").alias("twin"), whole.alias("text")), span), span, goes_on=True))
+    crowds = written(first.where("open").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > KINDS_TOGETHER))
+    going_on = first.where("open").join(crowds, "key", "left").withColumn("crowded", F.col("n").isNotNull())
+    opened = going_on.groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "length", "key", "crowded")).alias("__opened"))
+    # with every column of docs, so that the exchange of texts is the one that the last join has, and Spark writes it once
+    opened = opened.withColumnsRenamed({"doc": "__d", "twin": "__t"})
+    again = base.join(opened, (F.col("__doc") == F.col("__d")) & (F.col("__twin") == F.col("__t"))).select(F.col("__d").alias("doc"), F.col("__t").alias("twin"), whole.alias("text"), F.col("__opened").alias("opened"), F.struct(*docs.columns).alias("carried"))
+    ranked = last_ranks(again, span)
+    intervals = first.where("NOT open").unionByName(together(ranked.where("octet_length(bytes) > 0"), span))
+    if not crowds.isEmpty():
+        intervals = intervals.unionByName(sorted_out(ranked.where("octet_length(bytes) = 0").drop("bytes"), span, goes_on=False))
     gone = intervals.groupBy("doc", "twin").agg(F.collect_set(F.struct("start", "length")).alias("__gone")).withColumnsRenamed({"doc": "__d", "twin": "__t"})
 
     @F.pandas_udf("kept binary, n_removed long, n_spans long")
     def left_over(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([cut(t, [(x["start"], x["length"]) for x in g]) for t, g in zip(texts.array, gone.array)], columns=["kept", "n_removed", "n_spans"])
 
-    joined = docs.withColumns(keys).join(gone, (F.col("__doc") == F.col("__d")) & (F.col("__twin") == F.col("__t")), "left")
+    joined = base.join(gone, (F.col("__doc") == F.col("__d")) & (F.col("__twin") == F.col("__t")), "left")
     cut_up = joined.withColumn("__cut", F.when(F.col("__gone").isNotNull(), left_over(whole, F.coalesce("__gone", F.array().cast("array<struct<start:bigint,length:bigint>>")))))
     columns = {"n_bytes": F.octet_length(whole).cast("long"), "kept": F.coalesce("__cut.kept", F.encode(whole, "UTF-8"))} | {c: F.coalesce(f"__cut.{c}", F.lit(0)).cast("long") for c in ("n_removed", "n_spans")}
     return cut_up.withColumns(columns).drop("__doc", "__twin", "__d", "__t", "__gone", "__cut")

@@ -51,6 +51,7 @@ def test_same_as_brute_force(spark):
 def test_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(suffixdedup, "BLOCK", 150)
     monkeypatch.setattr(suffixdedup, "ROWS_HELD", 20)
+    monkeypatch.setattr(suffixdedup, "KINDS_TOGETHER", 3)
     rows = texts()
     assert got(spark, rows) == brute(rows)
 
