@@ -11,8 +11,10 @@ exceeds all that the document's registers hold.
 Registers are read in bands. Documents that share a band are candidates, and each candidate
 link is verified on the multisets themselves. Within a band's bucket documents are compared
 with a few centres, more of them each round, and only while their classes differ: a bucket of
-near copies is settled by one round of comparisons with one centre, and the loop ends when
-no bucket holds two classes with a pair that was not compared.
+near copies is mostly settled by one round of comparisons with one centre, and the loop ends
+when no bucket holds two classes with a pair that was not compared. After the first round,
+what a document has in common with any other is bounded by how many of its shingles any other
+undecided document has; pairs whose bounds rule the threshold out need no comparison.
 """
 
 from __future__ import annotations
@@ -162,15 +164,37 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "c", "text", "other").mapInPandas(similar, "a long, c long").distinct()
 
 
+def bounds(texts: DataFrame, undecided: DataFrame) -> DataFrame:
+    """doc, n, shared of the undecided docs: a text's shingles, and those of them that another undecided document has too."""
+
+    def bagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for begin in range(0, len(batch), 200):
+                some = [(d, *np.unique(shingles(t), return_counts=True)) for d, t in zip(batch["doc"].iloc[begin : begin + 200], batch["text"].iloc[begin : begin + 200])]
+                yield pd.DataFrame({"doc": np.repeat([d for d, _, _ in some], [len(x) for _, x, _ in some]), "shingle": np.concatenate([x for _, x, _ in some]).view(np.int64), "n": np.concatenate([n for _, _, n in some])})
+
+    bag = written(texts.join(undecided, "doc", "left_semi").mapInPandas(bagged, "doc long, shingle long, n long"))
+    alone = bag.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("doc").alias("doc"), F.min("n").alias("n")).where("rows = 1").groupBy("doc").agg(F.sum("n").alias("alone"))
+    several = texts.groupBy("doc").agg((F.count("*") > 1).alias("several"))  # the bounds of one id's texts together rule nothing out
+    n, shared = F.sum("n").alias("n"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")
+    each = bag.groupBy("doc").agg(n).join(alone, "doc", "left").select("doc", "n", shared).join(several, "doc")
+    return each.select("doc", F.when(F.col("several"), 0).otherwise(F.col("n")).alias("n"), F.when(F.col("several"), 2**40).otherwise(F.col("shared")).alias("shared"))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, label of each node of links (a, c): the least node that it is connected with. Labels meet over links and then jump to their own labels."""
+    """node, label of each node of links (a, c): the least node that it is connected with. Labels spread over links; where that takes long they also jump to their own labels."""
     edges = written(links.select("a", "c").unionByName(links.select(F.col("c").alias("a"), F.col("a").alias("c"))).distinct())
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("c").alias("near")).select("node", F.least("node", "near").alias("label")))
+    rounds = 0
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "c"), "c").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        met = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("met"))
-        of = labels.select(F.col("node").alias("met"), F.col("label").alias("root"))
-        after = written(met.join(of, "met").select("node", F.least("met", "root").alias("label"), (F.least("met", "root") < F.col("label")).alias("moved")))
+        own = labels.select("node", "label", F.col("label").alias("before"))
+        heard = edges.join(labels.withColumnRenamed("node", "c"), "c").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("before"))
+        after = own.unionByName(heard).groupBy("node").agg(F.min("label").alias("label"), F.max("before").alias("before"))
+        rounds += 1
+        if rounds > 2:  # long chains
+            of = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            after = after.join(of, "label").select("node", F.least("label", "root").alias("label"), "before")
+        after = written(after.select("node", "label", (F.col("label") < F.col("before")).alias("moved")))
         labels = after.select("node", "label")
         if after.where("moved").isEmpty():
             return labels
@@ -195,39 +219,41 @@ def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", tex
     links = written(copies)
     rows = firsts.select("doc", F.explode("keys").alias("key"))
     crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = written(rows.join(crowded, "key").select("key", "doc"))
-    texts = written(known.join(buckets.select("doc").distinct(), "doc", "left_semi"))
+    unbounded = [*[F.lit(1).cast("long").alias(c) for c in ("n", "shared")], F.lit(None).cast("array<bigint>").alias("keys")]  # rules nothing out
+    buckets = written(rows.join(crowded, "key").select("key", "doc", *unbounded))
+    texts = written(known.join(buckets.select("doc").distinct(), "doc", "left_semi").distinct())
     tested = spark.createDataFrame([], "a long, c long")
     labels, centres = components(links), 1
     while True:
-        of = buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
-        of = written(of)
-        sizes = of.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc").alias("least")).where("low != high").select("key", "n", "least")
+        of = written(buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"), "n", "shared", "keys"))
+        if centres == 16:
+            mixed_keys = of.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+            known_bounds = bounds(texts, of.join(mixed_keys, "key", "left_semi").select("doc").distinct())
+            # a document of one text has one array of keys, by which a pair that shares several is met at the first of them only
+            known_keys = firsts.join(known_bounds.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.when(F.count("*") == 1, F.any_value("keys")).alias("keys"))
+            known_bounds = written(known_bounds.join(known_keys, "doc"))
+            of = written(of.select("key", "doc", "label").join(known_bounds, "doc").where(F.col("shared") >= threshold * F.col("n")))
+            buckets = of.drop("label")
+        sizes = of.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc").alias("least")).where("low != high").select("key", "size", "least")
         split = of.join(sizes, "key")
-        share = F.pmod(F.xxhash64("doc", F.lit(centres)), F.lit(2**20)) * F.col("n") < centres * 2**20
+        share = F.pmod(F.xxhash64("doc", F.lit(centres)), F.lit(2**20)) * F.col("size") < centres * 2**20
         chosen = F.col("doc") == F.col("least") if centres == 1 else share
-        centre = split.where(chosen).select("key", F.col("doc").alias("other"), F.col("label").alias("other_label"))
-        met = split.join(centre, "key").where("label != other_label").select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("c")).distinct()
+        centre = split.where(chosen).select("key", *[F.col(c).alias(f"other_{c}") for c in ("doc", "label", "n", "shared", "keys")])
+        most = F.least("shared", "other_shared")  # that two can have in common
+        near = (F.col("label") != F.col("other_label")) & (most >= threshold * (F.col("n") + F.col("other_n") - most))
+        first = F.array_position(F.zip_with("keys", "other_keys", lambda a, b: a == b), True) - 1
+        near &= F.coalesce(F.get(F.col("keys"), first.cast("int")) == F.col("k"), F.lit(True))
+        met = split.withColumnRenamed("key", "k").join(centre, (F.col("k") == F.col("key")) & near).select(F.greatest("doc", "other_doc").alias("a"), F.least("doc", "other_doc").alias("c")).distinct()
         pairs = written(met.join(tested, ["a", "c"], "left_anti"))
         if pairs.isEmpty():
-            if centres > 1 and sizes.where(F.col("n") > centres).isEmpty():
+            if centres > 1 and sizes.where(F.col("size") > centres).isEmpty():
                 break
-            centres *= 8
+            centres *= 16
             continue
-        # most documents are settled by one partner; the other pairs count only while their classes differ
-        now = written(pairs.groupBy("a").agg(F.min("c").alias("c"))) if centres == 1 else pairs
-        while True:
-            links = written(links.unionByName(verified(now, texts, threshold)))
-            tested = written(tested.unionByName(now))
-            labels = components(links)
-            if now is pairs:
-                break
-            one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ac")
-            left = pairs.join(now, ["a", "c"], "left_anti").join(one, "a", "left").join(two, "c", "left")
-            now = pairs = written(left.where(F.coalesce("label_a", "a") != F.coalesce("label_c", "c")).select("a", "c"))
-            if pairs.isEmpty():
-                break
-        centres *= 8
+        links = written(links.unionByName(verified(pairs, texts, threshold)))
+        tested = written(tested.unionByName(pairs))
+        labels = components(links)
+        centres *= 16
     out = signs.select("doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
     return out.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.nullif(F.coalesce("label", "doc"), F.lit(NULL_ID)).alias("class_id"))
 
