@@ -30,8 +30,7 @@ def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; of null none."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-    inner = F.regexp_replace(lower, f"^{GAP}|{GAP}$", "")
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, GAP))
+    return F.array_remove(F.split(lower, GAP), "")
 
 
 def kept_grams(hashes: str, span: int) -> Column:
