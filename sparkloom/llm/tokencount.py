@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from math import inf
 
 import ahocorasick
 import pandas as pd
@@ -39,11 +40,19 @@ class Vocabulary(dict):
         self.trie.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_COST
         self.byte_pieces = byte_pieces
+        self.known = {piece for piece, _ in pieces if len(piece) == 1}
         self.apart = not any(SPACE in piece.lstrip(SPACE) for piece, _ in pieces)
 
     def viterbi(self, text: str) -> int:
         """Pieces of the best path through text, in which spaces are SPACE already."""
         n = len(text)
+        if self.known.issuperset(text):  # nothing unknown; the automaton gives what ends at a place longest first
+            best, count = [0.0] + [-inf] * n, [0] * (n + 1)
+            for end, (length, score) in self.trie.iter(text):
+                start = end + 1 - length
+                if (value := best[start] + score) > best[end + 1]:
+                    best[end + 1], count[end + 1] = value, count[start] + 1
+            return count[n]
         ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for end, match in self.trie.iter(text):
             ending[end + 1].append(match)
