@@ -18,6 +18,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -108,7 +110,8 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_id:
     results.write.mode("append").parquet(f"{ledger}/found")
     fresh = spark.read.schema(FOUND).parquet(f"{ledger}/found").where(F.col("rules") == version)
     fresh.select("blob", "rules").join(seen, "blob", "left_anti").distinct().write.mode("append").parquet(f"{ledger}/seen")
-    hits = fresh.where(F.size("found") > 0).groupBy("blob").agg(F.first("found").alias("found"))
+    # a table, not an aggregate above the same exchange, so that Spark can split the join where one blob has very many rows
+    hits = written(fresh.where(F.size("found") > 0).select("blob", "found").dropDuplicates(["blob"]))
     joined = keyed.join(hits, "blob", "left")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     return joined.withColumn("found", F.coalesce("found", none))
