@@ -14,7 +14,8 @@ with a few centres, more of them each round, and only while their classes differ
 near copies is mostly settled by one round of comparisons with one centre, and the loop ends
 when no bucket holds two classes with a pair that was not compared. After the first round,
 what a document has in common with any other is bounded by how many of its shingles any other
-undecided document has; pairs whose bounds rule the threshold out need no comparison.
+undecided document has, and what two have in common by how many of theirs fall into each of
+PARTS; pairs whose bounds rule the threshold out need no comparison.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ REGISTERS = 128
 #: Bands of 8 of the 128 registers. A pair at 0.8 shares none of 48 with probability 1.5e-4.
 BAND_ROWS, BANDS = 8, 48
 WORDS_KEPT = 200_000
+PARTS = 128
 #: Shingles that a task signs at once.
 BLOCK = 120_000
 
@@ -181,6 +183,20 @@ def bounds(texts: DataFrame, undecided: DataFrame) -> DataFrame:
     return each.select("doc", F.when(F.col("several"), 0).otherwise(F.col("n")).alias("n"), F.when(F.col("several"), 2**40).otherwise(F.col("shared")).alias("shared"))
 
 
+def part_counts(texts: DataFrame, undecided: DataFrame) -> DataFrame:
+    """doc, parts: how many of a text's shingles fall into each of PARTS by their names; null for an id of several texts.
+
+    Two texts have no more in common than the lesser of their counts, summed over the parts.
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc": batch["doc"], "parts": [np.bincount((shingles(t) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).astype(np.int32) for t in batch["text"].array]})
+
+    counts = texts.join(undecided, "doc", "left_semi").mapInPandas(counted, "doc long, parts array<int>")
+    return counts.groupBy("doc").agg(F.when(F.count("*") == 1, F.any_value("parts")).alias("parts"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label of each node of links (a, c): the least node that it is connected with. Labels spread over links; where that takes long they also jump to their own labels."""
     edges = written(links.select("a", "c").unionByName(links.select(F.col("c").alias("a"), F.col("a").alias("c"))).distinct())
@@ -219,16 +235,17 @@ def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", tex
     links = written(copies)
     rows = firsts.select("doc", F.explode("keys").alias("key"))
     crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    unbounded = [*[F.lit(1).cast("long").alias(c) for c in ("n", "shared")], F.lit(None).cast("array<bigint>").alias("keys")]  # rules nothing out
+    unbounded = [*[F.lit(1).cast("long").alias(c) for c in ("n", "shared")], F.lit(None).cast("array<bigint>").alias("keys"), F.lit(None).cast("array<int>").alias("parts")]  # rules nothing out
     buckets = written(rows.join(crowded, "key").select("key", "doc", *unbounded))
     texts = written(known.join(buckets.select("doc").distinct(), "doc", "left_semi").distinct())
     tested = spark.createDataFrame([], "a long, c long")
     labels, centres = components(links), 1
     while True:
-        of = written(buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"), "n", "shared", "keys"))
+        of = written(buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"), "n", "shared", "keys", "parts"))
         if centres == 16:
             mixed_keys = of.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-            known_bounds = bounds(texts, of.join(mixed_keys, "key", "left_semi").select("doc").distinct())
+            undecided = written(of.join(mixed_keys, "key", "left_semi").select("doc").distinct())
+            known_bounds = bounds(texts, undecided).join(part_counts(texts, undecided), "doc")
             # a document of one text has one array of keys, by which a pair that shares several is met at the first of them only
             known_keys = firsts.join(known_bounds.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.when(F.count("*") == 1, F.any_value("keys")).alias("keys"))
             known_bounds = written(known_bounds.join(known_keys, "doc"))
@@ -238,11 +255,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", tex
         split = of.join(sizes, "key")
         share = F.pmod(F.xxhash64("doc", F.lit(centres)), F.lit(2**20)) * F.col("size") < centres * 2**20
         chosen = F.col("doc") == F.col("least") if centres == 1 else share
-        centre = split.where(chosen).select("key", *[F.col(c).alias(f"other_{c}") for c in ("doc", "label", "n", "shared", "keys")])
+        centre = split.where(chosen).select("key", *[F.col(c).alias(f"other_{c}") for c in ("doc", "label", "n", "shared", "keys", "parts")])
         most = F.least("shared", "other_shared")  # that two can have in common
         near = (F.col("label") != F.col("other_label")) & (most >= threshold * (F.col("n") + F.col("other_n") - most))
         first = F.array_position(F.zip_with("keys", "other_keys", lambda a, b: a == b), True) - 1
         near &= F.coalesce(F.get(F.col("keys"), first.cast("int")) == F.col("k"), F.lit(True))
+        lesser = F.aggregate(F.zip_with("parts", "other_parts", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, x: acc + x)
+        near &= F.coalesce(lesser >= threshold * (F.col("n") + F.col("other_n") - lesser), F.lit(True))
         met = split.withColumnRenamed("key", "k").join(centre, (F.col("k") == F.col("key")) & near).select(F.greatest("doc", "other_doc").alias("a"), F.least("doc", "other_doc").alias("c")).distinct()
         pairs = written(met.join(tested, ["a", "c"], "left_anti"))
         if pairs.isEmpty():
