@@ -38,6 +38,8 @@ WORDS_KEPT = 200_000
 PARTS = 128
 #: Shingles that a task signs at once.
 BLOCK = 120_000
+#: Gaps of a process are whole multiples of 1 / GRAIN, so their sums are exact however they are added up.
+GRAIN = 2.0**32
 
 _rng = np.random.Generator(np.random.PCG64(8))
 _FACTORS = _rng.integers(0, 2**62, 8, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
@@ -106,15 +108,16 @@ def signatures(bags: list[np.ndarray]) -> np.ndarray:
         steps = int(min(64, max(1, BLOCK // (2 * len(doc)))))
         t = np.arange(point, point + steps, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         bits = mixed(seed[:, None] + t[None, :])
-        gaps = -np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width[:, None]
-        values = value[:, None] + np.cumsum(gaps, axis=1)
+        gaps = np.rint(-np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * GRAIN)
+        sums = value[:, None] + np.cumsum(gaps, axis=1)
+        values = sums / (GRAIN * width[:, None])  # exact too, by powers of two
         more = mixed(bits + np.uint64(0x2545F4914F6CDD1D))
         height = base[:, None] + ((more >> np.uint64(8)) % width[:, None].astype(np.uint64)).astype(np.int64)
         counts = height < weight[:, None]
         at = doc[:, None] * REGISTERS + (more & np.uint64(REGISTERS - 1)).astype(np.int64)
         np.minimum.at(flat, at[counts], values[counts])
-        value = values[:, -1]
-        go_on = value < registers.max(axis=1)[doc]
+        value = sums[:, -1]
+        go_on = values[:, -1] < registers.max(axis=1)[doc]
         doc, weight, base, width, seed, value = (x[go_on] for x in (doc, weight, base, width, seed, value))
         point += steps
     return registers

@@ -85,3 +85,13 @@ def test_registers_are_unbiased():
         agree.append((s[0] == s[1]).mean())
     true = neardup.weighted_jaccard(a, b)
     assert abs(np.mean(agree) - true) < 5 * (true * (1 - true) / (60 * 128)) ** 0.5
+
+
+def test_signatures_are_the_same_in_any_block():
+    rng = np.random.default_rng(6)
+    some = [np.repeat(rng.integers(0, 2**63, n, dtype=np.uint64), rng.integers(1, 9, n)) for n in (1, 3, 10, 40, 200)]
+    alone = np.concatenate([neardup.signatures([b]) for b in some])
+    others = [rng.integers(0, 2**63, 1000, dtype=np.uint64) for _ in range(100)]
+    amid = neardup.signatures([*others[:50], *some, *others[50:]])[50:55]
+    assert (alone.view(np.uint64) == amid.view(np.uint64)).all()
+    assert (neardup.bands(alone) == neardup.bands(amid)).all()
