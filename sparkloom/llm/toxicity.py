@@ -3,7 +3,8 @@
 Spark counts the character trigrams of all documents: the language model. A token that looks
 disguised (digits or signs for letters, letters apart, letters repeated) is a lattice of what
 each character can stand for, and the Viterbi path under language model and channel is what it
-says. Words that mark label 1 are learned on a bounded sample of labelled rows, on restored
+says. Letters apart are put together and the same model places the breaks between their words.
+Words that mark label 1 are learned on a bounded sample of labelled rows, on restored
 words; a document's score is a logistic function of what its restored words weigh.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,12 +31,14 @@ LEET = {
 #: What can stand between letters for nothing.
 APART = set(".-_*~'’·")
 EDGES = ".,;:?\"'()[]{}<>#%&*~`^=/\\-_…«»“”‘’"
+_edges = frozenset(EDGES)
 #: Costs of the channel, in nats.
 SUBSTITUTE, SKIP, REPEAT = 1.0, 0.5, 0.5
 #: Of leaving out a letter that stands twice only, as many words have it.
 TWICE = 6.0
+#: Of reading a sign as a sign, between words.
+SIGN = 2.0
 LETTERS = 28  # none, a to z, any other
-LONGEST = 32
 TOKENS_KEPT = 250_000
 #: A word is learned if so many labelled documents of label 1 hold it, and they are so large a share of all that do.
 LEAST_DOCS, LEAST_SHARE, LEXICON = 8, 0.5, 5000
@@ -44,6 +47,7 @@ _code = np.full(256, LETTERS - 1, dtype=np.int64)
 _code[:128] = 0
 _code[97:123] = np.arange(1, 27)
 _disguised = re.compile(r"[^\W\d_].*[0-9@$!|+€£¡.\-_*~'’·]|[0-9@$!|+€£¡].*[^\W\d_]|(.)\1\1", re.DOTALL)
+_stretched = re.compile(r"(.)\1{3,}", re.DOTALL)
 _split = re.compile(r"[\W\d_]+")
 
 
@@ -81,38 +85,82 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
-    """Restores tokens under a language model."""
+    """Restores tokens under a language model, to which learned words are one more, uniform model of a word between breaks."""
 
-    def __init__(self, model: np.ndarray) -> None:
+    def __init__(self, model: np.ndarray, learned: Iterable[str] = ()) -> None:
         self.model = model.tolist()
+        self.trie: dict = {}
+        for word in learned:
+            node = self.trie
+            for x in word:
+                node = node.setdefault(x, {})
+            node[""] = word
+        self.price = math.log(max(1, len(list(learned))))
 
     def code(self, c: str) -> int:
         return ord(c) - 96 if "a" <= c <= "z" else LETTERS - 1
 
-    def viterbi(self, token: str) -> str:
-        """The likeliest letters that token stands for."""
-        paths = {(0, 0, ""): (0.0, "")}  # last two codes, last letter: cost, letters
+    def learned(self, token: str, i: int) -> Iterator[tuple[int, float, str]]:
+        """End, cost and letters of each learned word that token can say from place i on."""
+        at = [(self.trie, self.price)]
+        while at and i < len(token):
+            c, i, after = token[i], i + 1, []
+            for node, cost in at:
+                if c in APART and node is not self.trie:
+                    after.append((node, cost + SKIP))
+                for x, price in [(x, SUBSTITUTE) for x in LEET.get(c, "")] + [(c, 0.0)]:
+                    if x in node:
+                        after.append((node[x], cost + price))
+                        if "" in node[x]:
+                            yield i, cost + price, node[x][""]
+            at = after
+
+    def path(self, token: str, signs: bool = False, breaks: bool = False, cheap: bool = False) -> list[str]:
+        """The words of the likeliest path: with ``signs`` any sign may part words, with ``breaks`` they may part anywhere; ``cheap`` repeats cost REPEAT all."""
+        paths = {(0, 0, ""): (0.0, None)}  # last two codes, last letter: cost, letters as a chain
+        ahead: dict[int, dict] = {}  # the same where learned words end
+
+        def offer(key: tuple[int, int, str], cost: float, chain: tuple | None, into: dict) -> None:
+            if key not in into or cost < into[key][0]:
+                into[key] = (cost, chain)
+
         for i, c in enumerate(token):
-            repeat = REPEAT if c * 3 in token[max(0, i - 2) : i + 3] else TWICE
-            after: dict[tuple[int, int, str], tuple[float, str]] = {}
+            repeat = REPEAT if cheap or c * 3 in token[max(0, i - 2) : i + 3] else TWICE
+            after: dict[tuple[int, int, str], tuple[float, tuple | None]] = ahead.pop(i + 1, {})
             options = [(x, SUBSTITUTE) for x in LEET.get(c, "")] + ([(c, 0.0)] if c.isalpha() else [])
-            for (a, b, last), (cost, letters) in paths.items():
+            if breaks:
+                for (a, b, _), (cost, chain) in list(paths.items()):
+                    if b:
+                        offer((b, 0, ""), cost - self.model[a][b][0], (chain, " "), paths)
+            if self.trie and (signs or breaks) and (new := [paths[key] for key in paths if not key[1]]):
+                begin, chain = min(new, key=lambda x: x[0])
+                for end, cost, word in self.learned(token, i):
+                    k = [0, *map(self.code, word)]
+                    offer((k[-2], k[-1], word[-1]), begin + cost, (chain, word), after if end == i + 1 else ahead.setdefault(end, {}))
+            for (a, b, last), (cost, chain) in paths.items():
                 if c in APART or not options:
-                    key, new = (a, b, last), (cost + SKIP, letters)
-                    if key not in after or new < after[key]:
-                        after[key] = new
+                    offer((a, b, last), cost + SKIP, chain, after)
+                if signs and not c.isalpha():
+                    if b:
+                        offer((b, 0, ""), cost + SIGN - self.model[a][b][0], (chain, " "), after)
+                    else:
+                        offer((a, b, last), cost + SKIP, chain, after)
                 for x, price in options:
                     k = self.code(x)
-                    key, new = (b, k, x), (cost + price - self.model[a][b][k], letters + x)
-                    if key not in after or new < after[key]:
-                        after[key] = new
+                    offer((b, k, x), cost + price - self.model[a][b][k], (chain, x), after)
                     if x == last:  # or the same letter goes on
-                        key, new = (a, b, last), (cost + price + repeat, letters)
-                        if key not in after or new < after[key]:
-                            after[key] = new
+                        offer((a, b, last), cost + price + repeat, chain, after)
             paths = after
-        ends = [(cost - self.model[a][b][0], letters) for (a, b, _), (cost, letters) in paths.items()]
-        return min(ends)[1]
+        ends = [(cost if (signs or breaks) and not b else cost - self.model[a][b][0], chain) for (a, b, _), (cost, chain) in paths.items()]
+        chain, letters = min(ends, key=lambda end: end[0])[1], []
+        while chain:
+            chain, x = chain
+            letters.append(x)
+        return "".join(reversed(letters)).split()
+
+    def viterbi(self, token: str) -> str:
+        """The likeliest letters that token stands for."""
+        return "".join(self.path(token))
 
     def words(self, token: str) -> list[str]:
         """What a lower-case token says: its words as they stand, or as restored if it looks disguised."""
@@ -124,22 +172,30 @@ class Decoder:
         core = re.sub(r"[$!|+@]{3,}$", "", core).strip(EDGES)
         plain = [w for w in _split.split(core) if w]
         letters = sum(map(str.isalpha, core))
-        if 2 < len(core) <= LONGEST and 5 * letters >= 2 * (len(core) - sum(c in APART for c in core)) and _disguised.search(core):
+        if 2 < len(core) <= 32 and 5 * letters >= 2 * (len(core) - sum(c in APART for c in core)) and _disguised.search(core):
             said = self.viterbi(core)
             return plain + [said] if said and said not in plain else plain
         return plain
 
+    def apart(self, run: str) -> list[str]:
+        """What letters that stood apart say: one word, one beside a one-letter word at either end, or words parted where the language model has it."""
+        out = Counter(self.path(_stretched.sub(r"\1\1\1", run), breaks=True))
+        for one in {run, run[1:], run[:-1], run[1:-1]}:
+            if len(one) > 2:
+                out |= Counter(self.words(one))
+        return list(out.elements())
+
 
 def spelled(tokens: list[str]) -> list[str]:
-    """Letters apart, three and more in a row, put together."""
+    """Letters apart, three and more in a row, put together; signs at their edges don't count."""
     out, run = [], []
-    single = [i for i, t in enumerate(tokens) if len(t) == 1]
+    single = [i for i, t in enumerate(tokens) if len(t) == 1 or (t[-1] in _edges or t[0] in _edges) and len(t.strip(EDGES)) == 1]
     if len(single) < 3:
         return out
     for i in [*single, -9]:
         if run and i != run[-1] + 1:
-            if 3 <= len(run) <= LONGEST:
-                out.append("".join(tokens[k] for k in run))
+            if len(run) > 2:
+                out.append("".join(tokens[k].strip(EDGES) or tokens[k] for k in run))
             run = []
         run.append(i)
     return out
@@ -148,9 +204,9 @@ def spelled(tokens: list[str]) -> list[str]:
 def document_words(text: str, decoder: Decoder, known: dict[str, list[str]]) -> set[str]:
     tokens = text.lower().split()
     out: set[str] = set()
-    for token in {*tokens, *spelled(tokens)}:
+    for token in {*tokens, *(" " + run for run in spelled(tokens))}:  # no token begins with a space
         if (words := known.get(token)) is None:
-            words = decoder.words(token)
+            words = decoder.apart(token[1:]) if token[0] == " " else decoder.words(token)
             if len(known) < TOKENS_KEPT:
                 known[token] = words
         out.update(words)
@@ -164,14 +220,15 @@ class Weigher(dict):
         self.decoder, self.weights = decoder, weights
 
     def __missing__(self, token: str) -> float:
-        weight = sum(self.weights.get(w, 0.0) for w in self.decoder.words(token))
+        words = self.decoder.apart(token[1:]) if token[0] == " " else self.decoder.words(token)
+        weight = sum(self.weights.get(w, 0.0) for w in words)
         if len(self) < TOKENS_KEPT and len(token) <= 64:
             self[token] = weight
         return weight
 
     def weigh(self, text: str) -> float:
         tokens = text.lower().split()
-        return sum(map(self.__getitem__, tokens)) + sum(map(self.__getitem__, spelled(tokens)))
+        return sum(map(self.__getitem__, tokens)) + sum(self[" " + run] for run in spelled(tokens))
 
 
 class Model:
@@ -186,7 +243,7 @@ class Model:
 
     def weigh(self, texts: list[str]) -> np.ndarray:
         if self._weigher is None:
-            self._weigher = Weigher(Decoder(self.grams), self.weights)
+            self._weigher = Weigher(Decoder(self.grams, self.weights), self.weights)
         return np.array([self._weigher.weigh(t) for t in texts])
 
     def score(self, weights: np.ndarray) -> np.ndarray:

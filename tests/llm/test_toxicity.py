@@ -87,3 +87,18 @@ def test_nothing_to_learn_from(spark):
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, model).count() == 0
     assert [r.score for r in toxicity.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), model).collect()] == [0.5]
+
+
+def weighing(spark):
+    rows, _ = corpus()
+    model = toxicity.language_model(toxicity.trigrams(spark.createDataFrame(rows, "doc_id long, text string")))
+    return toxicity.Model(model, dict.fromkeys(BAD, 1.0), (0.0, 1.0))
+
+
+def test_letters_apart(spark):
+    w = weighing(spark)
+    for text, n in {
+        "s t u p i d i d i o t": 2, "a m o r o n": 1, "it is i d i o t, and": 1, "(i d i o t)": 1, "y o u a r e a m o r o n.": 1, "i d i o t": 1,
+        "w o r t h l e s s p a t h e t i c m o r o n s t u p i d i d i o t": 5, "s t u p 1 d m 0 r o n": 2, " ".join("theanisaton" * 4 + "idiot" + "theredon" * 4): 1, "on i d or a b c": 0,
+    }.items():
+        assert w.weigh([text])[0] == n, text
