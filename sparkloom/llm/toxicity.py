@@ -4,7 +4,7 @@ Spark counts the character trigrams of all documents: the language model. A toke
 disguised (digits or signs for letters, letters apart, letters repeated) is a lattice of what
 each character can stand for, and the Viterbi path under language model and channel is what it
 says. Letters apart are put together and the same model places the breaks between their words.
-Words that mark label 1 are learned on a bounded sample of labelled rows, on restored
+What a token can say in several ways counts in each of them. Words that mark label 1 are learned on a bounded sample of labelled rows, on restored
 words; a document's score is a logistic function of what its restored words weigh.
 """
 
@@ -14,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -46,9 +47,21 @@ LEAST_DOCS, LEAST_SHARE, LEXICON = 8, 0.5, 5000
 _code = np.full(256, LETTERS - 1, dtype=np.int64)
 _code[:128] = 0
 _code[97:123] = np.arange(1, 27)
-_disguised = re.compile(r"[^\W\d_].*[0-9@$!|+€£¡.\-_*~'’·]|[0-9@$!|+€£¡].*[^\W\d_]|(.)\1\1", re.DOTALL)
+_letter = re.compile(r"[^\W\d_]")
+_sign = re.compile(r"[0-9@$!|+€£¡.\-_*~'’·]")
+_repeated = re.compile(r"(.)\1\1|(.)\2.*?(.)\3", re.DOTALL)  # a letter thrice, or two twice
+_all_twice = re.compile(r"(?:(.)\1+)+", re.DOTALL)
 _stretched = re.compile(r"(.)\1{3,}", re.DOTALL)
 _split = re.compile(r"[\W\d_]+")
+_apart = re.compile(f"[{re.escape(EDGES + ''.join(sorted(APART)))}]+")
+#: What an end of a token can lose before it is read: nothing, its signs, its signs and digits.
+_heads = (re.compile(""), re.compile(r"[$!|+@€£¡]*"), re.compile(r"[\W\d_]*"))
+_tails = (re.compile(r"\Z"), re.compile(r"(?<![$!|+@€£¡])[$!|+@€£¡]*\Z"), re.compile(r"(?<![\W\d_])[\W\d_]*\Z"))
+
+
+def disguised(token: str) -> bool:
+    """Letters and signs in one, or letters repeated as few words have them."""
+    return len(token) > 2 and bool(_letter.search(token) and _sign.search(token) or _repeated.search(token))
 
 
 def trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -162,20 +175,33 @@ class Decoder:
         """The likeliest letters that token stands for."""
         return "".join(self.path(token))
 
+    def readings(self, core: str) -> Counter:
+        """The words of a disguised token in each of its readings: whole, without signs at its ends, and with signs between words."""
+        core = _stretched.sub(r"\1\1\1", core)
+        ways = {core[h:t] for h in {x.match(core).end() for x in _heads} for t in {x.search(core).start() for x in _tails} if t - h > 1}
+        out = Counter(self.path(core, signs=True))
+        parts = [x for x in _apart.split(core) if x]
+        if len(parts) > 1:
+            said = Counter()
+            for part in parts:
+                said += self.readings(part) if disguised(part) else Counter()
+            out |= said
+        for way in ways:
+            out |= Counter(self.path(way)) if disguised(way) else Counter([way] if way.isalpha() else [])
+            if _repeated.search(way):
+                out |= Counter(self.path(way, cheap=True))
+                if _all_twice.fullmatch(way):
+                    out |= Counter(["".join(g for g, n in runs(way) for _ in range(n // 2))])
+        return out
+
     def words(self, token: str) -> list[str]:
-        """What a lower-case token says: its words as they stand, or as restored if it looks disguised."""
-        if token.isalpha() and not (len(token) > 2 and _disguised.search(token)):
-            return [token]
+        """What a lower-case token says: its words as they stand, and as restored if it looks disguised."""
         core = token.strip(EDGES)
-        if core.isalpha() and not (len(core) > 2 and _disguised.search(core)):
+        if core.isalpha() and not disguised(core):
             return [core]
         core = re.sub(r"[$!|+@]{3,}$", "", core).strip(EDGES)
-        plain = [w for w in _split.split(core) if w]
-        letters = sum(map(str.isalpha, core))
-        if 2 < len(core) <= 32 and 5 * letters >= 2 * (len(core) - sum(c in APART for c in core)) and _disguised.search(core):
-            said = self.viterbi(core)
-            return plain + [said] if said and said not in plain else plain
-        return plain
+        plain = Counter(w for w in _split.split(core) if w)
+        return list((plain | self.readings(core) if disguised(core) else plain).elements())
 
     def apart(self, run: str) -> list[str]:
         """What letters that stood apart say: one word, one beside a one-letter word at either end, or words parted where the language model has it."""
@@ -186,6 +212,11 @@ class Decoder:
         return list(out.elements())
 
 
+def runs(token: str) -> list[tuple[str, int]]:
+    """The characters of token in order and how often each stands in a row."""
+    return [(g, len(list(same))) for g, same in groupby(token)]
+
+
 def spelled(tokens: list[str]) -> list[str]:
     """Letters apart, three and more in a row, put together; signs at their edges don't count."""
     out, run = [], []

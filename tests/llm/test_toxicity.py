@@ -102,3 +102,12 @@ def test_letters_apart(spark):
         "w o r t h l e s s p a t h e t i c m o r o n s t u p i d i d i o t": 5, "s t u p 1 d m 0 r o n": 2, " ".join("theanisaton" * 4 + "idiot" + "theredon" * 4): 1, "on i d or a b c": 0,
     }.items():
         assert w.weigh([text])[0] == n, text
+
+
+def test_no_disguise_is_kept_from_the_decoder(spark):
+    w = weighing(spark)
+    for text, n in {
+        "st" + "u" * 40 + "pid": 1, "stupid.1d10t.m0r0n.w0rthless-path3tic-stup1d": 6, "1d107": 1, "!d!07": 1, "1d1ot!": 1, "1d1ot!!": 1, "!!1d1ot": 1, "1d107!!": 1, "1d1ot99": 1,
+        "iiddiioott": 1, "mmoorroonn!": 1, "idiot!!": 1, "b7db7aa4a5fcc783": 0, "the!!": 0, "100": 0,
+    }.items():
+        assert w.weigh([text])[0] == n, text
