@@ -138,41 +138,37 @@ def framed(known: DataFrame) -> DataFrame:
     return known.mapInPandas(frame, "doc long, blob string, digests array<binary>, lengths array<int>, frames array<binary>")
 
 
-STORED = READ + ", doc long, digests array<binary>, lengths array<int>, frames array<binary>, shared array<struct<digest: binary, frame: binary>>"
+STORED = "doc long, blob string, digests array<binary>, lengths array<int>, frames array<binary>, lent array<boolean>, foreign array<binary>"
 
 
-def stored(payloads: DataFrame) -> DataFrame:
+def kept(payloads: DataFrame) -> DataFrame:
     """STORED rows of payloads with others' (digests that another one owns) and lent (owned ones that others have too).
 
-    A payload that owns all its chunks is read back at once. Of the others the frames owned
-    elsewhere are left out. shared has the frames that are lent.
+    frames are in the order of digests, empty where a chunk is owned elsewhere or stood before; lent marks those that others fetch.
     """
 
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in READ.split(", ")]
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                digests, lengths, frames = [bytes(d) for d in r.digests], r.lengths.tolist(), [bytes(f) for f in r.frames]
+                digests, frames = [bytes(d) for d in r.digests], []
                 foreign = {bytes(d) for d in r.others} if r.others is not None else set()
                 lent = {bytes(d) for d in r.lent} if r.lent is not None else set()
-                shared = [{"digest": d, "frame": f} for d, f in dict(zip(digests, frames)).items() if d in lent]
-                if foreign:
-                    own = [b"" if d in foreign else f for d, f in zip(digests, frames)]
-                    rows.append((r.blob, *[None] * 6, r.doc, digests, lengths, own, shared))
-                else:
-                    rows.append((*read_back(r.blob, digests, lengths, frames), r.doc, None, None, None, shared))
-            out = pd.DataFrame(rows, columns=[*names, "doc", "digests", "lengths", "frames", "shared"])
-            yield out.astype({x: "Int64" for x in ("payload_bytes", "tail_crc32", "media_bytes")})
+                held = set(foreign)
+                for d, f in zip(digests, r.frames):
+                    frames.append(b"" if d in held else bytes(f))
+                    held.add(d)
+                rows.append((r.doc, r.blob, digests, r.lengths, frames, [f != b"" and d in lent for d, f in zip(digests, frames)], sorted(foreign)))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in STORED.split(", ")])
 
-    return payloads.mapInPandas(store, STORED)
+    return payloads.mapInPandas(keep, STORED)
 
 
-def media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes and the columns of READ but blob, for each row of docs: what its stored payload gives, read back.
+def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """Writes docs' payloads to path (else to the shared folder): STORED rows, read from there, of each text at the least id that has it.
 
-    A null text is an empty one, whose payload is UNIT spaces. Rows with equal texts get equal
-    values, whatever their ids; a null id owns like the smallest. An empty table gives no rows.
+    A row holds both the ordered chunk list and the frames that its payload owns, so most are
+    read back without a join; payload_lists and chunk_table are the two parts.
     """
     known = keyed(docs, doc_id, text)
     first = known.groupBy("blob").agg(F.min("doc").alias("doc"))
@@ -182,24 +178,57 @@ def media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     marks = written(lists.join(owners, "digest").groupBy("doc").agg(F.collect_set(F.when(F.col("doc") != F.col("owner"), F.col("digest"))).alias("others"), F.collect_set(F.when(F.col("doc") == F.col("owner"), F.col("digest"))).alias("lent")))
     reps = first.join(marks, "doc", "left").withColumnsRenamed({"blob": "of", "doc": "rep"})
     payloads = framed(known).join(reps, (F.col("doc") == F.col("rep")) & (F.col("blob") == F.col("of"))).drop("of", "rep")
-    table = written(stored(payloads))
-    # a text at one id can stand in several rows; any of them will do
-    done = table.where("payload_bytes IS NOT NULL").select(*[x.split()[0] for x in READ.split(", ")]).dropDuplicates(["blob"])
-    store = table.select(F.explode("shared").alias("x")).select("x.digest", "x.frame").dropDuplicates(["digest"])
-    partial = table.where("payload_bytes IS NULL").select("doc", "blob", "digests", "lengths", "frames").dropDuplicates(["blob"])
-    lacks = partial.select("blob", F.explode(F.arrays_zip("digests", "frames")).alias("x")).where(F.octet_length("x.frames") == 0).select("blob", "x.digests").withColumnRenamed("digests", "digest").distinct()
-    fetched = lacks.join(store, "digest").groupBy("blob").agg(F.collect_list(F.struct("digest", "frame")).alias("fetched"))
+    table = kept(payloads)
+    if path is None:
+        return written(table)
+    table.write.parquet(path)
+    return docs.sparkSession.read.schema(STORED).parquet(path)
+
+
+def payload_lists(table: DataFrame) -> DataFrame:
+    """blob, place, digest, length of every chunk of each payload in a stored table."""
+    each = table.dropDuplicates(["blob"]).select("blob", F.posexplode(F.arrays_zip("digests", "lengths")).alias("place", "x"))
+    return each.select("blob", "place", F.col("x.digests").alias("digest"), F.col("x.lengths").alias("length"))
+
+
+def chunk_table(table: DataFrame, lent: bool = False) -> DataFrame:
+    """digest, frame of each chunk in a stored table, or of those only that several ids share."""
+    each = table.select(F.explode(F.arrays_zip("digests", "frames", "lent")).alias("x"))
+    return each.where(F.col("x.lent") if lent else F.octet_length("x.frames") > 0).select(F.col("x.digests").alias("digest"), F.col("x.frames").alias("frame")).dropDuplicates(["digest"])
+
 
-    def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read(table: DataFrame) -> DataFrame:
+    """READ rows of the payloads in a stored table, all from the bytes stored."""
+
+    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                others = {bytes(x["digest"]): bytes(x["frame"]) for x in r.fetched}
                 digests = [bytes(d) for d in r.digests]
-                rows.append(read_back(r.blob, digests, r.lengths.tolist(), [bytes(f) or others[d] for f, d in zip(r.frames, digests)]))
+                frames = {d: bytes(f) for d, f in zip(digests, r.frames) if len(f)}
+                if r.fetched is not None:
+                    frames |= {bytes(x["digest"]): bytes(x["frame"]) for x in r.fetched}
+                rows.append(read_back(r.blob, digests, r.lengths.tolist(), [frames[d] for d in digests]))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
 
-    restored = partial.join(fetched, "blob").select("blob", "digests", "lengths", "frames", "fetched").mapInPandas(restore, READ)
-    values = written(done.unionByName(restored))
+    fields = ["blob", "digests", "lengths", "frames"]
+    whole = table.where(F.size("foreign") == 0).select(*fields, F.lit(None).cast("array<struct<digest: binary, frame: binary>>").alias("fetched")).mapInPandas(back, READ)
+    # a text at one id can stand in several rows; any of them will do
+    partial = table.where(F.size("foreign") > 0).select(*fields, "foreign").dropDuplicates(["blob"])
+    lacks = partial.select("blob", F.explode("foreign").alias("digest"))
+    fetched = lacks.join(chunk_table(table, lent=True), "digest").groupBy("blob").agg(F.collect_list(F.struct("digest", "frame")).alias("fetched"))
+    restored = partial.join(fetched, "blob").select(*fields, "fetched").mapInPandas(back, READ)
+    return whole.dropDuplicates(["blob"]).unionByName(restored)
+
+
+def media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """doc_id, n_bytes and the columns of READ but blob, for each row of docs: what its stored payload gives, read back.
+
+    The payloads are stored first, at path if it is given (see store), and every value is computed
+    from the stored bytes. A null text is an empty one, whose payload is UNIT spaces. Rows with
+    equal texts get equal values, whatever their ids; a null id owns like the smallest. An empty
+    table gives no rows.
+    """
+    values = written(read(store(docs, doc_id, text, path)))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("blob"))
     return rows.join(values, "blob", "left").drop("blob")

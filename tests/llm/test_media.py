@@ -56,3 +56,32 @@ def test_damage_is_found():
     frame = zstandard.ZstdCompressor().compress(b"other")
     with pytest.raises(ValueError):
         media.opened([frame], [hashlib.sha256(b"said").digest()])
+
+
+def test_payloads_come_back_from_what_is_stored(spark, tmp_path):
+    import pytest
+
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
+    long = prose(40_000)
+    texts = [None, "x", long, "before " + long, prose(9000), "q" * 30_000, long[:20_000] + "!" + long[20_000:], "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = str(tmp_path / "media")
+    values = {r.payload_sha256: r for r in media.media(docs, path=path).collect()}
+    table = spark.read.parquet(path)
+    frames = {bytes(r.digest): bytes(r.frame) for r in media.chunk_table(table).collect()}
+    lists = {}
+    for r in sorted(media.payload_lists(table).collect(), key=lambda r: r.place):
+        lists.setdefault(r.blob, []).append((bytes(r.digest), r.length))
+    for t in texts:
+        listed = lists[hashlib.sha256((t or "").encode()).hexdigest()]
+        payload = media.opened([frames[d] for d, _ in listed], [d for d, _ in listed])
+        assert payload == media.payload_of(t or "") and [len(c) for c in media.chunks(payload)] == [n for _, n in listed]
+        stored = media.manifest(*zip(*listed)) + b"".join(frames[d] for d, _ in listed)
+        assert values[hashlib.sha256(payload).hexdigest()].media_sha256 == hashlib.sha256(stored).hexdigest()
+    # a frame that is lost in storage is noticed, though its payload has no chunk of another
+    alone = hashlib.sha256(texts[4].encode()).hexdigest()
+    other = media.zstandard.ZstdCompressor().compress(b"other")
+    damaged = table.rdd.map(lambda r: (*r[:4], [other] * len(r[4]) if r[1] == alone else r[4], *r[5:])).toDF(table.schema)
+    with pytest.raises(Exception, match="not what its digest says"):
+        media.read(damaged).collect()
