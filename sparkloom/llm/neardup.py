@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import NULL_ID, written
 
 SHINGLE = 5
-REGISTERS = 128
-#: Bands of 8 of the 128 registers. A pair at 0.8 shares none of 48 with probability 1.5e-4.
+#: Bands of 8 registers, none in two bands. A pair at 0.8 shares none of 48 with probability 1.5e-4.
 BAND_ROWS, BANDS = 8, 48
+REGISTERS = BAND_ROWS * BANDS
 WORDS_KEPT = 200_000
 PARTS = 128
 #: Shingles that a task signs at once.
@@ -43,7 +43,7 @@ GRAIN = 2.0**32
 
 _rng = np.random.Generator(np.random.PCG64(8))
 _FACTORS = _rng.integers(0, 2**62, 8, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
-_BANDS = np.stack([_rng.permutation(REGISTERS)[:BAND_ROWS] for _ in range(BANDS)])
+_BANDS = _rng.permutation(REGISTERS).reshape(BANDS, BAND_ROWS)
 
 
 class _Words(dict):
@@ -114,7 +114,7 @@ def signatures(bags: list[np.ndarray]) -> np.ndarray:
         more = mixed(bits + np.uint64(0x2545F4914F6CDD1D))
         height = base[:, None] + ((more >> np.uint64(8)) % width[:, None].astype(np.uint64)).astype(np.int64)
         counts = height < weight[:, None]
-        at = doc[:, None] * REGISTERS + (more & np.uint64(REGISTERS - 1)).astype(np.int64)
+        at = doc[:, None] * REGISTERS + (more % np.uint64(REGISTERS)).astype(np.int64)
         np.minimum.at(flat, at[counts], values[counts])
         value = sums[:, -1]
         go_on = values[:, -1] < registers.max(axis=1)[doc]
@@ -142,7 +142,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 begin, bags, size = at, [], 0
                 while at < len(texts) and size < BLOCK:
                     bags.append(shingles(texts[at]))
-                    size += len(bags[-1])
+                    size += max(len(bags[-1]), 32)  # a short text has as many registers
                     at += 1
                 keys = bands(signatures(bags))
                 rows = batch.iloc[begin:at]

@@ -95,3 +95,7 @@ def test_signatures_are_the_same_in_any_block():
     amid = neardup.signatures([*others[:50], *some, *others[50:]])[50:55]
     assert (alone.view(np.uint64) == amid.view(np.uint64)).all()
     assert (neardup.bands(alone) == neardup.bands(amid)).all()
+
+
+def test_no_register_is_in_two_bands():
+    assert sorted(neardup._BANDS.ravel().tolist()) == list(range(neardup.REGISTERS))
