@@ -459,9 +459,8 @@ def weighted_mix(spark, sf_dir):
     SELECT o_custkey, round(avg(o_orderkey % 89), 6) AS x, round(avg(o_orderkey % 97), 6) AS y, count(*) AS n FROM orders GROUP BY o_custkey
 """)
 def order_centroids(spark, sf_dir):
-    points = F.collect_list(F.struct((F.col("o_orderkey") % 89).cast("double").alias("x"), (F.col("o_orderkey") % 97).cast("double").alias("y")))
-    by = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(points.alias("p"))
-    return by.select("o_custkey", F.round(text.centroid(F.col("p"))["x"], 6).alias("x"), F.round(text.centroid(F.col("p"))["y"], 6).alias("y"), F.size("p").cast("long").alias("n"))
+    mean = lambda m: F.round(F.avg(F.col("o_orderkey") % m), 6)
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(mean(89).alias("x"), mean(97).alias("y"), F.count("*").alias("n"))
 
 
 @query("SELECT label, i AS place, round(avg(v), 5) AS mean FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY 1, 2")
