@@ -8,14 +8,14 @@ weight. Each register keeps the least value, so two documents agree in a registe
 probability of their weighted Jaccard similarity, and a process ends once its next value
 exceeds all that the document's registers hold.
 
-Registers are read in bands. Documents that share a band are candidates, and each candidate
-link is verified on the multisets themselves. Within a band's bucket documents are compared
-with a few centres, more of them each round, and only while their classes differ: a bucket of
-near copies is mostly settled by one round of comparisons with one centre, and the loop ends
-when no bucket holds two classes with a pair that was not compared. After the first round,
-what a document has in common with any other is bounded by how many of its shingles any other
-undecided document has, and what two have in common by how many of theirs fall into each of
-PARTS; pairs whose bounds rule the threshold out need no comparison.
+Registers are read in bands, and documents that share a band are candidates: its bucket. A
+document's popularity is how often it meets others in its buckets, and a bucket's most popular
+document is its hub; documents of one bucket are so in one hub's group, and near copies mostly in
+the group of the text that they were made from. Links are verified on the multisets
+themselves, in two steps. First each group streams past its hub, however large it is. Then the
+documents whose class is not their hub's are compared with all of their group, in blocks of
+bounded size, of which only links between different classes come out. After each step the
+classes are contracted: of all links each document keeps one, to its class.
 """
 
 from __future__ import annotations
@@ -25,17 +25,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NULL_ID, written
+from sparkloom.llm.common import partitions, written
 
 SHINGLE = 5
 #: Bands of 8 registers, none in two bands. A pair at 0.8 shares none of 48 with probability 1.5e-4.
 BAND_ROWS, BANDS = 8, 48
 REGISTERS = BAND_ROWS * BANDS
-WORDS_KEPT = 200_000
-PARTS = 128
+WORDS_KEPT = 100_000
+#: Members of a group that are compared with its hub in one run of rows.
+RUN = 2_000
+#: Shingles of one side of a block.
+SIDE = 250_000
+#: Links that a task holds to contract them.
+LINKS_HELD = 250_000
+#: Stands for null ids: documents of their own, after all others.
+NULL_IDS = 2**62
 #: Shingles that a task signs at once.
 BLOCK = 120_000
 #: Gaps of a process are whole multiples of 1 / GRAIN, so their sums are exact however they are added up.
@@ -54,19 +61,16 @@ class _Words(dict):
         return value
 
 
-_words = _Words()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str) -> np.ndarray:
+def shingles(text: str, words: _Words | None = None) -> np.ndarray:
     """64 bit names of a text's five-word shingles in order: lower-cased words between white space. A shorter text is one shingle; one without words has none."""
     parts = text.lower().split()
-    h = np.fromiter(map(_words.__getitem__, parts), np.uint64, len(parts))
+    h = np.fromiter(map((_Words() if words is None else words).__getitem__, parts), np.uint64, len(parts))
     n = max(1, len(h) - SHINGLE + 1) if len(h) else 0
     out = np.full(n, len(h) if len(h) < SHINGLE else SHINGLE, dtype=np.uint64)
     for k in range(min(SHINGLE, len(h))):
@@ -74,12 +78,25 @@ def shingles(text: str) -> np.ndarray:
     return mixed(out)
 
 
+class Bag:
+    """A multiset of shingles: sorted names, how often each stands, and how many there are."""
+
+    def __init__(self, of: np.ndarray) -> None:
+        self.names, self.counts = np.unique(of, return_counts=True)
+        self.n = len(of)
+
+    def likeness(self, other: Bag) -> float:
+        """The weighted Jaccard similarity; of two empty multisets 1."""
+        small, large = (self, other) if len(self.names) <= len(other.names) else (other, self)
+        if not small.n:
+            return float(not large.n)
+        at = np.minimum(np.searchsorted(large.names, small.names), len(large.names) - 1)
+        both = int(np.minimum(small.counts, large.counts[at])[large.names[at] == small.names].sum())
+        return both / (self.n + other.n - both)
+
+
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two multisets of shingles; of two empty ones 1."""
-    (x, nx), (y, ny) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = int(np.minimum(nx[i], ny[j]).sum())
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+    return Bag(a).likeness(Bag(b))
 
 
 def signatures(bags: list[np.ndarray]) -> np.ndarray:
@@ -136,12 +153,13 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc, copy, keys: of each row the hash of its text and its band keys (none for a text without words)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = _Words()
         for batch in batches:
             texts, at = batch["text"].array, 0
             while at < len(texts):
                 begin, bags, size = at, [], 0
                 while at < len(texts) and size < BLOCK:
-                    bags.append(shingles(texts[at]))
+                    bags.append(shingles(texts[at], words))
                     size += max(len(bags[-1]), 32)  # a short text has as many registers
                     at += 1
                 keys = bands(signatures(bags))
@@ -151,72 +169,181 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.md5("text").alias("copy"), "text").mapInPandas(sign, "doc long, copy string, keys array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, c) whose multisets have the weighted Jaccard similarity or more."""
+def against_hubs(given: DataFrame, threshold: float) -> DataFrame:
+    """hub, doc, n (shingles), linked (with the hub) of given: hub, salt, member (0: the hub itself), doc, text."""
 
-    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, bag = None, None
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, at, held = _Words(), None, []  # the hub's bags: one for each of its texts
         for batch in batches:
-            good = []
-            for text, other in zip(batch["text"].array, batch["other"].array):
-                if last is None or text != last:
-                    last, bag = text, shingles(text)
-                good.append(weighted_jaccard(bag, shingles(other)) >= threshold)
-            yield batch.loc[np.array(good, dtype=bool), ["a", "c"]]
+            out = []
+            for hub, salt, member, doc, text in zip(*(batch[c].array for c in ("hub", "salt", "member", "doc", "text"))):
+                bag = Bag(shingles(text, words))
+                if not member:
+                    if at != (hub, salt):
+                        at, held = (hub, salt), []
+                    held.append(bag)
+                    if salt == 0:
+                        out.append((hub, doc, bag.n, True))
+                else:
+                    out.append((hub, doc, bag.n, any(bag.likeness(x) >= threshold for x in held)))
+            yield pd.DataFrame(out, columns=["hub", "doc", "n", "linked"])
+
+    dealt = given.repartition(partitions(given.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "member")
+    return dealt.mapInPandas(met, "hub long, doc long, n long, linked boolean")
+
+
+def across(loose: list[Bag], own: np.ndarray, members: list[Bag], of: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between different labels, no more than join them: loose bags with the labels own, each against all members with the labels of."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    _, ids = np.unique(np.concatenate([b.names for b in members]), return_inverse=True)
+    names = np.concatenate([b.names for b in members])
+    place = np.zeros(ids.max() + 1, dtype=np.uint64)
+    place[ids] = names  # sorted, each name once
+    counts, sizes = np.concatenate([b.counts for b in members]), np.array([b.n for b in members])
+    begins = np.cumsum([0, *(len(b.names) for b in members[:-1])])
+    held, links = np.zeros(len(place), dtype=counts.dtype), []
+    for bag, label in zip(loose, own.tolist()):
+        at = np.minimum(np.searchsorted(place, bag.names), len(place) - 1)
+        there = place[at] == bag.names
+        held[at[there]] = bag.counts[there]
+        both = np.add.reduceat(np.minimum(held[ids], counts), begins)
+        held[at] = 0
+        for other in np.unique(of[(both >= threshold * (sizes + bag.n - both)) & (of != label)]).tolist():
+            a, b = find(label), find(other)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((max(label, other), min(label, other)))
+    return links
+
+
+def within_groups(given: DataFrame, threshold: float) -> DataFrame:
+    """a, c: links between labels. given: hub, row, column, loose, label, text; each (hub, row, column) is a block of bounded size."""
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        words = _Words()
+        group = group[group["text"].str.strip() != ""]  # another text of an id may be empty
+        bags, is_loose, labels = [Bag(shingles(t, words)) for t in group["text"].array], group["loose"].to_numpy(), group["label"].to_numpy()
+        two_sides = is_loose.any() and not is_loose.all()
+        links = across([bags[i] for i in np.flatnonzero(is_loose)], labels[is_loose], [bags[i] for i in np.flatnonzero(~is_loose)], labels[~is_loose], threshold) if two_sides else []
+        return pd.DataFrame(links, columns=["a", "c"]).astype("int64")
+
+    return given.groupBy("hub", "row", "column").applyInPandas(settle, "a long, c long")
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """a, c: for each task's links (a, c) as few that join the same documents, c the least of them."""
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while root[top] != top:
+                top = root[top]
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        def out() -> pd.DataFrame:
+            pairs = [(x, top) for x in root if (top := find(x)) != x]
+            return pd.DataFrame(pairs, columns=["a", "c"]).astype("int64")
 
-    left = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("other")), "a")
-    both = left.join(texts.select(F.col("doc").alias("c"), "text"), "c")
-    return both.select("a", "c", "text", "other").mapInPandas(similar, "a long, c long").distinct()
-
-
-def bounds(texts: DataFrame, undecided: DataFrame) -> DataFrame:
-    """doc, n, shared of the undecided docs: a text's shingles, and those of them that another undecided document has too."""
-
-    def bagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for begin in range(0, len(batch), 200):
-                some = [(d, *np.unique(shingles(t), return_counts=True)) for d, t in zip(batch["doc"].iloc[begin : begin + 200], batch["text"].iloc[begin : begin + 200])]
-                yield pd.DataFrame({"doc": np.repeat([d for d, _, _ in some], [len(x) for _, x, _ in some]), "shingle": np.concatenate([x for _, x, _ in some]).view(np.int64), "n": np.concatenate([n for _, _, n in some])})
+            for link in zip(batch["a"].tolist(), batch["c"].tolist()):
+                x, y = (find(root.setdefault(node, node)) for node in link)
+                root[max(x, y)] = min(x, y)
+            if len(root) > LINKS_HELD:
+                yield out()
+                root.clear()
+        yield out()
 
-    bag = written(texts.join(undecided, "doc", "left_semi").mapInPandas(bagged, "doc long, shingle long, n long"))
-    alone = bag.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("doc").alias("doc"), F.min("n").alias("n")).where("rows = 1").groupBy("doc").agg(F.sum("n").alias("alone"))
-    several = texts.groupBy("doc").agg((F.count("*") > 1).alias("several"))  # the bounds of one id's texts together rule nothing out
-    n, shared = F.sum("n").alias("n"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")
-    each = bag.groupBy("doc").agg(n).join(alone, "doc", "left").select("doc", "n", shared).join(several, "doc")
-    return each.select("doc", F.when(F.col("several"), 0).otherwise(F.col("n")).alias("n"), F.when(F.col("several"), 2**40).otherwise(F.col("shared")).alias("shared"))
+    return links.mapInPandas(joined, "a long, c long")
 
 
-def part_counts(texts: DataFrame, undecided: DataFrame) -> DataFrame:
-    """doc, parts: how many of a text's shingles fall into each of PARTS by their names; null for an id of several texts.
+def components(links: DataFrame) -> DataFrame:
+    """node, label: of each node of links (a, c) but the least of a component the least node that it is connected with.
 
-    Two texts have no more in common than the lesser of their counts, summed over the parts.
+    Each round a node keeps one link, to the least of its neighbours, and hands the others down to
+    that one; then it jumps to where that one's own link leads. There are never more links than
+    at first, and no more than nodes once nothing moves.
     """
+    edges = written(forest(links.where("a != c")))
+    while True:
+        low = edges.groupBy("a").agg(F.min("c").alias("low"))
+        rest = edges.join(low, "a").where("c != low").select(F.greatest("c", "low").alias("a"), F.least("c", "low").alias("c"), F.lit(True).alias("moved"))
+        onward = low.select(F.col("a").alias("low"), F.col("low").alias("next"))
+        jumped = low.join(onward, "low", "left").select("a", F.coalesce("next", "low").alias("c"), F.col("next").isNotNull().alias("moved"))
+        edges = written(jumped.unionByName(rest))
+        if edges.where("moved").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("c").alias("label"))
+        edges = edges.select("a", "c")
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc": batch["doc"], "parts": [np.bincount((shingles(t) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).astype(np.int32) for t in batch["text"].array]})
 
-    counts = texts.join(undecided, "doc", "left_semi").mapInPandas(counted, "doc long, parts array<int>")
-    return counts.groupBy("doc").agg(F.when(F.count("*") == 1, F.any_value("parts")).alias("parts"))
+def relabelled(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """rows with column replaced by its label, where it has one."""
+    named = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+    return rows.join(named, F.col(column) == F.col("__node"), "left").withColumn(column, F.coalesce("__label", column)).drop("__node", "__label")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label of each node of links (a, c): the least node that it is connected with. Labels spread over links; where that takes long they also jump to their own labels."""
-    edges = written(links.select("a", "c").unionByName(links.select(F.col("c").alias("a"), F.col("a").alias("c"))).distinct())
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("c").alias("near")).select("node", F.least("node", "near").alias("label")))
-    rounds = 0
-    while True:
-        own = labels.select("node", "label", F.col("label").alias("before"))
-        heard = edges.join(labels.withColumnRenamed("node", "c"), "c").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("before"))
-        after = own.unionByName(heard).groupBy("node").agg(F.min("label").alias("label"), F.max("before").alias("before"))
-        rounds += 1
-        if rounds > 2:  # long chains
-            of = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-            after = after.join(of, "label").select("node", F.least("label", "root").alias("label"), "before")
-        after = written(after.select("node", "label", (F.col("label") < F.col("before")).alias("moved")))
-        labels = after.select("node", "label")
-        if after.where("moved").isEmpty():
-            return labels
+def hub_groups(firsts: DataFrame) -> DataFrame:
+    """hub, doc, size (of the hub's group) for the documents of each bucket that has several; of firsts' doc and keys."""
+    rows = firsts.select("doc", F.explode("keys").alias("key"))
+    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = written(rows.join(crowded, "key"))
+    popular = buckets.groupBy("doc").agg(F.sum("n").alias("popularity"))
+    hubs = buckets.join(popular, "doc").groupBy("key").agg(F.max(F.struct("popularity", F.bitwise_not("doc").alias("least"))).alias("most")).select("key", F.bitwise_not("most.least").alias("hub"))
+    pairs = written(buckets.join(hubs, "key").select("hub", "doc").distinct())
+    sizes = pairs.groupBy("hub").agg(F.count("*").alias("size")).where("size > 1")
+    return pairs.join(sizes, "hub")
+
+
+def labels_of(known: DataFrame, threshold: float) -> DataFrame:
+    """doc, label of each row of known (doc, text)."""
+    signs = written(signed(known))
+    firsts = written(signs.groupBy("copy").agg(F.min("doc").alias("doc"), F.any_value("keys").alias("keys")))
+    reps = signs.select("doc", "copy").join(firsts.select("copy", F.col("doc").alias("rep")), "copy")
+    # first against the hubs
+    members = hub_groups(firsts)
+    runs, is_hub = F.ceil(F.col("size") / RUN).cast("int"), F.col("hub") == F.col("doc")
+    salts = F.when(is_hub, F.sequence(F.lit(0), runs - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), runs).cast("int")))
+    given = members.join(known, "doc").select("hub", F.explode(salts).alias("salt"), F.when(is_hub, 0).otherwise(1).alias("member"), "doc", "text")
+    met = written(against_hubs(given, threshold))
+    links = met.where("linked").select(F.greatest("doc", "hub").alias("a"), F.least("doc", "hub").alias("c"))
+    several = signs.groupBy("doc").agg(F.min("copy").alias("low"), F.max("copy").alias("high")).where("low != high")  # ids of more than one text
+    one_id = several.select("doc").join(reps, "doc").select(F.greatest("doc", "rep").alias("a"), F.least("doc", "rep").alias("c"))
+    labels = components(links.unionByName(one_id))
+    # then whoever is not of the hub's class against the whole group
+    rows = relabelled(met.select("hub", "doc", "n", F.col("doc").alias("label")), "label", labels)
+    core, others = F.max(F.when(is_hub, F.col("label"))).alias("core"), F.when(~is_hub, F.col("label"))
+    open_groups = rows.groupBy("hub").agg(core, F.min(others).alias("low"), F.max(others).alias("high"), F.sum("n").alias("all_n")).where("low != high").drop("low", "high")
+    loose = written(rows.join(open_groups, "hub").withColumn("loose", F.col("label") != F.col("core")))
+    if not loose.isEmpty():
+        weights = loose.groupBy("hub").agg(F.sum(F.when(F.col("loose"), F.col("n"))).alias("loose_n"))
+        row_count, column_count = (F.ceil(F.col(c) / SIDE).cast("int") for c in ("loose_n", "all_n"))
+        at = F.xxhash64("doc")
+        both = loose.join(weights, "hub").join(known, "doc").withColumns({"rows": row_count, "columns": column_count})
+        # the hub's class needs its members only as the other side; a loose document stands on both
+        sides = F.array(F.lit(False), F.lit(True))
+        placed = both.withColumn("side", F.explode(F.when(F.col("loose"), sides).otherwise(F.array(F.lit(False)))))
+        spread = placed.select("hub", "doc", "label", "text", F.col("side").alias("loose"), F.explode(F.when(F.col("side"), F.sequence(F.lit(0), F.col("columns") - 1)).otherwise(F.sequence(F.lit(0), F.col("rows") - 1))).alias("copy"), F.pmod(at, F.when(F.col("side"), F.col("rows")).otherwise(F.col("columns"))).cast("int").alias("own"))
+        block = spread.select("hub", F.when(F.col("loose"), F.col("own")).otherwise(F.col("copy")).alias("row"), F.when(F.col("loose"), F.col("copy")).otherwise(F.col("own")).alias("column"), "loose", "label", "text")
+        more = written(within_groups(block, threshold))
+        if not more.isEmpty():
+            roots = components(more)
+            labels = written(relabelled(labels, "label", roots).unionByName(roots))  # a label is no node of labels
+    return relabelled(reps.select("doc", F.col("rep").alias("label")), "label", labels)
+
+
+def keyed(doc_id: str, text: str) -> list[Column]:
+    """doc and text columns: an empty text for a null one, an id of its own for each text of a null id."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_IDS) + F.pmod(F.xxhash64(whole), F.lit(NULL_IDS))).alias("doc"), whole.alias("text")]
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,62 +352,18 @@ def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", tex
     Documents are linked if their texts are equal or the weighted Jaccard similarity of their
     five-word shingles is the threshold or more. Texts without words are only linked with
     equal texts; a null text is an empty one. Rows that share a doc_id are one document, linked
-    as any of its texts is, and all get its class; a null doc_id is one too, with null as its
-    class unless it is linked. Links between equal texts are not compared, and a link's
+    as any of its texts is, and all get its class. Rows without an id are documents of their
+    own, one for each text; their class is null unless they are linked with an id. Links between equal texts are not compared, and a link's
     verification is exact up to 64 bit shingle names; a link is overlooked if none of its
-    BANDS agrees. An empty table gives no rows.
+    BANDS agrees. An empty table gives no rows. Ids are less than NULL_IDS.
     """
-    spark: SparkSession = docs.sparkSession
-    known = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    signs = written(signed(known))
-    firsts = written(signs.groupBy("copy").agg(F.min("doc").alias("doc"), F.any_value("keys").alias("keys")))
-    copies = signs.select("doc", "copy").distinct().join(firsts.select("copy", F.col("doc").alias("c")), "copy").where("doc != c").select(F.col("doc").alias("a"), "c")
-    links = written(copies)
-    rows = firsts.select("doc", F.explode("keys").alias("key"))
-    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    unbounded = [*[F.lit(1).cast("long").alias(c) for c in ("n", "shared")], F.lit(None).cast("array<bigint>").alias("keys"), F.lit(None).cast("array<int>").alias("parts")]  # rules nothing out
-    buckets = written(rows.join(crowded, "key").select("key", "doc", *unbounded))
-    texts = written(known.join(buckets.select("doc").distinct(), "doc", "left_semi").distinct())
-    tested = spark.createDataFrame([], "a long, c long")
-    labels, centres = components(links), 1
-    while True:
-        of = written(buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"), "n", "shared", "keys", "parts"))
-        if centres == 16:
-            mixed_keys = of.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-            undecided = written(of.join(mixed_keys, "key", "left_semi").select("doc").distinct())
-            known_bounds = bounds(texts, undecided).join(part_counts(texts, undecided), "doc")
-            # a document of one text has one array of keys, by which a pair that shares several is met at the first of them only
-            known_keys = firsts.join(known_bounds.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.when(F.count("*") == 1, F.any_value("keys")).alias("keys"))
-            known_bounds = written(known_bounds.join(known_keys, "doc"))
-            of = written(of.select("key", "doc", "label").join(known_bounds, "doc").where(F.col("shared") >= threshold * F.col("n")))
-            buckets = of.drop("label")
-        sizes = of.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc").alias("least")).where("low != high").select("key", "size", "least")
-        split = of.join(sizes, "key")
-        share = F.pmod(F.xxhash64("doc", F.lit(centres)), F.lit(2**20)) * F.col("size") < centres * 2**20
-        chosen = F.col("doc") == F.col("least") if centres == 1 else share
-        centre = split.where(chosen).select("key", *[F.col(c).alias(f"other_{c}") for c in ("doc", "label", "n", "shared", "keys", "parts")])
-        most = F.least("shared", "other_shared")  # that two can have in common
-        near = (F.col("label") != F.col("other_label")) & (most >= threshold * (F.col("n") + F.col("other_n") - most))
-        first = F.array_position(F.zip_with("keys", "other_keys", lambda a, b: a == b), True) - 1
-        near &= F.coalesce(F.get(F.col("keys"), first.cast("int")) == F.col("k"), F.lit(True))
-        lesser = F.aggregate(F.zip_with("parts", "other_parts", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, x: acc + x)
-        near &= F.coalesce(lesser >= threshold * (F.col("n") + F.col("other_n") - lesser), F.lit(True))
-        met = split.withColumnRenamed("key", "k").join(centre, (F.col("k") == F.col("key")) & near).select(F.greatest("doc", "other_doc").alias("a"), F.least("doc", "other_doc").alias("c")).distinct()
-        pairs = written(met.join(tested, ["a", "c"], "left_anti"))
-        if pairs.isEmpty():
-            if centres > 1 and sizes.where(F.col("size") > centres).isEmpty():
-                break
-            centres *= 16
-            continue
-        links = written(links.unionByName(verified(pairs, texts, threshold)))
-        tested = written(tested.unionByName(pairs))
-        labels = components(links)
-        centres *= 16
-    out = signs.select("doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-    return out.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.nullif(F.coalesce("label", "doc"), F.lit(NULL_ID)).alias("class_id"))
+    out = labels_of(docs.select(*keyed(doc_id, text)), threshold)
+    return out.select(*[F.when(F.col(c) < NULL_IDS, F.col(c)).alias(name) for c, name in (("doc", "doc_id"), ("label", "class_id"))])
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs, with all its columns, for each class: a row of the class's least doc_id."""
-    first = classes(docs, threshold, doc_id, text).where("doc_id <=> class_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([doc_id])
+    """One row of docs, with all its columns, for each class: of its least doc_id; where several rows have that, the one whose hash is least."""
+    doc, _ = keyed(doc_id, text)
+    first = labels_of(docs.select(*keyed(doc_id, text)), threshold).where("doc = label").select("doc").distinct()
+    rows = docs.select(doc.alias("__doc"), F.struct(*docs.columns).alias("__row")).join(first.withColumnRenamed("doc", "__doc"), "__doc", "left_semi")
+    return rows.groupBy("__doc").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row.*")

@@ -21,7 +21,8 @@ def alike(a, b):
 
 def brute(rows):
     """Classes by document."""
-    ids = [-(2**63) if i is None else i for i, _ in rows]
+    texts = sorted({t or "" for i, t in rows if i is None})
+    ids = [10**9 + texts.index(t or "") if i is None else i for i, t in rows]  # a document for each text without id
     label = {i: i for i in ids}
 
     def root(i):
@@ -34,7 +35,7 @@ def brute(rows):
             if ids[p] != ids[q] and alike(rows[p][1], rows[q][1]):
                 a, b = sorted((root(ids[p]), root(ids[q])))
                 label[b] = a
-    none = lambda i: None if i == -(2**63) else i
+    none = lambda i: None if i >= 10**9 else i
     return sorted(((none(i), none(root(i))) for i in ids), key=repr)
 
 
@@ -56,7 +57,7 @@ def corpus():
         rows.append((200 + k, " ".join(chain[6 * k : 6 * k + 78])))
     shared = prose(70)
     rows += [(300 + k, " ".join(prose(10) + shared + prose(10))) for k in range(30)]
-    rows += [(400, None), (401, ""), (402, " \n"), (403, "one two"), (404, "One  two"), (405, "a " * 400), (406, "a " * 380), (407, "a " * 100), (None, " ".join(chain[:78])), (408, "x" * 20_000), (409, "alone here")]
+    rows += [(400, None), (401, ""), (402, " \n"), (403, "one two"), (404, "One  two"), (405, "a " * 400), (406, "a " * 380), (407, "a " * 100), (None, " ".join(chain[:78])), (408, "x" * 20_000), (409, "alone here"), (None, "no id and alone"), (None, "neither has this"), (None, "no id and alone"), (None, "alone here")]
     rows += [(3, rows[3][1]), (410, "two texts of one id that are unlike"), (410, "one two")]
     rng.shuffle(rows)
     return rows
@@ -68,7 +69,7 @@ def test_classes(spark):
     got = sorted(((r.doc_id, r.class_id) for r in neardup.classes(docs).collect()), key=repr)
     assert got == brute(rows)
     kept = [r.doc_id for r in neardup.one_of_each(docs).collect()]
-    assert sorted(kept, key=repr) == sorted({c for _, c in got}, key=repr)
+    assert sorted(kept, key=repr) == sorted([*{c for _, c in got} - {None}, None, None], key=repr)
 
 
 def test_empty(spark):
@@ -99,3 +100,27 @@ def test_signatures_are_the_same_in_any_block():
 
 def test_no_register_is_in_two_bands():
     assert sorted(neardup._BANDS.ravel().tolist()) == list(range(neardup.REGISTERS))
+
+
+def test_large_groups_in_runs_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "RUN", 3)
+    monkeypatch.setattr(neardup, "SIDE", 400)
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(400)}" for _ in range(90)]
+    rows = []
+    for i in range(60):  # some alike, most of them not quite
+        words = list(base)
+        for _ in range(rng.randint(1, 5)):
+            words[rng.randrange(len(words))] = rng.choice("xyz") + str(i)
+        rows.append((i, " ".join(words)))
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute(rows) and 5 < len({c for _, c in got}) < 55
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(1)
+    names = rng.sample(range(10**6), 400)
+    links = [(names[i], names[i + 1]) for i in range(199)] + [(names[200], names[i]) for i in range(201, 300)] + [(x, x) for x in names[300:]]
+    got = {r.node: r.label for r in neardup.components(spark.createDataFrame(links, "a long, c long").repartition(7)).collect()}
+    want = {x: min(part) for part in (names[:200], names[200:300]) for x in part}
+    assert got == {x: c for x, c in want.items() if x != c}
