@@ -292,10 +292,14 @@ def relabelled(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
 
 
 def hub_groups(firsts: DataFrame) -> DataFrame:
-    """hub, doc, size (of the hub's group) for the documents of each bucket that has several; of firsts' doc and keys."""
+    """hub, doc, size (of the hub's group) for the documents of each bucket that has several; of firsts' doc and keys.
+
+    Buckets, and documents below, are joined by sorting at any size: what is small enough to be
+    broadcast on a small table isn't on a large one.
+    """
     rows = firsts.select("doc", F.explode("keys").alias("key"))
     crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = written(rows.join(crowded, "key"))
+    buckets = written(rows.join(crowded.hint("merge"), "key"))
     popular = buckets.groupBy("doc").agg(F.sum("n").alias("popularity"))
     hubs = buckets.join(popular, "doc").groupBy("key").agg(F.max(F.struct("popularity", F.bitwise_not("doc").alias("least"))).alias("most")).select("key", F.bitwise_not("most.least").alias("hub"))
     pairs = written(buckets.join(hubs, "key").select("hub", "doc").distinct())
@@ -312,7 +316,7 @@ def labels_of(known: DataFrame, threshold: float) -> DataFrame:
     members = hub_groups(firsts)
     runs, is_hub = F.ceil(F.col("size") / RUN).cast("int"), F.col("hub") == F.col("doc")
     salts = F.when(is_hub, F.sequence(F.lit(0), runs - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), runs).cast("int")))
-    given = members.join(known, "doc").select("hub", F.explode(salts).alias("salt"), F.when(is_hub, 0).otherwise(1).alias("member"), "doc", "text")
+    given = members.hint("merge").join(known, "doc").select("hub", F.explode(salts).alias("salt"), F.when(is_hub, 0).otherwise(1).alias("member"), "doc", "text")
     met = written(against_hubs(given, threshold))
     links = met.where("linked").select(F.greatest("doc", "hub").alias("a"), F.least("doc", "hub").alias("c"))
     several = signs.groupBy("doc").agg(F.min("copy").alias("low"), F.max("copy").alias("high")).where("low != high")  # ids of more than one text
