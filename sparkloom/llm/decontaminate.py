@@ -3,19 +3,21 @@
 A window is ``span`` consecutive words of a benchmark item. Both sides keep, for each window,
 the least k-gram hash in it (with k words a gram, a window holds span - k + 1 of them), with
 its place. Equal windows keep equal grams, so joining the kept grams finds every shared
-window; each joined place is extended to the longest common run of words at that alignment,
-and runs of at least ``span`` words are hits. Items shorter than ``span`` are one window
+window. Where a document and an item share a gram, the item is laid on the document at that
+shift, once however many grams they share there, and the hit is extended to every run of at
+least ``span`` words that agree. Items shorter than ``span`` are one window
 of their own length, with a winnowing of that length.
 """
 
 from __future__ import annotations
 
+import functools
 import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NULL_ID
+from sparkloom.llm.common import NULL_ID, written
 
 #: What separates words once A-Z are lower-cased: ASCII without digits and a-z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -24,6 +26,8 @@ GRAM = 5
 PLACE_BITS = 28
 #: Kept grams of a benchmark that are broadcast; a larger benchmark is joined by shuffle.
 BROADCAST_GRAMS = 200_000
+#: The same of documents with candidates and of these together, and of items and their words.
+BROADCAST_DOCS, BROADCAST_ITEMS = 100_000, 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -52,51 +56,64 @@ def hashed(df: DataFrame) -> DataFrame:
     return df.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
 
 
-def common_run(a: str, p: Column, b: str, q: Column) -> tuple[Column, Column]:
-    """How far arrays a and b agree to the left of p and q, and from p and q on."""
-    before, after = F.least(p, q), F.least(F.size(a) - p, F.size(b) - q)
-    none = F.array().cast("array<boolean>")
-    left = F.when(before > 0, F.transform(F.sequence(F.lit(1), before), lambda i: F.get(F.col(a), p - i) != F.get(F.col(b), q - i))).otherwise(none)
-    right = F.when(after > 0, F.transform(F.sequence(F.lit(0), after - 1), lambda i: F.get(F.col(a), p + i) != F.get(F.col(b), q + i))).otherwise(none)
-    first = lambda differ, all_of: F.coalesce(F.nullif(F.array_position(differ, True), F.lit(0)) - 1, all_of.cast("bigint"))
-    return first(left, before), first(right, after)
+def alike_runs(a: str, b: str, least: str) -> Column:
+    """(start, stop) of the runs of places at which array columns a and b of one length agree, of at least so many places each."""
+    runs = F.array().cast("array<struct<start:int,stop:int>>")
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), runs.alias("runs"))
 
+    def add(acc: Column, same: Column) -> Column:
+        ended = F.struct((acc["at"] - acc["run"]).alias("start"), acc["at"].alias("stop"))
+        out = F.when(~same & (acc["run"] >= F.col(least)), F.concat(acc["runs"], F.array(ended))).otherwise(acc["runs"])
+        return F.struct((acc["at"] + 1).alias("at"), F.when(same, acc["run"] + 1).otherwise(0).alias("run"), out.alias("runs"))
 
-def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, twin, n_words and, null in one row for each row of docs, item_id, start, stop: runs of words that items share.
+    alike = F.zip_with(F.col(a), F.col(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.aggregate(F.concat(alike, F.array(F.lit(False))), begin, add, lambda acc: acc["runs"])
+
+
+def gram_places(df: DataFrame, span: int, *keep: str) -> DataFrame:
+    """keep, span, key, place of the grams kept of each row's hashes."""
+    grams = df.select(*keep, F.lit(span).alias("span"), F.explode(kept_grams("hashes", span)).alias("gram"))
+    return grams.select(*keep, "span", F.shiftright("gram", PLACE_BITS).alias("key"), F.col("gram").bitwiseAND(2**PLACE_BITS - 1).cast("int").alias("place"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, twin, n_words of each row of docs; doc_id, twin, item_id, start, stop of the runs of words that items share).
 
     docs has doc_id and text without nulls; twin tells texts of one doc_id apart.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), words(F.col(item_text)).alias("words")).distinct().where(F.size("words") > 0)
-    items = hashed(items).withColumn("span", F.least(F.lit(span), F.size("words")))
+    items = hashed(items).withColumns({"span": F.least(F.lit(span), F.size("words")), "item": F.xxhash64("item_id", "words"), "item_n": F.size("words")})
     spans = sorted(r["span"] for r in items.select("span").distinct().collect())  # at most ``span`` values
     known = hashed(docs.select("doc_id", F.xxhash64("text").alias("twin"), words(F.col("text")).alias("words")))
     one = F.array(F.lit(-1).cast("bigint"))  # of each row one gram that no item has
-    grams = known.select("doc_id", "twin", "words", F.explode(F.concat(one, *[kept_grams("hashes", s) for s in spans])).alias("gram"))
-    grams = grams.withColumns({"p": F.col("gram").bitwiseAND(2**PLACE_BITS - 1).cast("int"), "key": F.shiftright("gram", PLACE_BITS), "first": F.col("gram") == -1})
-    item_grams = None
-    for s in spans:
-        some = items.where(F.col("span") == s).select("item_id", F.col("words").alias("item_words"), "span", F.explode(kept_grams("hashes", s)).alias("gram"))
-        item_grams = some if item_grams is None else item_grams.union(some)
-    if item_grams is None:
-        nothing = [F.lit(None).cast("string").alias("item_id"), *(F.lit(None).cast("int").alias(x) for x in ("start", "stop"))]
-        return known.select("doc_id", "twin", F.size("words").alias("n_words"), *nothing)
-    item_grams = item_grams.select("item_id", "item_words", "span", F.col("gram").bitwiseAND(2**PLACE_BITS - 1).cast("int").alias("q"), F.shiftright("gram", PLACE_BITS).alias("key"))
-    small = item_grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS and item_grams.agg(F.coalesce(F.sum(F.size("item_words")), F.lit(0))).first()[0] <= 40 * BROADCAST_GRAMS
-    if small:
-        met = grams.join(F.broadcast(item_grams), "key", "left").where("first OR span IS NOT NULL")
-    else:  # words meet only the grams that were found
-        places = grams.where("NOT first").select("doc_id", "twin", "key", "p").join(item_grams.select("key", "item_id", "span", "q"), "key")
-        places = places.select("doc_id", "twin", "p", "item_id", "span", "q").distinct()
-        with_doc = places.join(known.select("doc_id", "twin", "words").dropDuplicates(["doc_id", "twin"]), ["doc_id", "twin"])
-        long_items = items.select(F.col("item_id").alias("of"), F.col("words").alias("item_words"), F.col("span").alias("of_span"))
-        met = with_doc.join(long_items, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("span") == F.col("of_span"))).select("doc_id", "twin", "words", "p", F.lit(False).alias("first"), "item_id", "item_words", "span", "q")
-        met = met.unionByName(known.select("doc_id", "twin", "words", F.lit(0).alias("p"), F.lit(True).alias("first"), F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("array<string>").alias("item_words"), F.lit(None).cast("int").alias("span"), F.lit(0).alias("q")))
-    left, right = common_run("words", F.col("p"), "item_words", F.col("q"))
-    sides = met.select("doc_id", "twin", F.size("words").alias("n_words"), "first", "item_id", "span", "p", F.when(~F.col("first"), left).alias("left"), F.when(~F.col("first"), right).alias("right"))
-    runs = sides.where("first OR left + right >= span")
-    return runs.select("doc_id", "twin", "n_words", "item_id", F.when(~F.col("first"), F.col("p") - F.col("left")).cast("int").alias("start"), F.when(~F.col("first"), F.col("p") + F.col("right")).cast("int").alias("stop"), "first")
+    # a gram's row holds no words, so what a text costs is in proportion to its length
+    grams = known.select("doc_id", "twin", F.size("words").alias("n_words"), F.explode(F.concat(one, *[kept_grams("hashes", s) for s in spans])).alias("gram"))
+    first = F.col("gram") == -1
+    nowhere = F.lit(2**40) + F.pmod(F.xxhash64("doc_id", "twin"), F.lit(2**20))  # spread, and above all keys
+    grams = grams.withColumns({"p": F.col("gram").bitwiseAND(2**PLACE_BITS - 1).cast("int"), "key": F.when(first, nowhere).otherwise(F.shiftright("gram", PLACE_BITS)), "first": first})
+    of_items = [gram_places(items.where(F.col("span") == s), s, "item", "item_n") for s in spans]
+    if not of_items:
+        return known.select("doc_id", "twin", F.size("words").alias("n_words")), docs.sparkSession.createDataFrame([], "doc_id long, twin long, item_id string, start int, stop int")
+    item_grams = functools.reduce(DataFrame.union, of_items)
+    if item_grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+        item_grams = F.broadcast(item_grams)
+    met = written(grams.join(item_grams, "key", "left").where("first OR span IS NOT NULL").select("doc_id", "twin", "n_words", "first", "item", "item_n", (F.col("p") - F.col("place")).alias("shift")))
+    # equal texts at one shift against an item are compared once, however many grams they share
+    shifts = met.where("NOT first").groupBy("doc_id", "twin").agg(F.collect_set(F.struct("item", "item_n", "shift")).alias("shifts"))
+    if shifts.limit(BROADCAST_DOCS + 1).select(F.size("shifts").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)) + F.count("*")).first()[0] <= BROADCAST_DOCS:
+        shifts = F.broadcast(shifts)
+    texts = docs.withColumn("twin", F.xxhash64("text")).join(shifts, ["doc_id", "twin"]).dropDuplicates(["doc_id", "twin"])
+    begin = lambda x: F.greatest(x["shift"], F.lit(0))
+    piece = lambda w, x: F.slice(w, begin(x) + 1, F.least(F.size(w), x["shift"] + x["item_n"]) - begin(x))
+    pieces = F.transform("shifts", lambda x: F.struct(x["item"].alias("item"), x["shift"].alias("shift"), piece(F.col("words"), x).alias("here")))
+    here = texts.select("doc_id", "twin", "shifts", words(F.col("text")).alias("words")).select("doc_id", "twin", F.explode(pieces).alias("x")).select("doc_id", "twin", "x.*")
+    lists = items.select("item", "item_id", "span", F.col("words").alias("item_words"))
+    if items.limit(BROADCAST_ITEMS + 1).agg(F.coalesce(F.sum("item_n"), F.lit(0)) + F.count("*")).first()[0] <= BROADCAST_ITEMS:
+        lists = F.broadcast(lists)
+    there = F.slice("item_words", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("here"))
+    runs = here.join(lists, "item").withColumn("there", there).select("doc_id", "twin", "item_id", begin(F.struct("shift")).alias("from"), F.explode(alike_runs("here", "there", "span")).alias("run"))
+    found = runs.select("doc_id", "twin", "item_id", (F.col("from") + F.col("run.start")).alias("start"), (F.col("from") + F.col("run.stop")).alias("stop"))
+    return met.where("first").select("doc_id", "twin", "n_words"), found
 
 
 def covered(runs: Column) -> Column:
@@ -115,13 +132,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, doc_id:
     hits nothing, an empty docs gives no rows.
     """
     known = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    found = hits(known, benchmark, span, item_id, item_text)
-    if "first" not in found.columns:
-        found = found.withColumn("first", F.lit(True))
+    rows, found = hits(known, benchmark, span, item_id, item_text)
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("item_id", "string"), ("start", "int"), ("stop", "int"))]
+    both = rows.select("*", *nothing, F.lit(True).alias("first")).unionByName(found.select("*", F.lit(None).cast("int").alias("n_words"), F.lit(False).alias("first")))
     runs = F.collect_set(F.when(~F.col("first"), F.struct("start", "stop")))
-    each = found.groupBy("doc_id", "twin").agg(F.max("n_words").cast("long").alias("n_words"), runs.alias("runs"), F.array_sort(F.collect_set("item_id")).alias("items"), F.count_if("first").alias("n"))
-    rows = each.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
-    return rows.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "twin", "n_words", covered(F.col("runs")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
+    each = both.groupBy("doc_id", "twin").agg(F.max("n_words").cast("long").alias("n_words"), runs.alias("runs"), F.array_sort(F.collect_set("item_id")).alias("items"), F.count_if("first").alias("n"))
+    one = each.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    return one.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "twin", "n_words", covered(F.col("runs")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
