@@ -29,6 +29,8 @@ UNIT = 192
 LEAST, LARGEST, MASK_BITS = 512, 8192, 11
 WINDOW = 32
 LEVEL = 6
+#: Bytes of a digest by which Spark joins chunks; whole digests verify what is read back.
+KEY = 16
 MAGIC = b"CDC1"
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -96,7 +98,7 @@ def feature(payload: bytes, lengths: list[int]) -> str:
     return f"chunks={len(lengths)};longest={max(lengths)};mean={x.mean():.6f};std={x.std():.6f};min={x.min()};max={x.max()};crossings={int((high[1:] != high[:-1]).sum())}"
 
 
-READ = "blob string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "blob binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def read_back(blob: str, digests: list[bytes], lengths: list[int], frames: list[bytes]) -> tuple:
@@ -106,62 +108,58 @@ def read_back(blob: str, digests: list[bytes], lengths: list[int], frames: list[
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc, blob (SHA-256 of the text), text."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.sha2(whole, 256).alias("blob"), whole.alias("text"))
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.unhex(F.sha2(whole, 256)).alias("blob"), whole.alias("text"))
 
 
-def chunk_lists(known: DataFrame) -> DataFrame:
-    """doc, place, digest of every chunk."""
+def chunk_keys(known: DataFrame) -> DataFrame:
+    """doc, key of every chunk: the first KEY bytes of its digest."""
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(doc, i, hashlib.sha256(c).digest()) for doc, text in zip(batch["doc"].array, batch["text"].array) for i, c in enumerate(chunks(payload_of(text)))]
-            yield pd.DataFrame(rows, columns=["doc", "place", "digest"])
+            rows = [(doc, hashlib.sha256(c).digest()[:KEY]) for doc, text in zip(batch["doc"].array, batch["text"].array) for c in chunks(payload_of(text))]
+            yield pd.DataFrame(rows, columns=["doc", "key"])
 
-    return known.select("doc", "text").mapInPandas(listed, "doc long, place int, digest binary")
+    return known.select("doc", "text").mapInPandas(listed, "doc long, key binary")
 
 
-def framed(known: DataFrame) -> DataFrame:
-    """doc, blob, digests, lengths, frames of every payload."""
+def wrapped(known: DataFrame) -> DataFrame:
+    """doc, blob, whole: texts compressed for their way to the store."""
 
-    def frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compress = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True).compress
         for batch in batches:
-            for begin in range(0, len(batch), 500):
-                some = batch.iloc[begin : begin + 500]
-                rows = []
-                for doc, blob, text in zip(some["doc"].array, some["blob"].array, some["text"].array):
-                    parts = chunks(payload_of(text))
-                    rows.append((doc, blob, [hashlib.sha256(c).digest() for c in parts], [len(c) for c in parts], [compress(c) for c in parts]))
-                yield pd.DataFrame(rows, columns=["doc", "blob", "digests", "lengths", "frames"])
+            yield pd.DataFrame({"doc": batch["doc"], "blob": batch["blob"], "whole": [compress(t.encode()) for t in batch["text"].array]})
 
-    return known.mapInPandas(frame, "doc long, blob string, digests array<binary>, lengths array<int>, frames array<binary>")
+    return known.mapInPandas(wrap, "doc long, blob binary, whole binary")
 
 
-STORED = "doc long, blob string, digests array<binary>, lengths array<int>, frames array<binary>, lent array<boolean>, foreign array<binary>"
+STORED = "doc long, blob binary, digests array<binary>, lengths array<int>, frames array<binary>, lent array<boolean>, foreign array<binary>"
 
 
 def kept(payloads: DataFrame) -> DataFrame:
-    """STORED rows of payloads with others' (digests that another one owns) and lent (owned ones that others have too).
+    """STORED rows of doc, blob, whole, others (keys of chunks that another one owns) and lent (of owned ones that others have too).
 
     frames are in the order of digests, empty where a chunk is owned elsewhere or stood before; lent marks those that others fetch.
     """
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compress, open_ = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                digests, frames = [bytes(d) for d in r.digests], []
-                foreign = {bytes(d) for d in r.others} if r.others is not None else set()
-                lent = {bytes(d) for d in r.lent} if r.lent is not None else set()
-                held = set(foreign)
-                for d, f in zip(digests, r.frames):
-                    frames.append(b"" if d in held else bytes(f))
-                    held.add(d)
-                rows.append((r.doc, r.blob, digests, r.lengths, frames, [f != b"" and d in lent for d, f in zip(digests, frames)], sorted(foreign)))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in STORED.split(", ")])
+            for begin in range(0, len(batch), 500):
+                rows = []
+                for r in batch.iloc[begin : begin + 500].itertuples(index=False):
+                    foreign, lent = ({bytes(d) for d in x} if x is not None else set() for x in (r.others, r.lent))
+                    parts = chunks(payload_of(open_(r.whole).decode()))
+                    digests, frames, held = [hashlib.sha256(c).digest() for c in parts], [], set()
+                    for d, c in zip(digests, parts):
+                        frames.append(b"" if d in held or d[:KEY] in foreign else compress(c))
+                        held.add(d)
+                    rows.append((r.doc, r.blob, digests, [len(c) for c in parts], frames, [f != b"" and d[:KEY] in lent for d, f in zip(digests, frames)], sorted({d for d in digests if d[:KEY] in foreign})))
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in STORED.split(", ")])
 
-    return payloads.mapInPandas(keep, STORED)
+    return payloads.select("doc", "blob", "whole", "others", "lent").mapInPandas(keep, STORED)
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -172,13 +170,12 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     """
     known = keyed(docs, doc_id, text)
     first = known.groupBy("blob").agg(F.min("doc").alias("doc"))
-    lists = chunk_lists(known)
-    held = lists.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
-    owners = written(held.where("owner != last"))
-    marks = written(lists.join(owners, "digest").groupBy("doc").agg(F.collect_set(F.when(F.col("doc") != F.col("owner"), F.col("digest"))).alias("others"), F.collect_set(F.when(F.col("doc") == F.col("owner"), F.col("digest"))).alias("lent")))
+    keys = written(chunk_keys(known))
+    owners = written(keys.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner != last"))
+    marks = written(keys.join(owners, "key").groupBy("doc").agg(F.collect_set(F.when(F.col("doc") != F.col("owner"), F.col("key"))).alias("others"), F.collect_set(F.when(F.col("doc") == F.col("owner"), F.col("key"))).alias("lent")))
     reps = first.join(marks, "doc", "left").withColumnsRenamed({"blob": "of", "doc": "rep"})
-    payloads = framed(known).join(reps, (F.col("doc") == F.col("rep")) & (F.col("blob") == F.col("of"))).drop("of", "rep")
-    table = kept(payloads)
+    once = wrapped(known).dropDuplicates(["doc", "blob"])  # dealt as the join is; a repeated row goes once from each task
+    table = kept(once.join(reps, (F.col("doc") == F.col("rep")) & (F.col("blob") == F.col("of"))))
     if path is None:
         return written(table)
     table.write.parquet(path)
@@ -187,12 +184,12 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
 
 def payload_lists(table: DataFrame) -> DataFrame:
     """blob, place, digest, length of every chunk of each payload in a stored table."""
-    each = table.dropDuplicates(["blob"]).select("blob", F.posexplode(F.arrays_zip("digests", "lengths")).alias("place", "x"))
+    each = table.select("blob", F.posexplode(F.arrays_zip("digests", "lengths")).alias("place", "x"))
     return each.select("blob", "place", F.col("x.digests").alias("digest"), F.col("x.lengths").alias("length"))
 
 
 def chunk_table(table: DataFrame, lent: bool = False) -> DataFrame:
-    """digest, frame of each chunk in a stored table, or of those only that several ids share."""
+    """digest, frame of each chunk in a stored table, or of those only that several ids share; where texts of one id have it, either's."""
     each = table.select(F.explode(F.arrays_zip("digests", "frames", "lent")).alias("x"))
     return each.where(F.col("x.lent") if lent else F.octet_length("x.frames") > 0).select(F.col("x.digests").alias("digest"), F.col("x.frames").alias("frame")).dropDuplicates(["digest"])
 
@@ -213,12 +210,10 @@ def read(table: DataFrame) -> DataFrame:
 
     fields = ["blob", "digests", "lengths", "frames"]
     whole = table.where(F.size("foreign") == 0).select(*fields, F.lit(None).cast("array<struct<digest: binary, frame: binary>>").alias("fetched")).mapInPandas(back, READ)
-    # a text at one id can stand in several rows; any of them will do
-    partial = table.where(F.size("foreign") > 0).select(*fields, "foreign").dropDuplicates(["blob"])
+    partial = table.where(F.size("foreign") > 0).select(*fields, "foreign")
     lacks = partial.select("blob", F.explode("foreign").alias("digest"))
     fetched = lacks.join(chunk_table(table, lent=True), "digest").groupBy("blob").agg(F.collect_list(F.struct("digest", "frame")).alias("fetched"))
-    restored = partial.join(fetched, "blob").select(*fields, "fetched").mapInPandas(back, READ)
-    return whole.dropDuplicates(["blob"]).unionByName(restored)
+    return whole.unionByName(partial.join(fetched, "blob").select(*fields, "fetched").mapInPandas(back, READ))
 
 
 def media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -229,6 +224,5 @@ def media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     equal texts get equal values, whatever their ids; a null id owns like the smallest. An empty
     table gives no rows.
     """
-    values = written(read(store(docs, doc_id, text, path)))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("blob"))
-    return rows.join(values, "blob", "left").drop("blob")
+    rows = keyed(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")), "__id", "__text").select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), "blob")
+    return rows.join(read(store(docs, doc_id, text, path)), "blob", "left").drop("blob")
