@@ -1,23 +1,29 @@
 """Toxicity scores of deobfuscated text, by a noisy channel.
 
-Spark counts the character trigrams of all documents: the language model. A token that looks
+Spark counts the character trigrams of all documents, each letter of any script as itself: the
+language model, which keeps those that make up a stated share of all. A token that looks
 disguised (digits or signs for letters, letters apart, letters repeated) is a lattice of what
 each character can stand for, and the Viterbi path under language model and channel is what it
 says. Letters apart are put together and the same model places the breaks between their words.
-What a token can say in several ways counts in each of them. Words that mark label 1 are learned on a bounded sample of labelled rows, on restored
-words; a document's score is a logistic function of what its restored words weigh.
+What a token can say in several ways counts in each of them. Words that mark label 1 are
+learned on a bounded sample of labelled rows, on restored words, and only if they stand after
+enough different tokens, so that what copies of one passage have in common isn't learned. A
+document's score is a logistic function of what its restored words weigh.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +45,16 @@ SUBSTITUTE, SKIP, REPEAT = 1.0, 0.5, 0.5
 TWICE = 6.0
 #: Of reading a sign as a sign, between words.
 SIGN = 2.0
-LETTERS = 28  # none, a to z, any other
-TOKENS_KEPT = 250_000
-#: A word is learned if so many labelled documents of label 1 hold it, and they are so large a share of all that do.
-LEAST_DOCS, LEAST_SHARE, LEXICON = 8, 0.5, 5000
-
-_code = np.full(256, LETTERS - 1, dtype=np.int64)
-_code[:128] = 0
-_code[97:123] = np.arange(1, 27)
+#: Bytes of tokens that a worker remembers, about.
+MEMO_BYTES = 12_000_000
+#: A trigram is kept if it makes up so large a share of all: of at most 1 / LEAST_GRAM trigrams this can be true, whatever the corpus.
+LEAST_GRAM = 2.0**-19
+#: Of trigrams never seen in a context, as if so many had been.
+SMOOTH = 5.0
+#: A word is learned if so many labelled documents of label 1 hold it, and they are so large a share of all that do,
+#: and it stands there after at least so many different tokens.
+LEAST_DOCS, LEAST_SHARE, LEAST_CONTEXTS = 8, 0.5, 6
+
 _letter = re.compile(r"[^\W\d_]")
 _sign = re.compile(r"[0-9@$!|+€£¡.\-_*~'’·]")
 _repeated = re.compile(r"(.)\1\1|(.)\2.*?(.)\3", re.DOTALL)  # a letter thrice, or two twice
@@ -64,44 +72,105 @@ def disguised(token: str) -> bool:
     return len(token) > 2 and bool(_letter.search(token) and _sign.search(token) or _repeated.search(token))
 
 
-def trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Counts of letter trigrams over all of docs, of which spaces and other signs are one letter: an array of LETTERS cubed."""
+@cache
+def _letters() -> np.ndarray:
+    """Each code point, or a space for those that are no letters."""
+    return np.array([c if chr(c).isalpha() else 32 for c in range(sys.maxunicode + 1)], dtype=np.uint32)
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams of text's letters and spaces as numbers of three times 21 bits, and their counts."""
+    codes = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if len(codes) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    alphabet = np.flatnonzero(np.bincount(codes))
+    wide = lambda x: (x[:-2] << 42) | (x[1:-1] << 21) | x[2:]
+    k = len(alphabet)
+    if k > 160:
+        return np.unique(wide(codes.astype(np.int64)), return_counts=True)
+    place = np.zeros(alphabet[-1] + 1, dtype=np.int64)
+    place[alphabet] = np.arange(k)
+    c = place[codes]
+    n = np.bincount((c[:-2] * k + c[1:-1]) * k + c[2:], minlength=1)
+    seen = np.flatnonzero(n)
+    return (alphabet[seen // k // k] << 42) | (alphabet[seen // k % k] << 21) | alphabet[seen % k], n[seen]
+
+
+def trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
+    """gram (see counted), n: trigrams over all of docs, of which spaces and other signs are one letter."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(LETTERS**3, dtype=np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             texts, at = batch["text"].array, 0
             while at < len(texts):
-                held, size = [], 0
+                block, size = [], 0
                 while at < len(texts) and size < 2**20:
-                    held.append(texts[at])
+                    block.append(texts[at])
                     size += len(texts[at])
                     at += 1
-                c = _code[np.frombuffer(("  " + "  ".join(held) + "  ").lower().encode(), np.uint8)]
-                total += np.bincount((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=LETTERS**3)
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": seen, "n": total[seen]})
-
-    counts = docs.select(text_of(text).alias("text")).mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(LETTERS**3)
-    out[counts["gram"].to_numpy(np.int64)] = counts["n"]
-    return out
+                held.append(counted("  " + "  ".join(block).lower() + "  "))
+            grams, where = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+            held = [(grams, np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64))]
+        for grams, n in held:
+            yield pd.DataFrame({"gram": grams, "n": n})
+
+    return docs.select(text_of(text).alias("text")).mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+class Language:
+    """Probability of a character after two others, from counts of trigrams; smoothed by what follows one and none."""
+
+    def __init__(self, grams: dict[str, int]) -> None:
+        self.three, self.two, self.one, self.pairs, self.singles = dict(grams), Counter(), Counter(), Counter(), Counter()
+        for g, n in grams.items():
+            self.two[g[1:]] += n
+            self.one[g[2]] += n
+            self.pairs[g[:2]] += n
+            self.singles[g[1]] += n
+        self.total = sum(grams.values())
+        self.rows: dict[str, _Costs] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rows": {}}
+
+    def cost(self, a: str, b: str, c: str) -> float:
+        """In nats, of c after a and b."""
+        p1 = (self.one[c] + 1) / (self.total + len(self.one) + 1)
+        p2 = (self.two[b + c] + SMOOTH * p1) / (self.singles[b] + SMOOTH)
+        return -math.log((self.three.get(a + b + c, 0) + SMOOTH * p2) / (self.pairs[a + b] + SMOOTH))
 
+    def after(self, a: str, b: str) -> _Costs:
+        if a + b not in self.rows:
+            self.rows[a + b] = _Costs(self, a, b)
+        return self.rows[a + b]
 
-def language_model(counts: np.ndarray) -> np.ndarray:
-    """Log probability of a letter after two others, smoothed by what follows one and none."""
-    three = counts.reshape(LETTERS, LETTERS, LETTERS)
-    two, one = three.sum(axis=0), three.sum(axis=(0, 1))
-    p1 = (one + 1) / (one.sum() + LETTERS)
-    p2 = (two + 5 * p1) / (two.sum(axis=1, keepdims=True) + 5)
-    return np.log((three + 5 * p2[None]) / (three.sum(axis=2, keepdims=True) + 5))
+
+class _Costs(dict):
+    """Costs after two characters, by the third."""
+
+    def __init__(self, language: Language, a: str, b: str) -> None:
+        self.of = language, a, b
+
+    def __missing__(self, c: str) -> float:
+        language, a, b = self.of
+        self[c] = cost = language.cost(a, b, c)
+        return cost
+
+
+def language_model(counts: DataFrame) -> Language:
+    """Of trigrams' counts, those that LEAST_GRAM keeps."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept = counts.where(F.col("n") >= max(1.0, LEAST_GRAM * total)).toPandas()  # 1 / LEAST_GRAM rows at most
+    letter = lambda shift: [chr(x) for x in (kept["gram"].to_numpy(np.int64) >> shift) & (2**21 - 1)]
+    return Language(dict(zip(map("".join, zip(letter(42), letter(21), letter(0))), kept["n"].tolist())))
 
 
 class Decoder:
     """Restores tokens under a language model, to which learned words are one more, uniform model of a word between breaks."""
 
-    def __init__(self, model: np.ndarray, learned: Iterable[str] = ()) -> None:
-        self.model = model.tolist()
+    def __init__(self, language: Language, learned: Iterable[str] = ()) -> None:
+        self.after = language.after
         self.trie: dict = {}
         for word in learned:
             node = self.trie
@@ -110,9 +179,6 @@ class Decoder:
             node[""] = word
         self.price = math.log(max(1, len(list(learned))))
 
-    def code(self, c: str) -> int:
-        return ord(c) - 96 if "a" <= c <= "z" else LETTERS - 1
-
     def learned(self, token: str, i: int) -> Iterator[tuple[int, float, str]]:
         """End, cost and letters of each learned word that token can say from place i on."""
         at = [(self.trie, self.price)]
@@ -130,41 +196,43 @@ class Decoder:
 
     def path(self, token: str, signs: bool = False, breaks: bool = False, cheap: bool = False) -> list[str]:
         """The words of the likeliest path: with ``signs`` any sign may part words, with ``breaks`` they may part anywhere; ``cheap`` repeats cost REPEAT all."""
-        paths = {(0, 0, ""): (0.0, None)}  # last two codes, last letter: cost, letters as a chain
+        paths = {(" ", " "): (0.0, None)}  # last two letters, a space for none: cost, letters as a chain
         ahead: dict[int, dict] = {}  # the same where learned words end
+        rows = self.after
 
-        def offer(key: tuple[int, int, str], cost: float, chain: tuple | None, into: dict) -> None:
+        def offer(key: tuple[str, str], cost: float, chain: tuple | None, into: dict) -> None:
             if key not in into or cost < into[key][0]:
                 into[key] = (cost, chain)
 
         for i, c in enumerate(token):
             repeat = REPEAT if cheap or c * 3 in token[max(0, i - 2) : i + 3] else TWICE
-            after: dict[tuple[int, int, str], tuple[float, tuple | None]] = ahead.pop(i + 1, {})
+            after: dict[tuple[str, str], tuple[float, tuple | None]] = ahead.pop(i + 1, {})
             options = [(x, SUBSTITUTE) for x in LEET.get(c, "")] + ([(c, 0.0)] if c.isalpha() else [])
             if breaks:
-                for (a, b, _), (cost, chain) in list(paths.items()):
-                    if b:
-                        offer((b, 0, ""), cost - self.model[a][b][0], (chain, " "), paths)
-            if self.trie and (signs or breaks) and (new := [paths[key] for key in paths if not key[1]]):
+                for (a, b), (cost, chain) in list(paths.items()):
+                    if b != " ":
+                        offer((b, " "), cost + rows(a, b)[" "], (chain, " "), paths)
+            if self.trie and (signs or breaks) and (new := [paths[key] for key in paths if key[1] == " "]):
                 begin, chain = min(new, key=lambda x: x[0])
                 for end, cost, word in self.learned(token, i):
-                    k = [0, *map(self.code, word)]
-                    offer((k[-2], k[-1], word[-1]), begin + cost, (chain, word), after if end == i + 1 else ahead.setdefault(end, {}))
-            for (a, b, last), (cost, chain) in paths.items():
+                    k = " " + word
+                    offer((k[-2], k[-1]), begin + cost, (chain, word), after if end == i + 1 else ahead.setdefault(end, {}))
+            for (a, b), (cost, chain) in paths.items():
                 if c in APART or not options:
-                    offer((a, b, last), cost + SKIP, chain, after)
+                    offer((a, b), cost + SKIP, chain, after)
                 if signs and not c.isalpha():
-                    if b:
-                        offer((b, 0, ""), cost + SIGN - self.model[a][b][0], (chain, " "), after)
+                    if b != " ":
+                        offer((b, " "), cost + SIGN + rows(a, b)[" "], (chain, " "), after)
                     else:
-                        offer((a, b, last), cost + SKIP, chain, after)
-                for x, price in options:
-                    k = self.code(x)
-                    offer((b, k, x), cost + price - self.model[a][b][k], (chain, x), after)
-                    if x == last:  # or the same letter goes on
-                        offer((a, b, last), cost + price + repeat, chain, after)
+                        offer((a, b), cost + SKIP, chain, after)
+                if options:
+                    row = rows(a, b)
+                    for x, price in options:
+                        offer((b, x), cost + price + row[x], (chain, x), after)
+                        if x == b:  # or the same letter goes on
+                            offer((a, b), cost + price + repeat, chain, after)
             paths = after
-        ends = [(cost if (signs or breaks) and not b else cost - self.model[a][b][0], chain) for (a, b, _), (cost, chain) in paths.items()]
+        ends = [(cost if (signs or breaks) and b == " " else cost + rows(a, b)[" "], chain) for (a, b), (cost, chain) in paths.items()]
         chain, letters = min(ends, key=lambda end: end[0])[1], []
         while chain:
             chain, x = chain
@@ -232,15 +300,28 @@ def spelled(tokens: list[str]) -> list[str]:
     return out
 
 
-def document_words(text: str, decoder: Decoder, known: dict[str, list[str]]) -> set[str]:
-    tokens = text.lower().split()
-    out: set[str] = set()
+class Known(dict):
+    """Words of tokens, remembered by token."""
+
+    def __init__(self, decoder: Decoder) -> None:
+        self.decoder, self.room = decoder, MEMO_BYTES
+
+    def __missing__(self, token: str) -> list[str]:
+        words = self.decoder.apart(token[1:]) if token[0] == " " else self.decoder.words(token)
+        if self.room > 0:
+            self[token] = words
+            self.room -= 300 + 4 * len(token) + sum(60 + len(w) for w in words)
+        return words
+
+
+def document_words(text: str, known: Known) -> dict[str, int]:
+    """The words of a text, each with the set of hashes (0 to 63, as bits) of the tokens that it stands after."""
+    tokens, out = text.lower().split(), {}
+    before = dict(zip(reversed(tokens), reversed(["", *tokens[:-1]])))  # of a token the first one it stands after
     for token in {*tokens, *(" " + run for run in spelled(tokens))}:  # no token begins with a space
-        if (words := known.get(token)) is None:
-            words = decoder.apart(token[1:]) if token[0] == " " else decoder.words(token)
-            if len(known) < TOKENS_KEPT:
-                known[token] = words
-        out.update(words)
+        context = 1 << (xxhash.xxh32_intdigest(before.get(token, "")) & 63)
+        for word in known[token]:
+            out[word] = out.get(word, 0) | context
     return out
 
 
@@ -248,13 +329,14 @@ class Weigher(dict):
     """What a token's words weigh, remembered by token."""
 
     def __init__(self, decoder: Decoder, weights: dict[str, float]) -> None:
-        self.decoder, self.weights = decoder, weights
+        self.decoder, self.weights, self.room = decoder, weights, MEMO_BYTES
 
     def __missing__(self, token: str) -> float:
         words = self.decoder.apart(token[1:]) if token[0] == " " else self.decoder.words(token)
         weight = sum(self.weights.get(w, 0.0) for w in words)
-        if len(self) < TOKENS_KEPT and len(token) <= 64:
+        if self.room > 0:
             self[token] = weight
+            self.room -= 200 + 4 * len(token)
         return weight
 
     def weigh(self, text: str) -> float:
@@ -263,19 +345,17 @@ class Weigher(dict):
 
 
 class Model:
-    """Language model, word weights and the logistic function of a document's weight; some megabytes however large the corpus."""
+    """Language model, word weights and the logistic function of a document's weight."""
 
-    def __init__(self, grams: np.ndarray, weights: dict[str, float], curve: tuple[float, float]) -> None:
+    def __init__(self, grams: Language, weights: dict[str, float], curve: tuple[float, float]) -> None:
         self.grams, self.weights, self.curve = grams, weights, curve
-        self._weigher: Weigher | None = None
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_weigher": None}
+    def weigher(self) -> Weigher:
+        return Weigher(Decoder(self.grams, self.weights), self.weights)
 
-    def weigh(self, texts: list[str]) -> np.ndarray:
-        if self._weigher is None:
-            self._weigher = Weigher(Decoder(self.grams, self.weights), self.weights)
-        return np.array([self._weigher.weigh(t) for t in texts])
+    def weigh(self, texts: list[str], weigher: Weigher | None = None) -> np.ndarray:
+        weigher = weigher or self.weigher()
+        return np.array([weigher.weigh(t) for t in texts], dtype=float)
 
     def score(self, weights: np.ndarray) -> np.ndarray:
         a, b = self.curve
@@ -307,25 +387,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
     sample = written(labelled.sample(docs, labels, label, folds, held_out, rows))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder, known = Decoder(shared.value), {}
+        known = Known(Decoder(shared.value))
         for batch in batches:
-            n, n1 = Counter(), Counter()
+            n, n1, contexts = Counter(), Counter(), {}
             for text, y in zip(batch["text"].array, batch["label"].array):
-                words = document_words(text, decoder, known)
-                n.update(words)
+                words = document_words(text, known)
+                n.update(words.keys())
                 if y:
-                    n1.update(words)
-            yield pd.DataFrame({"word": list(n), "n": list(n.values()), "n1": [n1[w] for w in n]})
-
-    counts = sample.mapInPandas(count, "word string, n long, n1 long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
-    learned = counts.where((F.col("n1") >= LEAST_DOCS) & (F.col("n1") >= LEAST_SHARE * F.col("n"))).orderBy(F.desc("n1"), "word").limit(LEXICON).collect()
+                    n1.update(words.keys())
+                    for word, bits in words.items():
+                        contexts[word] = contexts.get(word, 0) | bits
+            signed = np.array([contexts.get(w, 0) for w in n], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"word": list(n), "n": list(n.values()), "n1": [n1[w] for w in n], "contexts": signed})
+
+    counts = sample.mapInPandas(count, "word string, n long, n1 long, contexts long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.bit_or("contexts").alias("contexts"))
+    enough = (F.col("n1") >= LEAST_DOCS) & (F.col("n1") >= LEAST_SHARE * F.col("n")) & (F.bit_count("contexts") >= LEAST_CONTEXTS)
+    learned = counts.where(enough).orderBy(F.desc("n1"), "word").collect()  # of a bounded sample
     weights = {r["word"]: math.log((r["n1"] + 1) / (r["n"] - r["n1"] + 1)) + 1 for r in learned}
     model = Model(grams, weights, (0.0, 0.0))
     held = spark.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weigher = held.value.weigher()
         for batch in batches:
-            yield pd.DataFrame({"weight": held.value.weigh(batch["text"].tolist()), "label": batch["label"]})
+            yield pd.DataFrame({"weight": held.value.weigh(batch["text"].tolist(), weigher), "label": batch["label"]})
 
     known = sample.mapInPandas(weigh, "weight double, label int").toPandas().sort_values(["weight", "label"])
     model.curve = logistic(np.log1p(known["weight"].to_numpy()), known["label"].to_numpy(float))
@@ -337,7 +422,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(shared.value.weigh(texts.tolist())))
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weigher = shared.value.weigher()
+        for texts in batches:
+            yield pd.Series(shared.value.score(shared.value.weigh(texts.tolist(), weigher)))
 
     return docs.withColumn(into, scored(text_of(text)))

@@ -1,5 +1,7 @@
+import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -50,27 +52,37 @@ def test_disguised_words_are_restored(spark):
 def test_viterbi_beats_no_other_path():
     """Against all paths of the lattice of short tokens."""
     rng = np.random.default_rng(1)
-    model = np.log(rng.dirichlet(np.ones(toxicity.LETTERS), (toxicity.LETTERS, toxicity.LETTERS)))
-    decoder = toxicity.Decoder(model)
+    letters = " abdegilopstuz_é"
+    language = toxicity.Language({a + b + c: int(n) for (a, b, c), n in zip(itertools.product(letters, letters, letters), rng.integers(0, 50, len(letters) ** 3)) if n})
+    decoder = toxicity.Decoder(language)
 
-    def paths(token, i, a, b, last, cost, said):
+    def paths(token, i, a, b, cost, said):
         if i == len(token):
-            yield cost - decoder.model[a][b][0], said
+            yield cost + language.cost(a, b, " "), said
             return
         c, rest = token[i], i + 1
         run = len(token[:i]) - len(token[:i].rstrip(c)) + len(token[i:]) - len(token[i:].lstrip(c))
         repeat = toxicity.REPEAT if run > 2 else toxicity.TWICE
         options = [(x, toxicity.SUBSTITUTE) for x in toxicity.LEET.get(c, "")] + ([(c, 0.0)] if c.isalpha() else [])
         if c in toxicity.APART or not options:
-            yield from paths(token, rest, a, b, last, cost + toxicity.SKIP, said)
+            yield from paths(token, rest, a, b, cost + toxicity.SKIP, said)
         for x, price in options:
-            k = decoder.code(x)
-            yield from paths(token, rest, b, k, x, cost + price - decoder.model[a][b][k], said + x)
-            if x == last:
-                yield from paths(token, rest, a, b, last, cost + price + repeat, said)
-
-    for token in ("1d10t", "i.d-i0t", "looool", "loose", "$7up1d", "a__b", "661", "ll|"):
-        assert decoder.viterbi(token) == min(paths(token, 0, 0, 0, "", 0.0, ""))[1], token
+            yield from paths(token, rest, b, x, cost + price + language.cost(a, b, x), said + x)
+            if x == b:
+                yield from paths(token, rest, a, b, cost + price + repeat, said)
+
+    for token in ("1d10t", "i.d-i0t", "looool", "loose", "$7up1d", "a__b", "661", "ll|", "1é3"):
+        assert decoder.viterbi(token) == min(paths(token, 0, " ", " ", 0.0, ""))[1], token
+
+
+def test_trigrams_by_code_point(spark):
+    texts = ["Über 1 Käse", "漢字 und 漢字", None, "", "a", "\U0001d400x é" * 3, "".join(map(chr, range(0x4E00, 0x4F00)))]
+    want = Counter()
+    low = ("  " + "  ".join(t or "" for t in texts).lower() + "  ")
+    said = "".join(c if c.isalpha() else " " for c in low)
+    want.update(said[i : i + 3] for i in range(len(said) - 2))
+    got = toxicity.trigrams(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect()
+    assert {"".join(chr(r.gram >> k & (2**21 - 1)) for k in (42, 21, 0)): r.n for r in got} == want
 
 
 def test_odd_texts(spark):
