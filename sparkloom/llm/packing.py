@@ -12,6 +12,7 @@ number picks its place in a pattern.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -22,10 +23,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import id_and_text, written
 
-#: Distinct words whose ids a Python worker remembers; later words are encoded each time.
-WORDS_KEPT = 400_000
+#: Bytes of words and ids that a task remembers, about; later words are encoded each time.
+MEMO_BYTES = 24_000_000
 ROWS_A_BUCKET = 50_000
-_loaded: dict[tuple[str, str], "_Encoder"] = {}
 
 
 class _Loose(Exception):
@@ -42,20 +42,21 @@ class _Encoder(dict):
     def __init__(self, json_path: str, ranks_path: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
+        with open(json_path) as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.json_path, self.full, self.room = json_path, None, MEMO_BYTES
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace():
             raise _Loose
         ids = self._ids(" " + word)
-        if len(self) < WORDS_KEPT and len(word) <= 64:
+        if self.room > 0:
             self[word] = ids
+            self.room -= 200 + 4 * len(word) + len(ids)
         return ids
 
     def _ids(self, text: str) -> bytes:
@@ -63,6 +64,10 @@ class _Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         if "<|" in text and any(s in text for s in self.special):
+            if self.full is None:
+                from tokenizers import Tokenizer
+
+                self.full = Tokenizer.from_file(self.json_path)
             return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         first, *rest = text.split(" ")
         try:
@@ -71,13 +76,6 @@ class _Encoder(dict):
             return self._ids(text)
 
 
-def encoder(json_path: str, ranks_path: str) -> _Encoder:
-    key = (json_path, ranks_path)
-    if key not in _loaded:
-        _loaded[key] = _Encoder(*key)
-    return _loaded[key]
-
-
 def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids]: each document's ids and the end id, cut into pieces of at most ``capacity``.
 
@@ -86,7 +84,7 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, capacity: int
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(json_path, ranks_path).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode, end = _Encoder(json_path, ranks_path).encode, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"].array, batch["text"].array):

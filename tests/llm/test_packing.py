@@ -11,7 +11,7 @@ TEXTS = [None, "", " ", "a  b", "a \n b\n\n c", "tab\tand  two ", "x" * 3000, "w
 
 
 def test_ids_are_the_tokenizers_ids():
-    full, own = Tokenizer.from_file(PATHS[0]), packing.encoder(*PATHS)
+    full, own = Tokenizer.from_file(PATHS[0]), packing._Encoder(*PATHS)
     for text in TEXTS[1:]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == full.encode(text, add_special_tokens=False).ids, text
 
