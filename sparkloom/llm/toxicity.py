@@ -6,9 +6,10 @@ disguised (digits or signs for letters, letters apart, letters repeated) is a la
 each character can stand for, and the Viterbi path under language model and channel is what it
 says. Letters apart are put together and the same model places the breaks between their words.
 What a token can say in several ways counts in each of them. Words that mark label 1 are
-learned on a bounded sample of labelled rows, on restored words, and only if they stand after
-enough different tokens, so that what copies of one passage have in common isn't learned. A
-document's score is a logistic function of what its restored words weigh.
+learned on a bounded sample of labelled rows, on restored words and their stems, and only if
+they stand after enough different tokens, so that what copies of one passage have in common
+isn't learned. A document's score is a logistic function of what its restored words weigh and
+of how many tokens it has.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import math
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import groupby
 
@@ -45,8 +46,8 @@ SUBSTITUTE, SKIP, REPEAT = 1.0, 0.5, 0.5
 TWICE = 6.0
 #: Of reading a sign as a sign, between words.
 SIGN = 2.0
-#: Bytes of tokens that a worker remembers, about.
-MEMO_BYTES = 12_000_000
+#: Bytes of plain tokens and of others that a task remembers, about.
+PLAIN_BYTES, MEMO_BYTES = 16_000_000, 8_000_000
 #: A trigram is kept if it makes up so large a share of all: of at most 1 / LEAST_GRAM trigrams this can be true, whatever the corpus.
 LEAST_GRAM = 2.0**-19
 #: Of trigrams never seen in a context, as if so many had been.
@@ -54,6 +55,8 @@ SMOOTH = 5.0
 #: A word is learned if so many labelled documents of label 1 hold it, and they are so large a share of all that do,
 #: and it stands there after at least so many different tokens.
 LEAST_DOCS, LEAST_SHARE, LEAST_CONTEXTS = 8, 0.5, 6
+#: Characters of the stems that are learned like words, longest first; a stem is written with a star.
+STEMS = (7, 6, 5)
 
 _letter = re.compile(r"[^\W\d_]")
 _sign = re.compile(r"[0-9@$!|+€£¡.\-_*~'’·]")
@@ -300,8 +303,14 @@ def spelled(tokens: list[str]) -> list[str]:
     return out
 
 
+def plain(token: str) -> str | None:
+    """What a lower-case token says if it is a word as it stands."""
+    core = token.strip(EDGES)
+    return core if core.isalpha() and (len(core) < 3 or not _repeated.search(core)) else None
+
+
 class Known(dict):
-    """Words of tokens, remembered by token."""
+    """Words of tokens that aren't plain, remembered by token."""
 
     def __init__(self, decoder: Decoder) -> None:
         self.decoder, self.room = decoder, MEMO_BYTES
@@ -314,66 +323,120 @@ class Known(dict):
         return words
 
 
+class _Gaps(dict):
+    """For str.translate: what can be left out within a word, whatever it is, as a dot."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if chr(code).isalpha() or chr(code) in LEET else ord(".")
+        return self[code]
+
+
+def spellings(features: Iterable[str]) -> Callable[[str], bool]:
+    """Whether the channel could have made some of the words, or words of the stems, into a part of a token. It says yes to more than that, but no to nothing less."""
+    trie: dict = {}
+    for feature in features:
+        node = trie
+        for x in feature.rstrip("*"):
+            node = node.setdefault(x, {})
+        node[""] = {}
+    of: dict[str, str] = {}
+    for c, letters in LEET.items():
+        for x in letters:
+            of[x] = of.get(x, "") + c
+
+    def pattern(node: dict) -> str:
+        if "" in node:
+            return ""
+        return f"(?:{'|'.join(f'[{re.escape(x + of.get(x, str()))}]+[.]*{pattern(more)}' for x, more in sorted(node.items()))})"
+
+    search, gaps = re.compile(pattern(trie) if trie else r"(?!)").search, _Gaps()
+    return lambda token: search(_stretched.sub(r"\1\1\1", token).translate(gaps)) is not None
+
+
+def stems(word: str) -> list[str]:
+    return [word[:n] + "*" for n in STEMS if len(word) > n]
+
+
+def weight_of(word: str, weights: dict[str, float]) -> float:
+    """A word's own weight, else that of its longest stem that has one, else 0."""
+    return next((weights[x] for x in (word, *stems(word)) if x in weights), 0.0)
+
+
 def document_words(text: str, known: Known) -> dict[str, int]:
-    """The words of a text, each with the set of hashes (0 to 63, as bits) of the tokens that it stands after."""
+    """The words of a text and their stems, each with the set of hashes (0 to 63, as bits) of the tokens that it stands after."""
     tokens, out = text.lower().split(), {}
     before = dict(zip(reversed(tokens), reversed(["", *tokens[:-1]])))  # of a token the first one it stands after
     for token in {*tokens, *(" " + run for run in spelled(tokens))}:  # no token begins with a space
         context = 1 << (xxhash.xxh32_intdigest(before.get(token, "")) & 63)
-        for word in known[token]:
-            out[word] = out.get(word, 0) | context
+        for word in [word] if (word := plain(token)) else known[token]:
+            for feature in (word, *stems(word)):
+                out[feature] = out.get(feature, 0) | context
     return out
 
 
 class Weigher(dict):
-    """What a token's words weigh, remembered by token."""
+    """What a token's words weigh, remembered by token. Only tokens that may hold a learned word need the decoder."""
 
     def __init__(self, decoder: Decoder, weights: dict[str, float]) -> None:
-        self.decoder, self.weights, self.room = decoder, weights, MEMO_BYTES
+        self.decoder, self.weights = decoder, weights
+        self.plain_room, self.room = PLAIN_BYTES, MEMO_BYTES
+        self.may_hold = spellings(weights)
 
     def __missing__(self, token: str) -> float:
-        words = self.decoder.apart(token[1:]) if token[0] == " " else self.decoder.words(token)
-        weight = sum(self.weights.get(w, 0.0) for w in words)
+        if word := plain(token):
+            weight = weight_of(word, self.weights)
+            if self.plain_room > 0:
+                self[token] = weight
+                self.plain_room -= 150 + len(token)
+            return weight
+        if self.may_hold(token):
+            words = self.decoder.apart(token[1:]) if token[0] == " " else self.decoder.words(token)
+            weight = sum((weight_of(w, self.weights) for w in words), 0.0)
+        else:
+            weight = 0.0
         if self.room > 0:
             self[token] = weight
             self.room -= 200 + 4 * len(token)
         return weight
 
-    def weigh(self, text: str) -> float:
+    def weigh(self, text: str) -> tuple[float, int]:
+        """What all tokens of a text weigh, and how many there are."""
         tokens = text.lower().split()
-        return sum(map(self.__getitem__, tokens)) + sum(self[" " + run] for run in spelled(tokens))
+        return sum(map(self.__getitem__, tokens)) + sum(self[" " + run] for run in spelled(tokens)), len(tokens)
 
 
 class Model:
     """Language model, word weights and the logistic function of a document's weight."""
 
-    def __init__(self, grams: Language, weights: dict[str, float], curve: tuple[float, float]) -> None:
+    def __init__(self, grams: Language, weights: dict[str, float], curve: tuple[float, ...]) -> None:
         self.grams, self.weights, self.curve = grams, weights, curve
 
     def weigher(self) -> Weigher:
-        return Weigher(Decoder(self.grams, self.weights), self.weights)
+        return Weigher(Decoder(self.grams, [w for w in self.weights if w[-1] != "*"]), self.weights)
 
     def weigh(self, texts: list[str], weigher: Weigher | None = None) -> np.ndarray:
-        weigher = weigher or self.weigher()
-        return np.array([weigher.weigh(t) for t in texts], dtype=float)
+        """A row for each text: the weight of its tokens and their number, both as log1p."""
+        weigher = self.weigher() if weigher is None else weigher
+        return np.log1p(np.array([weigher.weigh(t) for t in texts], dtype=float).reshape(-1, 2))
 
-    def score(self, weights: np.ndarray) -> np.ndarray:
-        a, b = self.curve
-        return 1 / (1 + np.exp(-(a + b * np.log1p(weights))))
+    def score(self, weighed: np.ndarray) -> np.ndarray:
+        a, b, c = self.curve
+        return 1 / (1 + np.exp(-(a + b * weighed[:, 0] + c * weighed[:, 1])))
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope (not below 0), by Newton's method with a small ridge; without rows even odds."""
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Intercept and slopes by Newton's method with a small ridge; without rows even odds."""
     if not len(x):
-        return 0.0, 0.0
-    design, w = np.stack([np.ones(len(x)), x], axis=1), np.zeros(2)
+        return (0.0,) * (x.shape[1] + 1)
+    design = np.column_stack([np.ones(len(x)), x])
+    w = np.zeros(design.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-design @ w))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2), design.T @ (y - p) - 0.1 * w)
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(len(w)), design.T @ (y - p) - 0.1 * w)
         w += step
         if abs(step).max() < 1e-9:
             break
-    return float(w[0]), max(0.0, float(w[1]))
+    return tuple(map(float, w))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, rows: int = labelled.SAMPLE_ROWS) -> Model:
@@ -404,21 +467,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
     enough = (F.col("n1") >= LEAST_DOCS) & (F.col("n1") >= LEAST_SHARE * F.col("n")) & (F.bit_count("contexts") >= LEAST_CONTEXTS)
     learned = counts.where(enough).orderBy(F.desc("n1"), "word").collect()  # of a bounded sample
     weights = {r["word"]: math.log((r["n1"] + 1) / (r["n"] - r["n1"] + 1)) + 1 for r in learned}
-    model = Model(grams, weights, (0.0, 0.0))
+    model = Model(grams, weights, (0.0, 0.0, 0.0))
     held = spark.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weigher = held.value.weigher()
         for batch in batches:
-            yield pd.DataFrame({"weight": held.value.weigh(batch["text"].tolist(), weigher), "label": batch["label"]})
+            yield pd.DataFrame(held.value.weigh(batch["text"].tolist(), weigher), columns=["weight", "tokens"]).assign(label=batch["label"].to_numpy())
 
-    known = sample.mapInPandas(weigh, "weight double, label int").toPandas().sort_values(["weight", "label"])
-    model.curve = logistic(np.log1p(known["weight"].to_numpy()), known["label"].to_numpy(float))
+    known = sample.mapInPandas(weigh, "weight double, tokens double, label int").toPandas().sort_values(["weight", "tokens", "label"])
+    model.curve = logistic(known[["weight", "tokens"]].to_numpy(float), known["label"].to_numpy(float))
     return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """docs with a score column: the probability of label 1 of its whole text; null and empty texts weigh nothing."""
+    """docs with a score column: the probability of label 1 of its whole text; null and empty texts weigh nothing and have no tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

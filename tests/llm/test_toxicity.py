@@ -104,16 +104,16 @@ def test_nothing_to_learn_from(spark):
 def weighing(spark):
     rows, _ = corpus()
     model = toxicity.language_model(toxicity.trigrams(spark.createDataFrame(rows, "doc_id long, text string")))
-    return toxicity.Model(model, dict.fromkeys(BAD, 1.0), (0.0, 1.0))
+    return toxicity.Model(model, dict.fromkeys(BAD, 1.0), (0.0, 1.0, 0.0))
 
 
 def test_letters_apart(spark):
     w = weighing(spark)
     for text, n in {
-        "s t u p i d i d i o t": 2, "a m o r o n": 1, "it is i d i o t, and": 1, "(i d i o t)": 1, "y o u a r e a m o r o n.": 1, "i d i o t": 1,
+        "s t u p i d i d i o t": 2, "a m o r o n": 1, "y o u i d i o t": 1, "it is i d i o t, and": 1, "(i d i o t)": 1, "y o u a r e a m o r o n.": 1, "i d i o t": 1,
         "w o r t h l e s s p a t h e t i c m o r o n s t u p i d i d i o t": 5, "s t u p 1 d m 0 r o n": 2, " ".join("theanisaton" * 4 + "idiot" + "theredon" * 4): 1, "on i d or a b c": 0,
     }.items():
-        assert w.weigh([text])[0] == n, text
+        assert round(np.expm1(w.weigh([text])[0, 0])) == n, text
 
 
 def test_no_disguise_is_kept_from_the_decoder(spark):
@@ -122,4 +122,20 @@ def test_no_disguise_is_kept_from_the_decoder(spark):
         "st" + "u" * 40 + "pid": 1, "stupid.1d10t.m0r0n.w0rthless-path3tic-stup1d": 6, "1d107": 1, "!d!07": 1, "1d1ot!": 1, "1d1ot!!": 1, "!!1d1ot": 1, "1d107!!": 1, "1d1ot99": 1,
         "iiddiioott": 1, "mmoorroonn!": 1, "idiot!!": 1, "b7db7aa4a5fcc783": 0, "the!!": 0, "100": 0,
     }.items():
-        assert w.weigh([text])[0] == n, text
+        assert round(np.expm1(w.weigh([text])[0, 0])) == n, text
+
+
+def test_what_needs_no_decoder_weighs_nothing(spark):
+    w = weighing(spark)
+    weigher = w.weigher()
+    rng = random.Random(8)
+    tokens = ["".join(rng.choice("abcdeghiklmnopqrstuvwxyz0123457@$!|+.-_*é²Ⅷ") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    for word in BAD:
+        for _ in range(60):
+            c = list(word)
+            for k in range(len(c)):
+                c[k] = rng.choice([c[k], c[k] * rng.randint(1, 5), c[k] + rng.choice(".-_²Ⅷ*"), {"i": "1", "o": "0", "s": "$", "t": "7", "a": "@", "e": "3"}.get(c[k], c[k])])
+            tokens.append(rng.choice(["", "x", "!!"]) + "".join(c) + rng.choice(["", "!", "!!", "e"]))
+    for token in tokens:
+        weight = sum(toxicity.weight_of(x, w.weights) for x in weigher.decoder.words(token))
+        assert weigher[token] == weight, token
