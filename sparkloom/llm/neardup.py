@@ -214,7 +214,7 @@ def across(loose: list[Bag], own: np.ndarray, members: list[Bag], of: np.ndarray
         held[at[there]] = bag.counts[there]
         both = np.add.reduceat(np.minimum(held[ids], counts), begins)
         held[at] = 0
-        for other in np.unique(of[(both >= threshold * (sizes + bag.n - both)) & (of != label)]).tolist():
+        for other in np.unique(of[(both / (sizes + bag.n - both) >= threshold) & (of != label)]).tolist():
             a, b = find(label), find(other)
             if a != b:
                 root[max(a, b)] = min(a, b)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,47 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+# Kind, its place in the list, pattern, the group that is measured, and its least length.
+_SECRETS = (
+    ("assign", 0, r"""((?:PASSWORD|PASSWD|SECRET|TOKEN|API_?KEY))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", 1, "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", 2, "[0-9a-f]+", 0, 16),
+    ("pem", 3, "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("forge", 4, "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    ("jwt", 5, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+)
+
+
+def _spans(kind: str, nth: int, pattern: str, group: int, least: int) -> str:
+    """A kind's matches and, from the lengths of what lies between them, where they begin."""
+    return f"""
+      SELECT doc_id, '{kind}' AS kind, {nth} AS nth, start, '{kind}:' || start || ':' || (start + size) AS span FROM (
+        SELECT doc_id, held, size, (sum(gap) OVER w + sum(size) OVER w - size)::BIGINT AS start FROM (
+          SELECT doc_id, generate_subscripts(found, 1) AS i, length(unnest(found)) AS size, length(unnest(held)) AS held, length(unnest(between[: len(found)])) AS gap
+          FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found, regexp_extract_all(text, '{pattern}', {group}) AS held, string_split_regex(text, '{pattern}') AS between FROM d WHERE regexp_matches(text, '{pattern}'))
+        ) WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)
+      ) WHERE held >= {least}"""
+
+
+def _any_case(pattern: str) -> str:
+    """A pattern whose upper-case words stand for letters A to Z in either case, and for no others."""
+    head, bracket, rest = pattern.partition("))")
+    return re.sub("[A-Z]", lambda m: f"[{m[0]}{m[0].lower()}]", head) + bracket + rest
+
+
+ORACLES["op1_secret_ledger"] = f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    spans AS ({" UNION ALL ".join(_spans(kind, nth, _any_case(pattern) if kind == "assign" else pattern, *rest) for kind, nth, pattern, *rest in _SECRETS)}),
+    sums AS (
+      SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(span, ',' ORDER BY start, nth) FILTER (nth < 3) AS base, string_agg(span, ',' ORDER BY start, nth) AS spans
+      FROM spans GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10)
@@ -122,6 +164,22 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+ORACLES["op2_near_duplicates"] = r"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\s\x0B\x1C-\x1F\x85\xA0]+'), lambda x: x <> '') AS w FROM d),
+    s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS shingle FROM w),
+    b AS (SELECT doc_id, shingle, count(*) AS n FROM s GROUP BY 1, 2),
+    t AS (SELECT doc_id, sum(n) AS total FROM b GROUP BY 1),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS c, sum(least(x.n, y.n)) AS shared FROM b x JOIN b y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+    links AS (
+      SELECT a, c FROM p JOIN t ta ON ta.doc_id = a JOIN t tc ON tc.doc_id = c WHERE shared::DOUBLE / (ta.total + tc.total - shared) >= 0.8
+      UNION SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.text = y.text AND x.doc_id <> y.doc_id
+    ),
+    reached(doc_id, class_id) AS (SELECT doc_id, doc_id FROM d UNION SELECT a, class_id FROM reached JOIN links ON c = reached.doc_id)
+    SELECT doc_id, min(class_id) AS class_id FROM reached GROUP BY doc_id
+"""
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
