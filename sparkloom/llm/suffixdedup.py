@@ -18,7 +18,10 @@ there; where an anchor has more than ``KINDS_TOGETHER`` kinds, Spark sorts their
 by one.
 
 Each task first settles what repeats within itself, so that a passage in a third of all
-documents gives a sort one row for each task.
+documents gives a sort one row for each task. A phrase that stands amid ever other text is no
+such passage: its anchor has as many kinds as it has places. A share of the documents, ranked
+beforehand, shows such anchors; they have several kinds for sure, so their kinds are dealt to
+many tasks, and which anchors are found so changes no result.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ BLOCK = 2**18
 #: Rows that a task holds to settle repeats within itself.
 ROWS_HELD = 500_000
 KINDS_TOGETHER = 1_000
+#: One of so many documents is ranked beforehand. An anchor with HOT_KINDS kinds or one in HOT_SHARE of all kinds there, whichever is more, is dealt to SALTS tasks; there are HOT_SHARE such anchors at most.
+SAMPLED, HOT_KINDS, HOT_SHARE, SALTS = 32, 64, 20_000, 256
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _BYTE_NAMES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -132,7 +137,7 @@ def merged(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, length: np.ndar
     return _rows(doc[first], twin[first], start[first], ends[last] - start[first], False)
 
 
-ROWS = "doc long, twin int, start long, length long, open boolean, key long"
+ROWS = "doc long, twin long, start long, length long, open boolean, key long"
 
 
 def _rows(doc, twin, start, length, is_open: bool, key=0) -> pd.DataFrame:
@@ -140,11 +145,18 @@ def _rows(doc, twin, start, length, is_open: bool, key=0) -> pd.DataFrame:
 
 
 #: What the sorts deal out. size 0: an interval (start, name) that is known to go, not to be sorted.
-KEYED = "key long, name long, doc long, twin int, start long, size int"
+KEYED = "key long, name long, doc long, twin long, start long, size int, salt int"
 
 
-def settled_here(rows: list[tuple[np.ndarray, ...]], extra: Callable[[np.ndarray], np.ndarray]) -> Iterator[pd.DataFrame]:
-    """Of a task's (key, name, doc, twin, start, size): the first of each (key, name); the rest as intervals of extra(size) bytes."""
+def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted array."""
+    if not len(some):
+        return np.zeros(len(keys), dtype=bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
+def settled_here(rows: list[tuple[np.ndarray, ...]], extra: Callable[[np.ndarray], np.ndarray], hot: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Of a task's (key, name, doc, twin, start, size): the first of each (key, name); the rest as intervals of extra(size) bytes. Keys in hot (sorted) are salted by name."""
     key, name, doc, twin, start, size = (np.concatenate(x) for x in zip(*rows))
     order = np.lexsort((start, doc, name, key))
     key, name, doc, twin, start, size = (x[order] for x in (key, name, doc, twin, start, size))
@@ -152,36 +164,44 @@ def settled_here(rows: list[tuple[np.ndarray, ...]], extra: Callable[[np.ndarray
     new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     stays = (doc == doc[first]) & (start == start[first])  # the same place in a repeated row is not an earlier one
-    yield pd.DataFrame({"key": key[stays], "name": name[stays], "doc": doc[stays], "twin": twin[stays], "start": start[stays], "size": size[stays].astype(np.int32)})
+    yield pd.DataFrame({"key": key[stays], "name": name[stays], "doc": doc[stays], "twin": twin[stays], "start": start[stays], "size": size[stays].astype(np.int32), "salt": np.where(among(key[stays], hot), name[stays] & (SALTS - 1), 0).astype(np.int32)})
     gone = ~stays
     known = merged(doc[gone], twin[gone], start[gone], extra(size[gone]))
     spread = known["doc"].to_numpy() * np.int64(0x9E3779B97F4A7C1) + known["start"].to_numpy()
-    yield pd.DataFrame({"key": spread, "name": known["length"], "doc": known["doc"], "twin": known["twin"], "start": known["start"], "size": np.int32(0)})
+    yield pd.DataFrame({"key": spread, "name": known["length"], "doc": known["doc"], "twin": known["twin"], "start": known["start"], "size": np.int32(0), "salt": np.int32(0)})
+
+
+def hot_anchors(docs: DataFrame, span: int) -> np.ndarray:
+    """Anchors, sorted, that have very many kinds in the documents whose hash falls to the sample."""
+    some = docs.where(F.pmod(F.xxhash64("doc", "twin"), F.lit(SAMPLED)) == 0)
+    kinds = written(first_ranks(some, span, np.zeros(0, np.int64)).where("size > 0").select("key", "name").distinct().groupBy("key").agg(F.count("*").alias("n")))
+    most = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / HOT_SHARE
+    return np.array(sorted(r["key"] for r in kinds.where(F.col("n") >= max(HOT_KINDS, most)).collect()), dtype=np.int64)
 
 
-def first_ranks(docs: DataFrame, span: int) -> DataFrame:
+def first_ranks(docs: DataFrame, span: int, hot: np.ndarray) -> DataFrame:
     """KEYED rows of all segments."""
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, count = [], 0
         for batch in batches:
-            ids, twins, texts = batch["doc"].to_numpy(np.int64), batch["twin"].to_numpy(np.int32), [t.encode() for t in batch["text"].array]
+            ids, twins, texts = batch["doc"].to_numpy(np.int64), batch["twin"].to_numpy(np.int64), [t.encode() for t in batch["text"].array]
             for data, parts in blocks(ids, twins, texts, span):
                 part, lo, n, anchor, covered = segments(data, parts, span)
                 row, at, begin = (np.array([p[k] for p in parts], dtype=np.int64)[part] for k in (0, 1, 2))
                 held.append((anchor, covered, ids[row], twins[row], at + lo - begin, n.astype(np.int32)))
                 count += len(part)
                 if count >= ROWS_HELD:
-                    yield from settled_here(held, lambda n: n - 1 + span)
+                    yield from settled_here(held, lambda n: n - 1 + span, hot)
                     held, count = [], 0
         if held:
-            yield from settled_here(held, lambda n: n - 1 + span)
+            yield from settled_here(held, lambda n: n - 1 + span, hot)
 
     return docs.select("doc", "twin", "text").mapInPandas(ranked, KEYED)
 
 
-def sorted_out(keyed: DataFrame, span: int, goes_on: bool) -> DataFrame:
-    """ROWS after a sort by rank: closed intervals of what repeats an earlier row; with goes_on, as open ones the first of each kind whose key has several kinds."""
+def sorted_out(keyed: DataFrame, span: int, goes_on: bool, hot: np.ndarray) -> DataFrame:
+    """ROWS after a sort by rank: closed intervals of what repeats an earlier row; with goes_on, as open ones the first of each kind whose key has several kinds, as all in hot have."""
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key0 = name0 = doc0 = start0 = None  # of the first row of the kind at hand
@@ -207,7 +227,7 @@ def sorted_out(keyed: DataFrame, span: int, goes_on: bool) -> DataFrame:
             if gone.any():
                 yield merged(doc[gone], twin[gone], start[gone], size[gone].astype(np.int64) - 1 + span)
             if goes_on:
-                firsts = pd.DataFrame({"key": key[stays], "name": name[stays], "doc": doc[stays], "twin": twin[stays], "start": start[stays], "length": size[stays].astype(np.int64), "several": False})
+                firsts = pd.DataFrame({"key": key[stays], "name": name[stays], "doc": doc[stays], "twin": twin[stays], "start": start[stays], "length": size[stays].astype(np.int64), "several": among(key[stays], hot)})
                 if waiting is not None:
                     firsts = pd.concat([waiting, firsts], ignore_index=True)
                 if len(firsts):
@@ -229,7 +249,8 @@ def sorted_out(keyed: DataFrame, span: int, goes_on: bool) -> DataFrame:
             out = waiting[waiting["several"]]
             yield _rows(*(out[c].to_numpy() for c in ("doc", "twin", "start", "length")), True, out["key"].to_numpy())
 
-    dealt = keyed.repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key", "name", "doc", "start")
+    by = ("key", "salt") if goes_on else ("key", "name")  # the last ranks need no other of their key
+    dealt = keyed.repartition(partitions(keyed.sparkSession), *by).sortWithinPartitions("key", "name", "doc", "start")
     return dealt.mapInPandas(settle, ROWS)
 
 
@@ -254,7 +275,7 @@ def last_ranks(docs: DataFrame, span: int) -> DataFrame:
     """COVERED rows of each text's open segments (opened: start, length, key, crowded): whole, or if crowded position by position."""
 
     def single(held: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
-        for rows in settled_here(held, lambda n: n - 1 + span):
+        for rows in settled_here(held, lambda n: n - 1 + span, np.zeros(0, np.int64)):
             yield rows.assign(bytes=b"")
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,10 +289,10 @@ def last_ranks(docs: DataFrame, span: int) -> DataFrame:
                     covers = data[start : start + n - 1 + span]
                     if x["crowded"]:
                         key, name = pair_ranks(np.frombuffer(covers, np.uint8), span)
-                        held.append((key, name, np.full(n, doc, np.int64), np.full(n, twin, np.int32), start + np.arange(n), np.ones(n, np.int32)))
+                        held.append((key, name, np.full(n, doc, np.int64), np.full(n, twin, np.int64), start + np.arange(n), np.ones(n, np.int32)))
                         count += n
                     else:
-                        whole.append((x["key"], 0, doc, twin, start, n, covers))
+                        whole.append((x["key"], 0, doc, twin, start, n, 0, covers))
                 if count >= ROWS_HELD:
                     yield from single(held)
                     held, count = [], 0
@@ -344,13 +365,16 @@ def remove_repeats(docs: DataFrame, span: int = 100, doc_id: str = "doc_id", tex
     doc_id, or further left in the same one; overlapping strings count and all are judged on
     the input. A null or empty text has no bytes; a null doc_id is the smallest. Repeated rows
     are one document: a string at the same start of the same doc_id is not an earlier one.
+    Equality of strings is that of two 64 bit names.
     kept can end amid a character. Columns of docs with these names are replaced.
     span is 2 * GRAM + 1 or more and less than 2 * 64 + GRAM.
     """
     assert 2 * GRAM < span < 128
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = docs.withColumns({"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "__twin": F.hash(whole)})
-    first = written(sorted_out(first_ranks(base.select(F.col("__doc").alias("doc"), F.col("__twin").alias("twin"), whole.alias("text")), span), span, goes_on=True))
+    base = docs.withColumns({"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "__twin": F.xxhash64(whole)})
+    texts = base.select(F.col("__doc").alias("doc"), F.col("__twin").alias("twin"), whole.alias("text"))
+    hot = hot_anchors(texts, span)
+    first = written(sorted_out(first_ranks(texts, span, hot), span, True, hot))
     crowds = written(first.where("open").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > KINDS_TOGETHER))
     going_on = first.where("open").join(crowds, "key", "left").withColumn("crowded", F.col("n").isNotNull())
     opened = going_on.groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "length", "key", "crowded")).alias("__opened"))
@@ -360,7 +384,7 @@ def remove_repeats(docs: DataFrame, span: int = 100, doc_id: str = "doc_id", tex
     ranked = last_ranks(again, span)
     intervals = first.where("NOT open").unionByName(together(ranked.where("octet_length(bytes) > 0"), span))
     if not crowds.isEmpty():
-        intervals = intervals.unionByName(sorted_out(ranked.where("octet_length(bytes) = 0").drop("bytes"), span, goes_on=False))
+        intervals = intervals.unionByName(sorted_out(ranked.where("octet_length(bytes) = 0").drop("bytes"), span, False, hot))
     gone = intervals.groupBy("doc", "twin").agg(F.collect_set(F.struct("start", "length")).alias("__gone")).withColumnsRenamed({"doc": "__d", "twin": "__t"})
 
     @F.pandas_udf("kept binary, n_removed long, n_spans long")

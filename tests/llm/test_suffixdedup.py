@@ -67,3 +67,17 @@ def test_small_batches(spark):
 
 def test_empty(spark):
     assert got(spark, []) == []
+
+
+def test_a_phrase_amid_ever_other_text(spark, monkeypatch):
+    """An anchor with a kind for each document, found beforehand, is dealt to many tasks."""
+    monkeypatch.setattr(suffixdedup, "SAMPLED", 2)
+    monkeypatch.setattr(suffixdedup, "HOT_KINDS", 5)
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase = prose(64)
+    rows = [(i, prose(120) + phrase + prose(120)) for i in range(150)] + [(200 + i, prose(20) + prose(60) + phrase + "the same behind it as in others " * 3) for i in range(20)]
+    rows += [(300, rows[3][1]), (301, rows[4][1][50:250]), (302, phrase * 3)]
+    docs = spark.createDataFrame(rows, "doc long, text string").selectExpr("doc", "xxhash64(text) AS twin", "text")
+    assert len(suffixdedup.hot_anchors(docs, 100)) > 0
+    assert got(spark, rows) == brute(rows)
