@@ -2,9 +2,10 @@
 
 Spark counts the documents of each distinct line hash. The hashes that are common enough are
 split into shards of bounded size; each shard becomes one row: a minimal perfect hash (hash and
-displace) and, at its slots, compact fingerprint, count and keeper arrays. Documents' line
-hashes are dealt to the shards, salted so that a line in every document is spread over tasks,
-and stream past the arrays; lines are never joined to lines.
+displace) and, at its slots, fingerprint, count (up to 255) and keeper arrays. Documents' line
+hashes are dealt to the shards and stream past the arrays; a shard is copied, and its probes
+are salted, as often as the counts of its lines ask for, so that a line in every document is
+spread over tasks. Lines are never joined to lines.
 
 A line is known by 128 bits of its key's hash: 64 place it, and the other 64 are the
 fingerprint that a slot must hold for the line to be the one counted there.
@@ -25,9 +26,11 @@ from sparkloom.llm.common import NULL_ID, partitions, same, written
 
 #: The white space that a key loses at both ends.
 SPACES = b" \t\n\x0b\x0c\r"
-SHARD_KEYS = 50_000
+#: Keys of a shard; more if there would be over MOST_SHARDS of them.
+SHARD_KEYS, MOST_SHARDS = 50_000, 500_000
 KEYS_A_BUCKET = 4
-SALTS = 64
+#: Probes of common lines for which a shard gets one more copy.
+PROBES_A_COPY = 200_000
 
 
 def keys_of(text: str, min_chars: int) -> list[tuple[int, bytes]]:
@@ -110,26 +113,30 @@ def index(common: DataFrame, shards: int) -> DataFrame:
         seeds = perfect_hash(keys)
         at = slots(keys, seeds, len(keys))
         arrays = []
-        for column, kind in (("fingerprint", "<i8"), ("n_docs", "<i8"), ("keeper", "<i8")):
+        for column, kind in (("fingerprint", "<i8"), ("n_docs", "u1"), ("keeper", "<i8")):
             values = np.empty(len(keys), dtype=kind)
-            values[at] = group[column].to_numpy()
+            values[at] = group[column].clip(upper=255) if kind == "u1" else group[column]
             arrays.append(values.tobytes())
         return pd.DataFrame([(group["shard"].iloc[0], seeds.astype("<u4").tobytes(), *arrays)], columns=["shard", "seeds", "fingerprints", "counts", "keepers"])
 
     return common.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, seeds binary, fingerprints binary, counts binary, keepers binary")
 
 
-def probed(lines: DataFrame, shard_rows: DataFrame, shards: int) -> DataFrame:
-    """doc_id, twin, line, keeper of each line that the index holds.
+def probed(lines: DataFrame, shard_rows: DataFrame, copies: DataFrame, shards: int, min_docs: int) -> DataFrame:
+    """doc_id, twin, line, keeper of each line that the index has with min_docs documents.
 
     Each (shard, salt) is a run of rows in a sorted partition: first the shard's arrays, then the
-    hashes that look them up, which stream past in batches of any number.
+    hashes that look them up, which stream past in batches of any number. copies has a row
+    (shard, copies) for the shards that have more than one, MOST_SHARDS at most.
     """
     # zeros, not nulls, of which pandas would make floats
     nothing = [F.lit(0).cast(kind).alias(name) for name, kind in (("doc_id", "long"), ("twin", "long"), ("line", "int"), ("place", "long"), ("fingerprint", "long"))]
-    arrays = shard_rows.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), *nothing, "seeds", "fingerprints", "keepers")
-    empty = [F.lit(None).cast("binary").alias(x) for x in ("seeds", "fingerprints", "keepers")]
-    asks = lines.select(F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "twin", "line"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "twin", "line", "place", "fingerprint", *empty)
+    several = F.broadcast(copies)
+    n = F.coalesce("copies", F.lit(1))
+    arrays = shard_rows.join(several, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"), F.lit(0).alias("kind"), *nothing, "seeds", "fingerprints", "counts", "keepers")
+    empty = [F.lit(None).cast("binary").alias(x) for x in ("seeds", "fingerprints", "counts", "keepers")]
+    asks = lines.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).join(several, "shard", "left")
+    asks = asks.select("shard", F.pmod(F.xxhash64("doc_id", "twin", "line"), n).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "twin", "line", "place", "fingerprint", *empty)
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, None
@@ -142,13 +149,13 @@ def probed(lines: DataFrame, shard_rows: DataFrame, shards: int) -> DataFrame:
                     at, held = where[a], None
                 if a < b and run["kind"].iloc[0] == 0:
                     row = run.iloc[0]
-                    held = np.frombuffer(row["seeds"], "<u4"), np.frombuffer(row["fingerprints"], "<i8"), np.frombuffer(row["keepers"], "<i8")
+                    held = np.frombuffer(row["seeds"], "<u4"), np.frombuffer(row["fingerprints"], "<i8"), np.frombuffer(row["counts"], "u1"), np.frombuffer(row["keepers"], "<i8")
                     run = run.iloc[1:]
                 if held is None or not len(run):
                     continue
-                seeds, prints, keepers = held
+                seeds, prints, counts, keepers = held
                 slot = slots(run["place"].to_numpy(np.int64).view(np.uint64), seeds, len(prints))
-                hit = prints[slot] == run["fingerprint"].to_numpy(np.int64)
+                hit = (prints[slot] == run["fingerprint"].to_numpy(np.int64)) & (counts[slot] >= min(min_docs, 255))
                 yield run.loc[hit, ["doc_id", "twin", "line"]].astype("int64").assign(keeper=keepers[slot[hit]])
 
     dealt = arrays.unionByName(asks).repartition(partitions(lines.sparkSession), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
@@ -171,8 +178,10 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     common = written(common)
     if not common.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         lines, common = (x.withColumn("place", F.xxhash64("place", "fingerprint")) for x in (lines, common))
-    shards = max(1, math.ceil(common.count() / SHARD_KEYS))
-    hits = probed(lines, index(common, shards), shards).where("keeper != doc_id")
+    n = common.count()
+    shards = max(1, math.ceil(n / max(SHARD_KEYS, n / MOST_SHARDS)))
+    of = common.groupBy(F.pmod("place", F.lit(shards)).cast("int").alias("shard")).agg((F.floor(F.sum("n_docs") / PROBES_A_COPY) + 1).cast("int").alias("copies"))
+    hits = probed(lines, index(common, shards), of.where("copies > 1"), shards, min_docs).where("keeper != doc_id")
     dropped = hits.groupBy("doc_id", "twin").agg(F.collect_set("line").alias("__lines")).withColumnsRenamed({"doc_id": "__id", "twin": "__twin"})
 
     @F.pandas_udf("string")
