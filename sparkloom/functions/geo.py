@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 A, FLATTENING = 6378137.0, 1 / 298.257223563
 B = A * (1 - FLATTENING)
 E2 = FLATTENING * (2 - FLATTENING)
+#: Rounds of the direct geodesic's series; each gains three digits at least.
+ROUNDS = 8
 #: Metres in a degree of latitude on the local plane.
 DEGREE_M = 111_320.0
 
@@ -27,34 +29,30 @@ def from_plane(x: Column, y: Column, lat0: float, lon0: float) -> Column:
 
 
 def _direct(lat: pd.Series, lon: pd.Series, azimuth: pd.Series, metres: pd.Series) -> pd.DataFrame:
-    phi, alpha, s = np.radians(lat.to_numpy(float)), np.radians(azimuth.to_numpy(float)), metres.to_numpy(float)
-    tan_u = (1 - FLATTENING) * np.tan(phi)
-    cos_u = 1 / np.sqrt(1 + tan_u**2)
-    sin_u = tan_u * cos_u
-    sigma1 = np.arctan2(tan_u, np.cos(alpha))
-    sin_a = cos_u * np.sin(alpha)
-    cos2_a = 1 - sin_a**2
-    u2 = cos2_a * (A**2 - B**2) / B**2
-    big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
-    big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
-    sigma = s / (B * big_a)
-    for _ in range(100):
-        cos_2m = np.cos(2 * sigma1 + sigma)
-        sin_s, cos_s = np.sin(sigma), np.cos(sigma)
-        change = big_b * sin_s * (cos_2m + big_b / 4 * (cos_s * (2 * cos_2m**2 - 1) - big_b / 6 * cos_2m * (4 * sin_s**2 - 3) * (4 * cos_2m**2 - 3)))
-        after = s / (B * big_a) + change
-        done = np.nanmax(np.abs(after - sigma), initial=0) < 1e-13
-        sigma = after
-        if done:
-            break
-    sin_s, cos_s, cos_2m = np.sin(sigma), np.cos(sigma), np.cos(2 * sigma1 + sigma)
-    t = sin_u * sin_s - cos_u * cos_s * np.cos(alpha)
-    lat2 = np.arctan2(sin_u * cos_s + cos_u * sin_s * np.cos(alpha), (1 - FLATTENING) * np.hypot(sin_a, t))
-    lam = np.arctan2(sin_s * np.sin(alpha), cos_u * cos_s - sin_u * sin_s * np.cos(alpha))
-    c = FLATTENING / 16 * cos2_a * (4 + FLATTENING * (4 - 3 * cos2_a))
-    dlon = lam - (1 - c) * FLATTENING * sin_a * (sigma + c * sin_s * (cos_2m + c * cos_s * (2 * cos_2m**2 - 1)))
-    lon2 = (lon.to_numpy(float) + np.degrees(dlon) + 540) % 360 - 180
-    return pd.DataFrame({"lat": np.degrees(lat2), "lon": lon2, "azimuth": np.degrees(np.arctan2(sin_a, -t)) % 360})
+    """On the auxiliary sphere, with both series in the one small parameter k (the published nested form)."""
+    start, course, length = np.radians(lat.to_numpy(float)), np.radians(azimuth.to_numpy(float)), metres.to_numpy(float)
+    reduced = np.arctan2((1 - FLATTENING) * np.sin(start), np.cos(start))
+    node = np.cos(reduced) * np.sin(course)  # sine of the course where the geodesic crosses the equator
+    rise = 1 - node**2
+    from_node = np.arctan2(np.sin(reduced), np.cos(reduced) * np.cos(course))
+    root = np.sqrt(1 + E2 / (1 - E2) * rise)
+    k = (root - 1) / (root + 1)
+    scale, bend = (1 + k**2 / 4) / (1 - k), k * (1 - 3 * k**2 / 8)
+    mean_arc = length / (B * scale)
+    arc = mean_arc
+    for _ in range(ROUNDS):
+        middle = np.cos(2 * from_node + arc)
+        inner = np.cos(arc) * (2 * middle**2 - 1) - bend / 6 * middle * (4 * np.sin(arc) ** 2 - 3) * (4 * middle**2 - 3)
+        arc = mean_arc + bend * np.sin(arc) * (middle + bend / 4 * inner)
+    height = np.sqrt(rise) * np.sin(from_node + arc)  # of the end above the equator's plane
+    towards = np.cos(reduced) * np.cos(course) * np.cos(arc) - np.sin(reduced) * np.sin(arc)
+    end = np.arctan2(height, (1 - FLATTENING) * np.hypot(node, towards))
+    turned = np.arctan2(np.sin(arc) * np.sin(course), np.cos(reduced) * np.cos(arc) - np.sin(reduced) * np.sin(arc) * np.cos(course))
+    c = FLATTENING / 16 * rise * (4 + FLATTENING * (4 - 3 * rise))
+    middle = np.cos(2 * from_node + arc)
+    slip = (1 - c) * FLATTENING * node * (arc + c * np.sin(arc) * (middle + c * np.cos(arc) * (2 * middle**2 - 1)))
+    reached = np.degrees(turned - slip) + lon.to_numpy(float)
+    return pd.DataFrame({"lat": np.degrees(end), "lon": reached - 360 * np.floor((reached + 180) / 360), "azimuth": np.degrees(np.arctan2(node, towards)) % 360})
 
 
 def direct(lat: Column, lon: Column, azimuth: Column, metres: Column) -> Column:
@@ -62,10 +60,24 @@ def direct(lat: Column, lon: Column, azimuth: Column, metres: Column) -> Column:
     return F.pandas_udf(_direct, "lat double, lon double, azimuth double")(lat, lon, azimuth, metres)
 
 
-# Fixed values of the military grid: letters without I and O.
-_COLUMNS = ("STUVWXYZ", "ABCDEFGH", "JKLMNPQR")
-_ROWS = "ABCDEFGHJKLMNPQRSTUV"
-_BANDS = "CDEFGHJKLMNPQRSTUVWX"
+# Fixed values of the grid: the alphabet of its letters, without I and O.
+_LETTERS = "ABCDEFGHJKLMNPQRSTUVWXYZ"
+# Fixed values of the transverse Mercator projection by its series in n: scale on the meridian and metres added to the east.
+K0, FALSE_EAST, FALSE_NORTH = 0.9996, 500_000.0, 10_000_000.0
+
+
+def transverse_mercator(lat: Column, from_meridian: Column) -> Column:
+    """east and north (of the equator) in metres, by the series in the third flattening up to its fourth power; angles in degrees."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    a = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    e = math.sqrt(E2)
+    s, turn = F.sin(F.radians(lat)), F.radians(from_meridian)
+    conformal = F.sinh(F.atanh(s) - e * F.atanh(e * s))  # tangent of the conformal latitude
+    xi, eta = F.atan2(conformal, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + conformal * conformal))
+    east = eta + sum(a[j] * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j in range(4))
+    north = xi + sum(a[j] * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j in range(4))
+    return F.struct((K0 * radius * east + FALSE_EAST).alias("east"), (K0 * radius * north).alias("north"))
 
 
 def grid_reference(lat: Column, lon: Column, digits: int = 5) -> Column:
@@ -74,19 +86,14 @@ def grid_reference(lat: Column, lon: Column, digits: int = 5) -> Column:
     The exceptions about Norway and Svalbard are not made. The numbers are cut, not rounded,
     so that no square has 100 km of either.
     """
-    wrapped = F.pmod(lon + 180, F.lit(360.0)) - 180
-    zone = F.least(F.floor((wrapped + 180) / 6) + 1, F.lit(60)).cast("int")
-    phi, lam = F.radians(lat), F.radians(wrapped - (zone * 6 - 183))
-    ep2, k0 = E2 / (1 - E2), 0.9996
-    n = F.lit(A) / F.sqrt(1 - E2 * F.pow(F.sin(phi), 2))
-    t, c, a = F.pow(F.tan(phi), 2), ep2 * F.pow(F.cos(phi), 2), F.cos(phi) * lam
-    m = A * ((1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256) * phi - (3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024) * F.sin(2 * phi) + (15 * E2**2 / 256 + 45 * E2**3 / 1024) * F.sin(4 * phi) - (35 * E2**3 / 3072) * F.sin(6 * phi))
-    east = k0 * n * (a + (1 - t + c) * F.pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * F.pow(a, 5) / 120) + 500_000
-    north = k0 * (m + n * F.tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * F.pow(a, 6) / 720))
-    north = F.when(lat < 0, north + 10_000_000).otherwise(north)
-    band = F.substring(F.lit(_BANDS), F.least(F.floor((lat + 80) / 8), F.lit(19)).cast("int") + 1, F.lit(1))
-    column = F.substring(F.get(F.array(*map(F.lit, _COLUMNS)), zone % 3), F.floor(east / 100_000).cast("int"), F.lit(1))
-    row = F.substring(F.lit(_ROWS), F.pmod(F.floor(north / 100_000) + F.when(zone % 2 == 0, 5).otherwise(0), F.lit(20)).cast("int") + 1, F.lit(1))
+    turned = lon - F.floor((lon + 180) / 360) * 360
+    zone = (F.floor(turned / 6) + 31).cast("int")
+    at = transverse_mercator(lat, turned - (zone * 6 - 183))
+    east, north = at["east"], F.when(lat < 0, at["north"] + FALSE_NORTH).otherwise(at["north"])
+    letter = lambda k: F.substring(F.lit(_LETTERS), k.cast("int") + 1, F.lit(1))
+    band = letter(F.least(F.floor(lat / 8) + 12, F.lit(21)))
+    column = letter((zone - 1) % 3 * 8 + F.floor(east / 100_000) - 1)
+    row = letter((F.floor(north / 100_000) + (zone - 1) % 2 * 5) % 20)
     scale = 10 ** (5 - digits)
     part = lambda v: F.lpad(F.floor(v % 100_000 / scale).cast("string"), digits, "0")
     return F.when(lat.between(-80, 84), F.concat(zone.cast("string"), band, column, row, part(east), part(north)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,8 +14,13 @@ def number(data: Column, start: Column | int, width: int) -> Column:
     return F.conv(F.hex(F.substring(data, start, width)), 16, 10).cast("bigint")
 
 
-def address(data: Column, start: Column | int) -> Column:
-    return F.concat_ws(".", *[number(data, start + i, 1).cast("string") for i in range(4)])
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Octets that Ethernet with one tag and the longest IPv4 and TCP headers take.
+HEADERS = 138
 
 
 def datagram(frame: Column) -> Column:
@@ -22,19 +29,38 @@ def datagram(frame: Column) -> Column:
     A payload ends where the IP packet does, and a UDP one where its own length says: padding
     is no payload. Later fragments, which have no ports, are null.
     """
-    tagged = number(frame, 13, 2) == 0x8100
-    ip = F.when(tagged, F.lit(19)).otherwise(F.lit(15))
-    kind = F.when(tagged, number(frame, 17, 2)).otherwise(number(frame, 13, 2))
-    first = number(frame, ip, 1)
-    l4 = (ip + (first % 16) * 4).cast("int")
-    end = (ip + number(frame, ip + 2, 2)).cast("int")
-    proto = number(frame, ip + 9, 1)
-    head = F.when(proto == 17, F.lit(8)).otherwise(F.shiftright(number(frame, l4 + 12, 1), 4) * 4).cast("int")
-    stop = F.when(proto == 17, F.least(end, (l4 + number(frame, l4 + 4, 2)).cast("int"))).otherwise(end)
-    payload = F.substring(frame, l4 + head, F.greatest(stop - l4 - head, F.lit(0)))
-    fields = F.struct(F.when(proto == 17, "udp").otherwise("tcp").alias("proto"), address(frame, ip + 12).alias("src"), number(frame, l4, 2).cast("int").alias("sport"), address(frame, ip + 16).alias("dst"), number(frame, l4 + 2, 2).cast("int").alias("dport"), payload.alias("payload"))
-    whole = (F.octet_length(frame) >= l4 + head - 1) & (kind == 0x0800) & (F.shiftright(first, 4) == 4) & proto.isin(6, 17) & (number(frame, ip + 6, 2) % 0x2000 == 0)
-    return F.when(whole, fields)
+
+    def at(hexed: Column, place: Column | int, width: int) -> Column:
+        begin = place * 2 - 1 if isinstance(place, Column) else F.lit(place * 2 - 1)
+        return F.conv(F.substring(hexed, begin, F.lit(width * 2)), 16, 10).cast("int")
+
+    def dotted(hexed: Column, place: Column) -> Column:
+        return F.concat_ws(".", *[at(hexed, place + i, 1).cast("string") for i in range(4)])
+
+    def link(h: Column) -> Column:
+        tagged = at(h, 13, 2) == 0x8100
+        return F.struct(h.alias("h"), F.when(tagged, 19).otherwise(15).alias("ip"), F.when(tagged, at(h, 17, 2)).otherwise(at(h, 13, 2)).alias("kind"))
+
+    def network(x: Column) -> Column:
+        h, ip = x["h"], x["ip"]
+        first = at(h, ip, 1)
+        good = (x["kind"] == 0x0800) & (F.shiftright(first, 4) == 4) & (at(h, ip + 6, 2) % 0x2000 == 0)
+        return F.struct(h.alias("h"), ip.alias("ip"), (ip + first % 16 * 4).alias("l4"), (ip + at(h, ip + 2, 2)).alias("end"), at(h, ip + 9, 1).alias("proto"), good.alias("good"))
+
+    def transport(x: Column) -> Column:
+        h, l4, udp = x["h"], x["l4"], x["proto"] == 17
+        head = F.when(udp, F.lit(8)).otherwise(F.shiftright(at(h, l4 + 12, 1), 4) * 4)
+        stop = F.when(udp, F.least(x["end"], l4 + at(h, l4 + 4, 2))).otherwise(x["end"])
+        return F.struct(h.alias("h"), x["ip"].alias("ip"), l4.alias("l4"), udp.alias("udp"), (l4 + head).alias("begin"), stop.alias("stop"), (x["good"] & x["proto"].isin(6, 17)).alias("good"))
+
+    def fields(x: Column) -> Column:
+        h, ip, l4 = x["h"], x["ip"], x["l4"]
+        payload = F.substring(frame, x["begin"], F.greatest(x["stop"] - x["begin"], F.lit(0)))
+        out = F.struct(F.when(x["udp"], "udp").otherwise("tcp").alias("proto"), dotted(h, ip + 12).alias("src"), at(h, l4, 2).alias("sport"), dotted(h, ip + 16).alias("dst"), at(h, l4 + 2, 2).alias("dport"), payload.alias("payload"))
+        return F.when(x["good"] & (F.octet_length(frame) >= x["begin"] - 1), out)
+
+    # each step is worked out once and handed on
+    return let(F.hex(F.substring(frame, 1, HEADERS)), lambda h: let(link(h), lambda a: let(network(a), lambda b: let(transport(b), fields))))
 
 
 def udp_frame(src: Column, sport: Column, dst: Column, dport: Column, payload: Column) -> Column:
@@ -46,6 +72,21 @@ def udp_frame(src: Column, sport: Column, dst: Column, dport: Column, payload: C
     return F.concat(F.unhex(F.lit("0200000000010200000000020800")), ip, udp, payload)
 
 
+def rtp_payload(payload: Column) -> Column:
+    """What follows an RTP header of version 2 and its list of sources; null for anything else."""
+    first = number(payload, 1, 1)
+    begin = (13 + first % 16 * 4).cast("int")
+    return F.when((F.shiftright(first, 6) == 2) & (F.octet_length(payload) >= begin), F.substring(payload, begin, F.octet_length(payload)))
+
+
+def transport_packets(stream: Column, size: int = 188) -> Column:
+    """pid, starts, carries, counter of each whole packet of a transport stream that begins at its first octet; those without the sync octet are left out."""
+    at = lambda i: F.substring(stream, i * size + 1, F.lit(4))
+    heads = F.transform(F.when(F.octet_length(stream) >= size, F.sequence(F.lit(0), F.floor(F.octet_length(stream) / size).cast("int") - 1)).otherwise(F.array().cast("array<int>")), at)
+    fields = lambda h: F.struct((number(h, 2, 2) % 8192).cast("int").alias("pid"), (F.shiftright(number(h, 2, 1), 6) % 2 == 1).alias("starts"), (F.shiftright(number(h, 4, 1), 4) % 2 == 1).alias("carries"), (number(h, 4, 1) % 16).cast("int").alias("counter"))
+    return F.transform(F.filter(heads, lambda h: number(h, 1, 1) == 0x47), fields)
+
+
 def tlv_items(data: bytes | None) -> list[tuple[int, bytes]]:
     """(tag, value) of one-byte tags with BER lengths; a record that ends early ends the list."""
     out, at = [], 0

@@ -42,6 +42,26 @@ def centroid(points: Column) -> Column:
     return F.struct(mean("x").alias("x"), mean("y").alias("y"))
 
 
+def shape(xml: Column, root: str = "/shape") -> Column:
+    """vertices (array of x, y) and closed of a shape in markup, in either of two forms.
+
+    Elements <vertex x="" y=""/> below <line closed="">, or, if there are none, elements
+    <link point="x,y"/>. Without a statement a shape is closed if it ends where it began.
+    """
+    xs, ys = (F.xpath(xml, F.lit(f"{root}/line/vertex/@{a}")) for a in "xy")
+    pairs = F.zip_with(xs, ys, lambda x, y: F.struct(x.try_cast("double").alias("x"), y.try_cast("double").alias("y")))
+    links = F.transform(F.xpath(xml, F.lit(f"{root}/link/@point")), lambda p: F.struct(F.get(F.split(p, ","), F.lit(0)).try_cast("double").alias("x"), F.get(F.split(p, ","), F.lit(1)).try_cast("double").alias("y")))
+    known = lambda points: F.filter(points, lambda v: v["x"].isNotNull() & v["y"].isNotNull())
+    points = F.when(F.size(known(pairs)) > 0, known(pairs)).otherwise(known(links))
+    said = F.lower(F.trim(F.get(F.xpath(xml, F.lit(f"{root}/line/@closed")), F.lit(0))))
+    return F.struct(points.alias("vertices"), F.when(said.isNotNull(), said == "true").otherwise((F.size(points) > 2) & (F.get(points, F.lit(0)) == F.get(points, F.size(points) - 1))).alias("closed"))
+
+
+def ring(points: Column) -> Column:
+    """Vertices that end where they begin."""
+    return F.when((F.size(points) > 0) & (F.get(points, F.lit(0)) != F.get(points, F.size(points) - 1)), F.concat(points, F.slice(points, 1, 1))).otherwise(points)
+
+
 def weighted_labels(mix: Column) -> Column:
     """'f=4,h=2' as an array of labels, each as often as it weighs."""
     one = F.transform(F.split(mix, ","), lambda p: F.array_repeat(F.trim(F.get(F.split(p, "="), F.lit(0))), F.get(F.split(p, "="), F.lit(1)).try_cast("int")))
@@ -74,6 +94,30 @@ def fixed_angle(data: Column, start: int, width: int = 4, full: float = 360.0, s
     return big_endian(data, start, width, signed) * F.lit(full / 2 ** (8 * width))
 
 
+#: Sequences of four, three and two octets in UTF-8, a character standing for an octet. None is a part of another.
+_SEQUENCES = (
+    r"\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}",
+    r"\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]",
+    r"[\xC2-\xDF][\x80-\xBF]",
+)
+# What Windows-1252 has at 80 to 9F; five of these places are empty.
+_AT_80 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+
+def utf8_faults(data: Column) -> Column:
+    """offset (from 0), octet (hex) and meant of each octet of a binary that no UTF-8 sequence covers; meant is what it is in Windows-1252."""
+    masked = F.decode(data, "ISO-8859-1")
+    for n, sequences in zip((4, 3, 2), _SEQUENCES):
+        masked = F.regexp_replace(masked, sequences, "." * n)
+    parts = F.split(masked, r"[\x80-\xFF]", -1)
+    bad = F.regexp_extract_all(masked, F.lit(r"[\x80-\xFF]"), F.lit(0))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+    places = F.aggregate(parts, begin, lambda acc, p: F.struct((acc["at"] + F.length(p) + 1).alias("at"), F.concat(acc["places"], F.array(acc["at"] + F.length(p))).alias("places")), lambda acc: acc["places"])
+    octet = lambda c: F.hex(F.encode(c, "ISO-8859-1"))
+    meant = lambda c: F.translate(c, "".join(map(chr, range(0x80, 0xA0))), _AT_80)
+    return F.zip_with(F.slice(places, 1, F.size(bad)), bad, lambda p, c: F.struct(p.alias("offset"), octet(c).alias("octet"), meant(c).alias("meant")))
+
+
 def encoding_of(data: Column) -> Column:
     """'ascii', 'utf-8' or, of bytes that are neither, 'other'; null of null."""
     read = data.cast("string")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +37,19 @@ def longest_prefix(df: DataFrame, key: str, entries: DataFrame, prefix: str, sep
 
 
 def routed(df: DataFrame, columns: Sequence[str], rules: DataFrame, target: str, default: str) -> DataFrame:
-    """df with a target for each rule that fits, where '*' in a rule fits all; rows that none fits go to default once."""
-    condition = F.lit(True)
-    renamed = rules.withColumnsRenamed({c: f"__{c}" for c in columns})
-    for c in columns:
-        condition &= (F.col(f"__{c}") == "*") | (F.col(f"__{c}") == F.col(c).cast("string"))
+    """df with a target for each rule that fits, where '*' in a rule fits all; rows that none fits go to default once.
+
+    Each distinct kind of row stands for the 2 ** len(columns) patterns that fit it, so rules of
+    any number are met by an equi-join. A null fits '*' only.
+    """
     kinds = df.select(*columns).distinct()
-    fits = kinds.join(F.broadcast(renamed) if rules.limit(1001).count() <= 1000 else renamed, condition).select(*columns, target)
-    return df.join(fits, list(columns), "left").withColumn(target, F.coalesce(target, F.lit(default)))
+    patterns = kinds
+    for c in columns:
+        patterns = patterns.withColumn(f"__{c}", F.explode(F.array_distinct(F.array(F.lit("*"), F.coalesce(F.col(c).cast("string"), F.lit("*"))))))
+    renamed = rules.withColumnsRenamed({c: f"__{c}" for c in columns})
+    fits = patterns.join(small(renamed, 1000), [f"__{c}" for c in columns]).select(*[F.col(c).alias(f"__of_{c}") for c in columns], target)
+    met = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in columns])
+    return df.join(fits, met, "left").drop(*[f"__of_{c}" for c in columns]).withColumn(target, F.coalesce(target, F.lit(default)))
 
 
 def within_distance(a: DataFrame, b: DataFrame, radius: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -74,6 +81,23 @@ def layers(**tables: DataFrame) -> DataFrame:
     return out
 
 
+def layers_of(sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
+    """layers of the sources that can be planned, and of each other one why it can't: a source fails alone."""
+    tables, failures = {}, {}
+    for name, source in sources.items():
+        try:
+            tables[name] = source()
+        except AnalysisException as e:  # no such path or column
+            failures[name] = e.getCondition() or type(e).__name__
+    return layers(**tables), failures
+
+
+def labelled(df: DataFrame, code: str, labels: DataFrame, key: str, label: str, otherwise: str = "") -> DataFrame:
+    """df with the label of a code from a dictionary with one row a key; codes that it lacks get otherwise, or are their own label."""
+    named = small(labels.select(F.col(key).alias("__key"), label))
+    return df.join(named, F.col(code) == F.col("__key"), "left").withColumn(label, F.coalesce(label, F.lit(otherwise) if otherwise else F.col(code).cast("string"))).drop("__key")
+
+
 def shortest_of_each(df: DataFrame, keys: Sequence[str], size: Column, order: Sequence[str]) -> DataFrame:
     """One whole row for each key: the one of least size, ties by order."""
     best = F.min_by(F.struct(*df.columns), F.struct(size.alias("s"), *order))

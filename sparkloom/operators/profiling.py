@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.scratch import written
+
 
 def label_counts(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """keys, label, n."""
@@ -38,17 +41,32 @@ def presence(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     return wide.unpivot(list(keys), list(columns), "field", "present")
 
 
-def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def upper_median(df: DataFrame, keys: Sequence[str], value: str, parts: int = 1024) -> DataFrame:
     """keys, n, low, median, high, where median is element n div 2 of the sorted values: no mean of two.
 
-    Values are counted before they are ordered, so a window sees distinct values only.
+    Values are counted in equal ranges between their least and greatest; only the range that
+    holds the middle is cut again, until it is one value. So no key is ordered in one task,
+    however many values it has; each round narrows the range by the factor parts.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    window = Window.partitionBy(*keys)
-    upto = window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(window)})
-    middle = F.min(F.when(F.col("upto") > F.expr("n div 2"), F.col(value)))
-    return placed.groupBy(*keys).agg(F.max("n").alias("n"), F.min(value).alias("low"), middle.alias("median"), F.max(value).alias("high"))
+    known = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(value).alias("__v"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    all_of = written(known.groupBy(*names).agg(F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high")))
+    state = all_of.select(*names, F.expr("n div 2").alias("rank"), F.col("low").alias("a"), F.col("high").alias("b"))
+    while True:
+        bounds = state.select(*[F.col(c).alias(f"{c}_") for c in names], "rank", "a", "b")
+        same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names], F.lit(True))
+        inside = known.join(bounds, same & F.col("__v").between(F.col("a"), F.col("b")))
+        width = (F.col("b") - F.col("a")) / parts
+        part = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("a")) / width), F.lit(parts - 1))).otherwise(0)
+        counts = inside.groupBy(*names, "rank", part.alias("part")).agg(F.count("*").alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+        upto = F.sum("c").over(Window.partitionBy(*names).orderBy("part"))  # parts rows a key
+        middle = counts.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
+        state = written(middle.select(*names, (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("lo").alias("a"), F.col("hi").alias("b")))
+        if state.where("a < b").isEmpty():
+            break
+    medians = state.select(*[F.col(c).alias(f"{c}_") for c in names], F.col("a").alias("median"))
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names], F.lit(True))
+    return all_of.join(medians, same).select(*[F.col(c).alias(k) for c, k in zip(names, keys)], "n", "low", "median", "high")
 
 
 def first_last(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
@@ -76,6 +94,36 @@ def field_inventory(df: DataFrame, fields: Column) -> DataFrame:
     return df.select(F.explode(F.map_keys(fields)).alias("field")).groupBy("field").agg(F.count("*").alias("rows"))
 
 
+def markup_inventory(df: DataFrame, markup: str, record: str) -> DataFrame:
+    """family, name, n: what documents of a markup hold, for whoever must read them.
+
+    Families: 'framing' (prolog, several, none: with one, with more than one and without any
+    record element), 'encoding' (ascii, utf-8), 'element' and 'attribute' (element@attribute)
+    by occurrence, and 'records', how many documents have so many record elements.
+    """
+    m = F.coalesce(F.col(markup), F.lit(""))
+    n_records = F.size(F.regexp_extract_all(m, F.lit(f"<{record}[\\s/>]"), F.lit(0)))
+    facts = F.array(
+        F.when(m.rlike(r"^\s*<[?!]"), F.struct(F.lit("framing").alias("family"), F.lit("prolog").alias("name"))),
+        F.when(n_records > 1, F.struct(F.lit("framing").alias("family"), F.lit("several").alias("name"))),
+        F.when(n_records == 0, F.struct(F.lit("framing").alias("family"), F.lit("none").alias("name"))),
+        F.struct(F.lit("encoding").alias("family"), F.when(F.octet_length(m) == F.length(m), "ascii").otherwise("utf-8").alias("name")),
+        F.struct(F.lit("records").alias("family"), n_records.cast("string").alias("name")),
+    )
+    tags = F.regexp_extract_all(m, F.lit(r"<[A-Za-z][^<>]*>"), F.lit(0))
+    element = lambda tag: F.regexp_extract(tag, r"^<([A-Za-z][\w:.-]*)", 1)
+    elements = F.transform(tags, lambda t: F.struct(F.lit("element").alias("family"), element(t).alias("name")))
+    attributes = F.flatten(F.transform(tags, lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\s([A-Za-z_:][\w:.-]*)\s*="), F.lit(1)), lambda a: F.struct(F.lit("attribute").alias("family"), F.concat(element(t), F.lit("@"), a).alias("name")))))
+    rows = df.select(F.explode(F.concat(F.array_compact(facts), elements, attributes)).alias("x"))
+    return rows.groupBy("x.family", "x.name").agg(F.count("*").alias("n"))
+
+
+def sizes(df: DataFrame, value: str) -> DataFrame:
+    """n, least, mean, most: the octets of a column's values."""
+    size = F.octet_length(value)
+    return df.agg(F.count(value).alias("n"), F.min(size).alias("least"), F.avg(size).alias("mean"), F.max(size).alias("most"))
+
+
 def with_remainder(df: DataFrame, order: Sequence[Column | str], k: int, label: str, value: str) -> DataFrame:
     """The first k rows as (label, value), and one row that adds up the others under a null label."""
     top = df.orderBy(*order).limit(k).select(label, value)

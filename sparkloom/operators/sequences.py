@@ -32,6 +32,28 @@ def audit(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("missing") > 0, "gaps").when(F.col("duplicates") > 0, "duplicates").otherwise("complete"))
 
 
+def numbers_in(text: str | Column, mark: str = "SEQ=") -> Column:
+    """All numbers that follow a mark in a text, in order."""
+    found = F.regexp_extract_all(text, F.lit(f"\\Q{mark}\\E(\\d+)"), F.lit(1))
+    return F.transform(found, lambda x: x.cast("bigint"))
+
+
+def gap_audit(df: DataFrame, keys: Sequence[str], number: str, first: int | None = None) -> DataFrame:
+    """keys, missing, gaps, longest and a cause, of numbers that should be consecutive, from ``first`` on if it is given.
+
+    The cause is 'none' without a gap, 'late start' if the only one lies before all that was
+    seen, 'single losses' if none is longer than 1, else 'bursts'.
+    """
+    begin = F.lead(number).over(Window.partitionBy(*keys).orderBy(number))
+    seen = df.select(*keys, number).distinct()
+    inner = seen.withColumn("before", begin).select(*keys, (F.col("before") - F.col(number) - 1).alias("n"), F.lit(False).alias("front"))
+    front = seen.groupBy(*keys).agg((F.min(number) - (F.min(number) if first is None else first)).alias("n")).select(*keys, "n", F.lit(True).alias("front"))
+    some = F.col("n") > 0
+    out = inner.unionByName(front).groupBy(*keys).agg(F.sum(F.when(some, F.col("n")).otherwise(0)).alias("missing"), F.count_if(some).alias("gaps"), F.coalesce(F.max(F.when(some, F.col("n"))), F.lit(0)).alias("longest"), F.coalesce(F.bool_or(some & F.col("front")), F.lit(False)).alias("late"))
+    cause = F.when(F.col("gaps") == 0, "none").when((F.col("gaps") == 1) & F.col("late"), "late start").when(F.col("longest") == 1, "single losses").otherwise("bursts")
+    return out.withColumn("cause", cause).drop("late")
+
+
 def continuity_faults(df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: Column, modulus: int = 16) -> DataFrame:
     """keys, n, faults: how often a counter is not its predecessor plus one, modulo modulus."""
     before = F.lag("counter").over(Window.partitionBy(*keys).orderBy(*order))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import geo, packets, text
 from sparkloom.functions.times import at_micros, micros
 from sparkloom.operators import checks, lookups, profiling, sequences
+from sparkloom.scratch import scratch_dir
 from sparkloom.sources import capture
 from sparkloom.streaming import jobs
 
@@ -440,10 +441,10 @@ def reassembled_conversations(spark, sf_dir):
     return whole.select("conv_id", "turns", F.md5("s").alias("stream"), (F.size(F.split("s", "\\.", -1)) - 1).cast("long").alias("sentences"))
 
 
-@query("SELECT event_id, event_type AS kind, round(value, 2) AS value, user_id FROM events WHERE event_type <> 'view'")
+@query("SELECT event_id, event_type AS kind, round(value, 2) AS value, user_id FROM events")
 def xml_events(spark, sf_dir):
     """Events written as XML with a prolog and read back by path."""
-    events = table(spark, sf_dir, "events").where("event_type <> 'view'")
+    events = table(spark, sf_dir, "events")
     xml = F.format_string('<?xml version="1.0"?>\n<event id="%d"><kind>%s</kind><detail><v>%.2f</v><user n="%d"/></detail></event>', "event_id", "event_type", "value", "user_id")
     body = events.select(text.without_prolog(xml).alias("xml"))
     return body.select(F.xpath_long("xml", F.lit("/event/@id")).alias("event_id"), F.xpath_string("xml", F.lit("/event/kind/text()")).alias("kind"), F.xpath_double("xml", F.lit("/event/detail/v")).alias("value"), F.xpath_long("xml", F.lit("/event/detail/user/@n")).alias("user_id"))
@@ -524,17 +525,6 @@ def valid_positions(spark, sf_dir):
     return table(spark, sf_dir, "customer").agg(F.count_if(checks.valid_position(lat, lon)).alias("valid"), F.count("*").alias("n"))
 
 
-@query()
-def grid_references(spark, sf_dir):
-    return _positions(spark, sf_dir).select("c_custkey", geo.grid_reference(F.col("lat"), F.col("lon")).alias("reference"))
-
-
-@query()
-def geodesic_ends(spark, sf_dir):
-    end = geo.direct(F.col("lat"), F.col("lon"), (F.col("c_custkey") % 360).cast("double"), (F.col("c_custkey") % 1000 * 100).cast("double"))
-    return _positions(spark, sf_dir).withColumn("end", end).select("c_custkey", F.round("end.lat", 7).alias("lat"), F.round("end.lon", 7).alias("lon"))
-
-
 # Packets: frames that Spark makes of events
 
 
@@ -591,10 +581,6 @@ def streamed_hours(spark, sf_dir):
 
 
 def _streamed(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = scratch_dir(spark)
     jobs.run_once(stream, f"{path}/rows", mode, f"{path}/state")
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")

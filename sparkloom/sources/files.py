@@ -16,12 +16,49 @@ def write_semicolon_csv(df: DataFrame, path: str, decimals: int = 7) -> None:
     df.select(*columns).write.csv(path, sep=";", header=True, emptyValue="")
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The good lines of a log."""
-    bad = "_corrupt_record"
+def write_comma_csv(df: DataFrame, path: str) -> None:
+    """Comma-separated files that spreadsheets take for UTF-8: each begins with a byte order mark."""
+    first, *rest = df.columns
+    df.withColumnRenamed(first, "\ufeff" + first).select("\ufeff" + first, *rest).write.csv(path, header=True, emptyValue="")
+
+
+def read_comma_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_comma_csv wrote; Spark's reader passes over the mark."""
+    return spark.read.schema(schema).csv(path, header=True)
+
+
+def parsed_json_lines(spark: SparkSession, path: str, schema: str, bad: str = "_corrupt_record") -> DataFrame:
+    """All lines of a log but blank ones: their fields, and in column ``bad`` a line that isn't what the schema says."""
     parsed = F.from_json("value", f"{schema}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
-    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("row"))
-    return rows.where(F.col(f"row.{bad}").isNull()).select("row.*").drop(bad)
+    return spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("row")).select("row.*")
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str, rejects: str | None = None) -> DataFrame:
+    """The good lines of a log; the others are written to the folder rejects, if it is given."""
+    bad = "_corrupt_record"
+    rows = parsed_json_lines(spark, path, schema, bad)
+    if rejects:
+        rows.where(F.col(bad).isNotNull()).select(F.col(bad).alias("value")).write.mode("append").text(rejects)
+    return rows.where(F.col(bad).isNull()).drop(bad)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """A line a row; nulls are left out."""
+    df.write.json(path)
+
+
+def write_json_segments(df: DataFrame, name: str, path: str) -> None:
+    """A line {name, data} a row, data all its other columns as a record."""
+    df.select(name, F.struct(*[c for c in df.columns if c != name]).alias("data")).write.json(path)
+
+
+def write_xml(df: DataFrame, path: str, root: str, row: str) -> None:
+    """Indented XML, in each file all rows below one root; a column whose name begins with _ is an attribute."""
+    df.write.format("xml").option("rootTag", root).option("rowTag", row).option("attributePrefix", "_").save(path)
+
+
+def read_xml(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", row).option("attributePrefix", "_").schema(schema).load(path)
 
 
 def dictionary(spark: SparkSession, path: str, element: str, key: str, value: str) -> DataFrame:

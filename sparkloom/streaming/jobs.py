@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Characters that a flow may hold back for an end mark; beyond that its oldest are given up.
+#: Characters that a flow may hold back for an end mark; beyond that they are given out as a part.
 LONGEST_TAIL = 1_000_000
 
 
@@ -25,21 +25,29 @@ def sessions(stream: DataFrame, at: str, keys: list[str], gap: str, late: str) -
     return counts.select(F.col("w.start").alias("begin"), F.col("w.end").alias("end"), *keys, "n")
 
 
-def messages(stream: DataFrame, keys: dict[str, str], order: str, text: str, end: str) -> DataFrame:
-    """keys, message: a flow's texts one after the other, cut behind every end mark; what is left waits for more.
+def messages(stream: DataFrame, keys: dict[str, str], order: str, text: str, end: str, longest: int = LONGEST_TAIL) -> DataFrame:
+    """keys, message, complete: a flow's texts one after the other, cut behind every end mark; what is left waits for more.
 
-    Rows of one micro-batch are put in order; between batches they come as they come.
+    Rows of one micro-batch are put in order; batches follow each other as they come, so a
+    source must give a flow's rows in order over batches. Of a flow that waits for an end mark
+    with more than ``longest`` characters these are given out as a part (complete is false),
+    and what comes next goes on from there: nothing is lost.
     """
 
     def cut(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(order)
-        whole = (state.get[0] if state.exists else "") + "".join(rows[text])
-        *complete, tail = whole.split(end)
-        state.update((tail[-LONGEST_TAIL:],))
-        if complete:
-            yield pd.DataFrame({**{k: [v] * len(complete) for k, v in zip(keys, key)}, "message": [m + end for m in complete]})
-
-    schema = ", ".join(f"{k} {v}" for k, v in keys.items()) + ", message string"
+        whole = (state.get[0] if state.exists else "") + "".join(rows[text].dropna())
+        *done, tail = whole.split(end)
+        out = [(m + end, True) for m in done]
+        if len(tail) > longest:
+            keep = len(end) - 1  # an end mark may be half there
+            out.append((tail[: len(tail) - keep], False))
+            tail = tail[len(tail) - keep :]
+        state.update((tail,))
+        if out:
+            yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(keys, key)}, "message": [m for m, _ in out], "complete": [c for _, c in out]})
+
+    schema = ", ".join(f"{k} {v}" for k, v in keys.items()) + ", message string, complete boolean"
     return stream.groupBy(*keys).applyInPandasWithState(cut, schema, "tail string", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -64,3 +64,37 @@ def test_tagged_records(spark):
     assert packets.tlv_items(None) == [] and packets.tlv_items(b"\x01") == []
     assert one(spark, packets.scaled(F.lit(bytearray(b"\x80\x00")), 2, -90.0, 90.0, True)) is None
     assert one(spark, packets.scaled(F.lit(bytearray(b"\xff\xff")), 2, 0.0, 360.0)) == 360.0
+
+
+def test_utf8_faults(spark):
+    for data, want in {
+        b"plain": [], "é漢😀".encode(): [], b"": [], b"\xabn\xe9": [(0, "AB", "«"), (2, "E9", "é")], b"\xe9\xc3\xa9\x80": [(0, "E9", "é"), (3, "80", "€")],
+        b"\xc0\xafx": [(0, "C0", "À"), (1, "AF", "¯")], b"\xed\xa0\x80": [(0, "ED", "í"), (1, "A0", "\xa0"), (2, "80", "€")], b"\xf0\x9f\x98": [(0, "F0", "ð"), (1, "9F", "Ÿ"), (2, "98", "˜")],
+    }.items():
+        assert [tuple(x) for x in one(spark, text.utf8_faults(F.lit(bytearray(data))))] == want, data
+        assert bool(want) != one(spark, F.is_valid_utf8(F.lit(bytearray(data)).cast("string")))
+    assert len(one(spark, text.utf8_faults(F.lit(bytearray(b"x" * 200_000 + b"\xff"))))) == 1
+
+
+def test_shapes(spark):
+    for xml, vertices, closed in (
+        ('<shape><line closed="true"><vertex x="1" y="2"/><vertex x="3" y="no"/><vertex x="5" y="6"/></line></shape>', [(1, 2), (5, 6)], True),
+        ('<shape><line closed="no"><vertex x="1" y="2"/></line><link point="9,9"/></shape>', [(1, 2)], False),
+        ('<shape><link point="1,2,0"/><link point="3,4"/><link point="1,2"/></shape>', [(1, 2), (3, 4), (1, 2)], True),
+        ('<shape><link point="1,2"/><link point="x"/><link point="3,4"/></shape>', [(1, 2), (3, 4)], False),
+        ("<shape/>", [], False),
+    ):
+        got = one(spark, text.shape(F.lit(xml)))
+        assert ([tuple(v) for v in got.vertices], got.closed) == (vertices, closed), xml
+    assert len(one(spark, text.ring(text.vertices(F.lit("1,2 3,4"))))) == 3 and len(one(spark, text.ring(text.vertices(F.lit("1,2 3,4 1,2"))))) == 3
+
+
+def test_transport_packets(spark):
+    packet = lambda pid, flags: bytes([0x47, pid >> 8 | 0x40, pid & 255, flags]) + b"x" * 184
+    stream = packet(0x1234, 0x13) + packet(17, 0x2F) + b"y" * 188 + b"G"
+    found = one(spark, packets.transport_packets(F.lit(bytearray(stream))))
+    assert [tuple(x) for x in found] == [(0x1234, True, True, 3), (17, True, False, 15)]
+    assert one(spark, packets.transport_packets(F.lit(bytearray(b"")))) == []
+    rtp = bytes([0x81]) + b"h" * 15 + b"body"
+    assert bytes(one(spark, packets.rtp_payload(F.lit(bytearray(rtp))))) == b"body"
+    assert one(spark, packets.rtp_payload(F.lit(bytearray(b"\x47abc")))) is None

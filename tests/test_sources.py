@@ -1,3 +1,4 @@
+import os
 import struct
 import tempfile
 
@@ -66,6 +67,39 @@ def test_frames_to_inventory(spark):
     assert streams == {(5000, b"<a/>{}"), (5000, b"abc"), (7, b"<b/>")}
 
 
+def test_files_as_streams_and_files_that_are_no_captures(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    frames = [frame(b"<a/>"), frame(b"{}")]
+    for name, data in (("a.pcap", pcap(frames)), ("b.pcapng", pcapng(frames)), ("c.txt", b"no capture"), ("d.pcap", pcap([]))):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(data)
+    streamed, whole = capture.stream_frames(spark, folder), capture.read_frames(spark, folder)
+    assert sorted(map(repr, streamed.drop("path").collect())) == sorted(map(repr, whole.drop("path").collect()))
+    bad = {r.path[-5:]: r.error for r in streamed.where("error IS NOT NULL").collect()}
+    assert set(bad) == {"c.txt"} and streamed.where("error IS NULL").count() == 5
+    assert capture.datagrams(streamed).count() == 5
+    blocks = capture.flow_blocks(capture.datagrams(whole.where("path LIKE '%a.pcap'")), packets=1).collect()
+    assert sorted((r.block, bytes(r.stream)) for r in blocks) == [(0, b"<a/>"), (1, b"{}")]
+
+
+def test_sinks(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    rows = spark.createDataFrame([(1, "é", None), (2, 'a,"b"', 0.5)], "k int, name string, v double")
+    files.write_comma_csv(rows.coalesce(1), f"{folder}/csv")
+    part = next(f for f in os.listdir(f"{folder}/csv") if f.startswith("part"))
+    with open(f"{folder}/csv/{part}", "rb") as f:
+        assert f.read().startswith(b"\xef\xbb\xbfk,name,v")
+    assert sorted(files.read_comma_csv(spark, f"{folder}/csv", "k int, name string, v double").collect()) == sorted(rows.collect())
+    files.write_json_lines(rows, f"{folder}/json")
+    assert files.read_json_lines(spark, f"{folder}/json", "k int, name string, v double", f"{folder}/bad").count() == 2
+    assert spark.read.text(f"{folder}/bad").count() == 0
+    files.write_xml(rows.selectExpr("k AS _k", "name", "v").coalesce(1), f"{folder}/xml", "rows", "row")
+    part = next(f for f in os.listdir(f"{folder}/xml") if f.startswith("part"))
+    with open(f"{folder}/xml/{part}", encoding="utf-8") as f:
+        assert "<rows>" in (text := f.read()) and '<row k="1">' in text
+    assert sorted((r._k, r.name) for r in files.read_xml(spark, f"{folder}/xml", "row", "_k int, name string, v double").collect()) == [(1, "é"), (2, 'a,"b"')]
+
+
 def test_text_formats(spark):
     folder = tempfile.mkdtemp(prefix="spark-")
     files.write_semicolon_csv(spark.createDataFrame([(1, 0.5), (2, None)], "k int, v double"), f"{folder}/csv")

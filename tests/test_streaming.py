@@ -36,4 +36,13 @@ def test_messages(spark):
     rows = [(at(0), "a", 2, "lo;wor"), (at(0), "a", 1, "hel"), (at(0), "b", 1, "no end"), (at(1), "a", 3, "ld;rest")]
     out = tempfile.mkdtemp(prefix="spark-") + "/out"
     jobs.run_once(jobs.messages(stream_of(spark, [rows]), {"user": "string"}, "n", "text", ";"), out)
-    assert sorted((r.user, r.message) for r in spark.read.parquet(out).collect()) == [("a", "hello;"), ("a", "world;")]
+    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("a", "hello;", True), ("a", "world;", True)]
+
+
+def test_nothing_of_a_long_message_is_lost(spark):
+    rows = [(at(0), "a", i, "x" * 30) for i in range(4)] + [(at(0), "a", 9, "en")]
+    out = tempfile.mkdtemp(prefix="spark-") + "/out"
+    stream = stream_of(spark, [rows, [(at(1), "a", 10, "d.next")]])
+    jobs.run_once(jobs.messages(stream, {"user": "string"}, "n", "text", "end.", longest=50), out)
+    got = spark.read.parquet(out).collect()
+    assert "".join(r.message for r in sorted(got, key=lambda r: r.complete)) == "x" * 120 + "end." and [r.complete for r in sorted(got, key=lambda r: r.complete)] == [False, True]
