@@ -104,7 +104,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, item_id: str = "
         shifts = F.broadcast(shifts)
     texts = docs.withColumn("twin", F.xxhash64("text")).join(shifts, ["doc_id", "twin"]).dropDuplicates(["doc_id", "twin"])
     begin = lambda x: F.greatest(x["shift"], F.lit(0))
-    piece = lambda w, x: F.slice(w, begin(x) + 1, F.least(F.size(w), x["shift"] + x["item_n"]) - begin(x))
+    # words by their places: a slice would go through the whole text for each shift
+    piece = lambda w, x: F.transform(F.sequence(begin(x), F.least(F.size(w), x["shift"] + x["item_n"]) - 1), lambda i: F.get(w, i))
     pieces = F.transform("shifts", lambda x: F.struct(x["item"].alias("item"), x["shift"].alias("shift"), piece(F.col("words"), x).alias("here")))
     here = texts.select("doc_id", "twin", "shifts", words(F.col("text")).alias("words")).select("doc_id", "twin", F.explode(pieces).alias("x")).select("doc_id", "twin", "x.*")
     lists = items.select("item", "item_id", "span", F.col("words").alias("item_words"))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from sparkloom.llm import decontaminate
 
@@ -60,3 +61,22 @@ def test_empty(spark):
     docs, items = cases()
     assert run(spark, docs, [])[2] == brute(docs, [])
     assert run(spark, [], items)[2] == []
+
+
+def test_time_in_proportion_to_length(spark):
+    rng = random.Random(3)
+    some = [f"w{k}" for k in range(5000)]
+    item = " ".join(rng.choice(some) for _ in range(60))
+    parts = [" ".join(rng.choice(some) for _ in range(400)) for _ in range(100)]
+
+    def seconds(n):
+        text = " ".join(rng.choice(parts) + " " + item for _ in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        row = decontaminate.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+        assert (row.n_words, row.n_hit) == (460 * n, 60 * n)
+        return time.time() - began
+
+    seconds(10)
+    short, long = seconds(100), seconds(1100)  # 46,000 and 506,000 words
+    assert long < 15 * short + 5
