@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,10 +73,11 @@ def blobs(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
+    """The table at path, empty if there is none yet. One that can't be read is an error: nothing must be taken for unseen because of it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # nothing was scanned yet
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 SEEN = "blob string, rules string"
@@ -88,7 +88,9 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_id:
     """docs with blob and found: array of (kind, start, end), by start, then kind as listed.
 
     ``ledger`` is a folder that all executors share; it is made at the first run and only ever
-    appended to. A null text is the empty blob; a null id is scanned like any other; equal texts
+    appended to: findings first, then what was seen, so a run that ends between the two leaves
+    blobs that the next one scans again, to no other result. Runs on one ledger follow each
+    other; two at once may both scan a blob, which adds rows but changes no result. A null text is the empty blob; a null id is scanned like any other; equal texts
     get equal findings, in whatever rows. An empty table adds nothing and gives no rows.
     Columns of docs named blob or found are replaced.
     """

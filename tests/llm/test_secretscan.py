@@ -1,6 +1,10 @@
+import os
 import re
+import shutil
 import tempfile
 
+import pytest
+
 from sparkloom.llm import secretscan
 
 KEY = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -53,3 +57,22 @@ def test_findings_and_ledger(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secretscan.scan(docs, "file://" + tempfile.mkdtemp(prefix="spark-")).count() == 0
+
+
+def test_a_run_that_ended_between_its_two_appends(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    ledger = tempfile.mkdtemp(prefix="spark-")
+    first = sorted(map(repr, secretscan.scan(docs, "file://" + ledger).collect()))
+    shutil.rmtree(f"{ledger}/seen")  # findings were written, what was seen was not
+    assert sorted(map(repr, secretscan.scan(docs, "file://" + ledger).collect())) == first
+    texts = len({t or "" for t in TEXTS})
+    assert spark.read.parquet(f"file://{ledger}/seen").count() == texts and spark.read.parquet(f"file://{ledger}/found").count() == 2 * texts
+
+
+def test_a_ledger_that_cannot_be_read_is_an_error(spark):
+    ledger = tempfile.mkdtemp(prefix="spark-")
+    os.makedirs(f"{ledger}/seen")
+    with open(f"{ledger}/seen/part-0.parquet", "wb") as f:
+        f.write(b"no parquet at all")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        secretscan.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "file://" + ledger).collect()
