@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands in for a null doc_id wherever ids are compared: it sorts before every other id.
-NULL_ID = -(2**63)
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the one the cluster shares (spark.checkpoint.dir); only without that setting a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or own_dir()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
+from sparkloom.scratch import scratch_dir, written
 
-@cache
-def own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+__all__ = ["NULL_ID", "id_and_text", "partitions", "scratch_dir", "text_of", "written"]
 
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read back: lineage ends here and a lost executor costs nothing."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Stands in for a null doc_id wherever ids are compared: it sorts before every other id.
+NULL_ID = -(2**63)
 
 
 def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,10 +22,5 @@ def text_of(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-def same(left: Column, right: Column) -> Column:
-    """Equality under which null meets null, still an equi-join for Spark."""
-    return left.eqNullSafe(right)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
