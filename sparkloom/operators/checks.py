@@ -26,6 +26,11 @@ def valid_position(lat: Column, lon: Column) -> Column:
     return lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0))
 
 
+def in_range(x: Column, y: Column, limit: float) -> Column:
+    """Whether a place on a plane is no further from its origin than limit; null if either number is."""
+    return F.hypot(x, y) <= limit
+
+
 def merged_schema(a: StructType, b: StructType) -> StructType:
     """a with what only b has, in structs within structs too; where types differ a's stays."""
     fields = {f.name: f for f in a}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import geo, packets, text
 from sparkloom.functions.times import micros
-from sparkloom.operators import lookups, profiling, reports, sequences
+from sparkloom.operators import checks, lookups, profiling, reports, sequences
 from sparkloom.plans.catalogue import _frames, _positions, _streamed, query, table, tables
 from sparkloom.scratch import scratch_dir
 from sparkloom.sources import capture, files
@@ -288,6 +288,17 @@ def streamed_messages(spark, sf_dir):
     return rows.where("complete").groupBy("conv_id", F.md5("message").alias("message")).agg(F.count("*").alias("n"))
 
 
+@query("""
+    SELECT c_custkey, round(sqrt(x ** 2 + y ** 2) / 1000, 3) AS km FROM (
+      SELECT c_custkey, ((c_custkey * 104729) % 359000 / 1000.0 - 179.5 - 2.0) * 111320.0 * cos(radians(48.0)) AS x, ((c_custkey * 7919) % 160000 / 1000.0 - 80 - 48.0) * 111320.0 AS y FROM customer
+    ) WHERE sqrt(x ** 2 + y ** 2) <= 4000000
+""")
+def customers_in_range(spark, sf_dir):
+    at = geo.to_plane(F.col("lat"), F.col("lon"), 48.0, 2.0)
+    placed = _positions(spark, sf_dir).select("c_custkey", at["x"].alias("x"), at["y"].alias("y"))
+    return placed.where(checks.in_range(F.col("x"), F.col("y"), 4_000_000)).select("c_custkey", F.round(F.hypot("x", "y") / 1000, 3).alias("km"))
+
+
 # Geodesy with SQL of its own
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,24 @@ def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="sparkloom-")
 
 
+#: Folders of tables that this process has written and not deleted.
+_made: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: lineage ends here and a lost executor costs nothing."""
     path = scratch_dir(df.sparkSession)
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns, written; the tables that were written on the way to it are deleted then."""
+    before = len(_made)
+    out = written(make())
+    for path in _made[before:-1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _made[before:-1]
+    return out

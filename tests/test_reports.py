@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,14 @@ def test_markup_inventory(spark):
     assert got == {("framing", "prolog"): 1, ("framing", "several"): 1, ("framing", "none"): 2, ("encoding", "utf-8"): 1, ("encoding", "ascii"): 3, ("records", "2"): 1, ("records", "1"): 1, ("records", "0"): 2, ("element", "a"): 2, ("element", "r"): 3, ("attribute", "a@b"): 1, ("attribute", "a@c"): 1, ("attribute", "r@d"): 1}
 
 
+def test_tables_on_the_way_are_deleted(spark):
+    made = len(scratch._made)
+    out = scratch.settled(spark, lambda: scratch.written(scratch.written(spark.range(5)).where("id > 1")))
+    assert out.count() == 3 and len(scratch._made) == made + 1
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert os.path.isdir(scratch._made[-1].removeprefix("file://")) and scratch._made[-1].startswith("file://" + base)
+
+
 def test_scratch_folder(spark, monkeypatch):
     assert scratch.scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
 
