@@ -4,8 +4,8 @@ Spark counts the documents of each distinct line hash. The hashes that are commo
 split into shards of bounded size; each shard becomes one row: a minimal perfect hash (hash and
 displace) and, at its slots, fingerprint, count (up to 255) and keeper arrays. Documents' line
 hashes are dealt to the shards and stream past the arrays; a shard is copied, and its probes
-are salted, as often as the counts of its lines ask for, so that a line in every document is
-spread over tasks. Lines are never joined to lines.
+are salted, as often as their number asks for, so that a line in every document is spread over
+tasks. Lines are never joined to lines.
 
 A line is known by 128 bits of its key's hash: 64 place it, and the other 64 are the
 fingerprint that a slot must hold for the line to be the one counted there.
@@ -29,8 +29,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: Keys of a shard; more if there would be over MOST_SHARDS of them.
 SHARD_KEYS, MOST_SHARDS = 50_000, 500_000
 KEYS_A_BUCKET = 4
-#: Probes of common lines for which a shard gets one more copy.
-PROBES_A_COPY = 200_000
+#: Probes for which a shard gets one more copy.
+PROBES_A_COPY = 100_000
 
 
 def keys_of(text: str, min_chars: int) -> list[tuple[int, bytes]]:
@@ -122,17 +122,17 @@ def index(common: DataFrame, shards: int) -> DataFrame:
     return common.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, seeds binary, fingerprints binary, counts binary, keepers binary")
 
 
-def probed(lines: DataFrame, shard_rows: DataFrame, copies: DataFrame, shards: int, min_docs: int) -> DataFrame:
+def probed(lines: DataFrame, shard_rows: DataFrame, copies: DataFrame, least: int, shards: int, min_docs: int) -> DataFrame:
     """doc_id, twin, line, keeper of each line that the index has with min_docs documents.
 
     Each (shard, salt) is a run of rows in a sorted partition: first the shard's arrays, then the
     hashes that look them up, which stream past in batches of any number. copies has a row
-    (shard, copies) for the shards that have more than one, MOST_SHARDS at most.
+    (shard, copies) for the shards that have more copies than ``least``, MOST_SHARDS at most.
     """
     # zeros, not nulls, of which pandas would make floats
     nothing = [F.lit(0).cast(kind).alias(name) for name, kind in (("doc_id", "long"), ("twin", "long"), ("line", "int"), ("place", "long"), ("fingerprint", "long"))]
     several = F.broadcast(copies)
-    n = F.coalesce("copies", F.lit(1))
+    n = F.coalesce("copies", F.lit(least))
     arrays = shard_rows.join(several, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"), F.lit(0).alias("kind"), *nothing, "seeds", "fingerprints", "counts", "keepers")
     empty = [F.lit(None).cast("binary").alias(x) for x in ("seeds", "fingerprints", "counts", "keepers")]
     asks = lines.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).join(several, "shard", "left")
@@ -180,8 +180,9 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
         lines, common = (x.withColumn("place", F.xxhash64("place", "fingerprint")) for x in (lines, common))
     n = common.count()
     shards = max(1, math.ceil(n / max(SHARD_KEYS, n / MOST_SHARDS)))
-    of = common.groupBy(F.pmod("place", F.lit(shards)).cast("int").alias("shard")).agg((F.floor(F.sum("n_docs") / PROBES_A_COPY) + 1).cast("int").alias("copies"))
-    hits = probed(lines, index(common, shards), of.where("copies > 1"), shards, min_docs).where("keeper != doc_id")
+    least = 1 + lines.count() // shards // PROBES_A_COPY  # all lines fall to the shards alike, but for common ones
+    of = common.groupBy(F.pmod("place", F.lit(shards)).cast("int").alias("shard")).agg((F.floor(F.sum("n_docs") / PROBES_A_COPY) + least).cast("int").alias("copies"))
+    hits = probed(lines, index(common, shards), of.where(F.col("copies") > least), least, shards, min_docs).where("keeper != doc_id")
     dropped = hits.groupBy("doc_id", "twin").agg(F.collect_set("line").alias("__lines")).withColumnsRenamed({"doc_id": "__id", "twin": "__twin"})
 
     @F.pandas_udf("string")

@@ -41,3 +41,12 @@ def test_perfect_hash_is_minimal():
     for n in (1, 2, 3, 100, 20_000):
         keys = np.arange(n, dtype=np.uint64) * np.uint64(rng.integers(1, 2**62) * 2 + 1)
         assert sorted(linededup.slots(keys, linededup.perfect_hash(keys), n)) == list(range(n))
+
+
+def test_many_shards_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 5)
+    monkeypatch.setattr(linededup, "PROBES_A_COPY", 7)
+    rows = [(i, "\n".join(f"line number {k} of some length" for k in range(40) if (i + k) % 5 < 3 or k == 7)) for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in linededup.drop_repeated_lines(docs).collect()), key=repr)
+    assert got == brute(rows)
