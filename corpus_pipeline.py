@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result
 and reads it back for the next, so a stage that fails starts again from what is written.
+
+All but the last return the columns of docs, whatever these are besides doc_id and text. A null
+text is an empty one: it is clean, one empty line, alike to other empty texts, and a piece of one
+token. Rows without an id are documents of their own. Rows that share an id are judged by their
+own texts in the first, second and fourth stage and are one document in the third, which keeps
+one of them. Empty tables give empty results. Workers must be able to import this repository.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, linededup, neardup, packing, queries, toxicity
-from sparkloom.llm.common import written
+from sparkloom.scratch import settled
 
 #: A document goes at this score, the threshold of op3's predictions.
 TOXIC = 0.3
@@ -57,5 +63,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = settled(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023
     return STAGES[-1][1](spark, docs, sf_dir)

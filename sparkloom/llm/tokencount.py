@@ -26,7 +26,8 @@ from sparkloom.llm.common import text_of
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
-WORDS_KEPT = 300_000
+#: Bytes of words that a worker remembers, about.
+MEMO_BYTES = 32_000_000
 _words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -39,7 +40,7 @@ class Vocabulary(dict):
             self.trie.add_word(piece, (len(piece), score))
         self.trie.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_COST
-        self.byte_pieces = byte_pieces
+        self.byte_pieces, self.room = byte_pieces, MEMO_BYTES
         self.known = {piece for piece, _ in pieces if len(piece) == 1}
         self.apart = not any(SPACE in piece.lstrip(SPACE) for piece, _ in pieces)
 
@@ -73,8 +74,9 @@ class Vocabulary(dict):
 
     def __missing__(self, word: str) -> int:
         value = self.viterbi(SPACE + word)
-        if len(self) < WORDS_KEPT and len(word) <= 64:
+        if self.room > 0:
             self[word] = value
+            self.room -= 150 + len(word)
         return value
 
     def count(self, text: str) -> int:
