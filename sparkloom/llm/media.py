@@ -2,12 +2,14 @@
 
 A gear hash of the last 32 bytes rolls over a payload and cuts it where its high bits are
 zero, so equal stretches of different payloads come to equal chunks. A chunk is stored once,
-as a compressed frame under its SHA-256, with the payload that owns it (the least that has
-it); Spark's joins on digests find the owners. What is stored of a payload is its ordered
-chunk list and the frames it owns. Reading back, frames owned elsewhere are joined in, every
-frame is opened and held against its digest, and the pieces in order are the payload.
-
-Equal texts are one payload, kept for the least id; each row then takes what its text gives.
+as a compressed frame under its SHA-256, with the payload that owns it (of those that have it
+the one whose name is least); Spark's joins on digests find the owners. What is stored of a
+payload is its ordered chunk list and the frames it owns. Reading back, frames owned elsewhere
+are joined in, every frame is opened and held against its digest, and the pieces in order are
+the payload.
+
+A payload's name, its blob, is the first KEY bytes of its text's SHA-256: equal texts are one
+payload, and each row takes what its text gives.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NULL_ID, written
+from sparkloom.llm.common import text_of, written
 
 UNIT = 192
 LEAST, LARGEST, MASK_BITS = 512, 8192, 11
 WINDOW = 32
 LEVEL = 6
-#: Bytes of a digest by which Spark joins chunks; whole digests verify what is read back.
+#: Bytes of a digest by which Spark joins chunks and payloads; whole digests verify what is read back.
 KEY = 16
 MAGIC = b"CDC1"
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 2**32, 256, dtype=np.uint32)
@@ -98,48 +100,46 @@ def feature(payload: bytes, lengths: list[int]) -> str:
     return f"chunks={len(lengths)};longest={max(lengths)};mean={x.mean():.6f};std={x.std():.6f};min={x.min()};max={x.max()};crossings={int((high[1:] != high[:-1]).sum())}"
 
 
-READ = "blob binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "blob binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
-def read_back(blob: str, digests: list[bytes], lengths: list[int], frames: list[bytes]) -> tuple:
+def read_back(blob: bytes, digests: list[bytes], lengths: list[int], frames: list[bytes]) -> tuple:
     payload = opened(frames, digests)
     stored = manifest(digests, lengths) + b"".join(frames)
-    return blob, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload, lengths)
+    return blob, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).digest(), feature(payload, lengths)
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, blob (SHA-256 of the text), text."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.unhex(F.sha2(whole, 256)).alias("blob"), whole.alias("text"))
+def blob_of(text: str) -> Column:
+    return F.substring(F.unhex(F.sha2(text_of(text), 256)), 1, KEY)
 
 
 def chunk_keys(known: DataFrame) -> DataFrame:
-    """doc, key of every chunk: the first KEY bytes of its digest."""
+    """blob, key of every chunk of blob, text: the first KEY bytes of its digest."""
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(doc, hashlib.sha256(c).digest()[:KEY]) for doc, text in zip(batch["doc"].array, batch["text"].array) for c in chunks(payload_of(text))]
-            yield pd.DataFrame(rows, columns=["doc", "key"])
+            rows = [(blob, hashlib.sha256(c).digest()[:KEY]) for blob, text in zip(batch["blob"].array, batch["text"].array) for c in chunks(payload_of(text))]
+            yield pd.DataFrame(rows, columns=["blob", "key"])
 
-    return known.select("doc", "text").mapInPandas(listed, "doc long, key binary")
+    return known.mapInPandas(listed, "blob binary, key binary")
 
 
 def wrapped(known: DataFrame) -> DataFrame:
-    """doc, blob, whole: texts compressed for their way to the store."""
+    """blob, whole: texts compressed for their way to the store."""
 
     def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compress = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True).compress
         for batch in batches:
-            yield pd.DataFrame({"doc": batch["doc"], "blob": batch["blob"], "whole": [compress(t.encode()) for t in batch["text"].array]})
+            yield pd.DataFrame({"blob": batch["blob"], "whole": [compress(t.encode()) for t in batch["text"].array]})
 
-    return known.mapInPandas(wrap, "doc long, blob binary, whole binary")
+    return known.mapInPandas(wrap, "blob binary, whole binary")
 
 
-STORED = "doc long, blob binary, digests array<binary>, lengths array<int>, frames array<binary>, lent array<boolean>, foreign array<binary>"
+STORED = "blob binary, digests array<binary>, lengths array<int>, frames array<binary>, lent array<boolean>, foreign array<binary>"
 
 
 def kept(payloads: DataFrame) -> DataFrame:
-    """STORED rows of doc, blob, whole, others (keys of chunks that another one owns) and lent (of owned ones that others have too).
+    """STORED rows of blob, whole, others (keys of chunks that another one owns) and lent (of owned ones that others have too).
 
     frames are in the order of digests, empty where a chunk is owned elsewhere or stood before; lent marks those that others fetch.
     """
@@ -156,26 +156,25 @@ def kept(payloads: DataFrame) -> DataFrame:
                     for d, c in zip(digests, parts):
                         frames.append(b"" if d in held or d[:KEY] in foreign else compress(c))
                         held.add(d)
-                    rows.append((r.doc, r.blob, digests, [len(c) for c in parts], frames, [f != b"" and d[:KEY] in lent for d, f in zip(digests, frames)], sorted({d for d in digests if d[:KEY] in foreign})))
+                    rows.append((r.blob, digests, [len(c) for c in parts], frames, [f != b"" and d[:KEY] in lent for d, f in zip(digests, frames)], sorted({d for d in digests if d[:KEY] in foreign})))
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in STORED.split(", ")])
 
-    return payloads.select("doc", "blob", "whole", "others", "lent").mapInPandas(keep, STORED)
+    return payloads.select("blob", "whole", "others", "lent").mapInPandas(keep, STORED)
 
 
-def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """Writes docs' payloads to path (else to the shared folder): STORED rows, read from there, of each text at the least id that has it.
+def store(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """Writes docs' payloads to path (else to the shared folder): STORED rows, read from there, one of each text.
 
     A row holds both the ordered chunk list and the frames that its payload owns, so most are
     read back without a join; payload_lists and chunk_table are the two parts.
     """
-    known = keyed(docs, doc_id, text)
-    first = known.groupBy("blob").agg(F.min("doc").alias("doc"))
+    known = docs.select(blob_of(text).alias("blob"), text_of(text).alias("text"))
     keys = written(chunk_keys(known))
-    owners = written(keys.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner != last"))
-    marks = written(keys.join(owners, "key").groupBy("doc").agg(F.collect_set(F.when(F.col("doc") != F.col("owner"), F.col("key"))).alias("others"), F.collect_set(F.when(F.col("doc") == F.col("owner"), F.col("key"))).alias("lent")))
-    reps = first.join(marks, "doc", "left").withColumnsRenamed({"blob": "of", "doc": "rep"})
-    once = wrapped(known).dropDuplicates(["doc", "blob"])  # dealt as the join is; a repeated row goes once from each task
-    table = kept(once.join(reps, (F.col("doc") == F.col("rep")) & (F.col("blob") == F.col("of"))))
+    owners = written(keys.groupBy("key").agg(F.min("blob").alias("owner"), F.max("blob").alias("last")).where("owner != last"))
+    own = F.col("blob") == F.col("owner")
+    marks = written(keys.join(owners, "key").groupBy("blob").agg(F.collect_set(F.when(~own, F.col("key"))).alias("others"), F.collect_set(F.when(own, F.col("key"))).alias("lent")))
+    once = wrapped(known).dropDuplicates(["blob"])  # a repeated text goes once from each task
+    table = kept(once.join(marks, "blob", "left"))
     if path is None:
         return written(table)
     table.write.parquet(path)
@@ -189,7 +188,7 @@ def payload_lists(table: DataFrame) -> DataFrame:
 
 
 def chunk_table(table: DataFrame, lent: bool = False) -> DataFrame:
-    """digest, frame of each chunk in a stored table, or of those only that several ids share; where texts of one id have it, either's."""
+    """digest, frame of each chunk in a stored table, or of those only that several payloads share."""
     each = table.select(F.explode(F.arrays_zip("digests", "frames", "lent")).alias("x"))
     return each.where(F.col("x.lent") if lent else F.octet_length("x.frames") > 0).select(F.col("x.digests").alias("digest"), F.col("x.frames").alias("frame")).dropDuplicates(["digest"])
 
@@ -217,12 +216,12 @@ def read(table: DataFrame) -> DataFrame:
 
 
 def media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, n_bytes and the columns of READ but blob, for each row of docs: what its stored payload gives, read back.
+    """doc_id, n_bytes and the columns of READ but blob, digests in hex, for each row of docs: what its stored payload gives, read back.
 
     The payloads are stored first, at path if it is given (see store), and every value is computed
     from the stored bytes. A null text is an empty one, whose payload is UNIT spaces. Rows with
-    equal texts get equal values, whatever their ids; a null id owns like the smallest. An empty
-    table gives no rows.
+    equal texts get equal values, whatever their ids, null ones too. An empty table gives no rows.
     """
-    rows = keyed(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")), "__id", "__text").select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), "blob")
-    return rows.join(read(store(docs, doc_id, text, path)), "blob", "left").drop("blob")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"), blob_of(text).alias("blob"))
+    joined = rows.join(read(store(docs, text, path)), "blob", "left")
+    return joined.select("doc_id", "n_bytes", *[F.lower(F.hex(c)).alias(c) if c.endswith("sha256") else c for c in (x.split()[0] for x in READ.split(", ")[1:])])
