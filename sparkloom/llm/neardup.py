@@ -150,12 +150,14 @@ def bands(registers: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc, copy, keys: of each row the hash of its text and its band keys (none for a text without words)."""
+    """doc, copy, keys: of each row the hash of its text and its band keys (none for a text without words, null for one that stood before in its batch)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for batch in batches:
-            texts, at = batch["text"].array, 0
+            yield pd.DataFrame({"doc": batch["doc"], "copy": batch["copy"], "keys": None})[batch["copy"].duplicated()]
+            rows = batch[~batch["copy"].duplicated()]
+            texts, at = rows["text"].array, 0
             while at < len(texts):
                 begin, bags, size = at, [], 0
                 while at < len(texts) and size < BLOCK:
@@ -163,8 +165,8 @@ def signed(docs: DataFrame) -> DataFrame:
                     size += max(len(bags[-1]), 32)  # a short text has as many registers
                     at += 1
                 keys = bands(signatures(bags))
-                rows = batch.iloc[begin:at]
-                yield pd.DataFrame({"doc": rows["doc"].to_numpy(), "copy": rows["copy"].to_numpy(), "keys": [k if len(b) else k[:0] for k, b in zip(keys, bags)]})
+                some = rows.iloc[begin:at]
+                yield pd.DataFrame({"doc": some["doc"].to_numpy(), "copy": some["copy"].to_numpy(), "keys": [k if len(b) else k[:0] for k, b in zip(keys, bags)]})
 
     return docs.select("doc", F.md5("text").alias("copy"), "text").mapInPandas(sign, "doc long, copy string, keys array<long>")
 
@@ -310,7 +312,7 @@ def hub_groups(firsts: DataFrame) -> DataFrame:
 def labels_of(known: DataFrame, threshold: float) -> DataFrame:
     """doc, label of each row of known (doc, text)."""
     signs = written(signed(known))
-    firsts = written(signs.groupBy("copy").agg(F.min("doc").alias("doc"), F.any_value("keys").alias("keys")))
+    firsts = written(signs.groupBy("copy").agg(F.min("doc").alias("doc"), F.any_value("keys", True).alias("keys")))
     reps = signs.select("doc", "copy").join(firsts.select("copy", F.col("doc").alias("rep")), "copy")
     # first against the hubs
     members = hub_groups(firsts)
