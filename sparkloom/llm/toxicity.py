@@ -460,6 +460,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
                     n1.update(words.keys())
                     for word, bits in words.items():
                         contexts[word] = contexts.get(word, 0) | bits
+            if not n:  # pandas would take the columns of no words for numbers
+                continue
             signed = np.array([contexts.get(w, 0) for w in n], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"word": list(n), "n": list(n.values()), "n1": [n1[w] for w in n], "contexts": signed})
 

@@ -71,3 +71,17 @@ def test_stages_against_brute_force(spark, sf_dir):
 
 def test_threshold_is_the_queries():
     assert corpus_pipeline.TOXIC == 0.3 and np.isfinite(toxicity.SUBSTITUTE)
+
+
+def test_odd_and_empty_tables(spark, sf_dir):
+    """Columns of any name stay, nulls and repeated rows crash nothing, empty tables stay empty."""
+    names = "doc_id long, text string, score double, label int, blob string, keys int, words int, hub long, n_lines int, other int"
+    odd = [(None, None), (None, "no id"), (1, None), (1, ""), (2, "x" * 50_000), (2, "x" * 50_000), (3, "one line of text that is long\none line of text that is long"), (4, "漢字 " * 30)]
+    docs = spark.createDataFrame([(*r, *[1.0, *[None] * 7]) for r in odd], names)
+    for rows in (docs, docs.limit(0)):
+        kept = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, sf_dir)
+            assert kept.columns == docs.columns
+        pieces = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir).collect()
+        assert {r.doc_id for r in pieces} == (set() if not rows.count() else {None, 1, 2, 3, 4})

@@ -139,3 +139,9 @@ def test_what_needs_no_decoder_weighs_nothing(spark):
     for token in tokens:
         weight = sum(toxicity.weight_of(x, w.weights) for x in weigher.decoder.words(token))
         assert weigher[token] == weight, token
+
+
+def test_labelled_texts_without_words(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, " \n"), (4, "...")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int"))
+    assert not model.weights and len({r.score for r in toxicity.score(docs, model).collect()}) <= 2
