@@ -528,8 +528,14 @@ def valid_positions(spark, sf_dir):
 # Packets: frames that Spark makes of events
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table as read, dealt to all cores if its files give fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _frames(spark, sf_dir) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = dealt(table(spark, sf_dir, "events"))
     payload = F.encode(F.when(F.col("event_type") == "error", F.concat(F.lit("<e>"), "event_type", F.lit("</e>"))).when(F.col("event_type") == "view", F.col("props")).otherwise(F.col("event_type")), "UTF-8")
     frame = packets.udp_frame(F.lit(0x0A000000) + F.col("user_id"), F.lit(40000), F.lit(0x0A010001) + F.col("event_id") % 3, F.lit(5000) + F.col("event_id") % 7, payload)
     return events.select(F.lit("events").alias("path"), F.col("event_id").alias("seq"), (micros("ts") / 1e6).alias("ts"), F.lit(1).alias("linktype"), frame.alias("frame"))
