@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import base64
 import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import id_and_text, written
 
-#: Bytes of words and ids that a task remembers, about; later words are encoded each time.
-MEMO_BYTES = 24_000_000
+#: Bytes of words and ids that a Python worker remembers, about; later words are encoded each time.
+MEMO_BYTES = 48_000_000
 ROWS_A_BUCKET = 50_000
 
 
@@ -32,6 +35,14 @@ class _Loose(Exception):
     """White space follows a space, so words can't be encoded one by one."""
 
 
+def little(ids: list[int]) -> bytes:
+    """Unsigned little-endian 32 bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Encoder(dict):
     """Ids of ' ' + word as little-endian bytes, by word.
 
@@ -60,7 +71,7 @@ class _Encoder(dict):
         return ids
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
+        return little(self.bpe.encode_ordinary(text))
 
     def encode(self, text: str) -> bytes:
         if "<|" in text and any(s in text for s in self.special):
@@ -68,7 +79,7 @@ class _Encoder(dict):
                 from tokenizers import Tokenizer
 
                 self.full = Tokenizer.from_file(self.json_path)
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return little(self.full.encode(text, add_special_tokens=False).ids)
         first, *rest = text.split(" ")
         try:
             return (self._ids(first) if first else b"") + b"".join(map(self.__getitem__, rest))
@@ -76,6 +87,12 @@ class _Encoder(dict):
             return self._ids(text)
 
 
+@cache
+def encoder(json_path: str, ranks_path: str) -> _Encoder:
+    """The one of this worker."""
+    return _Encoder(json_path, ranks_path)
+
+
 def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids]: each document's ids and the end id, cut into pieces of at most ``capacity``.
 
@@ -84,7 +101,7 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, capacity: int
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = _Encoder(json_path, ranks_path).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(json_path, ranks_path).encode, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"].array, batch["text"].array):
