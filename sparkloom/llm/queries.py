@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, labelled, linededup, media, neardup, packing, quality, secretscan, suffixdedup, tokencount, toxicity
+from sparkloom.llm import decontaminate, labelled, linededup, media, neardup, packing, quality, secretscan, suffixdedup, tokencount, toxicity, warc
 from sparkloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,3 +210,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
+@query
+def op11_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.records(warc.read(warc.write(table(spark, sf_dir, "pages"), scratch_dir(spark))))
+    return found.select(warc.key_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), warc.key_of("refers_to").alias("refers_to"))
+
+
+ORACLES["op11_warc_chunks"] = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    d AS (
+      SELECT *, max(page_id) OVER (PARTITION BY html) AS keeper,
+        list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform(range(4), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * g + 1, 5))::INT >> (15 - 5 * i)) & 31)::INT + 1, 1)), 'string_agg', '')), 'string_agg', '') AS digest
+      FROM p
+    )
+    SELECT page_id, strlen(html) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d
+"""
