@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, labelled, linededup, media, neardup, packing, quality, secretscan, suffixdedup, tokencount, toxicity, warc
+from sparkloom.llm import decontaminate, labelled, linededup, media, neardup, packing, quality, secretscan, suffixdedup, tokencount, toxicity, warc, whitening
 from sparkloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +227,8 @@ ORACLES["op11_warc_chunks"] = """
     )
     SELECT page_id, strlen(html) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d
 """
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), scale=64, shift=1_000_000, wanted=16)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import media, quality, queries, toxicity
-from tests.llm import test_secretscan
+from tests.llm import test_secretscan, test_whitening
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
@@ -178,3 +178,8 @@ def test_op8(spark, texts):
     for r in queries.QUERIES["op8_token_counts"](spark, DATA).collect():
         text = texts[r.doc_id] or ""
         assert r.n_tokens == (len(public.encode(t.tokencount.SPACE + text.replace(" ", t.tokencount.SPACE), add_special_tokens=False).ids) if text else 0)
+
+
+def test_op12(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    assert test_whitening.check(rows, queries.QUERIES["op12_embedding_whitening"](spark, DATA).collect(), close=1e-8) == 16
