@@ -7,6 +7,16 @@ window. Where a document and an item share a gram, the item is laid on the docum
 shift, once however many grams they share there, and the hit is extended to every run of at
 least ``span`` words that agree. Items shorter than ``span`` are one window
 of their own length, with a winnowing of that length.
+
+Where words repeat with a period of up to a gram's length, the same gram is kept again and
+again. Such places are held as one progression (first, last, step), which stands in a stretch of
+that period. Two stretches of one period, in a document and an item, share the windows that lie
+inside both, which is arithmetic on their ends, and windows that hold an end of the document's
+stretch, or of the item's: there the two stretches begin or end alike, so the item is laid on
+the text at these two shifts only, and not at every place of one against every place of the
+other. Stretches reach less than REACH words beyond their progression: in a window that is
+inside a stretch the first of its least grams is kept, so a place of the progression that is
+missing has an end of the stretch within the window that begins there.
 """
 
 from __future__ import annotations
@@ -22,6 +32,8 @@ from sparkloom.llm.common import NULL_ID, written
 #: What separates words once A-Z are lower-cased: ASCII without digits and a-z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 5
+#: A window of 10 words, less a gram, and a period of up to a gram: no stretch goes on so far beyond its progression.
+REACH = 16
 #: Bits of a kept gram that hold its place; a text has fewer than 2**28 words.
 PLACE_BITS = 28
 #: Kept grams of a benchmark that are broadcast; a larger benchmark is joined by shuffle.
@@ -70,12 +82,84 @@ def alike_runs(a: str, b: str, least: str) -> Column:
     return F.aggregate(F.concat(alike, F.array(F.lit(False))), begin, add, lambda acc: acc["runs"])
 
 
+def progressions(places: Column, k: Column) -> Column:
+    """(first, last, step) of a sorted array of places: those that follow each other at one distance of up to k words are one, and a place without such is one of step 0."""
+
+    def of(p: Column) -> Column:
+        gap = lambda i: F.when(F.get(p, i) - F.get(p, i - 1) <= k, F.get(p, i) - F.get(p, i - 1)).otherwise(0)
+        begins = lambda i: (i == 0) | (gap(i) == 0) | ((i > 1) & (gap(i - 1) != 0) & (gap(i) != gap(i - 1)))
+        starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), begins)
+
+        def runs(at: Column) -> Column:
+            def run(i: Column, j: Column) -> Column:
+                last = F.coalesce(F.get(at, j + 1), F.size(p)) - 1
+                return F.struct(F.get(p, i).alias("first"), F.get(p, last).alias("last"), F.when(last > i, F.get(p, i + 1) - F.get(p, i)).otherwise(0).alias("step"))
+
+            return F.transform(at, run)
+
+        return F.flatten(F.transform(F.array(starts), runs))
+
+    return F.flatten(F.transform(F.array(places), of))
+
+
+def on(words: Column, at: Column, step: Column, way: int) -> Column:
+    """How many words from a place on, forwards (1) or backwards (-1), are those a step before (behind) them."""
+    same = lambda i: F.coalesce(F.get(words, at + i * way) == F.get(words, at + i * way - way * step), F.lit(False))
+    begin = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(REACH - 1)), begin, lambda acc, i: F.struct((acc["n"] + (acc["open"] & same(i)).cast("int")).alias("n"), (acc["open"] & same(i)).alias("open")), lambda acc: acc["n"])
+
+
+def stretch(words: Column, first: Column, last: Column, step: Column, k: Column) -> Column:
+    """(begin, end) of the words around a progression of grams that go on with its step."""
+    return F.struct((first - on(words, first - 1, step, -1)).alias("begin"), (last + k + on(words, last + k, step, 1)).alias("end"))
+
+
+def inside(x: Column, s: Column) -> Column:
+    """(start, stop) of the document's words in windows that lie inside both stretches; stop is not above start if there are none.
+
+    A window may begin in the document where the item has one at the same phase: at phases 0 to
+    ``room`` from the item's begin on. x: an ask of step > 0; s: the document's stretch.
+    """
+    room = x["d"] - x["span"] - x["c"]
+    phase = lambda at: F.pmod(at - x["first"] + x["q"] - x["c"], x["step"])
+    low = s["begin"] + F.when(phase(s["begin"]) <= room, 0).otherwise(x["step"] - phase(s["begin"]))
+    final = s["end"] - x["span"]
+    high = final - F.greatest(phase(final) - room, F.lit(0))
+    return F.struct(low.alias("start"), F.when((room >= 0) & (high >= low), high + x["span"]).otherwise(low).alias("stop"))
+
+
 def gram_places(df: DataFrame, span: int, *keep: str) -> DataFrame:
     """keep, span, key, place of the grams kept of each row's hashes."""
     grams = df.select(*keep, F.lit(span).alias("span"), F.explode(kept_grams("hashes", span)).alias("gram"))
     return grams.select(*keep, "span", F.shiftright("gram", PLACE_BITS).alias("key"), F.col("gram").bitwiseAND(2**PLACE_BITS - 1).cast("int").alias("place"))
 
 
+def item_grams(items: DataFrame, spans: list[int]) -> DataFrame:
+    """item, item_n, span, key, q, own, head, stretches: each place of a kept gram, the step of its progression (0: none), whether it is that one's first, and the stretch around it for each period from 1 to GRAM."""
+    places = functools.reduce(DataFrame.union, [gram_places(items.where(F.col("span") == s), s, "item") for s in spans])
+    k = F.least(F.lit(GRAM), F.col("span"))
+    runs = places.groupBy("item", "span", "key").agg(F.sort_array(F.collect_set("place")).alias("places")).select("item", "span", "key", F.explode(progressions(F.col("places"), k)).alias("x"))
+    each = F.when(F.col("x.step") > 0, F.sequence(F.col("x.first"), F.col("x.last"), F.greatest("x.step", F.lit(1)))).otherwise(F.array("x.first"))
+    rows = runs.select("item", "span", "key", F.col("x.last").alias("last"), F.col("x.step").alias("own"), F.posexplode(each).alias("nth", "q")).join(items.select("item", "item_n", "words").dropDuplicates(["item"]), "item")
+    upto = lambda step: F.when((F.col("nth") == 0) & (F.col("own") == step), F.col("last")).otherwise(F.col("q"))
+    stretches = F.array(*[stretch(F.col("words"), F.col("q"), upto(p), F.lit(p), k) for p in range(1, GRAM + 1)])
+    return rows.select("item", "item_n", "span", "key", "q", "own", (F.col("nth") == 0).alias("head"), stretches.alias("stretches"))
+
+
+def document_grams(docs: DataFrame, spans: list[int]) -> DataFrame:
+    """doc_id, twin, n_words, is_first, key, p: the kept grams of each row of docs, for each span, and before them one row (is_first) with a key that no item has.
+
+    What is said of all words comes before the grams are dealt out: a gram's row holds no words,
+    so what a text costs is in proportion to its length.
+    """
+    known = hashed(docs.select("doc_id", F.xxhash64("text").alias("twin"), words(F.col("text")).alias("words")))
+    known = known.select("doc_id", "twin", F.size("words").alias("n_words"), "hashes")
+    grams = known.select("doc_id", "twin", "n_words", F.explode(F.concat(F.array(F.lit(-1).cast("bigint")), *[kept_grams("hashes", s) for s in spans])).alias("gram"))
+    is_first = F.col("gram") == -1
+    nowhere = F.lit(2**40) + F.pmod(F.xxhash64("doc_id", "twin"), F.lit(2**20))  # spread, and above all keys
+    return grams.select("doc_id", "twin", "n_words", is_first.alias("is_first"), F.when(is_first, nowhere).otherwise(F.shiftright("gram", PLACE_BITS)).alias("key"), F.col("gram").bitwiseAND(2**PLACE_BITS - 1).cast("int").alias("p"))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, twin, n_words of each row of docs; doc_id, twin, item_id, start, stop of the runs of words that items share).
 
@@ -84,37 +168,49 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, item_id: str = "
     items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), words(F.col(item_text)).alias("words")).distinct().where(F.size("words") > 0)
     items = hashed(items).withColumns({"span": F.least(F.lit(span), F.size("words")), "item": F.xxhash64("item_id", "words"), "item_n": F.size("words")})
     spans = sorted(r["span"] for r in items.select("span").distinct().collect())  # at most ``span`` values
-    known = hashed(docs.select("doc_id", F.xxhash64("text").alias("twin"), words(F.col("text")).alias("words")))
-    one = F.array(F.lit(-1).cast("bigint"))  # of each row one gram that no item has
-    # a gram's row holds no words, so what a text costs is in proportion to its length
-    grams = known.select("doc_id", "twin", F.size("words").alias("n_words"), F.explode(F.concat(one, *[kept_grams("hashes", s) for s in spans])).alias("gram"))
-    first = F.col("gram") == -1
-    nowhere = F.lit(2**40) + F.pmod(F.xxhash64("doc_id", "twin"), F.lit(2**20))  # spread, and above all keys
-    grams = grams.withColumns({"p": F.col("gram").bitwiseAND(2**PLACE_BITS - 1).cast("int"), "key": F.when(first, nowhere).otherwise(F.shiftright("gram", PLACE_BITS)), "first": first})
-    of_items = [gram_places(items.where(F.col("span") == s), s, "item", "item_n") for s in spans]
-    if not of_items:
-        return known.select("doc_id", "twin", F.size("words").alias("n_words")), docs.sparkSession.createDataFrame([], "doc_id long, twin long, item_id string, start int, stop int")
-    item_grams = functools.reduce(DataFrame.union, of_items)
-    if item_grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
-        item_grams = F.broadcast(item_grams)
-    met = written(grams.join(item_grams, "key", "left").where("first OR span IS NOT NULL").select("doc_id", "twin", "n_words", "first", "item", "item_n", (F.col("p") - F.col("place")).alias("shift")))
+    if not spans:
+        return document_grams(docs, []).select("doc_id", "twin", "n_words"), docs.sparkSession.createDataFrame([], "doc_id long, twin long, item_id string, start int, stop int")
+    of_items = written(item_grams(items, spans))
+    small = of_items.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    keys = of_items.select("key", F.col("span").alias("of_span")).distinct()
+    met = written(document_grams(docs, spans).join(F.broadcast(keys) if small else keys, "key", "left").where("is_first OR of_span IS NOT NULL").select("doc_id", "twin", "n_words", "is_first", "key", "of_span", "p"))
+    # places of one gram in one text, as progressions; then what is to be laid on the text: a shift, or a progression against an item's stretch
+    found = met.where("NOT is_first").groupBy("doc_id", "twin", "key", "of_span").agg(F.sort_array(F.collect_set("p")).alias("places"))
+    found = found.select("doc_id", "twin", "key", F.explode(progressions(F.col("places"), F.least(F.lit(GRAM), F.col("of_span")))).alias("x"))
+    pairs = found.join(F.broadcast(of_items) if small else of_items, "key").where("head OR (x.step > 0 AND own > 0 AND x.step <> own)")
+    step = F.when(F.col("x.step") > 0, F.col("x.step")).otherwise(F.col("own"))
+    item_stretch = F.get("stretches", step - 1)
+    ask = F.when(step == 0, F.struct("item", "item_n", "span", step.alias("step"), (F.col("x.first") - F.col("q")).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("q"), F.lit(0).alias("c"), F.lit(0).alias("d"))).otherwise(
+        F.struct("item", "item_n", "span", step.alias("step"), F.col("x.first").alias("first"), F.col("x.last").alias("last"), F.col("q").alias("q"), item_stretch["begin"].alias("c"), item_stretch["end"].alias("d"))
+    )
     # equal texts at one shift against an item are compared once, however many grams they share
-    shifts = met.where("NOT first").groupBy("doc_id", "twin").agg(F.collect_set(F.struct("item", "item_n", "shift")).alias("shifts"))
-    if shifts.limit(BROADCAST_DOCS + 1).select(F.size("shifts").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)) + F.count("*")).first()[0] <= BROADCAST_DOCS:
-        shifts = F.broadcast(shifts)
-    texts = docs.withColumn("twin", F.xxhash64("text")).join(shifts, ["doc_id", "twin"]).dropDuplicates(["doc_id", "twin"])
+    asks = pairs.groupBy("doc_id", "twin").agg(F.collect_set(ask).alias("asks"))
+    if asks.limit(BROADCAST_DOCS + 1).select(F.size("asks").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)) + F.count("*")).first()[0] <= BROADCAST_DOCS:
+        asks = F.broadcast(asks)
+    texts = docs.withColumn("twin", F.xxhash64("text")).join(asks, ["doc_id", "twin"]).dropDuplicates(["doc_id", "twin"])
+    texts = texts.select("doc_id", "twin", "asks", words(F.col("text")).alias("words"))
+    w = F.col("words")
     begin = lambda x: F.greatest(x["shift"], F.lit(0))
     # words by their places: a slice would go through the whole text for each shift
-    piece = lambda w, x: F.transform(F.sequence(begin(x), F.least(F.size(w), x["shift"] + x["item_n"]) - 1), lambda i: F.get(w, i))
-    pieces = F.transform("shifts", lambda x: F.struct(x["item"].alias("item"), x["shift"].alias("shift"), piece(F.col("words"), x).alias("here")))
-    here = texts.select("doc_id", "twin", "shifts", words(F.col("text")).alias("words")).select("doc_id", "twin", F.explode(pieces).alias("x")).select("doc_id", "twin", "x.*")
+    piece = lambda x: F.transform(F.sequence(begin(x), F.least(F.size(w), x["shift"] + x["item_n"]) - 1), lambda i: F.get(w, i))
+    at = lambda x, shift: F.struct(x["item"].alias("item"), x["item_n"].alias("item_n"), shift.alias("shift"))
+
+    def two(x: Column) -> Column:
+        around = stretch(w, x["first"], x["last"], x["step"], F.least(F.lit(GRAM), x["span"]))
+        return F.flatten(F.transform(F.array(around), lambda s: F.array(at(x, s["begin"] - x["c"]), at(x, s["end"] - x["d"]))))
+
+    shifts = F.array_distinct(F.flatten(F.transform("asks", lambda x: F.when(x["step"] == 0, F.array(at(x, x["first"]))).otherwise(two(x)))))
+    laid = F.transform(shifts, lambda x: F.struct(x["item"].alias("item"), x["shift"].alias("shift"), piece(x).alias("here"), F.lit(0).alias("start"), F.lit(0).alias("stop")))
+    within = F.transform(F.filter("asks", lambda x: x["step"] > 0), lambda x: F.struct(x["item"].alias("item"), inside(x, stretch(w, x["first"], x["last"], x["step"], F.least(F.lit(GRAM), x["span"]))).alias("s")))
+    whole = F.transform(F.filter(within, lambda y: y["s"]["stop"] > y["s"]["start"]), lambda y: F.struct(y["item"].alias("item"), F.lit(0).alias("shift"), F.lit(None).cast("array<string>").alias("here"), y["s"]["start"].alias("start"), y["s"]["stop"].alias("stop")))
+    here = texts.select("doc_id", "twin", F.explode(F.concat(laid, whole)).alias("x")).select("doc_id", "twin", "x.*")
     lists = items.select("item", "item_id", "span", F.col("words").alias("item_words"))
     if items.limit(BROADCAST_ITEMS + 1).agg(F.coalesce(F.sum("item_n"), F.lit(0)) + F.count("*")).first()[0] <= BROADCAST_ITEMS:
         lists = F.broadcast(lists)
     there = F.slice("item_words", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("here"))
-    runs = here.join(lists, "item").withColumn("there", there).select("doc_id", "twin", "item_id", begin(F.struct("shift")).alias("from"), F.explode(alike_runs("here", "there", "span")).alias("run"))
-    found = runs.select("doc_id", "twin", "item_id", (F.col("from") + F.col("run.start")).alias("start"), (F.col("from") + F.col("run.stop")).alias("stop"))
-    return met.where("first").select("doc_id", "twin", "n_words"), found
+    agreed = F.when(F.col("here").isNull(), F.array(F.struct("start", "stop"))).otherwise(alike_runs("here", "there", "span"))
+    runs = here.join(lists, "item").withColumn("there", there).select("doc_id", "twin", "item_id", begin(F.struct("shift")).alias("from"), F.explode(agreed).alias("run"))
+    return met.where("is_first").select("doc_id", "twin", "n_words"), runs.select("doc_id", "twin", "item_id", (F.col("from") + F.col("run.start")).alias("start"), (F.col("from") + F.col("run.stop")).alias("stop"))
 
 
 def covered(runs: Column) -> Column:

@@ -2,6 +2,9 @@ import random
 import re
 import time
 
+import pytest
+from pyspark.sql import functions as F
+
 from sparkloom.llm import decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -63,6 +66,64 @@ def test_empty(spark):
     assert run(spark, [], items)[2] == []
 
 
+def periodic(seed):
+    """Texts and items of words that repeat with periods of 1 to 7, with other words between and around."""
+    rng = random.Random(seed)
+
+    def stretch():
+        unit = [rng.choice("ab") if rng.random() < 0.7 else rng.choice("cd") for _ in range(rng.randint(1, 7))]
+        n = rng.choice([4, 9, 10, 11, 13, 25, 60])
+        return (unit * 60)[:n]
+
+    def text():
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            out += [rng.choice("xyzab") for _ in range(rng.randint(0, 4))] + stretch() + [rng.choice("xyzab") for _ in range(rng.randint(0, 4))]
+        return out
+
+    items = [text() for _ in range(14)] + [[rng.choice("ab") for _ in range(n)] for n in range(1, 10)] + [["a"] * n for n in (1, 3, 5, 9, 10, 30)]
+    docs = [text() for _ in range(50)]
+    for _ in range(50):  # pieces of items between others
+        item = rng.choice(items)
+        i = rng.randrange(len(item))
+        docs.append(text() + item[i : i + rng.randint(5, 30)] + text())
+    join = lambda rows: [(i, " ".join(x)) for i, x in enumerate(rows)]
+    return join(docs), join(items)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_periodic_texts(spark, seed):
+    docs, items = periodic(seed)
+    assert run(spark, docs, items)[2] == brute(docs, items)
+
+
+@pytest.mark.parametrize("unit", ["again", "to and", "one two three four five"])
+def test_repeated_words_take_time_in_proportion(spark, unit):
+    n = len(unit.split())
+    items = spark.createDataFrame([(1, " ".join([unit] * (60 // n))), (2, f"lead {' '.join([unit] * 6)} tail of it")], "item_id long, text string")
+
+    def seconds(times):
+        docs = spark.createDataFrame([(1, " ".join([unit] * (times // n)))], "doc_id long, text string")
+        began = time.time()
+        row = decontaminate.contamination(docs, items).first()
+        assert (row.n_words, row.n_hit, "1" in row["items"]) == (times // n * n, times // n * n, True)
+        return time.time() - began
+
+    seconds(5000)
+    short, long = seconds(50_000), seconds(500_000)
+    assert long < 15 * short + 5
+
+
+def test_a_gram_takes_no_words_with_it(spark):
+    """Above the generator of grams there is neither a text nor an array of words or hashes."""
+    docs = spark.createDataFrame(cases()[0], "doc_id long, text string")
+    plan = decontaminate.document_grams(docs, [3, 10])._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    carried = plan[at].rpartition("explode(")[2].rpartition("), [")[2]
+    assert carried.count("#") == 4 and all(x in carried for x in ("doc_id", "twin", "n_words", "gram")), plan[at][-300:]
+    assert not any(x in line for line in plan[:at] for x in ("words#", "hashes#", "text#"))
+
+
 def test_time_in_proportion_to_length(spark):
     rng = random.Random(3)
     some = [f"w{k}" for k in range(5000)]
