@@ -1,7 +1,10 @@
 """Toxicity scores of deobfuscated text, by a noisy channel.
 
-Spark counts the character trigrams of all documents, each letter of any script as itself: the
-language model, which keeps those that make up a stated share of all. A token that looks
+Spark counts the character trigrams of all documents, each letter of any script as itself. The
+language model is these counts, with the letters that no learned word can have taken together
+as one: a word is learned only if enough labelled documents of label 1 hold it, so its letters
+are among those that as many of them hold, or are stood for by a sign. What is broadcast is so
+bounded by the labelled sample's letters, and no count is left out. A token that looks
 disguised (digits or signs for letters, letters apart, letters repeated) is a lattice of what
 each character can stand for, and the Viterbi path under language model and channel is what it
 says. Letters apart are put together and the same model places the breaks between their words.
@@ -48,8 +51,8 @@ TWICE = 6.0
 SIGN = 2.0
 #: Bytes of plain tokens and of others that a task remembers, about.
 PLAIN_BYTES, MEMO_BYTES = 16_000_000, 8_000_000
-#: A trigram is kept if it makes up so large a share of all: of at most 1 / LEAST_GRAM trigrams this can be true, whatever the corpus.
-LEAST_GRAM = 2.0**-19
+#: Stands for all letters that no learned word can have.
+OTHER = "\x01"
 #: Of trigrams never seen in a context, as if so many had been.
 SMOOTH = 5.0
 #: A word is learned if so many labelled documents of label 1 hold it, and they are so large a share of all that do,
@@ -122,9 +125,13 @@ def trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Language:
-    """Probability of a character after two others, from counts of trigrams; smoothed by what follows one and none."""
+    """Probability of a character after two others, from counts of trigrams; smoothed by what follows one and none.
 
-    def __init__(self, grams: dict[str, int]) -> None:
+    With an alphabet, in which grams are, any other character counts as OTHER.
+    """
+
+    def __init__(self, grams: dict[str, int], alphabet: frozenset[str] | None = None) -> None:
+        self.alphabet = alphabet
         self.three, self.two, self.one, self.pairs, self.singles = dict(grams), Counter(), Counter(), Counter(), Counter()
         for g, n in grams.items():
             self.two[g[1:]] += n
@@ -137,13 +144,18 @@ class Language:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"rows": {}}
 
+    def letter(self, c: str) -> str:
+        return c if self.alphabet is None or c in self.alphabet else OTHER
+
     def cost(self, a: str, b: str, c: str) -> float:
         """In nats, of c after a and b."""
+        a, b, c = self.letter(a), self.letter(b), self.letter(c)
         p1 = (self.one[c] + 1) / (self.total + len(self.one) + 1)
         p2 = (self.two[b + c] + SMOOTH * p1) / (self.singles[b] + SMOOTH)
         return -math.log((self.three.get(a + b + c, 0) + SMOOTH * p2) / (self.pairs[a + b] + SMOOTH))
 
     def after(self, a: str, b: str) -> _Costs:
+        a, b = self.letter(a), self.letter(b)
         if a + b not in self.rows:
             self.rows[a + b] = _Costs(self, a, b)
         return self.rows[a + b]
@@ -161,12 +173,28 @@ class _Costs(dict):
         return cost
 
 
-def language_model(counts: DataFrame) -> Language:
-    """Of trigrams' counts, those that LEAST_GRAM keeps."""
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = counts.where(F.col("n") >= max(1.0, LEAST_GRAM * total)).toPandas()  # 1 / LEAST_GRAM rows at most
-    letter = lambda shift: [chr(x) for x in (kept["gram"].to_numpy(np.int64) >> shift) & (2**21 - 1)]
-    return Language(dict(zip(map("".join, zip(letter(42), letter(21), letter(0))), kept["n"].tolist())))
+def letters_of_words(sample: DataFrame) -> frozenset[str]:
+    """The letters that a learned word can have: those in at least LEAST_DOCS rows with label 1 of a bounded sample (text, label), those that signs stand for, and the space."""
+
+    def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"].array:
+                n.update({c for c in set(text.lower()) if c.isalpha()})
+        yield pd.DataFrame({"letter": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
+
+    held = sample.where("label = 1").select("text").mapInPandas(letters, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS).collect()
+    return frozenset(r.letter for r in held) | frozenset("".join(LEET.values())) | {" "}
+
+
+def language_model(counts: DataFrame, alphabet: frozenset[str] | None = None) -> Language:
+    """Of all trigrams' counts, with letters outside the alphabet as one: at most as many numbers as there are triples of an alphabet, whatever the corpus. Without an alphabet all letters are themselves, for small corpora."""
+    known = [ord(c) for c in alphabet or ()]
+    part = lambda shift: F.shiftright("gram", shift).bitwiseAND(2**21 - 1)
+    kept = lambda shift: part(shift) if alphabet is None else F.when(part(shift).isin(known), part(shift)).otherwise(ord(OTHER))
+    grams = counts.groupBy(kept(42).alias("a"), kept(21).alias("b"), kept(0).alias("c")).agg(F.sum("n").alias("n")).toPandas()
+    triples = map("".join, zip(*(map(chr, grams[x].tolist()) for x in "abc")))
+    return Language(dict(zip(triples, grams["n"].tolist())), alphabet)
 
 
 class Decoder:
@@ -445,9 +473,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
     Without labels nothing is learned and every score is 0.5.
     """
     spark = docs.sparkSession
-    grams = language_model(trigrams(docs))
-    shared = spark.sparkContext.broadcast(grams)
     sample = written(labelled.sample(docs, labels, label, folds, held_out, rows))
+    grams = language_model(trigrams(docs), letters_of_words(sample))
+    shared = spark.sparkContext.broadcast(grams)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Known(Decoder(shared.value))

@@ -145,3 +145,25 @@ def test_labelled_texts_without_words(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, " \n"), (4, "...")], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int"))
     assert not model.weights and len({r.score for r in toxicity.score(docs, model).collect()}) <= 2
+
+
+def test_unrelated_documents_change_counts_only(spark):
+    """Many documents of other letters, of far more trigrams than a fixed share would keep: every count of the old ones stays, and their scores."""
+    rows, labels = corpus(600)
+    rng = random.Random(9)
+    other = "".join(map(chr, [*range(0x4E00, 0x6E00), *range(0xAC00, 0xC000)]))
+    more = [(10_000 + i, " ".join("".join(rng.choices(other, k=30)) for _ in range(4))) for i in range(10_000)]
+    truth = spark.createDataFrame(labels, "doc_id long, toxic int")
+    table = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    few, many = toxicity.fit(table(rows), truth), toxicity.fit(table(rows + more), truth)
+    plain = lambda model: {g: n for g, n in model.grams.three.items() if not set(g) & {toxicity.OTHER, " "}}
+    assert plain(few) == plain(many) and min(plain(many).values()) == 1
+    assert len(many.grams.three) <= (len(many.grams.alphabet) + 1) ** 3 and few.weights == many.weights
+    a, b = (few.score(few.weigh([t for _, t in rows])), many.score(many.weigh([t for _, t in rows])))
+    assert np.abs(a - b).max() < 0.02 and ((a >= 0.3) == (b >= 0.3)).all()
+
+
+def test_letters_of_learned_words(spark):
+    rows = [(f"漢字 {'é' * (i < 8)} W0RD", 1) for i in range(20)] + [("ñ only in clean ones", 0)] * 20 + [("ß", 1)] * 3 + [(None, 1)]
+    sample = spark.createDataFrame([(t or "", y) for t, y in rows], "text string, label int")
+    assert toxicity.letters_of_words(sample) == frozenset("漢字éwrd") | frozenset("".join(toxicity.LEET.values())) | {" "}
