@@ -3,7 +3,8 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result
 and reads it back for the next, so a stage that fails starts again from what is written.
 
-All but the last return the columns of docs, whatever these are besides doc_id and text. A null
+All but the last return the columns of docs, whatever these are besides doc_id and text, with
+their values; only n_chars, if there is one, follows the text. A null
 text is an empty one: it is clean, one empty line, alike to other empty texts, and a piece of one
 token. Rows without an id are documents of their own. Rows that share an id are judged by their
 own texts in the first, second and fourth stage and are one document in the third, which keeps
@@ -12,6 +13,8 @@ one of them. Empty tables give empty results. Workers must be able to import thi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,26 +25,32 @@ from sparkloom.scratch import settled
 TOXIC = 0.3
 
 
+def _apart(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work on docs whose other columns have names that no operator has, with their own names and values again."""
+    names = {c: f"__column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return work(docs.withColumnsRenamed(names)).select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below TOXIC."""
     model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"), folds=4, held_out=2)
-    return toxicity.score(docs, model, into="__score").where(F.col("__score") < TOXIC).select(*docs.columns)
+    return _apart(docs, lambda rows: toxicity.score(rows, model, into="__score").where(F.col("__score") < TOXIC))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less lines that three or more of them hold, which stay in the largest doc_id. n_chars follows the text."""
-    kept = linededup.drop_repeated_lines(docs, min_docs=3, min_chars=20)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = _apart(docs, lambda rows: linededup.drop_repeated_lines(rows, min_docs=3, min_chars=20))
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    return neardup.one_of_each(docs, threshold=0.8).select(*docs.columns)
+    return _apart(docs, lambda rows: neardup.one_of_each(rows, threshold=0.8))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no ten words in a row with the benchmark."""
-    return decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"), span=10).select(*docs.columns)
+    return _apart(docs, lambda rows: decontaminate.decontaminate(rows, queries.table(spark, sf_dir, "benchmark"), span=10))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
