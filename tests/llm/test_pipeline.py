@@ -85,3 +85,28 @@ def test_odd_and_empty_tables(spark, sf_dir):
             assert kept.columns == docs.columns
         pieces = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir).collect()
         assert {r.doc_id for r in pieces} == (set() if not rows.count() else {None, 1, 2, 3, 4})
+
+
+def test_other_columns_keep_their_values(spark, sf_dir):
+    names = ["n_lines", "n_dropped", "__score", "__doc", "twin", "class_id", "a.b"]
+    rows = [(i, f"{i} words of no other text\nthis line is in all of them", "en", *[100 * i + k for k in range(len(names))]) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", *names])
+    want = {r[0]: r[2:] for r in rows}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        got = {r[0]: tuple(r)[2:] for r in docs.collect()}
+        assert got and got == {i: want[i] for i in got}
+    assert len(got) == 6
+
+
+def test_two_runs_at_once(spark, sf_dir):
+    import threading
+
+    want, found = sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "ids_crc32").collect())), {}
+    run = lambda k: found.update({k: sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "ids_crc32").collect()))})
+    threads = [threading.Thread(target=run, args=(k,)) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(300)
+    assert found == {0: want, 1: want}
