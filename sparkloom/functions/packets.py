@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,44 @@ def datagram(frame: Column) -> Column:
     return let(F.hex(F.substring(frame, 1, HEADERS)), lambda h: let(link(h), lambda a: let(network(a), lambda b: let(transport(b), fields))))
 
 
+def with_datagrams(frames: DataFrame, frame: str = "frame") -> DataFrame:
+    """frames with proto, src, sport, dst, dport, payload of those that datagram() reads, and for TCP tcp_seq and tcp_flags; the rest are left out.
+
+    The fields of datagram(), a column a step, so that all of it is generated code.
+    """
+
+    def at(place: Column | int, width: int) -> Column:
+        begin = place * 2 - 1 if isinstance(place, Column) else F.lit(place * 2 - 1)
+        return F.conv(F.substring("__h", begin, F.lit(width * 2)), 16, 10).cast("bigint")
+
+    ip, l4, end = F.col("__ip"), F.col("__l4"), F.col("__end")
+    out = frames.withColumn("__h", F.hex(F.substring(frame, 1, HEADERS)))
+    out = out.withColumn("__ip", F.when(F.substring("__h", 25, 4) == "8100", 19).otherwise(15))
+    out = out.where((F.substring("__h", ip * 2 - 5, F.lit(4)) == "0800") & (F.substring("__h", ip * 2 - 1, F.lit(1)) == "4"))
+    out = out.withColumns({"__l4": (ip + at(ip, 1) % 16 * 4).cast("int"), "__end": (ip + at(ip + 2, 2)).cast("int"), "__udp": at(ip + 9, 1) == 17})
+    out = out.where(((at(ip + 6, 2) % 0x2000) == 0) & at(ip + 9, 1).isin(6, 17))
+    head = F.when(F.col("__udp"), 8).otherwise(F.shiftright(at(l4 + 12, 1), 4) * 4)
+    out = out.withColumns({"__begin": (l4 + head).cast("int"), "__stop": F.when(F.col("__udp"), F.least(end, l4 + at(l4 + 4, 2))).otherwise(end).cast("int")})
+    out = out.where(F.octet_length(frame) >= F.col("__begin") - 1)
+    dotted = lambda place: F.concat_ws(".", *[at(place + i, 1).cast("string") for i in range(4)])
+    fields = {
+        "proto": F.when(F.col("__udp"), "udp").otherwise("tcp"), "src": dotted(ip + 12), "sport": at(l4, 2).cast("int"), "dst": dotted(ip + 16), "dport": at(l4 + 2, 2).cast("int"),
+        "payload": F.substring(frame, F.col("__begin"), F.greatest(F.col("__stop") - F.col("__begin"), F.lit(0))),
+        "tcp_seq": F.when(~F.col("__udp"), at(l4 + 4, 4)), "tcp_flags": F.when(~F.col("__udp"), at(l4 + 13, 1)).cast("int"),
+    }
+    return out.withColumns(fields).drop("__h", "__ip", "__l4", "__end", "__udp", "__begin", "__stop")
+
+
+def tcp_frame(src: Column, sport: Column, dst: Column, dport: Column, seq: Column, flags: Column, payload: Column, tag: Column, options: int = 0, padding: int = 0) -> Column:
+    """An Ethernet frame with IPv4 and TCP around a payload (checksums 0): with a VLAN tag where ``tag`` is true, so many words of TCP options and octets of padding."""
+    packed = lambda value, width: F.unhex(F.lpad(F.hex(value.cast("bigint")), 2 * width, "0"))
+    fixed = lambda h: F.unhex(F.lit(h))
+    ip = F.concat(fixed("4500"), packed(F.octet_length(payload) + 40 + 4 * options, 2), fixed("0000000040060000"), packed(src, 4), packed(dst, 4))
+    tcp = F.concat(packed(sport, 2), packed(dport, 2), packed(seq, 4), fixed("00000000"), fixed(f"{5 + options:x}0"), packed(flags, 1), fixed("FFFF00000000"), fixed("01" * 4 * options))
+    link = F.concat(fixed("020000000001020000000002"), F.when(tag, fixed("81000005")).otherwise(fixed("")), fixed("0800"))
+    return F.concat(link, ip, tcp, payload, fixed("00" * padding))
+
+
 def udp_frame(src: Column, sport: Column, dst: Column, dport: Column, payload: Column) -> Column:
     """An Ethernet frame with IPv4 and UDP around a payload (checksums 0); addresses as integers."""
     packed = lambda value, width: F.unhex(F.lpad(F.hex(value.cast("bigint")), 2 * width, "0"))

@@ -41,32 +41,30 @@ def presence(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     return wide.unpivot(list(keys), list(columns), "field", "present")
 
 
-def upper_median(df: DataFrame, keys: Sequence[str], value: str, parts: int = 1024) -> DataFrame:
+def upper_median(df: DataFrame, keys: Sequence[str], value: str, parts: int | None = None) -> DataFrame:
     """keys, n, low, median, high, where median is element n div 2 of the sorted values: no mean of two.
 
-    Values are counted in equal ranges between their least and greatest; only the range that
-    holds the middle is cut again, until it is one value. So no key is ordered in one task,
-    however many values it has; each round narrows the range by the factor parts.
+    Each distinct value is counted, and the counts are dealt by ranges of (keys, value) to so many
+    parts (by default the session's shuffle partitions). A key's parts, of which there are few,
+    say which of them holds the middle, and only that one's values are put in order. So no key
+    is ordered in one task, and values are only compared: any type that has an order will do,
+    infinities are values, and NaN is above all of them. Nulls don't count; a key may be null.
     """
-    known = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(value).alias("__v"))
-    names = [f"__k{i}" for i in range(len(keys))]
-    all_of = written(known.groupBy(*names).agg(F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high")))
-    state = all_of.select(*names, F.expr("n div 2").alias("rank"), F.col("low").alias("a"), F.col("high").alias("b"))
-    while True:
-        bounds = state.select(*[F.col(c).alias(f"{c}_") for c in names], "rank", "a", "b")
-        same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names], F.lit(True))
-        inside = known.join(bounds, same & F.col("__v").between(F.col("a"), F.col("b")))
-        width = (F.col("b") - F.col("a")) / parts
-        part = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("a")) / width), F.lit(parts - 1))).otherwise(0)
-        counts = inside.groupBy(*names, "rank", part.alias("part")).agg(F.count("*").alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-        upto = F.sum("c").over(Window.partitionBy(*names).orderBy("part"))  # parts rows a key
-        middle = counts.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
-        state = written(middle.select(*names, (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("lo").alias("a"), F.col("hi").alias("b")))
-        if state.where("a < b").isEmpty():
-            break
-    medians = state.select(*[F.col(c).alias(f"{c}_") for c in names], F.col("a").alias("median"))
-    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names], F.lit(True))
-    return all_of.join(medians, same).select(*[F.col(c).alias(k) for c, k in zip(names, keys)], "n", "low", "median", "high")
+    spark, names = df.sparkSession, [f"__k{i}" for i in range(len(keys))]
+    known = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(name) for k, name in zip(keys, names)], F.col(value).alias("__v"))
+    counts = known.groupBy(*names, "__v").agg(F.count("*").alias("c"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = written(counts.repartitionByRange(parts, *names, "__v").withColumn("__part", F.spark_partition_id()))
+    sums = cells.groupBy(*names, "__part").agg(F.sum("c").alias("c"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+    all_of, before = Window.partitionBy(*names), Window.partitionBy(*names).orderBy("__part")
+    sums = sums.select(*names, "__part", "c", F.sum("c").over(before).alias("upto"), F.sum("c").over(all_of).alias("n"), F.min("low").over(all_of).alias("low"), F.max("high").over(all_of).alias("high"))
+    rank = F.expr("n div 2")
+    middle = sums.where((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank))
+    middle = middle.select(*[F.col(c).alias(f"{c}_") for c in names], F.col("__part").alias("__part_"), (rank - F.col("upto") + F.col("c")).alias("rank"), "n", "low", "high")
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names], F.col("__part") == F.col("__part_"))
+    inside = cells.join(middle, same).withColumn("upto", F.sum("c").over(Window.partitionBy(*names).orderBy("__v")))
+    found = inside.where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
+    return found.select(*[F.col(c).alias(k) for c, k in zip(names, keys)], "n", "low", F.col("__v").alias("median"), "high")
 
 
 def first_last(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import geo, packets, text
 from sparkloom.functions.times import micros
-from sparkloom.operators import checks, lookups, profiling, reports, sequences
-from sparkloom.plans.catalogue import _frames, _positions, _streamed, query, table, tables
+from sparkloom.operators import checks, lookups, profiling, reassembly, reports, sequences
+from sparkloom.plans.catalogue import _frames, _positions, _streamed, dealt, query, table, tables
 from sparkloom.scratch import scratch_dir
 from sparkloom.sources import capture, files
 from sparkloom.streaming import jobs
@@ -359,3 +360,31 @@ def first_event_times(spark, sf_dir):
     """Each event type's first event, with its time in seconds."""
     firsts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.min(F.struct("event_id", "ts")).alias("x"))
     return firsts.select("x.event_id", F.round(micros("x.ts") / 1e6, 3).alias("at"))
+
+
+# Streams out of segments
+
+
+@query("""
+    WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN props ELSE event_type END AS payload FROM events)
+    SELECT '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS src, md5(string_agg(payload, '' ORDER BY event_id)) AS stream, sum(strlen(payload))::BIGINT AS octets, 0::BIGINT AS holes FROM s GROUP BY user_id
+""")
+def tcp_streams(spark, sf_dir):
+    """Events as TCP segments whose numbers pass 2^32, out of order, some sent twice and some with the next one's first octets, put together again."""
+    events = dealt(table(spark, sf_dir, "events")).select("user_id", "event_id", F.encode(F.when(F.col("event_type") == "view", F.col("props")).otherwise(F.col("event_type")), "UTF-8").alias("data"))
+    along = Window.partitionBy("user_id").orderBy("event_id")  # the test's own frames
+    sent = events.withColumns({"at": F.sum(F.octet_length("data")).over(along) - F.octet_length("data"), "next": F.lead("data").over(along), "nth": F.row_number().over(along)})
+    start = F.lit(2**32 - 40) - F.col("user_id") % 30
+    longer = F.when(F.col("nth") % 4 == 1, F.concat("data", F.coalesce(F.substring("next", 1, 3), F.lit(b"")))).otherwise(F.col("data"))
+    frame = lambda flags, number, data, options, padding: packets.tcp_frame(F.lit(0x0A000000) + F.col("user_id"), F.lit(40000), F.lit(0x0A010001), F.lit(80), F.pmod(number, F.lit(2**32)), F.lit(flags), data, F.col("user_id") % 3 == 0, options, padding)
+    # places in the capture: swapped within eights, copies five places later
+    place = F.col("nth") * 8 + F.pmod(F.col("nth") * 5, F.lit(8)) * 3
+    row = lambda place, *frame_of: F.struct(place.cast("long").alias("seq"), frame(*frame_of).alias("frame"))
+    number = start + 1 + F.col("at")
+    rows = F.array_compact(F.array(F.when(F.col("nth") == 1, row(F.lit(0), reassembly.SYN, start, F.lit(b""), 1, 6)), row(place, 0x18, number, longer, 3, 0), F.when(F.col("nth") % 3 == 0, row(place + 40, 0x18, number, F.col("data"), 0, 2))))
+    frames = sent.select("user_id", F.explode(rows).alias("x")).select(F.concat(F.lit("capture "), (F.col("user_id") % 4).cast("string")).alias("path"), (F.col("x.seq") * 100_000 + F.col("user_id")).alias("seq"), F.col("x.frame").alias("frame"))
+    pieces = reassembly.stream_pieces(packets.with_datagrams(frames).where("proto = 'tcp'"))
+    hexed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("begin", F.hex("data").alias("h")))), lambda x: x["h"]), "")
+    streams = pieces.groupBy("src").agg(F.md5(F.unhex(hexed)).alias("stream"), F.sum(F.octet_length("data")).alias("octets"))
+    missing = reassembly.holes(pieces).groupBy("src").agg(F.count("*").alias("holes"))
+    return streams.join(missing, "src", "left").select("src", "stream", "octets", F.coalesce("holes", F.lit(0)).alias("holes"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions.packets import datagram
+from sparkloom.functions.packets import with_datagrams
 from sparkloom.functions.text import payload_kind
 
 #: error: why a file could not be read further, in a row without a frame.
@@ -137,8 +137,7 @@ def stream_frames(spark: SparkSession, path: str) -> DataFrame:
 
 def datagrams(frames: DataFrame) -> DataFrame:
     """frames' datagrams: proto, src, sport, dst, dport, payload and its kind; other frames are left out."""
-    parsed = frames.withColumn("__d", datagram(F.col("frame"))).where("__d IS NOT NULL")
-    return parsed.select(*[c for c in frames.columns if c not in ("frame", "error")], "__d.*").withColumn("kind", payload_kind(F.col("payload")))
+    return with_datagrams(frames).drop("frame", "error", "tcp_seq", "tcp_flags").withColumn("kind", payload_kind(F.col("payload")))
 
 
 def inventory(found: DataFrame, keys: tuple[str, ...] = ("proto", "dport")) -> DataFrame:

@@ -61,11 +61,11 @@ def test_markup_inventory(spark):
 
 
 def test_tables_on_the_way_are_deleted(spark):
-    made = len(scratch._made)
-    out = scratch.settled(spark, lambda: scratch.written(scratch.written(spark.range(5)).where("id > 1")))
-    assert out.count() == 3 and len(scratch._made) == made + 1
     base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
-    assert os.path.isdir(scratch._made[-1].removeprefix("file://")) and scratch._made[-1].startswith("file://" + base)
+    before = set(os.listdir(base))
+    out = scratch.settled(spark, lambda: scratch.written(scratch.written(spark.range(5)).where("id > 1")))
+    left = set(os.listdir(base)) - before
+    assert out.count() == 3 and len(left) == 1 and os.path.dirname(out.inputFiles()[0]).removeprefix("file://") == f"{base}/{left.pop()}"
 
 
 def test_scratch_folder(spark, monkeypatch):
@@ -83,3 +83,22 @@ def test_scratch_folder(spark, monkeypatch):
         Session.conf = Conf({"spark.master": master})
         with pytest.raises(ValueError):
             scratch.scratch_dir(Session)
+
+
+def test_upper_median_of_any_values(spark):
+    """NaN, infinities, a range wider than a double, subnormals, decimals and texts: the element that sorting gives."""
+    nan, inf = float("nan"), float("inf")
+    cases = {
+        "nan": [nan, nan, 1.0], "inf": [-inf, 3.0, inf, inf], "wide": [-1.5e308, 1.5e308, 0.0, 7.0, -2.0], "tiny": [5e-324, 0.0, 1e-323, 2.0], "one": [inf], "copies": [2.0] * 50 + [1.0] * 49, "all": [nan, -inf, inf, -1.5e308, 1.5e308, 5e-324],
+    }
+    order = lambda x: (math.isnan(x), x)
+    df = spark.createDataFrame([(k, v) for k, vs in cases.items() for v in vs] + [("nan", None), (None, 4.0)], "k string, v double")
+    for parts in (1, 3, 50):
+        got = {r.k: (r.n, r.low, r.median, r.high) for r in profiling.upper_median(df, ["k"], "v", parts).collect()}
+        for k, vs in cases.items():
+            s = sorted(vs, key=order)
+            assert repr(got[k]) == repr((len(s), s[0], s[len(s) // 2], s[-1])), k
+        assert got[None] == (1, 4.0, 4.0, 4.0)
+    decimals = df.where("k = 'copies'").select(F.lit("x").alias("k"), (F.col("v").cast("decimal(38,10)") + F.expr("CAST('0.0000000001' AS DECIMAL(38,10))")).alias("v"))
+    assert str(profiling.upper_median(decimals, ["k"], "v").first().median) == "2.0000000001"
+    assert profiling.upper_median(df.select(F.col("k").alias("v")).where("v > 'nan'"), [], "v").first().median == "tiny"
