@@ -99,6 +99,6 @@ def test_upper_median_of_any_values(spark):
             s = sorted(vs, key=order)
             assert repr(got[k]) == repr((len(s), s[0], s[len(s) // 2], s[-1])), k
         assert got[None] == (1, 4.0, 4.0, 4.0)
-    decimals = df.where("k = 'copies'").select(F.lit("x").alias("k"), (F.col("v").cast("decimal(38,10)") + F.expr("CAST('0.0000000001' AS DECIMAL(38,10))")).alias("v"))
+    decimals = df.where("k = 'copies'").select(F.lit("x").alias("k"), (F.col("v").cast("decimal(20,10)") + F.expr("CAST('0.0000000001' AS DECIMAL(20,10))")).alias("v"))
     assert str(profiling.upper_median(decimals, ["k"], "v").first().median) == "2.0000000001"
     assert profiling.upper_median(df.select(F.col("k").alias("v")).where("v > 'nan'"), [], "v").first().median == "tiny"
