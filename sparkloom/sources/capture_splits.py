@@ -3,8 +3,8 @@
 A task takes a range of a file's bytes and guesses the first record in it: a place from which
 headers follow each other plausibly. From there it goes along the headers to the first record
 beyond its range. Where a range ends must be where the next one began. Where it isn't, a payload
-looked like headers, and the next range is gone along again from there, until all joints fit:
-the first range begins behind the file's header, so what fits from there on is right. A section
+looked like headers, and the next range is gone along again from there (with those behind it
+that don't fit either), until all joints fit: the first range begins behind the file's header, so what fits from there on is right. A section
 and its interfaces, which records of pcapng need, are handed to all ranges behind them.
 """
 
@@ -156,16 +156,18 @@ def splits(spark: SparkSession, path: str, size: int = SPLIT) -> DataFrame:
                     rows.append((r.path, r.length, r.k, r.low, r.high, begin, *walked(f, begin, r.high, r.length, head, b"")))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in state.split(", ")])
 
-    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                row = (r.begin, r.end, r.frames, r.found)
-                if r.wrong:
-                    with _opened(r.path) as f:
-                        row = (r.due, *walked(f, r.due, r.high, r.length, f.read(24), bytes(r.before) if r.before is not None else b""))
-                rows.append((r.path, r.length, r.k, r.low, r.high, *row))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in state.split(", ")])
+    def again(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Ranges that follow each other, none of which begins where the one before ended: gone along in one go."""
+        out, due, before = [], None, b""
+        with _opened(key[0]) as f:
+            head = f.read(24)
+            for r in rows.sort_values("k").itertuples():
+                if due is None:
+                    due, before = int(r.due), bytes(r.before) if r.before is not None else b""
+                end, frames, found = (int(r.end), int(r.frames), bytes(r.found)) if due == r.begin else walked(f, due, int(r.high), int(r.length), head, before)
+                out.append((r.path, r.length, r.k, r.low, r.high, due, end, frames, found))
+                due, before = end, found if found[:4] == _SECTION else before + found
+        return pd.DataFrame(out, columns=[x.split()[0] for x in state.split(", ")])
 
     count = max(1, min(ranges.count(), 100_000))
     known = written(ranges.repartition(count).mapInPandas(first, state))
@@ -179,8 +181,10 @@ def splits(spark: SparkSession, path: str, size: int = SPLIT) -> DataFrame:
         joints = upto.withColumn("wrong", F.coalesce(F.col("due") != F.col("begin"), F.lit(False)))
         if joints.where("wrong").isEmpty():
             break
-        # each file's first joint that doesn't fit is right afterwards, so this ends
-        known = written(joints.drop("group", "so_far").repartition(count).mapInPandas(again, state))
+        # each file's first joints that don't fit are right afterwards, so this ends
+        run = F.sum((~F.col("wrong")).cast("int")).over(by_file)
+        wrong = joints.withColumn("run", run).where("wrong").groupBy("path", "run").applyInPandas(again, state)
+        known = written(joints.where("NOT wrong").select(*known.columns).unionByName(wrong))
     start = F.coalesce(F.sum("frames").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return joints.select("path", "k", "begin", F.col("end").alias("stop"), start.alias("first"), F.coalesce("before", F.lit(b"")).alias("prelude"))
 
