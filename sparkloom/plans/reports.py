@@ -13,7 +13,7 @@ from sparkloom.functions.times import micros
 from sparkloom.operators import checks, lookups, profiling, reassembly, reports, sequences
 from sparkloom.plans.catalogue import _frames, _positions, _streamed, dealt, query, table, tables
 from sparkloom.scratch import scratch_dir
-from sparkloom.sources import capture, files
+from sparkloom.sources import capture, capture_source, capture_splits, files
 from sparkloom.streaming import jobs
 
 #: Datagrams of the events as SQL has them.
@@ -245,11 +245,8 @@ def events_by_xml_files(spark, sf_dir):
 # Captures, transport packets and streams
 
 
-@query(f"""
-    SELECT dport, count(*) AS packets, sum(strlen(payload))::BIGINT AS bytes, round(min(t), 3) AS begin, round(max(t), 3) AS "end", count(DISTINCT event_id // 2000) AS files FROM ({DATAGRAMS}) GROUP BY dport
-""")
-def capture_files(spark, sf_dir):
-    """Frames of events written as capture files of 2,000 frames each, and read as such."""
+def _contents(spark, sf_dir):
+    """path, content: events' frames as captures of 2,000 frames each."""
 
     def bound(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("seq")
@@ -258,7 +255,54 @@ def capture_files(spark, sf_dir):
             out.append(struct.pack("<4I", int(ts), round(ts % 1 * 1e6), len(frame), len(frame)) + frame)
         return pd.DataFrame({"path": [f"{group['file'].iloc[0]}.pcap"], "content": [b"".join(out)]})
 
-    contents = _frames(spark, sf_dir).withColumn("file", F.floor(F.col("seq") / 2000)).groupBy("file").applyInPandas(bound, "path string, content binary")
+    return _frames(spark, sf_dir).withColumn("file", F.floor(F.col("seq") / 2000)).groupBy("file").applyInPandas(bound, "path string, content binary")
+
+
+def _capture_folder(spark, sf_dir) -> str:
+    """A folder with the captures as files, each written by a task."""
+    folder = scratch_dir(spark)
+
+    def put(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                system, place = fs.FileSystem.from_uri(f"{folder}/{name}")
+                system.create_dir(place.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(place) as f:
+                    f.write(content)
+            yield batch[["path"]]
+
+    _contents(spark, sf_dir).mapInPandas(put, "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query(f"""
+    SELECT dport, count(*) AS packets, sum(strlen(payload))::BIGINT AS bytes FROM ({DATAGRAMS})
+    WHERE dport IN (5001, 5003) AND t >= (SELECT (min(epoch_us(ts)) / 2 + max(epoch_us(ts)) / 2) / 1e6 FROM events) GROUP BY dport
+""")
+def late_datagrams_of_two_ports(spark, sf_dir):
+    """Capture files by the data source, which is handed the ports and the time."""
+    half = table(spark, sf_dir, "events").agg(F.min(micros("ts")) / 2 + F.max(micros("ts")) / 2).first()[0] / 1e6
+    capture_source.register(spark)
+    found = spark.read.format("capture").load(_capture_folder(spark, sf_dir)).where(F.col("dport").isin(5001, 5003) & (F.col("ts") >= half))
+    return found.groupBy("dport").agg(F.count("*").alias("packets"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"))
+
+
+@query(f"SELECT src, count(*) AS packets, sum(strlen(payload))::BIGINT AS bytes, sum(event_id % 2000)::BIGINT AS places FROM ({DATAGRAMS}) GROUP BY src")
+def captures_in_ranges(spark, sf_dir):
+    """Capture files read in ranges of 50 kB, with the places that frames have in their files."""
+    ranges = capture_splits.splits(spark, _capture_folder(spark, sf_dir), 50_000)
+    found = capture.datagrams(capture_splits.read_splits(ranges))
+    return found.groupBy("src").agg(F.count("*").alias("packets"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"), F.sum("seq").alias("places"))
+
+
+@query(f"""
+    SELECT dport, count(*) AS packets, sum(strlen(payload))::BIGINT AS bytes, round(min(t), 3) AS begin, round(max(t), 3) AS "end", count(DISTINCT event_id // 2000) AS files FROM ({DATAGRAMS}) GROUP BY dport
+""")
+def capture_files(spark, sf_dir):
+    """Frames of events written as capture files of 2,000 frames each, and read as such."""
+    contents = _contents(spark, sf_dir)
     found = capture.datagrams(capture.frames_in(contents))
     return found.groupBy("dport").agg(F.count("*").alias("packets"), F.sum(F.octet_length("payload")).alias("bytes"), F.round(F.min("ts"), 3).alias("begin"), F.round(F.max("ts"), 3).alias("end"), F.count_distinct("path").alias("files"))
 
@@ -283,9 +327,10 @@ def transport_stream_inventory(spark, sf_dir):
     SELECT conv_id, md5(part || '.') AS message, count(*) AS n FROM (SELECT conv_id, unnest(parts[: len(parts) - 1]) AS part FROM w) GROUP BY 1, 2
 """)
 def streamed_messages(spark, sf_dir):
-    """Conversations read as a stream of turns, cut into sentences with state."""
+    """Conversations read as a stream of turns, cut into sentences with state; a conversation's turns must come in order over batches."""
     stream = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
-    rows = _streamed(spark, jobs.messages(stream, {"conv_id": "long"}, "turn", "text", "."), "append")
+    # a message is one value of the result, so it is held whole, whatever comes in which batch
+    rows = _streamed(spark, jobs.messages(stream, {"conv_id": "long"}, "turn", "text", ".", longest=2**31 - 1), "append")
     return rows.where("complete").groupBy("conv_id", F.md5("message").alias("message")).agg(F.count("*").alias("n"))
 
 
@@ -388,3 +433,25 @@ def tcp_streams(spark, sf_dir):
     streams = pieces.groupBy("src").agg(F.md5(F.unhex(hexed)).alias("stream"), F.sum(F.octet_length("data")).alias("octets"))
     missing = reassembly.holes(pieces).groupBy("src").agg(F.count("*").alias("holes"))
     return streams.join(missing, "src", "left").select("src", "stream", "octets", F.coalesce("holes", F.lit(0)).alias("holes"))
+
+
+@query("""
+    SELECT user_id, min(ts) AS begin, max(ts) AS "end", count(*) AS n FROM (
+      SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+        SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM events)
+    ) GROUP BY user_id, session
+""")
+def closed_sessions(spark, sf_dir):
+    """Events as a stream of batches by time: each user's sessions, given out by a timer when the user has been idle for six hours."""
+    folder = scratch_dir(spark)
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("long").alias("user_id"))
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(4):  # batches that follow each other in time; rows of a batch are in no order
+        a, b = low + (high - low) * k / 4, low + (high - low) * (k + 1) / 4
+        events.where((F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) if k < 3 else F.lit(True))).coalesce(1).write.mode("append").parquet(folder)
+    # time goes on without events
+    spark.range(1).select((F.lit(high) + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(None).cast("long").alias("user_id")).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("ts timestamp, user_id long").option("maxFilesPerTrigger", 1).parquet(folder)
+    with jobs.timers(spark):
+        rows = _streamed(spark, jobs.closed_when_idle(stream, "ts", {"user_id": "long"}, 6 * 3600, "1 hour"), "append")
+    return rows.where("user_id IS NOT NULL").select("user_id", F.col("begin").cast("timestamp_ntz").alias("begin"), F.col("end").cast("timestamp_ntz").alias("end"), "n")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Characters that a flow may hold back for an end mark; beyond that they are given out as a part.
@@ -51,11 +53,88 @@ def messages(stream: DataFrame, keys: dict[str, str], order: str, text: str, end
     return stream.groupBy(*keys).applyInPandasWithState(cut, schema, "tail string", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> None:
-    """What is there now, as one run of a query into a Parquet folder; complete results replace what the folder has."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def timers(spark: SparkSession) -> Iterator[None]:
+    """Within it queries start with the state store that timers need; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+class _Idle(StatefulProcessor):
+    """A key's open sessions: intervals that are joined where rows come between them, each closed by a timer."""
+
+    def __init__(self, at: str, keys: list[str], gap: int) -> None:
+        self.at, self.keys, self.gap = at, keys, gap
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "begin long, last long, n long")
+
+    def due(self, last: int) -> int:
+        """When a session ends, in milliseconds: rows up to the gap behind its last belong to it."""
+        return (last + self.gap) // 1000 + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = [tuple(map(int, x)) for x in self.open.get()]
+        new = [(int(t), int(t), 1) for batch in rows for t in batch[self.at].astype("datetime64[us]").astype("int64")]
+        joined: list[list[int]] = []
+        for begin, last, n in sorted(before + new):
+            if joined and begin - joined[-1][1] <= self.gap:
+                joined[-1] = [joined[-1][0], max(joined[-1][1], last), joined[-1][2] + n]
+            else:
+                joined.append([begin, last, n])
+        old, due = {self.due(x[1]) for x in before}, {self.due(x[1]) for x in joined}
+        for t in old - due:
+            self.handle.deleteTimer(t)
+        for t in due - old:
+            self.handle.registerTimer(t)
+        self.open.put([tuple(x) for x in joined])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = [tuple(map(int, x)) for x in self.open.get()]
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        done = [x for x in known if self.due(x[1]) <= now]
+        left = [x for x in known if self.due(x[1]) > now]
+        self.open.put(left) if left else self.open.clear()
+        if done:
+            stamp = lambda i: pd.to_datetime([x[i] for x in done], unit="us")
+            yield pd.DataFrame({**{k: pd.Series([v] * len(done), dtype=object) for k, v in zip(self.keys, key)}, "begin": stamp(0), "end": stamp(1), "n": [x[2] for x in done]})
+
+    def close(self) -> None:
+        pass
+
+
+def closed_when_idle(stream: DataFrame, at: str, keys: dict[str, str], gap: int, late: str) -> DataFrame:
+    """keys, begin, end, n of each key's sessions, given out once a key has been idle for ``gap`` seconds; end is the last row's time.
+
+    The state of a key is its open sessions, three numbers each, and goes when the last of them is
+    closed. Rows may come in any order if they are at most so late; later ones are left out by
+    the watermark. What is still open when a stream ends stays in the state. Queries need the
+    store that timers() sets.
+    """
+    schema = ", ".join(f"{k} {v}" for k, v in keys.items()) + ", begin timestamp, end timestamp, n long"
+    rows = stream.select(at, *keys).withWatermark(at, late).groupBy(*keys)
+    return rows.transformWithStateInPandas(_Idle(at, list(keys), gap * 1_000_000), schema, "append", "eventTime")
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
 
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).foreachBatch(put)
-    (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
+def run_once(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> None:
+    """What is there now, as one run of a query into a Parquet folder; complete results replace what the folder has.
+
+    Rows that are appended go to Spark's own sink of files, whose log has each batch once: a batch
+    that is run again after a failure doubles no row. Without a checkpoint folder one beside path is taken.
+    """
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or path.rstrip("/") + ".state")
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    else:
+        writer = writer.format("parquet").option("path", path)
+    writer.start().awaitTermination()

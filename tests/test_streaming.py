@@ -46,3 +46,55 @@ def test_nothing_of_a_long_message_is_lost(spark):
     jobs.run_once(jobs.messages(stream, {"user": "string"}, "n", "text", "end.", longest=50), out)
     got = spark.read.parquet(out).collect()
     assert "".join(r.message for r in sorted(got, key=lambda r: r.complete)) == "x" * 120 + "end." and [r.complete for r in sorted(got, key=lambda r: r.complete)] == [False, True]
+
+
+def test_a_message_of_any_length_over_two_files(spark):
+    rows = [(at(0), "a", 1, "x" * 1_500_000), (at(0), "a", 2, "y" * 1_400_000)]
+    out = tempfile.mkdtemp(prefix="spark-") + "/out"
+    stream = stream_of(spark, [rows, [(at(1), "a", 3, "z" * 100_000 + ";")]])
+    jobs.run_once(jobs.messages(stream, {"user": "string"}, "n", "text", ";", longest=2**31 - 1), out)
+    assert [(len(r.message), r.complete) for r in spark.read.parquet(out).collect()] == [(3_000_001, True)]
+
+
+def test_a_batch_that_is_run_again_doubles_no_row(spark):
+    """The log of the last batch is taken away, as if the query had failed before it was written."""
+    import os
+    import shutil
+
+    base = tempfile.mkdtemp(prefix="spark-")
+    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    for k in range(3):
+        spark.createDataFrame([(at(k), "a", k, "")], SCHEMA).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    jobs.run_once(stream().select("n"), f"{base}/out", checkpoint=f"{base}/state")
+    last = max(int(x) for x in os.listdir(f"{base}/state/commits") if x.isdigit())
+    os.remove(f"{base}/state/commits/{last}")
+    for crc in (f"{base}/state/commits/.{last}.crc",):
+        if os.path.exists(crc):
+            os.remove(crc)
+    jobs.run_once(stream().select("n"), f"{base}/out", checkpoint=f"{base}/state")
+    assert sorted(r.n for r in spark.read.parquet(f"{base}/out").collect()) == [0, 1, 2]
+    shutil.rmtree(base)
+
+
+def test_sessions_closed_by_timers_over_a_restart(spark):
+    """Rows out of order, one that joins two sessions, and a query that is stopped between batches and goes on from its checkpoint."""
+    import os
+
+    base = tempfile.mkdtemp(prefix="spark-")
+    batches = [[(0, "a"), (3, "a"), (20, "a"), (1, "b")], [(24, "a"), (22, "b"), (50, "c")], [(52, "c"), (58, "c")], [(59, "zz")]]
+
+    def run(k):
+        spark.createDataFrame([(at(m), u, m, "") for m, u in batches[k]], SCHEMA).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        with jobs.timers(spark):
+            jobs.run_once(jobs.closed_when_idle(stream, "ts", {"user": "string"}, 300, "10 minutes"), f"{base}/out", checkpoint=f"{base}/state")
+
+    def found():
+        return sorted((r.user, r.begin.minute, r.end.minute, r.n) for r in spark.read.parquet(f"{base}/out").collect())
+
+    run(0)
+    assert found() == [("a", 0, 3, 2), ("b", 1, 1, 1)][: len(found())]
+    for k in (1, 2, 3):
+        run(k)
+    assert found() == [("a", 0, 3, 2), ("a", 20, 24, 2), ("b", 1, 1, 1), ("b", 22, 22, 1)] and os.path.isdir(f"{base}/state")
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
