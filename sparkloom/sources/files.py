@@ -62,10 +62,12 @@ def read_xml(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame
 
 
 def dictionary(spark: SparkSession, path: str, element: str, key: str, value: str) -> DataFrame:
-    """key, value of <element key="" value=""/> in text files, the first of a key's lines by text."""
+    """key, value of <element key="" value=""/> in text files, the first of a key's: by file, then as they stand in it."""
     at = lambda name: F.regexp_extract("line", f'\\b{name}="([^"]*)"', 1)
-    lines = spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(f"<{element}\\b[^>]*>"), F.lit(0))).alias("line"))
-    return lines.select(at(key).alias("key"), at(value).alias("value")).where("key != ''").groupBy("key").agg(F.min("value").alias("value"))
+    # ids of rows rise within a split of a file
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(place.alias("split"), F.posexplode(F.regexp_extract_all("value", F.lit(f"<{element}\\b[^>]*>"), F.lit(0))).alias("nth", "line"))
+    return lines.select("split", "nth", at(key).alias("key"), at(value).alias("value")).where("key != ''").groupBy("key").agg(F.min_by("value", F.struct("split", "nth")).alias("value"))
 
 
 def line_feature(points: Column, properties: Column) -> Column:
