@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from hashlib import sha256
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,14 +75,19 @@ def blobs(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at path, empty if there is none yet. One that can't be read is an error: nothing must be taken for unseen because of it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    try:
         return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     return spark.createDataFrame([], schema)
 
 
+#: The ledger's tables: both have a folder for each rule version, and findings one for blobs with some and one for those without.
 SEEN = "blob string, rules string"
-FOUND = "blob string, rules string, found array<struct<kind: string, start: long, end: long>>"
+FOUND = "blob string, found array<struct<kind: string, start: long, end: long>>, rules string, hit boolean"
+#: Unseen blobs up to this number (25 MB of hashes) are sent to the rows, so that no text is shuffled to be scanned.
+FEW = 200_000
 
 
 def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,27 +99,34 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_id:
     other; two at once may both scan a blob, which adds rows but changes no result. A null text is the empty blob; a null id is scanned like any other; equal texts
     get equal findings, in whatever rows. An empty table adds nothing and gives no rows.
     Columns of docs named blob or found are replaced.
+
+    A run scans, shuffles and appends what is new. Of what earlier runs left it reads this rule
+    version's hashes, to tell what is new, and the findings of blobs that had any.
     """
     spark, version = docs.sparkSession, rules_version(rules)
     keyed = blobs(docs.drop("found", "blob"), text)
     seen = _table(spark, f"{ledger}/seen", SEEN).where(F.col("rules") == version).select("blob")
     # one row stands for each unseen blob; only ids and hashes are compared to find it
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).withColumn("blob", F.sha2("body", 256))
-    unseen = rows.groupBy("blob").agg(F.min("id").alias("id")).join(seen, "blob", "left_anti")
+    mine = written(rows.groupBy("blob").agg(F.min("id").alias("id")))
+    unseen = written(mine.join(seen, "blob", "left_anti"))
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in find(body, rules)] for body in batch["body"].array]
-            yield pd.DataFrame({"blob": batch["blob"], "rules": version, "found": found})
+            yield pd.DataFrame({"blob": batch["blob"], "found": found, "rules": version, "hit": [bool(x) for x in found]})
 
     # repeated rows have equal blobs, so the groups below are scanned once a row at most
-    bodies = rows.join(unseen.withColumnRenamed("blob", "first_blob"), rows["id"].eqNullSafe(unseen["id"]) & (F.col("blob") == F.col("first_blob")), "left_semi")
+    first = unseen.select(F.col("blob").alias("first_blob"), F.col("id").alias("first_id"))
+    if unseen.count() <= FEW:
+        first = F.broadcast(first)
+    bodies = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("blob") == F.col("first_blob")), "left_semi")
     results = bodies.select("blob", "body").mapInPandas(scanned, FOUND)
-    results.write.mode("append").parquet(f"{ledger}/found")
-    fresh = spark.read.schema(FOUND).parquet(f"{ledger}/found").where(F.col("rules") == version)
-    fresh.select("blob", "rules").join(seen, "blob", "left_anti").distinct().write.mode("append").parquet(f"{ledger}/seen")
+    results.write.mode("append").partitionBy("rules", "hit").parquet(f"{ledger}/found")
+    unseen.select("blob", F.lit(version).alias("rules")).write.mode("append").partitionBy("rules").parquet(f"{ledger}/seen")
     # a table, not an aggregate above the same exchange, so that Spark can split the join where one blob has very many rows
-    hits = written(fresh.where(F.size("found") > 0).select("blob", "found").dropDuplicates(["blob"]))
+    known = _table(spark, f"{ledger}/found", FOUND).where((F.col("rules") == version) & F.col("hit")).select("blob", "found")
+    hits = written(known.join(mine, "blob", "left_semi").dropDuplicates(["blob"]))
     joined = keyed.join(hits, "blob", "left")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     return joined.withColumn("found", F.coalesce("found", none))

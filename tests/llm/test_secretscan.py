@@ -4,6 +4,7 @@ import shutil
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import secretscan
 
@@ -76,3 +77,36 @@ def test_a_ledger_that_cannot_be_read_is_an_error(spark):
         f.write(b"no parquet at all")
     with pytest.raises(Exception, match="(?i)parquet"):
         secretscan.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "file://" + ledger).collect()
+
+
+def test_a_run_costs_what_is_new(spark, monkeypatch):
+    """Of 1,000 texts with findings and then ten more, the second run scans and appends the ten; other rule versions' folders are not read."""
+    ledger = "file://" + tempfile.mkdtemp(prefix="spark-")
+    docs = spark.range(1010).select(F.col("id").alias("doc_id"), F.concat(F.lit("token=abcdefghijklmnop"), F.col("id").cast("string")).alias("text"))
+    secretscan.scan(docs.where("doc_id < 1000"), ledger).count()
+    before = set(os.listdir(f"{ledger[7:]}/found/rules={secretscan.rules_version(secretscan.RULES)}/hit=true"))
+    written = {}
+    real = secretscan.written
+
+    def counted(df):
+        out = real(df)
+        written[tuple(out.columns)] = out.count()
+        return out
+
+    monkeypatch.setattr(secretscan, "written", counted)
+    out = secretscan.scan(docs.where("doc_id >= 900"), ledger)
+    assert out.where("size(found) = 1").count() == 110
+    assert written[("blob", "id")] == 10 and written[("blob", "found")] == 110  # unseen, and the present rows' findings
+    folder = f"{ledger[7:]}/found/rules={secretscan.rules_version(secretscan.RULES)}/hit=true"
+    new = [f"file://{folder}/{name}" for name in os.listdir(folder) if name not in before and name.endswith(".parquet")]
+    assert spark.read.parquet(*new).count() == 10
+    plan = spark.read.schema(secretscan.FOUND).parquet(f"{ledger}/found").where("rules = 'x' AND hit")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(rules" in plan
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_unseen_blobs_sent_or_joined(spark, monkeypatch, few):
+    monkeypatch.setattr(secretscan, "FEW", few)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(None, TEXTS[2])], "doc_id long, text string")
+    for r in secretscan.scan(docs, "file://" + tempfile.mkdtemp(prefix="spark-")).collect():
+        assert base(r.found) == brute(r.text), r.text[:80]
