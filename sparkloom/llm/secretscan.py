@@ -86,8 +86,9 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 #: The ledger's tables: both have a folder for each rule version, and findings one for blobs with some and one for those without.
 SEEN = "blob string, rules string"
 FOUND = "blob string, found array<struct<kind: string, start: long, end: long>>, rules string, hit boolean"
-#: Unseen blobs up to this number (25 MB of hashes) are sent to the rows, so that no text is shuffled to be scanned.
-FEW = 200_000
+#: If at most one blob in SHARE is unseen, and FEW at most (25 MB of hashes), these are sent to the rows, so that no text is
+#: shuffled; else texts go to them, which is less than SHARE times what is new.
+SHARE, FEW = 20, 200_000
 
 
 def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,7 +119,8 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_id:
 
     # repeated rows have equal blobs, so the groups below are scanned once a row at most
     first = unseen.select(F.col("blob").alias("first_blob"), F.col("id").alias("first_id"))
-    if unseen.count() <= FEW:
+    n = unseen.count()
+    if n <= FEW and SHARE * n <= mine.count():
         first = F.broadcast(first)
     bodies = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("blob") == F.col("first_blob")), "left_semi")
     results = bodies.select("blob", "body").mapInPandas(scanned, FOUND)

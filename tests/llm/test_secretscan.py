@@ -107,6 +107,7 @@ def test_a_run_costs_what_is_new(spark, monkeypatch):
 @pytest.mark.parametrize("few", [0, 10**6])
 def test_unseen_blobs_sent_or_joined(spark, monkeypatch, few):
     monkeypatch.setattr(secretscan, "FEW", few)
+    monkeypatch.setattr(secretscan, "SHARE", 1)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(None, TEXTS[2])], "doc_id long, text string")
     for r in secretscan.scan(docs, "file://" + tempfile.mkdtemp(prefix="spark-")).collect():
         assert base(r.found) == brute(r.text), r.text[:80]
