@@ -14,21 +14,25 @@ document is its hub; documents of one bucket are so in one hub's group, and near
 the group of the text that they were made from. Links are verified on the multisets
 themselves, in two steps. First each group streams past its hub, however large it is. Then the
 documents whose class is not their hub's are compared with all of their group, in blocks of
-bounded size, of which only links between different classes come out. After each step the
-classes are contracted: of all links each document keeps one, to its class.
+bounded size, of which only links between different classes come out. A group of more than one
+block is cut into grades of size beforehand, such that documents alike are of one grade or of
+two next to each other. After each step the classes are contracted: of all links each document
+keeps one, to its class.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import partitions, written
+from sparkloom.llm.common import partitions, text_of, written
+from sparkloom.operators.reports import numbered
 
 SHINGLE = 5
 #: Bands of 8 registers, none in two bands. A pair at 0.8 shares none of 48 with probability 1.5e-4.
@@ -41,8 +45,8 @@ RUN = 2_000
 SIDE = 250_000
 #: Links that a task holds to contract them.
 LINKS_HELD = 250_000
-#: Stands for null ids: documents of their own, after all others.
-NULL_IDS = 2**62
+#: Ids from here on are numbered from here, in their order; names of documents without an id follow from NULL_NAMES on.
+HIGH_IDS, NULL_NAMES = 2**62, 2**62 + 2**61
 #: Shingles that a task signs at once.
 BLOCK = 120_000
 #: Gaps of a process are whole multiples of 1 / GRAIN, so their sums are exact however they are added up.
@@ -224,8 +228,41 @@ def across(loose: list[Bag], own: np.ndarray, members: list[Bag], of: np.ndarray
     return links
 
 
+#: A block: the hub, and of loose documents and of members the grade and the part of it.
+BLOCK_OF = ("hub", "loose_grade", "row", "grade", "column")
+
+
+def blocks(loose: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """BLOCK_OF, loose, label, text: the loose documents of each group beside all its members. loose: hub, doc, n, label, loose, all_n (of the group).
+
+    Documents alike have sizes that differ by no more than the threshold's factor, so in a group of
+    more than one block a loose document goes only to members of its own grade of size and of the
+    two beside it.
+    """
+    step = max(-math.log(threshold), 0.01) * 1.0001  # wider than needed, so that no rounding parts two sizes
+    loose_n, all_n = F.sum(F.when(F.col("loose"), F.col("n"))), F.sum("n")
+    whole = loose.groupBy("hub").agg(loose_n.alias("loose_n"))
+    grade = F.when(F.greatest("loose_n", "all_n") > SIDE, F.floor(F.ln(F.greatest("n", F.lit(1))) / step)).otherwise(0).cast("int")
+    graded = loose.join(whole, "hub").withColumn("grade", grade).drop("loose_n", "all_n")
+    parts = lambda n: F.ceil(F.coalesce(n, F.lit(0)) / SIDE).cast("int")
+    cells = graded.groupBy("hub", "grade").agg(F.when(F.max("loose"), F.greatest(parts(loose_n), F.lit(1))).otherwise(0).alias("rows"), F.greatest(parts(all_n), F.lit(1)).alias("columns"))
+    beside = cells.select("hub", "rows", "columns", F.col("grade").alias("of"), F.explode(F.array(*[F.col("grade") + i for i in (-1, 0, 1)])).alias("grade"))
+    own = F.col("of") == F.col("grade")
+    reach = beside.groupBy("hub", "grade").agg(F.collect_list(F.struct("of", "rows", "columns")).alias("near"), F.max(F.when(own, F.col("rows"))).alias("rows"), F.max(F.when(own, F.col("columns"))).alias("columns"))
+    at = F.pmod(F.xxhash64("doc"), F.when(F.col("side"), F.col("rows")).otherwise(F.col("columns"))).cast("int")
+    # the hub's class needs its members only as the other side; a loose document stands on both
+    sided = graded.join(reach, ["hub", "grade"]).withColumn("side", F.explode(F.when(F.col("loose"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    each = lambda x, n: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(x["of"].alias("grade"), i.alias("part")))
+    met = F.flatten(F.transform("near", lambda x: F.when(F.col("side"), each(x, x["columns"])).otherwise(each(x, x["rows"]))))
+    spread = sided.select("hub", "doc", "label", "side", F.struct("grade", at.alias("part")).alias("own"), F.explode(met).alias("other"))
+    a, b = (F.when(F.col("side") == is_loose, F.col("own")).otherwise(F.col("other")) for is_loose in (True, False))
+    placed = spread.select("hub", a.alias("a"), b.alias("b"), F.col("side").alias("loose"), "label", "doc")
+    named = placed.select("doc", "hub", F.col("a.grade").alias("loose_grade"), F.col("a.part").alias("row"), F.col("b.grade").alias("grade"), F.col("b.part").alias("column"), "loose", "label")
+    return named.join(known, "doc").drop("doc")
+
+
 def within_groups(given: DataFrame, threshold: float) -> DataFrame:
-    """a, c: links between labels. given: hub, row, column, loose, label, text; each (hub, row, column) is a block of bounded size."""
+    """a, c: links between labels. given: BLOCK_OF, loose, label, text; each BLOCK_OF is a block of bounded size."""
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         words = _Words()
@@ -235,7 +272,7 @@ def within_groups(given: DataFrame, threshold: float) -> DataFrame:
         links = across([bags[i] for i in np.flatnonzero(is_loose)], labels[is_loose], [bags[i] for i in np.flatnonzero(~is_loose)], labels[~is_loose], threshold) if two_sides else []
         return pd.DataFrame(links, columns=["a", "c"]).astype("int64")
 
-    return given.groupBy("hub", "row", "column").applyInPandas(settle, "a long, c long")
+    return given.groupBy(*BLOCK_OF).applyInPandas(settle, "a long, c long")
 
 
 def forest(links: DataFrame) -> DataFrame:
@@ -330,26 +367,38 @@ def labels_of(known: DataFrame, threshold: float) -> DataFrame:
     open_groups = rows.groupBy("hub").agg(core, F.min(others).alias("low"), F.max(others).alias("high"), F.sum("n").alias("all_n")).where("low != high").drop("low", "high")
     loose = written(rows.join(open_groups, "hub").withColumn("loose", F.col("label") != F.col("core")))
     if not loose.isEmpty():
-        weights = loose.groupBy("hub").agg(F.sum(F.when(F.col("loose"), F.col("n"))).alias("loose_n"))
-        row_count, column_count = (F.ceil(F.col(c) / SIDE).cast("int") for c in ("loose_n", "all_n"))
-        at = F.xxhash64("doc")
-        both = loose.join(weights, "hub").join(known, "doc").withColumns({"rows": row_count, "columns": column_count})
-        # the hub's class needs its members only as the other side; a loose document stands on both
-        sides = F.array(F.lit(False), F.lit(True))
-        placed = both.withColumn("side", F.explode(F.when(F.col("loose"), sides).otherwise(F.array(F.lit(False)))))
-        spread = placed.select("hub", "doc", "label", "text", F.col("side").alias("loose"), F.explode(F.when(F.col("side"), F.sequence(F.lit(0), F.col("columns") - 1)).otherwise(F.sequence(F.lit(0), F.col("rows") - 1))).alias("copy"), F.pmod(at, F.when(F.col("side"), F.col("rows")).otherwise(F.col("columns"))).cast("int").alias("own"))
-        block = spread.select("hub", F.when(F.col("loose"), F.col("own")).otherwise(F.col("copy")).alias("row"), F.when(F.col("loose"), F.col("copy")).otherwise(F.col("own")).alias("column"), "loose", "label", "text")
-        more = written(within_groups(block, threshold))
+        more = written(within_groups(blocks(loose, known, threshold), threshold))
         if not more.isEmpty():
             roots = components(more)
             labels = written(relabelled(labels, "label", roots).unionByName(roots))  # a label is no node of labels
     return relabelled(reps.select("doc", F.col("rep").alias("label")), "label", labels)
 
 
-def keyed(doc_id: str, text: str) -> list[Column]:
-    """doc and text columns: an empty text for a null one, an id of its own for each text of a null id."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_IDS) + F.pmod(F.xxhash64(whole), F.lit(NULL_IDS))).alias("doc"), whole.alias("text")]
+def high_names(docs: DataFrame, doc_id: str) -> DataFrame | None:
+    """id, name of docs' ids from HIGH_IDS on; None if there are none."""
+    ids = docs.select(F.col(doc_id).cast("long").alias("id")).where(F.col("id") >= HIGH_IDS)
+    return None if ids.isEmpty() else written(numbered(ids.distinct(), ["id"]).select("id", (F.col("place") + (HIGH_IDS - 1)).alias("name")))
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str, names: DataFrame | None) -> DataFrame:
+    """doc, text, row (of all docs' columns): an empty text for a null one, a name of its own for each text of a null id and the high_names."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text"), F.struct(*docs.columns).alias("row"))
+    doc = F.coalesce("id", F.lit(NULL_NAMES) + F.pmod(F.xxhash64("text"), F.lit(NULL_NAMES - HIGH_IDS))).alias("doc")
+    if names is None:
+        return rows.select(doc, "text", "row")
+    low = rows.where(F.col("id").isNull() | (F.col("id") < HIGH_IDS))  # apart, so that null ids are no key of the join
+    return low.select(doc, "text", "row").unionByName(rows.join(names, "id").select(F.col("name").alias("doc"), "text", "row"))
+
+
+def unnamed(rows: DataFrame, column: str, names: DataFrame | None) -> DataFrame:
+    """rows with the ids that column's names stand for, null for those of null ids."""
+    low = lambda some: some.withColumn(column, F.when(F.col(column) < HIGH_IDS, F.col(column)))
+    if names is None:
+        return low(rows)
+    high = F.col(column).between(HIGH_IDS, NULL_NAMES - 1)
+    of = names.select(F.col("id").alias("__id"), F.col("name").alias("__name"))
+    back = rows.where(high).join(of, F.col(column) == F.col("__name")).withColumn(column, F.col("__id")).drop("__id", "__name")
+    return low(rows.where(~high)).unionByName(back)
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,15 +410,18 @@ def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", tex
     as any of its texts is, and all get its class. Rows without an id are documents of their
     own, one for each text; their class is null unless they are linked with an id. Links between equal texts are not compared, and a link's
     verification is exact up to 64 bit shingle names; a link is overlooked if none of its
-    BANDS agrees. An empty table gives no rows. Ids are less than NULL_IDS.
+    BANDS agrees. An empty table gives no rows.
     """
-    out = labels_of(docs.select(*keyed(doc_id, text)), threshold)
-    return out.select(*[F.when(F.col(c) < NULL_IDS, F.col(c)).alias(name) for c, name in (("doc", "doc_id"), ("label", "class_id"))])
+    names = high_names(docs, doc_id)
+    out = labels_of(keyed(docs, doc_id, text, names).select("doc", "text"), threshold)
+    if names is not None:
+        out = written(out)
+    return unnamed(unnamed(out, "doc", names), "label", names).select(F.col("doc").alias("doc_id"), F.col("label").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs, with all its columns, for each class: of its least doc_id; where several rows have that, the one whose hash is least."""
-    doc, _ = keyed(doc_id, text)
-    first = labels_of(docs.select(*keyed(doc_id, text)), threshold).where("doc = label").select("doc").distinct()
-    rows = docs.select(doc.alias("__doc"), F.struct(*docs.columns).alias("__row")).join(first.withColumnRenamed("doc", "__doc"), "__doc", "left_semi")
-    return rows.groupBy("__doc").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row.*")
+    rows = keyed(docs, doc_id, text, high_names(docs, doc_id))
+    first = labels_of(rows.select("doc", "text"), threshold).where("doc = label").select("doc").distinct()
+    kept = rows.join(first, "doc", "left_semi")
+    return kept.groupBy("doc").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")

@@ -117,6 +117,53 @@ def test_large_groups_in_runs_and_blocks(spark, monkeypatch):
     assert got == brute(rows) and 5 < len({c for _, c in got}) < 55
 
 
+def test_groups_of_many_sizes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SIDE", 300)
+    rng = random.Random(12)
+    base, rows = [f"v{rng.randrange(900)}" for _ in range(700)], []
+    for i in range(50):  # prefixes of one text, each with words of its own
+        words = base[: int(60 * 1.05**i)]
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice("xyz") + str(i)
+        rows.append((i, " ".join(words)))
+    rows += [(i, t) for i, t in enumerate(["", None, "a b"], 100)]
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute(rows)
+
+
+def test_blocks_hold_each_pair_of_near_sizes_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SIDE", 500)
+    rng = random.Random(5)
+    given = [(hub, 1000 * hub + i, max(0, int(4 * 1.25 ** (i % 17)) + rng.randint(-1, 1)), i, i % 3 > 0) for hub, size in ((1, 120), (2, 3)) for i in range(size)]
+    given += [(3, 3000, 0, 0, False), (3, 3001, 0, 1, True)]
+    sums = Counter()
+    for hub, _, n, _, _ in given:
+        sums[hub] += n
+    loose = spark.createDataFrame([(*r, sums[r[0]]) for r in given], "hub long, doc long, n long, label long, loose boolean, all_n long")
+    known = spark.createDataFrame([(r[1], str(r[1])) for r in given], "doc long, text string")
+    held = {}
+    for r in neardup.blocks(loose, known, 0.8).collect():
+        held.setdefault(tuple(r[c] for c in neardup.BLOCK_OF), {True: [], False: []})[r.loose].append(int(r.text))
+    met = Counter((a, b) for block in held.values() for a in block[True] for b in block[False])
+    assert set(met.values()) == {1}
+    size = {r[1]: r[2] for r in given}
+    near = {(a[1], b[1]) for a in given if a[4] for b in given if a[0] == b[0] and 5 * min(a[2], b[2]) >= 4 * max(a[2], b[2])}
+    assert near <= set(met)
+    assert all(max(size[a], 1) < 2 * max(size[b], 1) for a, b in met if a // 1000 == 1)
+    assert len([1 for a, _ in met if a // 1000 == 1]) < 0.4 * 120 * 80
+    assert max(sum(size[x] for x in block[False]) for block in held.values()) < 3 * 500
+
+
+def test_ids_of_any_height(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs far away from all of them"
+    rows = [(2**62 + 5, text), (2**63 - 1, text), (2**62 + 9, "another text that stands alone"), (-(2**63), "the least id of all alone"), (None, text), (None, "alone and without id"), (7, "a third one"), (2**62, "a third one"), (2**62 + 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.class_id) for r in neardup.classes(docs).collect()}
+    assert got == {(2**62 + 5, 2**62 + 5), (2**63 - 1, 2**62 + 5), (2**62 + 9, 2**62 + 9), (-(2**63), -(2**63)), (None, 2**62 + 5), (None, None), (7, 7), (2**62, 7)}
+    kept = [(r.doc_id, r.text) for r in neardup.one_of_each(docs).collect()]
+    assert len(kept) == 5 and {(2**62 + 5, text), (-(2**63), "the least id of all alone"), (None, "alone and without id"), (7, "a third one")} <= set(kept)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(1)
     names = rng.sample(range(10**6), 400)
