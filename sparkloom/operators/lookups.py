@@ -6,9 +6,13 @@ import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.scratch import written
+
+#: Rows of a cell of the distance join that one task takes, of either side.
+CELL_ROWS = 10_000
 #: A lookup table is broadcast up to so many rows; a larger one is joined by shuffle.
 SMALL_ROWS = 100_000
 
@@ -55,16 +59,37 @@ def routed(df: DataFrame, columns: Sequence[str], rules: DataFrame, target: str,
 def within_distance(a: DataFrame, b: DataFrame, radius: float, x: str = "x", y: str = "y") -> DataFrame:
     """Pairs of rows no further apart than radius, with their distance: an equi-join on grid cells, b's rows in the nine around.
 
-    a and b have no column names in common but x and y, which come as ax, ay, bx and by.
+    a and b have no column names in common but x and y, which come as ax, ay, bx and by. A cell of
+    more than CELL_ROWS rows of either side is cut into parts by hashes of whole rows, and each part
+    of one side meets each of the other. Rows without a coordinate are in no pair.
     """
     left = a.withColumnsRenamed({x: "ax", y: "ay"}).withColumns({"__i": F.floor(F.col("ax") / radius), "__j": F.floor(F.col("ay") / radius)})
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     right = b.withColumnsRenamed({x: "bx", y: "by"}).withColumn("__d", F.explode(near))
     right = right.withColumns({"__i": F.floor(F.col("bx") / radius) + F.col("__d.i"), "__j": F.floor(F.col("by") / radius) + F.col("__d.j")}).drop("__d")
-    pairs = left.join(right, ["__i", "__j"]).drop("__i", "__j")
+    left, right = _parts(left, right)
+    pairs = left.join(right, ["__i", "__j", "__a", "__b"]).drop("__i", "__j", "__a", "__b")
     return pairs.withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("distance") <= radius)
 
 
+def _parts(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """left and right with __a and __b: in crowded cells the part of a row's own side, and each part of the other."""
+
+    def crowd(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("__i", "__j").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name)).where(F.col(name) > 1)
+
+    crowded = written(crowd(left, "__na").join(crowd(right, "__nb"), ["__i", "__j"], "full").fillna(1, ["__na", "__nb"]))
+    if crowded.isEmpty():
+        return tuple(side.withColumns({"__a": F.lit(0), "__b": F.lit(0)}) for side in (left, right))
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        known = rows.withColumn("__h", F.xxhash64(*rows.columns)).join(small(crowded), ["__i", "__j"], "left").fillna(1, ["__na", "__nb"])
+        placed = known.withColumn(f"__{own}", F.pmod("__h", f"__n{own}").cast("int"))
+        return placed.withColumn(f"__{other}", F.explode(F.sequence(F.lit(0), F.col(f"__n{other}") - 1))).drop("__h", "__na", "__nb")
+
+    return dealt(left, "a", "b"), dealt(right, "b", "a")
+
+
 def key_audit(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """key, side ('left', 'right', 'both') of every distinct key of two tables."""
     one, two = (d.select(key).distinct().withColumn(n, F.lit(True)) for d, n in ((a, "__a"), (b, "__b")))
@@ -105,8 +130,15 @@ def shortest_of_each(df: DataFrame, keys: Sequence[str], size: Column, order: Se
 
 
 def stratified(df: DataFrame, keys: Sequence[str], id: str, n: int, seed: int = 0) -> DataFrame:
-    """A sampling operator: n rows of each stratum, those whose hashed ids come first."""
-    from pyspark.sql import Window
+    """A sampling operator: n rows of each stratum, those whose hashed ids come first; of rows with one id, those whose hash is least.
 
-    order = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id).cast("string"))))
-    return df.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= n).drop("__nth")
+    Tasks keep their first n rows of a stratum before anything is shuffled. Spark does that up to a
+    limit to n; beyond it, strata are cut into parts whose first n rows are found before the strata's.
+    """
+    order = [F.col("__md5"), F.col("__row")]
+    rows = df.withColumns({"__md5": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id).cast("string"))), "__row": F.xxhash64(*df.columns)})
+    first = lambda some, *of: some.withColumn("__nth", F.row_number().over(Window.partitionBy(*of).orderBy(*order))).where(F.col("__nth") <= n).drop("__nth")
+    conf = df.sparkSession.conf
+    if n > int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        rows = first(rows.withColumn("__part", F.pmod("__row", F.lit(int(conf.get("spark.sql.shuffle.partitions"))))), *keys, "__part").drop("__part")
+    return first(rows, *keys).drop("__md5", "__row")
