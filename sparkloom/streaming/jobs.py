@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -69,7 +69,7 @@ def timers(spark: SparkSession) -> Iterator[None]:
 
 
 class _Idle(StatefulProcessor):
-    """A key's open sessions: intervals that are joined where rows come between them, each closed by a timer."""
+    """A key's open sessions: intervals that are joined where rows come between them; a timer waits for the first of them to end."""
 
     def __init__(self, at: str, keys: list[str], gap: int) -> None:
         self.at, self.keys, self.gap = at, keys, gap
@@ -82,32 +82,39 @@ class _Idle(StatefulProcessor):
         """When a session ends, in milliseconds: rows up to the gap behind its last belong to it."""
         return (last + self.gap) // 1000 + 1
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def first_due(self, known: list) -> int | None:
+        """The one time for which a key with these sessions has a timer."""
+        return min((self.due(x[1]) for x in known), default=None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         before = [tuple(map(int, x)) for x in self.open.get()]
-        new = [(int(t), int(t), 1) for batch in rows for t in batch[self.at].astype("datetime64[us]").astype("int64")]
         joined: list[list[int]] = []
-        for begin, last, n in sorted(before + new):
+        for begin, last, n in sorted(before + [(r[self.at], r[self.at], 1) for r in rows]):
             if joined and begin - joined[-1][1] <= self.gap:
                 joined[-1] = [joined[-1][0], max(joined[-1][1], last), joined[-1][2] + n]
             else:
                 joined.append([begin, last, n])
-        old, due = {self.due(x[1]) for x in before}, {self.due(x[1]) for x in joined}
-        for t in old - due:
-            self.handle.deleteTimer(t)
-        for t in due - old:
-            self.handle.registerTimer(t)
+        old, due = self.first_due(before), self.first_due(joined)
+        if old != due:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if due is not None:
+                self.handle.registerTimer(due)
         self.open.put([tuple(x) for x in joined])
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = [tuple(map(int, x)) for x in self.open.get()]
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        done = [x for x in known if self.due(x[1]) <= now]
+        # time may have passed the ends of more sessions than the first, and no row that could join them comes any more
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         left = [x for x in known if self.due(x[1]) > now]
-        self.open.put(left) if left else self.open.clear()
-        if done:
-            stamp = lambda i: pd.to_datetime([x[i] for x in done], unit="us")
-            yield pd.DataFrame({**{k: pd.Series([v] * len(done), dtype=object) for k, v in zip(self.keys, key)}, "begin": stamp(0), "end": stamp(1), "n": [x[2] for x in done]})
+        if left:
+            self.open.put(left)
+            self.handle.registerTimer(self.first_due(left))
+        else:
+            self.open.clear()
+        row = Row(*self.keys, "begin", "last", "n")
+        return iter([row(*key, *x) for x in known if self.due(x[1]) <= now])
 
     def close(self) -> None:
         pass
@@ -117,13 +124,14 @@ def closed_when_idle(stream: DataFrame, at: str, keys: dict[str, str], gap: int,
     """keys, begin, end, n of each key's sessions, given out once a key has been idle for ``gap`` seconds; end is the last row's time.
 
     The state of a key is its open sessions, three numbers each, and goes when the last of them is
-    closed. Rows may come in any order if they are at most so late; later ones are left out by
-    the watermark. What is still open when a stream ends stays in the state. Queries need the
-    store that timers() sets.
+    closed; a key has one timer, whatever the number of its sessions. Rows may come in any order if
+    they are at most so late; later ones are left out by the watermark. What is still open when a
+    stream ends stays in the state. Queries need the store that timers() sets.
     """
-    schema = ", ".join(f"{k} {v}" for k, v in keys.items()) + ", begin timestamp, end timestamp, n long"
-    rows = stream.select(at, *keys).withWatermark(at, late).groupBy(*keys)
-    return rows.transformWithStateInPandas(_Idle(at, list(keys), gap * 1_000_000), schema, "append", "eventTime")
+    schema = ", ".join(f"{k} {v}" for k, v in keys.items()) + ", begin long, last long, n long"
+    rows = stream.select(at, *keys).withWatermark(at, late).withColumn("__micros", F.unix_micros(at)).groupBy(*keys)
+    found = rows.transformWithState(_Idle("__micros", list(keys), gap * 1_000_000), schema, "append", "eventTime")
+    return found.select(*keys, F.timestamp_micros("begin").alias("begin"), F.timestamp_micros("last").alias("end"), "n")
 
 
 def run_once(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> None:

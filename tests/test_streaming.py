@@ -98,3 +98,24 @@ def test_sessions_closed_by_timers_over_a_restart(spark):
         run(k)
     assert found() == [("a", 0, 3, 2), ("a", 20, 24, 2), ("b", 1, 1, 1), ("b", 22, 22, 1)] and os.path.isdir(f"{base}/state")
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_a_key_has_one_timer_however_many_sessions():
+    """The first session's end is waited for; when time has passed several ends they are given out at once."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    held, timers = [], set()
+    state = SimpleNamespace(get=lambda: iter(list(held)), put=lambda x: held.__setitem__(slice(None), x), clear=held.clear)
+    idle = jobs._Idle("t", ["user"], 10_000_000)
+    idle.init(SimpleNamespace(getListState=lambda *_: state, registerTimer=timers.add, deleteTimer=timers.discard))
+    second = 1_000_000
+    list(idle.handleInputRows(("a",), iter([Row(t=t * second) for t in (100, 0, 50, 55, 200)]), None))
+    assert len(held) == 4 and timers == {10_001}
+    list(idle.handleInputRows(("a",), iter([Row(t=5 * second)]), None))
+    assert timers == {15_001}
+    timers.clear()
+    done = list(idle.handleExpiredTimer(("a",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 120_000), SimpleNamespace(getExpiryTimeInMs=lambda: 15_001)))
+    assert [(r.user, r.begin // second, r["last"] // second, r.n) for r in done] == [("a", 0, 5, 2), ("a", 50, 55, 2), ("a", 100, 100, 1)]
+    assert held == [(200 * second, 200 * second, 1)] and timers == {210_001}
