@@ -70,25 +70,27 @@ def with_datagrams(frames: DataFrame, frame: str = "frame") -> DataFrame:
     """
 
     def at(place: Column | int, width: int) -> Column:
-        begin = place * 2 - 1 if isinstance(place, Column) else F.lit(place * 2 - 1)
-        return F.conv(F.substring("__h", begin, F.lit(width * 2)), 16, 10).cast("bigint")
+        return number(F.col("__f"), place if isinstance(place, Column) else F.lit(place), width)
 
     ip, l4, end = F.col("__ip"), F.col("__l4"), F.col("__end")
-    out = frames.withColumn("__h", F.hex(F.substring(frame, 1, HEADERS)))
-    out = out.withColumn("__ip", F.when(F.substring("__h", 25, 4) == "8100", 19).otherwise(15))
-    out = out.where((F.substring("__h", ip * 2 - 5, F.lit(4)) == "0800") & (F.substring("__h", ip * 2 - 1, F.lit(1)) == "4"))
-    out = out.withColumns({"__l4": (ip + at(ip, 1) % 16 * 4).cast("int"), "__end": (ip + at(ip + 2, 2)).cast("int"), "__udp": at(ip + 9, 1) == 17})
-    out = out.where(((at(ip + 6, 2) % 0x2000) == 0) & at(ip + 9, 1).isin(6, 17))
+    # An explode is a row's barrier: without it each filter below would be moved in front of what makes
+    # the frame, and make it anew for each octet that it looks at.
+    rest = [c for c in frames.columns if c != frame]
+    out = frames.select(*rest, F.explode(F.array(F.struct(F.col(frame).alias("f")))).alias("__x")).select(*rest, F.col("__x.f").alias("__f"))
+    out = out.withColumn("__ip", F.when(F.substring("__f", 13, 2) == F.unhex(F.lit("8100")), 19).otherwise(15))
+    out = out.where((F.substring("__f", ip - 2, F.lit(2)) == F.unhex(F.lit("0800"))) & (F.shiftright(at(ip, 1), 4) == 4))
+    out = out.withColumns({"__l4": (ip + at(ip, 1) % 16 * 4).cast("int"), "__end": (ip + at(ip + 2, 2)).cast("int"), "__proto": at(ip + 9, 1)})
+    out = out.where(((at(ip + 6, 2) % 0x2000) == 0) & F.col("__proto").isin(6, 17)).withColumn("__udp", F.col("__proto") == 17)
     head = F.when(F.col("__udp"), 8).otherwise(F.shiftright(at(l4 + 12, 1), 4) * 4)
     out = out.withColumns({"__begin": (l4 + head).cast("int"), "__stop": F.when(F.col("__udp"), F.least(end, l4 + at(l4 + 4, 2))).otherwise(end).cast("int")})
-    out = out.where(F.octet_length(frame) >= F.col("__begin") - 1)
+    out = out.where(F.octet_length("__f") >= F.col("__begin") - 1)
     dotted = lambda place: F.concat_ws(".", *[at(place + i, 1).cast("string") for i in range(4)])
     fields = {
         "proto": F.when(F.col("__udp"), "udp").otherwise("tcp"), "src": dotted(ip + 12), "sport": at(l4, 2).cast("int"), "dst": dotted(ip + 16), "dport": at(l4 + 2, 2).cast("int"),
-        "payload": F.substring(frame, F.col("__begin"), F.greatest(F.col("__stop") - F.col("__begin"), F.lit(0))),
+        "payload": F.substring("__f", F.col("__begin"), F.greatest(F.col("__stop") - F.col("__begin"), F.lit(0))),
         "tcp_seq": F.when(~F.col("__udp"), at(l4 + 4, 4)), "tcp_flags": F.when(~F.col("__udp"), at(l4 + 13, 1)).cast("int"),
     }
-    return out.withColumns(fields).drop("__h", "__ip", "__l4", "__end", "__udp", "__begin", "__stop")
+    return out.select(*[F.col("__f").alias(frame) if c == frame else c for c in frames.columns], *[v.alias(k) for k, v in fields.items()])
 
 
 def tcp_frame(src: Column, sport: Column, dst: Column, dport: Column, seq: Column, flags: Column, payload: Column, tag: Column, options: int = 0, padding: int = 0) -> Column:
