@@ -39,7 +39,8 @@ def register(spark: SparkSession, function: str, tags: dict[int, Tag]) -> None:
     """Makes a table function of SQL: ``FROM t, LATERAL function(t.record)`` gives ITEMS of each item in a record.
 
     Tags that the table has not got come with their octets alone; a null record has no items.
-    Several tables of tags are several functions.
+    Several tables of tags are several functions. Rows go to Python in batches of many: with
+    Arrow, Spark makes a batch of each single record's items.
     """
 
     class Items:
@@ -49,4 +50,4 @@ def register(spark: SparkSession, function: str, tags: dict[int, Tag]) -> None:
                 text = value.decode("utf-8", "replace") if known and known.width is None else None
                 yield place, tag, known and known.name, known.number(value) if known else None, text, value
 
-    spark.udtf.register(function, F.udtf(Items, returnType=ITEMS, useArrow=True))
+    spark.udtf.register(function, F.udtf(Items, returnType=ITEMS, useArrow=False))
