@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,14 +100,16 @@ _NAMES = [x.split()[0] for x in FRAMES.split(", ")]
 
 
 def frames_in(contents: DataFrame) -> DataFrame:
-    """FRAMES of captures that are values of a table: path, content. A capture is one row, so at most 2 GB."""
+    """FRAMES of captures that are values of a table: path, content. A capture is one row, so at most 2 GB; it is read where Arrow has it, without copies."""
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = pa.schema([("path", pa.string()), ("seq", pa.int64()), ("ts", pa.float64()), ("linktype", pa.int32()), ("frame", pa.binary()), ("error", pa.string())])
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield from _rows(path, lambda: bytes(content))  # noqa: B023
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                for rows in _rows(path.as_py(), lambda: pa.BufferReader(content.as_buffer()) if content.is_valid else b""):  # noqa: B023
+                    yield pa.RecordBatch.from_pandas(rows, types, preserve_index=False)
 
-    return contents.select("path", "content").mapInPandas(parsed, FRAMES)
+    return contents.select("path", "content").mapInArrow(parsed, FRAMES)
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
