@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def whole_packets(chunks: Iterable[bytes]) -> Iterator[tuple[int, bytes]]:
         at, junk, runs = 0, 0, []
         while True:
             if not locked:
-                found, locked = _pitch(octets, at, last)
+                found, locked = _pitch(held, at, last)
                 junk, at = junk + found - at, found
                 if not locked:
                     break
@@ -55,29 +56,28 @@ def whole_packets(chunks: Iterable[bytes]) -> Iterator[tuple[int, bytes]]:
             yield junk, b"".join(runs)
 
 
-def _pitch(octets: np.ndarray, at: int, last: bool) -> tuple[int, bool]:
+def _pitch(octets: bytes, at: int, last: bool) -> tuple[int, bool]:
     """Where the next packet begins, and whether that is certain; else the first place that more octets may make one."""
-    places = np.flatnonzero(octets[at:] == SYNC) + at
-    sure = places + SIZE * (CONFIRMED - 1) < len(octets)
-    fits = places + SIZE <= len(octets)
-    for k in range(1, CONFIRMED):
-        beyond = places + k * SIZE >= len(octets)
-        fits &= beyond | (octets[np.minimum(places + k * SIZE, len(octets) - 1)] == SYNC)
-    good = np.flatnonzero(fits & (sure | last))
-    open_ = np.flatnonzero(~sure) if not last else good[:0]
-    first, held = (int(places[x[0]]) if len(x) else len(octets) for x in (good, open_))
-    return (first, True) if len(good) and first < held else (held, False)
+    end = len(octets)
+    while (at := octets.find(SYNC, at)) >= 0:
+        if at + SIZE * (CONFIRMED - 1) >= end and not last:
+            return at, False
+        if at + SIZE <= end and all(octets[k] == SYNC for k in range(at + SIZE, min(end, at + SIZE * (CONFIRMED - 1) + 1), SIZE)):
+            return at, True
+        at += 1
+    return end, False
 
 
 def blocks_of(df: DataFrame, stream: str, order: str, data: str) -> DataFrame:
     """BLOCKS of a binary column whose values each hold whole packets and, before or between them, junk: datagrams, or blocks cut at packets. Null is as empty."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [list(whole_packets([] if d is None else [bytes(d)])) for d in batch["data"]]
-            yield pd.DataFrame({"stream": batch["stream"], "block": batch["block"], "junk": [sum(j for j, _ in x) for x in found], "packets": [b"".join(p for _, p in x) for x in found]})
+    @F.arrow_udf("binary")
+    def packets(values: pa.Array) -> pa.Array:
+        return pa.array([b"".join(p for _, p in whole_packets([d.as_py()] if d.is_valid else [])) for d in values], pa.binary())
 
-    return df.select(F.col(stream).cast("string").alias("stream"), F.col(order).cast("long").alias("block"), F.col(data).alias("data")).mapInPandas(cut, BLOCKS)
+    found = df.select(F.col(stream).cast("string").alias("stream"), F.col(order).cast("long").alias("block"), F.col(data).alias("data")).withColumn("packets", packets("data"))
+    junk = F.coalesce(F.octet_length("data") - F.octet_length("packets"), F.lit(0)).cast("long")
+    return found.select("stream", "block", junk.alias("junk"), "packets")
 
 
 def read_blocks(spark: SparkSession, path: str, chunk: int = 2**20) -> DataFrame:
@@ -97,29 +97,53 @@ def read_blocks(spark: SparkSession, path: str, chunk: int = 2**20) -> DataFrame
     return files.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(read, BLOCKS)
 
 
+def _octets(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all packets of an array of blocks: their octets where Arrow has them, a row each, the numbers of their blocks in the array, and their identifiers."""
+    if not len(values):
+        values = pa.array([b""])
+    values = values.cast(pa.large_binary())
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int64)[values.offset : values.offset + len(values) + 1]
+    a = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].reshape(-1, SIZE)
+    return a, np.repeat(np.arange(len(values)), np.diff(ends) // SIZE), (a[:, 1].astype(np.int64) & 0x1F) << 8 | a[:, 2]
+
+
+def _by_block(of: np.ndarray, n: int, **columns: pa.Array) -> pa.Array:
+    """A list of records for each of n blocks; of: the records' blocks, rising."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
+def _records(blocks: DataFrame, records: Column) -> DataFrame:
+    """stream, block and what records gives of a block, a row each.
+
+    The lists are a column first, so that blocks are cut and read by one step in Python; an
+    inner inline would put a filter on it below, which takes that step twice.
+    """
+    return blocks.select("stream", "block", records.alias("records")).select("stream", "block", F.inline_outer("records")).where("pid IS NOT NULL")
+
+
 def identifiers(blocks: DataFrame) -> DataFrame:
     """stream, pid, packets, carrying, faults: of the packets that carry a payload, how many have not the counter behind the last one's.
 
-    Tasks count within a block, so that a window meets only a row a block and pid.
+    Tasks count within blocks, many at a time, so that a window meets only a row a block and pid.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for stream, block, packets in zip(batch["stream"], batch["block"], batch["packets"]):
-                a = np.frombuffer(packets, np.uint8).reshape(-1, SIZE).astype(np.int64)
-                pids, which, n = np.unique((a[:, 1] & 0x1F) << 8 | a[:, 2], return_inverse=True, return_counts=True)
-                order = np.argsort(which, kind="stable")
-                order = order[a[order, 3] & 0x10 > 0]
-                pid, counter = which[order], a[order, 3] & 15
-                same = pid[1:] == pid[:-1]
-                broken = same & ((counter[:-1] + 1) % 16 != counter[1:])
-                carrying = np.bincount(pid, minlength=len(pids))
-                begin = np.concatenate([[0], np.cumsum(carrying)])
-                known = carrying > 0
-                edge = lambda at: pd.Series(np.where(known, counter[np.where(known, at, 0)] if len(counter) else 0, 0)).where(known).astype("Int32")
-                yield pd.DataFrame({"stream": stream, "block": block, "pid": pids, "packets": n, "carrying": carrying, "faults": np.bincount(pid[1:], broken, len(pids)).astype(int), "first": edge(begin[:-1]), "last": edge(begin[1:] - 1)})
-
-    rows = blocks.mapInPandas(count, "stream string, block long, pid int, packets long, carrying long, faults long, first int, last int")
+    @F.arrow_udf("array<struct<pid: int, packets: long, carrying: long, faults: long, first: int, last: int>>")
+    def count(values: pa.Array) -> pa.Array:
+        a, of, pids = _octets(values)
+        name = of << 13 | pids
+        order = np.argsort(name, kind="stable")
+        names, which, n = np.unique(name[order], return_inverse=True, return_counts=True)
+        carries = a[order, 3] & 0x10 > 0
+        pid, counter = which[carries], a[order[carries], 3].astype(np.int32) & 15
+        broken = (pid[1:] == pid[:-1]) & ((counter[:-1] + 1) % 16 != counter[1:])
+        carrying = np.bincount(pid, minlength=len(names))
+        begin = np.concatenate([[0], np.cumsum(carrying)])
+        edge = lambda at: pa.array(np.append(counter, 0)[at], pa.int32(), mask=carrying == 0)
+        faults = np.bincount(pid[1:], broken, len(names)).astype(np.int64)
+        return _by_block(names >> 13, len(values), pid=pa.array(names & 0x1FFF, pa.int32()), packets=pa.array(n), carrying=pa.array(carrying), faults=pa.array(faults), first=edge(begin[:-1]), last=edge(begin[1:] - 1))
+
+    rows = _records(blocks, count("packets"))
     before = F.last("last", ignorenulls=True).over(Window.partitionBy("stream", "pid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     torn = (F.col("first").isNotNull() & before.isNotNull() & ((before + 1) % 16 != F.col("first"))).cast("long")
     return rows.withColumn("torn", torn).groupBy("stream", "pid").agg(F.sum("packets").alias("packets"), F.sum("carrying").alias("carrying"), F.sum(F.col("faults") + F.col("torn")).alias("faults"))
@@ -187,13 +211,11 @@ def sections(blocks: DataFrame, pids: list[int]) -> DataFrame:
     """
     wanted = np.array(sorted(pids), dtype=np.int64)
 
-    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for stream, block, packets in zip(batch["stream"], batch["block"], batch["packets"]):
-                a = np.frombuffer(packets, np.uint8).reshape(-1, SIZE)
-                pid = (a[:, 1].astype(np.int64) & 0x1F) << 8 | a[:, 2]
-                at = np.flatnonzero(np.isin(pid, wanted))
-                yield pd.DataFrame({"stream": stream, "block": block, "at": at, "pid": pid[at], "packet": [packets[i * SIZE : (i + 1) * SIZE] for i in at]})
+    @F.arrow_udf("array<struct<at: long, pid: int, packet: binary>>")
+    def chosen(values: pa.Array) -> pa.Array:
+        a, of, pids = _octets(values)
+        at = np.flatnonzero(np.isin(pids, wanted))
+        return _by_block(of[at], len(values), at=pa.array(at), pid=pa.array(pids[at], pa.int32()), packet=pa.array([p.tobytes() for p in a[at]], pa.binary()))
 
     def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state, last = None, None, {}
@@ -209,7 +231,7 @@ def sections(blocks: DataFrame, pids: list[int]) -> DataFrame:
                         last[name] = s
             yield pd.DataFrame(out, columns=["stream", "pid", "block", "section"])
 
-    rows = blocks.mapInPandas(chosen, "stream string, block long, at long, pid int, packet binary")
+    rows = _records(blocks, chosen("packets"))
     return rows.repartition("stream", "pid").sortWithinPartitions("stream", "pid", "block", "at").mapInPandas(folded, "stream string, pid int, block long, section binary")
 
 
@@ -237,12 +259,14 @@ def _read(s: bytes) -> list[dict]:
 def programs(blocks: DataFrame) -> DataFrame:
     """stream, pid, program, stream_type of elementary streams, as their stream's tables last said.
 
-    The tables' identifiers are gathered over all streams: there are 8,192 at most.
+    The tables' identifiers are gathered over all streams: there are 8,192 at most. Then the
+    blocks are gone through once more, for the tables of both kinds.
     """
     read = lambda found, kind: found.where((F.hex(F.substring("section", 1, 1)) == f"{kind:02X}")).select("stream", F.col("pid").alias("table"), "block", F.explode(_entries(F.col("section"))).alias("x"))
-    maps = read(sections(blocks, [0]), ASSOCIATION).select("stream", F.col("x.program").alias("program"), F.col("x.pid").alias("table")).distinct()
-    pids = [r[0] for r in maps.select("table").distinct().collect()]
-    said = read(sections(blocks, pids), MAP).select("stream", "table", "block", "x.*").join(maps, ["stream", "table", "program"], "left_semi")
+    mapped = lambda found: read(found.where("pid = 0"), ASSOCIATION).select("stream", F.col("x.program").alias("program"), F.col("x.pid").alias("table")).distinct()
+    pids = [r[0] for r in mapped(sections(blocks, [0])).select("table").distinct().collect()]
+    found = sections(blocks, [0, *pids])
+    said = read(found.where(F.col("pid").isin(pids)), MAP).select("stream", "table", "block", "x.*").join(mapped(found), ["stream", "table", "program"], "left_semi")
     return said.groupBy("stream", "pid").agg(F.max_by(F.struct("program", "kind"), F.struct("block", "program", "kind")).alias("x")).select("stream", "pid", "x.program", F.col("x.kind").alias("stream_type"))
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,30 @@ def test_files_as_streams(spark, tmp_path):
     assert blocks.count() > 3
     assert {(r.pid, r.packets, r.faults) for r in transport.identifiers(blocks).collect()} == {(0, 1, 0), (32, 1, 0), (256, 200, 0)}
     assert [(r.pid, r.stream_type) for r in transport.programs(blocks).collect()] == [(256, 27)]
+
+
+def test_blocks_are_counted_as_packet_by_packet(spark):
+    """Blocks without packets, without payloads and of one number, many streams in a task."""
+    rng = random.Random(3)
+    blocks, want, last = [], {}, {}
+    for stream in "abc":
+        for block in range(40):
+            packets = [(rng.choice([0, 7, 256, 8191]), rng.randrange(3), rng.random() < 0.7) for _ in range(rng.choice([0, 0, 1, 9, 30]))]
+            blocks.append((stream, block, b"\x00\x47" * (len(packets) > 8) + b"".join(packet(*x[:2], carries=x[2]) for x in packets) or None))
+            for pid, counter, carries in packets:
+                n = want.setdefault((stream, pid), [0, 0, 0])
+                before = last.get((stream, pid))
+                n[0], n[1], n[2] = n[0] + 1, n[1] + carries, n[2] + (carries and before is not None and (before + 1) % 16 != counter)
+                if carries:
+                    last[stream, pid] = counter
+    found = transport.identifiers(rows(spark, blocks).coalesce(1)).collect()
+    assert {(r.stream, r.pid): [r.packets, r.carrying, r.faults] for r in found} == want
+
+
+def test_pitch_is_found_without_going_over_what_follows():
+    body = b"".join(packet(1, c, b"\x01") for c in range(3))
+    data = (b"\0\1" + body) * 15_000
+    began = time.process_time()
+    found = list(transport.whole_packets([data]))
+    assert b"".join(p for _, p in found) == body * 15_000 and sum(j for j, _ in found) == 30_000
+    assert time.process_time() - began < 6
